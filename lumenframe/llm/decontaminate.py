@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
+from .work import map_arrow
 
 WINDOW = 10
 PREFIX = 3
@@ -217,7 +218,7 @@ def find_overlaps(
         return run
 
     for number, windows in enumerate(blocks(benchmark, item_col, item_text_col, width, block_bytes)):
-        out = out.mapInArrow(searching(context.broadcast(windows), number == 0), T.StructType([T.StructField("__text", T.StringType()), *kept, *extra]))
+        out = map_arrow(out, searching(context.broadcast(windows), number == 0), T.StructType([T.StructField("__text", T.StringType()), *kept, *extra]))
     return out.drop("__text")
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import kernels, tokens
+from .work import map_arrow
 
 BUDGET = 2048
 SENTENCE_PENALTY = 24
@@ -152,4 +153,4 @@ def pack(
                 following += int(sequence[-1]) + 1
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [f.name for f in fields])
 
-    return source.mapInArrow(run, T.StructType(fields))
+    return map_arrow(source, run, T.StructType(fields))

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .work import Workspace
+from .work import Workspace, map_arrow
 
 #: Lengths in a block of the two-level suffix sums.
-BLOCK = 1024
+BLOCK = 256
 
 
 def encoded_lengths(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
@@ -27,7 +27,7 @@ def encoded_lengths(df: DataFrame, tokenizer: str, text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(lengths, np.int64, len(batch)))], ["length"])
 
     only = df.select(df[text_col].cast("string").alias("text"))
-    return only.mapInArrow(run, T.StructType([T.StructField("length", T.LongType(), False)]))
+    return map_arrow(only, run, T.StructType([T.StructField("length", T.LongType(), False)]))
 
 
 def length_table(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:

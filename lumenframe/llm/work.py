@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow, with this library on the workers' path if it isn't installed there but lies where it does here."""
+    environment, root = df.sparkSession.sparkContext.environment, str(Path(__file__).parents[2])
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join(p for p in [root, *paths] if p)
+    return df.mapInArrow(function, schema)
+
+
 class Workspace:
     """Tables that one run of an operator writes and reads again.
 
