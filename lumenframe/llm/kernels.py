@@ -102,6 +102,16 @@ def _loads(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
 
 
+def head_bytes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The eight bytes from each start on, as a word; also of a text's neighbours, so mask them by length."""
+    return _loads(data)[starts]
+
+
+def low_bytes(n: int) -> np.uint64:
+    """A mask of the first n bytes of such a word."""
+    return _MASKS[n]
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes, never 0 or 1 (callers use these as separators)."""
     words, length = _loads(data), (ends - starts).astype(np.int64)

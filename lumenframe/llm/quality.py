@@ -1,11 +1,11 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed byte n-grams - of the target (documents labelled good and not toxic) and of the raw
+Two generative models over hashed n-grams (bytes that begin or end words, and words that follow themselves) - of the target (documents labelled good and not toxic) and of the raw
 text - give every document a log importance weight, the sum of log p_target / p_raw over the n-grams that it has; documents
 are then sampled without replacement by Gumbel top-k.
 
 Plain ratios of rare n-grams are noise, and their sum over a long text drowns the few that matter. So a ratio counts only
-if it is far below 1 among labelled documents (a likelihood ratio test, and at most a quarter of the expected share), holds against
+if it is far below 1 among labelled documents (a likelihood ratio test, and at most a tenth of the expected share), holds against
 the raw counts of all documents too, and truncated weights are used: no document is made up for by usual text, and each
 starts with ``ALLOWANCE``. The sample size k is the sum of all weights, the number of documents that rejection sampling would
 keep, so it is a property of the corpus and not a parameter.
@@ -24,13 +24,16 @@ from pyspark.sql import types as T
 from . import kernels
 from .work import Workspace, map_arrow
 
-BUCKETS = 1 << 18
-GRAMS = (5, 8)
+BITS = 20
+BUCKETS = 1 << BITS
+#: The n-grams of bytes: so many from a word's beginning, and so many at its end.
+BEGINNINGS = (3, 4, 5, 6)
+ENDING = 3
 #: Most labelled rows that the models are fitted on; they are broadcast, 9 bytes each.
 MAX_LABELS = 200_000
-LIKELIHOOD = 16.0
-LEAST_RATIO = 0.25
-ALLOWANCE = 5.0
+LIKELIHOOD = 20.0
+LEAST_RATIO = 0.1
+ALLOWANCE = 8.0
 #: Weights are sharpened: w ** (1 / TEMPERATURE).
 TEMPERATURE = 0.1
 SEED = 17
@@ -38,31 +41,26 @@ _PARTS = 64
 _BINS = 4096
 
 
+def _bucket(keys: np.ndarray, kind: int) -> np.ndarray:
+    return (kernels.mix(keys + np.uint64(kind * 0x9E3779B97F4A7C1)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def _buckets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text, bucket) of the n-grams of each size that lie within a text; also of texts' repeated words."""
+    """(text, bucket) of the n-grams that begin or end a word, and of how often words follow themselves."""
     n = len(offsets) - 1
-    text_of = np.repeat(np.arange(n), np.diff(offsets))
-    for size in GRAMS:
-        grams = _byte_grams(data, size)
-        if len(grams):
-            inside = text_of[: len(grams)] == text_of[size - 1 :]
-            yield text_of[: len(grams)][inside], (grams[inside] >> np.uint64(64 - 18)).astype(np.int64)
     starts, ends, text = kernels.spans(data, offsets, kernels.NON_SPACE)
+    first, last = kernels.head_bytes(data, starts), kernels.head_bytes(data, np.maximum(ends - ENDING, 0))
+    for size in BEGINNINGS:
+        long = ends - starts >= size
+        yield text[long], _bucket(first[long] & kernels.low_bytes(size), size)
+    long = ends - starts >= ENDING
+    yield text[long], _bucket(last[long] & kernels.low_bytes(ENDING), 10 + ENDING)
     words = kernels.span_hash(data, starts, ends)
     again = np.flatnonzero((words[1:] == words[:-1]) & (text[1:] == text[:-1]))
-    if len(again):  # how often words follow themselves, on a scale of powers of two
-        times = np.bincount(text[again], minlength=n)
-        have = np.flatnonzero(times)
-        level = np.log2(times[have]).astype(np.int64)
-        yield np.repeat(have, level + 1), (kernels.mix((kernels.ranges(level + 1) + 1000).astype(np.uint64)) >> np.uint64(64 - 18)).astype(np.int64)
-
-
-def _byte_grams(data: np.ndarray, size: int) -> np.ndarray:
-    n = len(data) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    words = kernels._loads(data)[:n] & kernels._MASKS[size]
-    return kernels.mix(words + np.uint64(size) * np.uint64(0x9E3779B97F4A7C15 >> 8))
+    times = np.bincount(text[again], minlength=n)
+    have = np.flatnonzero(times)
+    levels = np.log2(times[have]).astype(np.int64) + 1  # a scale of powers of two
+    yield np.repeat(have, levels), _bucket(kernels.ranges(levels).astype(np.uint64), 20)
 
 
 def _label_sample(labels: DataFrame, id_col: str, good: F.Column, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,15 +100,15 @@ def gram_counts(docs: DataFrame, ids: np.ndarray, good: np.ndarray) -> tuple[np.
                     text, bucket = pairs // BUCKETS, pairs % BUCKETS
                     for row, chosen in enumerate((kind[text] == 1, kind[text] == 2, slice(None))):
                         counts[row] += np.bincount(bucket[chosen], minlength=BUCKETS)
-        parts = [counts[:, i * step : (i + 1) * step].tobytes() for i in range(_PARTS)] + [total.tobytes()]
+        parts = [counts[:, i * step : (i + 1) * step].astype(np.int32).tobytes() for i in range(_PARTS)] + [total.astype(np.int32).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS + 1), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
 
     def add(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in group:
             for blob in batch.column("counts"):
-                values = np.frombuffer(blob.as_buffer(), np.int64)
-                total = values.copy() if total is None else total + values
+                values = np.frombuffer(blob.as_buffer(), np.int32).astype(np.int64)
+                total = values if total is None else total + values
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
 
     rows = map_arrow(docs, run, schema).groupBy("part").applyInArrow(add, schema).collect()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, lines, minhash, packing, pii, quality, token_counts
+from . import ann, decontaminate, lines, minhash, packing, pii, quality, substrings, suffixes, token_counts
 
 #: The key of the registered query only; a real one is a secret.
 PII_KEY = "example"
@@ -39,6 +39,11 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.drop_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("__words").alias("n_words"), F.col("__removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
@@ -53,6 +58,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_table(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.drop_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = [F.col(f"__{c}").alias(f"n_{c}") for c in ("bytes", "removed", "spans")]
+    return out.select("doc_id", *n, F.sha2("__kept", 256).alias("kept_sha256"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
     n = F.size("__entities").cast("long")
@@ -68,9 +79,11 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_pii": op9_pii,
     "op10_neighbours": op10_neighbours,
 }
