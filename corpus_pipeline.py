@@ -1,22 +1,54 @@
-"""Corpus preparation in stages: each takes (spark, docs, sf_dir) and returns what it keeps."""
+"""Corpus preparation in stages: each takes (spark, docs, sf_dir) and returns what it keeps.
+
+All but the last return the columns of ``documents``. Each calls one operator of lumenframe.llm with its defaults.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenframe.llm import decontaminate, packing
+from lumenframe.llm import decontaminate, lines, minhash, packing, quality
 from lumenframe.llm.queries import table, tokenizer_path
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling keeps; toxic and low-quality ones go."""
+    return quality.resample(docs, table(spark, sf_dir, "labels")).drop("__log_weight")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines of windows of three that occurred before."""
+    out = lines.drop_repeated_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop("__lines", "__removed")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash.keep_one(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of ten words with a benchmark item."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of training sequences."""
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("benchmark decontamination", benchmark_decontamination), ("packing", pack)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("packing", pack),
+]
+
+#: Resampling, dynamic programming and a tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -6,10 +6,12 @@ shingle set; each pair of a half-key of the first and one of the second is the k
 probability (1 - (1 - s ** ROWS) ** HALVES) ** 2: 0.99993 at s = 0.8, 0.9999999 at 0.95.
 
 Documents with equal sets form one node, so copies cost nothing further. In each bucket the members are compared with
-a few centres (one in the first round, then up to ``CENTRES``), the links confirmed on full sets, and the
-components found; a centre is then done with, and a bucket whose remaining members all lie in one component needs no
-more comparisons, as none could change a component. This goes on until no bucket has two components, so every
-colliding pair is either compared or already connected, without a group's pairs being listed.
+a few centres, the links confirmed on full sets, and the components found; a centre is then done with, and a bucket whose
+remaining members all lie in one component needs no more comparisons, as none could change a component. The first centre is
+one member; later ones, ``CENTRES`` of them and four times as many each round, come from the components outside the
+bucket's largest. Members whose distances to the first centre differ too much can't be linked and aren't compared
+(Jaccard distance is a metric). This goes on until no bucket has two components, so every colliding pair has been
+compared, or ruled out, or is connected anyway, without a group's pairs being listed.
 """
 
 from __future__ import annotations
@@ -120,17 +122,15 @@ def _full_sets(df: DataFrame, k: int) -> DataFrame:
     return map_arrow(df, run, T.StructType([T.StructField("node", T.LongType(), False), T.StructField("set", T.BinaryType(), False)]))
 
 
-def _linked(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch.column("set_u"), batch.column("set_v"), strict=True)):
-                p, q = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good[i] = 100 * both >= percent * (len(p) + len(q) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("u", "v")], ["u", "v"])
-
-    return run
+def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, both, either) of rows (u, v, set_u, set_v): sizes of intersection and union."""
+    for batch in batches:
+        both, either = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+        for i, (x, y) in enumerate(zip(batch.column("set_u"), batch.column("set_v"), strict=True)):
+            p, q = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+            both[i] = len(np.intersect1d(p, q, assume_unique=True))
+            either[i] = len(p) + len(q) - both[i]
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(both), pa.array(either)], ["u", "v", "both", "either"])
 
 
 def near_duplicates(
@@ -166,41 +166,73 @@ def near_duplicates(
 
 
 def _components_of(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, work: Workspace) -> DataFrame:
+    """(node, component) of the nodes that share a table with others."""
     table = nodes.select("node", "n", F.posexplode("a").alias("i", "x"), "b").select("node", "n", "i", "x", F.posexplode("b").alias("j", "y"))
     table = table.select(F.xxhash64("i", "j", "x", "y").alias("key"), "node", F.col("n").cast("int").alias("n"))
     shared = table.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     members = work.save(table.join(shared, "key"))
-    wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node")
-    sets = work.save(_full_sets(docs.join(wanted, "id").select("node", "text"), shingle)).dropDuplicates(["node"])
-    links = seen = label = None
-    centres = 1
+    label = work.save(members.select("node").distinct().withColumn("component", F.col("node")))
+    wanted = label.join(nodes.select("node", "id"), "node")
+    sets = work.save(_full_sets(docs.join(wanted, "id").select("node", "text"), shingle).dropDuplicates(["node"]))
+
+    first = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("m"))
+    rows = members.join(first, "key").where("node <> centre")
+    fit = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    compared = _compare(rows.where(fit), sets, None, work)
+    label = _merged(label, compared, percent, work)
+    to_first = compared.select("u", "v", (F.col("both") / F.col("either")).alias("near"))
+    ends = [F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")]
+    left = work.save(rows.select("key", "node", "n", *ends).join(to_first, ["u", "v"], "left").select("key", "node", "n", "near"))
+    work.drop(members)
+
+    centres = CENTRES
+    slack = (100 - percent) / 100 + 1e-9
     while True:
-        known = members if label is None else members.join(label, "node", "left")
-        known = known.withColumn("component", F.coalesce(F.col("component"), F.col("node")) if label is not None else F.col("node"))
-        spread = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        if label is not None:
-            known = work.save(known.join(spread, "key"))
-            work.drop(members)
-            if known.isEmpty():
-                return label
-        else:  # every bucket has two nodes at least
-            known = known.select("key", "node", "n", "component")
-        chosen = known.groupBy("key", F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres)).alias("part")).agg(F.min(F.struct("node", "n", "component")).alias("c"))
-        chosen = work.save(chosen.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("m"), F.col("c.component").alias("other")))
-        fit = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("component") != F.col("other"))
-        pairs = known.join(chosen, "key").where(fit).select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
-        pairs = work.save(pairs if seen is None else pairs.join(seen, ["u", "v"], "left_anti"))
-        first = sets.select(F.col("node").alias("u"), F.col("set").alias("set_u"))
-        second = sets.select(F.col("node").alias("v"), F.col("set").alias("set_v"))
-        compared = pairs.join(first, "u").join(second, "v").select("u", "v", "set_u", "set_v")
-        new = work.save(map_arrow(compared, _linked(percent), pairs.schema))
-        links = new if links is None else links.unionAll(new)
-        seen = pairs if seen is None else seen.unionAll(pairs)
-        label = work.save(components(links, work))
-        rest = known.select("key", "node", "n").join(chosen.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti")
-        # centres stay out from now on: each of their pairs in this bucket has been compared or was connected
-        members = work.save(rest)
-        centres = CENTRES
+        known = left.join(label, "node")
+        sizes = known.groupBy("key", "component").agg(F.count("*").alias("k"))
+        open_ = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+        known = work.save(known.join(open_.drop("parts"), "key"))
+        work.drop(left)
+        if known.isEmpty():
+            return label
+        # centres come from the smaller components: when these are done, the bucket is
+        chosen = known.where("component <> largest").groupBy("key", F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres)).alias("part"))
+        chosen = chosen.agg(F.min(F.struct("node", "n", "near", "component")).alias("c")).select(
+            "key", F.col("c.node").alias("centre"), F.col("c.n").alias("m"), F.col("c.near").alias("other_near"), F.col("c.component").alias("other")
+        )
+        chosen = work.save(chosen)
+        # the Jaccard distance is a metric: two documents within the threshold are about as near to a third one
+        close = F.coalesce(F.abs(F.col("near") - F.col("other_near")) <= slack, F.lit(True))
+        rows = known.join(chosen, "key").where(fit & close & (F.col("component") != F.col("other")))
+        new = _compare(rows, sets, compared, work)
+        label = _merged(label, new, percent, work)
+        compared = compared.unionAll(new)
+        done = chosen.select("key", F.col("centre").alias("node"))
+        left = work.save(known.select("key", "node", "n", "near").join(done, ["key", "node"], "left_anti"))
+        work.drop(known)
+        centres *= 4
+
+
+def _compare(rows: DataFrame, sets: DataFrame, compared: DataFrame | None, work: Workspace) -> DataFrame:
+    """(u, v, both, either) of the pairs (node, centre) of ``rows`` that haven't been compared yet."""
+    pairs = rows.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
+    if compared is not None:
+        pairs = pairs.join(compared.select("u", "v"), ["u", "v"], "left_anti")
+    first = sets.select(F.col("node").alias("u"), F.col("set").alias("set_u"))
+    second = sets.select(F.col("node").alias("v"), F.col("set").alias("set_v"))
+    both = pairs.join(first, "u").join(second, "v").select("u", "v", "set_u", "set_v")
+    return work.save(map_arrow(both, _similarity, "u long, v long, both long, either long"))
+
+
+def _merged(label: DataFrame, compared: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """``label`` after the links among ``compared``."""
+    linked = compared.where(F.col("both") * 100 >= F.col("either") * percent)
+    u, v = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
+    between = work.save(linked.join(u, "u").join(v, "v").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct())
+    if between.isEmpty():
+        return label
+    moved = components(between, work).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return work.save(label.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
