@@ -1,10 +1,5 @@
 """Every query by name, and the DuckDB SQL that must give the same rows."""
 
-from __future__ import annotations
+from .queries import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
