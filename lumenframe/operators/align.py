@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import map_arrow
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
@@ -135,4 +137,5 @@ def apply_head(df: DataFrame, key: str, vector: str, head: Head, name: str, rows
                 yield pa.RecordBatch.from_arrays([part.column("k"), lists], ["k", "v"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"k {kind}, v array<double>").toDF(key, name)
+    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    return map_arrow(rows, run, f"k {kind}, v array<double>").toDF(key, name)

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.arrow import map_arrow
+
 
 def crop(image: np.ndarray, x0: int, y0: int, side: int, anchored: bool = False) -> np.ndarray:
     """A square window, zeros beyond the borders; ``anchored`` puts what there is at the top left instead of in its place."""
@@ -94,7 +96,7 @@ def tile_table(images: DataFrame, tile: int) -> DataFrame:
                 found = [(row["image"], ty, tx, p.tobytes()) for ty, tx, p in tiles(array, tile)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["image", "ty", "tx", "pixels"])
 
-    return images.select("image", "height", "width", "pixels").mapInArrow(run, "image string, ty long, tx long, pixels binary")
+    return map_arrow(images.select("image", "height", "width", "pixels"), run, "image string, ty long, tx long, pixels binary")
 
 
 def encoded(patches: DataFrame, key: str, pixels: str, encode, width: int) -> DataFrame:
@@ -110,4 +112,4 @@ def encoded(patches: DataFrame, key: str, pixels: str, encode, width: int) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(key), lists], [key, "embedding"])
 
     kind = patches.schema[key].dataType.simpleString()
-    return patches.select(key, pixels).mapInArrow(run, f"{key} {kind}, embedding array<float>")
+    return map_arrow(patches.select(key, pixels), run, f"{key} {kind}, embedding array<float>")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.arrow import map_arrow
 from .vectors import exact_neighbours
 
 
@@ -115,7 +116,8 @@ def harmonised(df: DataFrame, key: str, vector: str, batch: str, clusters: int =
                 yield pa.RecordBatch.from_arrays([part.column("k"), lists], ["k", "v"])
 
     key_type = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(batch).cast("string").alias("b"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"k {key_type}, v array<double>").toDF(key, vector)
+    rows = df.select(F.col(key).alias("k"), F.col(batch).cast("string").alias("b"), F.col(vector).cast("array<double>").alias("v"))
+    return map_arrow(rows, run, f"k {key_type}, v array<double>").toDF(key, vector)
 
 
 def _matrix(part: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,5 +158,5 @@ def _round_sums(rows: DataFrame, names: list[str], corrections: list, centres: n
             total += np.concatenate([mass.reshape(-1), sums.reshape(-1), [(r * 2 * (1 - x @ c.T)).sum()]])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["t"])
 
-    total = sum((np.frombuffer(row["t"]) for row in rows.mapInArrow(run, "t binary").toLocalIterator()), np.zeros(k * nb * (d + 1) + 1))
+    total = sum((np.frombuffer(row["t"]) for row in map_arrow(rows, run, "t binary").toLocalIterator()), np.zeros(k * nb * (d + 1) + 1))
     return total[: k * nb].reshape(k, nb), total[k * nb : -1].reshape(k, nb, d), float(total[-1])

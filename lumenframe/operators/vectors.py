@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar as S
+from ..functions.arrow import map_arrow
 
 #: Rows of a block; a block against a block is one matrix product.
 BLOCK = 2048
@@ -56,7 +57,8 @@ def _blocks(df: DataFrame, key: str, vector: str, within: str | None) -> DataFra
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([int(ids[part[0]])]), pa.array([ids[part].tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], schema.names)
 
     g = F.lit("") if within is None else F.col(within).cast("string")
-    return df.select(g.alias("g"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, schema)
+    rows = df.select(g.alias("g"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return map_arrow(rows, run, schema)
 
 
 def exact_neighbours(df: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", within: str | None = None) -> DataFrame:
@@ -90,7 +92,7 @@ def exact_neighbours(df: DataFrame, key: str, vector: str, k: int, metric: str =
                 ok = np.isfinite(value)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, m).reshape(-1, m)[ok]), pa.array(ids[best][ok]), pa.array(value[ok])], ["src", "dst", "distance"])
 
-    found = blocks.join(other, "grp").mapInArrow(run, schema)
+    found = map_arrow(blocks.join(other, "grp"), run, schema)
     order = Window.partitionBy("src").orderBy(F.round("distance", 9), "dst")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
@@ -122,7 +124,7 @@ def _moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
 
-    parts = df.select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "m binary")
+    parts = map_arrow(df.select(F.col(vector).cast("array<double>").alias("v")), run, "m binary")
     total = None
     for row in parts.toLocalIterator():
         m = np.frombuffer(row["m"])

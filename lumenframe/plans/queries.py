@@ -52,7 +52,7 @@ def gene_scaling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("gene", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@query(f"""with {D.VALUES_SQL}, n as (select count(*) as n from cells), s as (select gene, sum(value) / max(n) as mean, sum(value * value) / max(n) as m2 from vals, n group by 1),
+@query(f"""with {D.VALUES_SQL}, k as (select count(*) as k from cells), s as (select gene, sum(value) / max(k) as mean, sum(value * value) / max(k) as m2 from vals, k group by 1),
     st as (select gene, mean, greatest(sqrt(greatest(m2 - mean * mean, 1e-12)), 1e-6) as std from s)
     select cell_id, gene, round(greatest(least((value - mean) / std, 10), -10) - greatest(least(-mean / std, 10), -10), 5) as score from vals join st using (gene)""")
 def shifted_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,7 +444,7 @@ _COARSE_SQL = _TRANSFER_SQL.format(label="label % 3") + """, sim as (select cell
     sh as (select cell_id, label, s - min(s) over (partition by cell_id) as s from sim), sc as (select cell_id, label, round(case when sum(s) over (partition by cell_id) > 0 then s / sum(s) over (partition by cell_id) else 0 end, 9) as score from sh),
     rk as (select *, row_number() over (partition by cell_id order by score desc, label) as k from sc), coarse as (select cell_id, max(case when k = 1 then label end) as parent, max(case when k = 1 then score end) as score, max(case when k = 2 then score end) as second_score from rk where k <= 2 group by 1)"""
 _FINE_SQL = "with " + _COARSE_SQL + ", " + (
-    _TRANSFER_SQL.format(label="label").split("r0 as")[1].join(["fr0 as", ""]).replace(", ref as", ", fref as").replace("from r0)", "from fr0)").split(", qn as")[0]
+    _TRANSFER_SQL.format(label="label").split("r0 as")[1].join(["fr0 as", ""]).replace(", ref as", ", fref as").replace("from r0)", "from fr0)").split("qn as")[0].rstrip(", \n")
 ) + """, frn as (select label, sqrt(sum(value * value)) as r from fref group by 1), fdots as (select cell_id, label, sum(q.value * fref.value) as dot from q join fref using (feature) group by 1, 2),
     fsim as (select c.cell_id, c.parent, f.label, case when q * r > 0 then coalesce(dot, 0) / (q * r) else 0 end as s from coarse c join qn using (cell_id) join frn f on f.label % 3 = c.parent left join fdots d on d.cell_id = c.cell_id and d.label = f.label),
     fsh as (select cell_id, parent, label, s - min(s) over (partition by cell_id) as s from fsim), fsc as (select *, round(case when sum(s) over (partition by cell_id) > 0 then s / sum(s) over (partition by cell_id) else 0 end, 9) as score from fsh),
