@@ -18,11 +18,11 @@ def radius_counts(df: DataFrame, key: str, x: str, y: str, radius: float, within
     """(key, n_near): how many rows of the same group lie within ``radius``, border and the row itself included.
 
     A row meets the rows of its grid cell and the eight around it."""
-    points = df.select(within, key, x, y, _cell(x, radius).alias("gx"), _cell(y, radius).alias("gy"))
-    probes = points.select(within, F.col(key).alias("k"), F.col(x).alias("px"), F.col(y).alias("py"), _around(F.col("gx")).alias("gx"), "gy")
-    probes = probes.select(within, "k", "px", "py", "gx", _around(F.col("gy")).alias("gy"))
-    near = (F.col(x) - F.col("px")) ** 2 + (F.col(y) - F.col("py")) ** 2 <= radius * radius
-    return probes.join(points, [within, "gx", "gy"]).where(near).groupBy(F.col("k").alias(key)).agg(F.count("*").alias("n_near"))
+    points = df.select(within, F.col(x).alias("__x"), F.col(y).alias("__y"), _cell(x, radius).alias("__gx"), _cell(y, radius).alias("__gy"))
+    probes = df.select(within, F.col(key).alias("__k"), F.col(x).alias("__px"), F.col(y).alias("__py"), _around(_cell(x, radius)).alias("__gx"), _cell(y, radius).alias("__gy"))
+    probes = probes.select(within, "__k", "__px", "__py", "__gx", _around(F.col("__gy")).alias("__gy"))
+    near = (F.col("__x") - F.col("__px")) ** 2 + (F.col("__y") - F.col("__py")) ** 2 <= radius * radius
+    return probes.join(points, [within, "__gx", "__gy"]).where(near).groupBy(F.col("__k").alias(key)).agg(F.count("*").alias("n_near"))
 
 
 def nearest(df: DataFrame, targets: DataFrame, key: str, target: str, x: str, y: str, size: float, within: str) -> DataFrame:
@@ -30,26 +30,27 @@ def nearest(df: DataFrame, targets: DataFrame, key: str, target: str, x: str, y:
 
     Rings of grid cells are searched outwards, twice as wide each time, for the rows that have no target closer than the ring
     guarantees; so a row meets the targets around it only, and one far from all meets a few coarse cells."""
-    rows = df.select(within, key, x, y)
-    goals = targets.select(within, F.col(target).alias("t"), F.col(x).alias("tx"), F.col(y).alias("ty"))
-    reach = goals.agg(F.min("tx"), F.max("tx"), F.min("ty"), F.max("ty")).first()
-    span = rows.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    rows = df.select(within, F.col(key).alias("__k"), F.col(x).alias("__x"), F.col(y).alias("__y"))
+    goals = targets.select(within, F.col(target).alias("__t"), F.col(x).alias("__tx"), F.col(y).alias("__ty"))
+    reach = goals.agg(F.min("__tx"), F.max("__tx"), F.min("__ty"), F.max("__ty")).first()
+    span = rows.agg(F.min("__x"), F.max("__x"), F.min("__y"), F.max("__y")).first()
     if reach[0] is None or span[0] is None:
-        return rows.limit(0).select(key, F.lit(None).cast(dict(targets.dtypes)[target]).alias(target), F.lit(0.0).alias("distance"))
+        return df.limit(0).select(key, F.lit(None).cast(targets.schema[target].dataType).alias(target), F.lit(0.0).alias("distance"))
     widest = max(reach[1], span[1]) - min(reach[0], span[0]) + max(reach[3], span[3]) - min(reach[2], span[2]) + size
     out = None
     while True:
-        probe = rows.select(within, key, x, y, _around(_cell(x, size)).alias("gx"), _cell(y, size).alias("gy"))
-        probe = probe.select(within, key, x, y, "gx", _around(F.col("gy")).alias("gy"))
-        cells = goals.select(within, "t", "tx", "ty", _cell("tx", size).alias("gx"), _cell("ty", size).alias("gy"))
-        found = probe.join(cells, [within, "gx", "gy"]).withColumn("d2", (F.col(x) - F.col("tx")) ** 2 + (F.col(y) - F.col("ty")) ** 2)
-        found = found.groupBy(key).agg(F.min(F.struct(F.round("d2", 9).alias("d2"), "t")).alias("b")).select(key, F.col("b.t").alias(target), F.sqrt("b.d2").alias("distance"))
+        probe = rows.select(within, "__k", "__x", "__y", _around(_cell("__x", size)).alias("__gx"), _cell("__y", size).alias("__gy"))
+        probe = probe.select(within, "__k", "__x", "__y", "__gx", _around(F.col("__gy")).alias("__gy"))
+        cells = goals.select(within, "__t", "__tx", "__ty", _cell("__tx", size).alias("__gx"), _cell("__ty", size).alias("__gy"))
+        d2 = (F.col("__x") - F.col("__tx")) ** 2 + (F.col("__y") - F.col("__ty")) ** 2
+        best = F.min(F.struct(F.round(d2, 9).alias("d2"), F.col("__t").alias("t"))).alias("b")
+        found = probe.join(cells, [within, "__gx", "__gy"]).groupBy("__k").agg(best).select("__k", F.col("b.t").alias("__t"), F.sqrt("b.d2").alias("__d"))
         last = size > widest
-        sure = found if last else found.where(F.col("distance") <= size)
+        sure = found if last else found.where(F.col("__d") <= size)
         out = sure if out is None else out.unionByName(sure)
         if last:
-            return out
-        rows = rows.join(sure.select(key), key, "left_anti")
+            return out.toDF(key, target, "distance")
+        rows = rows.join(sure.select("__k"), "__k", "left_anti")
         size *= 4
 
 

@@ -31,7 +31,7 @@ def samples(spark: SparkSession, path: str, ids: list[str] | None = None) -> Dat
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): the lines of one small text file in order, from 0; such a file is a dictionary."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
 
 
@@ -84,7 +84,7 @@ def checked_matrix(matrix: DataFrame, n_genes: int, n_cells: int) -> DataFrame:
 
 
 def json_document(spark: SparkSession, path: str) -> dict:
-    return json.loads("\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect()))
+    return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
 
 
 def image_files(spark: SparkSession, path: str) -> DataFrame:

@@ -121,7 +121,8 @@ def test_communities(spark, most_local):
 
 
 def test_resolutions():
-    assert community.resolutions(0.1, 0.4, 0.1) == [0.1, 0.2, 0.3]
+    for low, high, step in ((0.1, 0.4, 0.1), (0.5, 2.0, 0.25), (1.0, 1.0, 0.1)):
+        assert community.resolutions(low, high, step) == [round(float(x), 2) for x in np.arange(low, high, step)]
 
 
 def test_fuzzy_weights(spark):
