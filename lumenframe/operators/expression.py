@@ -25,9 +25,8 @@ def median_library(library: DataFrame) -> float:
 def normalised(counts: DataFrame, library: DataFrame, cell: str = "cell_id", n: str = "n", keep: tuple[str, ...] = ()) -> DataFrame:
     """counts with ``value`` = log1p(n * median / library): size factors by the global median, all genes."""
     factor = library.select(cell, "library", *keep)
-    median = library.where("library > 0").agg(F.median("library").alias("median"))
-    joined = counts.join(factor, cell).join(F.broadcast(median))  # one row
-    return joined.withColumn("value", F.log1p(F.col(n) * S.size_factor(F.col("median"), F.col("library")))).drop("median")
+    median = library.where("library > 0").agg(F.median("library")).scalar()  # a subquery of one value
+    return counts.join(factor, cell).withColumn("value", F.log1p(F.col(n) * S.size_factor(median, F.col("library"))))
 
 
 def cluster_gene(cells: DataFrame, counts: DataFrame, cluster: str = "cluster", gene: str = "gene", cell: str = "cell_id") -> DataFrame:
@@ -39,7 +38,7 @@ def cluster_gene(cells: DataFrame, counts: DataFrame, cluster: str = "cluster",
     values = normalised(counts, library, cell, keep=(cluster,))
     n_cells = cells.groupBy(cluster).agg(F.count("*").alias("n_cells"))
     ranked = values.where("n > 0").withColumn("k", F.row_number().over(Window.partitionBy(cluster, gene).orderBy("value")))
-    ranked = ranked.withColumn("m", F.count("*").over(Window.partitionBy(cluster, gene))).join(F.broadcast(n_cells), cluster)
+    ranked = ranked.withColumn("m", F.count("*").over(Window.partitionBy(cluster, gene))).join(n_cells, cluster)
     place = F.col("n_cells") - F.col("m") + F.col("k")
     low, high = F.floor((F.col("n_cells") + 1) / 2), F.ceil((F.col("n_cells") + 1) / 2)
     part = F.when(place == low, F.col("value")).otherwise(0.0) + F.when(place == high, F.col("value")).otherwise(0.0)
@@ -69,8 +68,7 @@ def scaling(cells: DataFrame, counts: DataFrame, gene: str = "gene", cell: str =
     """Mean and population standard deviation of each gene's normalised values over all cells; variance and deviation have floors."""
     values = normalised(counts, libraries(cells, counts, cell), cell)
     sums = values.groupBy(gene).agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
-    n = cells.agg(F.count("*").alias("cells"))
-    moments = sums.join(F.broadcast(n)).withColumn("mean", F.col("s") / F.col("cells"))
+    moments = sums.withColumn("cells", cells.agg(F.count("*")).scalar()).withColumn("mean", F.col("s") / F.col("cells"))
     variance = F.greatest(F.col("ss") / F.col("cells") - F.col("mean") * F.col("mean"), F.lit(1e-12))
     return moments.select(gene, "mean", F.greatest(F.sqrt(variance), F.lit(1e-6)).alias("std"))
 

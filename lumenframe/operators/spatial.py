@@ -65,7 +65,7 @@ def spread_out(df: DataFrame, key: str, x: str, y: str, value: str, apart: float
         picked = best if picked is None else picked.unionByName(best)
         if number + 1 < most:
             far = (F.col(x) - F.col("bx")) ** 2 + (F.col(y) - F.col("by")) ** 2 > apart * apart
-            rows = rows.join(F.broadcast(best.select(within, "bx", "by")), within).where(far).select(within, key, x, y, value)
+            rows = rows.join(best.select(within, "bx", "by"), within).where(far).select(within, key, x, y, value)
     return picked.select(within, "pick", key, F.col("bx").alias(x), F.col("by").alias(y), value)
 
 
@@ -76,6 +76,6 @@ def boxes(picked: DataFrame, x: str, y: str, half: float) -> DataFrame:
 
 def count_in_boxes(windows: DataFrame, df: DataFrame, x: str, y: str, within: str, name: str) -> DataFrame:
     """How many rows of its group lie in each window; there are a few windows a group."""
-    inside = df.select(within, F.col(x).alias("__x"), F.col(y).alias("__y")).join(F.broadcast(windows), within)
+    inside = df.select(within, F.col(x).alias("__x"), F.col(y).alias("__y")).join(windows, within)
     inside = inside.where((F.col("__x") >= F.col("x0")) & (F.col("__x") < F.col("x1")) & (F.col("__y") >= F.col("y0")) & (F.col("__y") < F.col("y1")))
     return windows.join(inside.groupBy(within, "pick").agg(F.count("*").alias(name)), [within, "pick"], "left").withColumn(name, F.coalesce(name, F.lit(0)))

@@ -26,7 +26,7 @@ def scores(query: DataFrame, reference: DataFrame, cell: str = "cell_id", label:
     own = query.groupBy(cell).agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("q"))
     products = query.join(reference.select(feature, label, F.col("value").alias("w")), feature).groupBy(cell, label).agg(F.sum(F.col("value") * F.col("w")).alias("dot"))
     by_cell = products.groupBy(cell).agg(F.map_from_entries(F.collect_list(F.struct(label, "dot"))).alias("dots"))
-    rows = own.join(by_cell, cell, "left").join(F.broadcast(labels))  # one row
+    rows = own.join(by_cell, cell, "left").withColumn("labels", labels.scalar())
 
     def similarity(x: Column) -> Column:
         lengths = F.col("q") * x["r"]
@@ -53,7 +53,7 @@ def hierarchical(query: DataFrame, reference: DataFrame, parents: DataFrame, coa
     parents: (label, parent) of fine labels; coarse: (cell, parent) predictions. Each parent's cells meet that parent's profiles only,
     keyed by parent and feature."""
     q = query.join(coarse.select(cell, "parent"), cell)
-    ref = reference.join(F.broadcast(parents), "label")
+    ref = reference.join(parents, "label")
     norms = ref.groupBy("parent", "label").agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("r"))
     own = q.groupBy(cell, "parent").agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("q"))
     grid = own.join(norms, "parent")
@@ -80,7 +80,7 @@ def overridden(predictions: DataFrame, confirmed: Column, name: str) -> DataFram
 
 def validation(final: DataFrame, parents: DataFrame, confirmed: Column, name: str) -> DataFrame:
     """One row of invariants: numbers of rows and cells, fallbacks, labels outside their parent, and override counts."""
-    known = final.join(F.broadcast(parents.select(F.col("label").cast("string").alias("label"), F.col("parent").alias("__of"))), "label", "left")
+    known = final.join(parents.select(F.col("label").cast("string").alias("label"), F.col("parent").alias("__of")), "label", "left")
     sure = F.coalesce(confirmed, F.lit(False))
     stray = ~F.col("fallback") & (F.coalesce(F.col("__of"), F.lit(-1)) != F.col("parent"))
     return known.agg(
