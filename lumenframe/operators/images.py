@@ -86,6 +86,12 @@ def resized(image: np.ndarray, side: int) -> np.ndarray:
     return x[:, low] * (1 - q) + x[:, high] * q
 
 
+def tile_positions(height: int, width: int, side: int, n: int, seed: int = 42) -> list[tuple[int, int]]:
+    """Random places of tiles that lie within an image, for a visual check; the corner if it is smaller than a tile."""
+    rng = np.random.default_rng(seed)
+    return [(int(rng.integers(0, max(1, height - side + 1))), int(rng.integers(0, max(1, width - side + 1)))) for _ in range(n)]
+
+
 def tile_table(images: DataFrame, tile: int) -> DataFrame:
     """(image, ty, tx, pixels) of rows (image, height, width, pixels), 8-bit grey: an image is cut where it lies."""
 

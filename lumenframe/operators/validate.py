@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import contextlib
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,3 +56,13 @@ def require_no_prefix(df: DataFrame, column: str, prefix: str) -> DataFrame:
     if not df.where(F.col(column).startswith(prefix)).isEmpty():
         raise ValueError(f"{column} has values that start with {prefix}")
     return df
+
+
+@contextlib.contextmanager
+def recorded(write: Callable[[dict], None], **context) -> Iterator[None]:
+    """Runs a step; an error is written as a document of its kind, its text and the context, and raised again."""
+    try:
+        yield
+    except Exception as error:
+        write({"status": "failed", "error": type(error).__name__, "message": str(error)[:2000], **context})
+        raise

@@ -1,12 +1,13 @@
 import json
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.functions import scalar as S
-from lumenframe.operators import align, cells, community, expression, graph, images, multimodal, report, spatial, transfer, validate, vectors
-from lumenframe.sources import readers, writers
+from lumenframe.operators import align, cells, community, embedding, expression, graph, images, layout, multimodal, report, spatial, transfer, validate, vectors
+from lumenframe.sources import arrays, readers, tiff, writers
 from lumenframe.streaming import boundaries
 
 
@@ -216,3 +217,53 @@ def test_streaming_equals_batch(spark, tmp_path):
     out = boundaries.run(boundaries.stream(spark, str(tmp_path / "v"), df.schema), ["c"], "x", "y", "streamed", str(tmp_path / "ckpt"))
     want = boundaries.centroids(df, ["c"], "x", "y")
     assert values(out, "c", "x_centroid", "n_boundary_vertices") == values(want, "c", "x_centroid", "n_boundary_vertices")
+
+
+def test_array_files(spark, tmp_path):
+    x = np.arange(12, dtype=np.float64).reshape(4, 3)
+    np.save(tmp_path / "x.npy", x)
+    assert [list(r.e) for r in arrays.dense(spark, str(tmp_path / "x.npy")).orderBy("row_index").collect()] == x.tolist()
+    np.savez(tmp_path / "c.npz", data=np.array([5.0, 0.0, 2.0]), indices=np.array([1, 2, 0]), indptr=np.array([0, 2, 2, 3]), shape=np.array([3, 3]), format=np.array(b"csr"))
+    assert values(arrays.sparse(spark, str(tmp_path / "c.npz")), "row_index", "gene_idx", "n") == [(0, 1, 5.0), (2, 0, 2.0)]
+
+
+@pytest.mark.parametrize("end", ["<", ">"])
+def test_tiff_header(spark, tmp_path, end):
+    entry = lambda tag, kind, n, value: struct.pack(f"{end}HHI", tag, kind, n) + value
+    short = lambda v: struct.pack(f"{end}HH", v, 0)
+    entries = [entry(256, 3, 1, short(640)), entry(257, 3, 1, short(480)), entry(282, 5, 1, struct.pack(f"{end}I", 200)), entry(296, 3, 1, short(3))]
+    data = (b"II" if end == "<" else b"MM") + struct.pack(f"{end}HI", 42, 8) + struct.pack(f"{end}H", 4) + b"".join(entries) + bytes(4)
+    data = data.ljust(200, b"\0") + struct.pack(f"{end}II", 40000, 1)
+    (tmp_path / "i.tif").write_bytes(data)
+    row = tiff.headers(spark, str(tmp_path / "i.tif")).first()
+    assert (row.width, row.height, row.um_per_px, row.description) == (640, 480, 0.25, None)
+    with pytest.raises(ValueError):
+        tiff.header(b"nothing at all")
+
+
+def test_layout_separates_cliques(spark):
+    edges, nodes = _two_cliques(spark)
+    out = {r.n: np.array([r.umap1, r.umap2]) for r in layout.graph_layout(edges, nodes, "n", epochs=100).collect()}
+    inner = np.mean([np.linalg.norm(out[a] - out[b]) for a in range(6) for b in range(a)])
+    outer = np.mean([np.linalg.norm(out[a] - out[b]) for a in range(6) for b in range(6, 12)])
+    assert len(out) == 13 and outer > 2 * inner
+
+
+def test_profile_embedding_falls_back(spark):
+    genes = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "gene_idx int, gene string")
+    counts = spark.createDataFrame([(i, g, float((i * 7 + j * 3) % 5)) for i in range(8) for j, g in enumerate("abc")], "cell_id int, gene string, value double")
+
+    def missing(_):
+        raise ImportError("no model here")
+
+    out, how = embedding.profile_embedding(embedding.dense_profiles(counts, genes), 2, missing)
+    assert how == "pca" and out.count() == 8 and len(out.first().embedding) == 2
+
+
+def test_row_index_is_dense_and_failures_are_recorded(spark):
+    df = spark.range(50).select((F.col("id") * 7 % 50).alias("k"))
+    assert values(cells.row_index(df, ["k"]), "k", "source_row_index") == [(i, i) for i in range(50)]
+    seen = []
+    with pytest.raises(KeyError), validate.recorded(seen.append, step="x"):
+        raise KeyError("y")
+    assert seen[0]["error"] == "KeyError" and seen[0]["step"] == "x"
