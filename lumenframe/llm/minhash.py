@@ -5,13 +5,11 @@ shingle set; each pair of a half-key of the first and one of the second is the k
 2 * HALVES * ROWS hash functions serve HALVES ** 2 tables. A pair of Jaccard similarity s shares a table with
 probability (1 - (1 - s ** ROWS) ** HALVES) ** 2: 0.99993 at s = 0.8, 0.9999999 at 0.95.
 
-Documents with equal sets form one node, so copies cost nothing further. In each bucket the members are compared with
-a few centres, the links confirmed on full sets, and the components found; a centre is then done with, and a bucket whose
-remaining members all lie in one component needs no more comparisons, as none could change a component. The first centre is
-one member; later ones, ``CENTRES`` of them and four times as many each round, come from the components outside the
-bucket's largest. Members whose distances to the first centre differ too much can't be linked and aren't compared
-(Jaccard distance is a metric). This goes on until no bucket has two components, so every colliding pair has been
-compared, or ruled out, or is connected anyway, without a group's pairs being listed.
+Documents with equal sets form one node, so copies cost nothing further. The members of a bucket are compared on full sets
+with one of them, its centre, which gives most components. A colliding pair that this leaves open has both ends in one star - the
+members of all buckets of one centre - and one of them outside the star's largest component. So the members outside it are
+compared with all members of the star, block against block, exactly; what leaves a block is its links. After that every
+colliding pair has been compared or is connected anyway, and no pairs of a group were listed.
 """
 
 from __future__ import annotations
@@ -32,7 +30,9 @@ SHINGLE = 5
 PERCENT = 80
 HALVES = 10
 ROWS = 2
-CENTRES = 32
+#: Bytes of shingle sets on the two sides of a block.
+OUTER_BYTES = 1 << 20
+INNER_BYTES = 8 << 20
 SEED = 20240229
 
 
@@ -122,15 +122,19 @@ def _full_sets(df: DataFrame, k: int) -> DataFrame:
     return map_arrow(df, run, T.StructType([T.StructField("node", T.LongType(), False), T.StructField("set", T.BinaryType(), False)]))
 
 
-def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v, both, either) of rows (u, v, set_u, set_v): sizes of intersection and union."""
-    for batch in batches:
-        both, either = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-        for i, (x, y) in enumerate(zip(batch.column("set_u"), batch.column("set_v"), strict=True)):
-            p, q = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-            both[i] = len(np.intersect1d(p, q, assume_unique=True))
-            either[i] = len(p) + len(q) - both[i]
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(both), pa.array(either)], ["u", "v", "both", "either"])
+def _linked(percent: int):
+    """Of rows (u, v, set_u, set_v) those whose sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(len(batch), bool)
+            for i, (x, y) in enumerate(zip(batch.column("set_u"), batch.column("set_v"), strict=True)):
+                p, q = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                good[i] = 100 * both >= percent * (len(p) + len(q) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("u", "v")], ["u", "v"])
+
+    return run
 
 
 def near_duplicates(
@@ -176,59 +180,81 @@ def _components_of(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int
     sets = work.save(_full_sets(docs.join(wanted, "id").select("node", "text"), shingle).dropDuplicates(["node"]))
 
     first = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("m"))
-    rows = members.join(first, "key").where("node <> centre")
+    stars = work.save(members.join(first, "key").where("node <> centre").select("centre", "m", "node", "n").distinct())
+    work.drop(members, shuffles=True)
+    label = _merged(label, _compared(stars, sets, percent, work), work)
+    return _merged(label, _crossed(stars, sets, label, percent, work), work)
+
+
+def _compared(stars: DataFrame, sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """(u, v) for the links of members with their centres."""
     fit = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    compared = _compare(rows.where(fit), sets, None, work)
-    label = _merged(label, compared, percent, work)
-    to_first = compared.select("u", "v", (F.col("both") / F.col("either")).alias("near"))
-    ends = [F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")]
-    left = work.save(rows.select("key", "node", "n", *ends).join(to_first, ["u", "v"], "left").select("key", "node", "n", "near"))
-    work.drop(members)
-
-    centres = CENTRES
-    slack = (100 - percent) / 100 + 1e-9
-    while True:
-        known = left.join(label, "node")
-        sizes = known.groupBy("key", "component").agg(F.count("*").alias("k"))
-        open_ = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-        known = work.save(known.join(open_.drop("parts"), "key"))
-        work.drop(left)
-        if known.isEmpty():
-            return label
-        # centres come from the smaller components: when these are done, the bucket is
-        chosen = known.where("component <> largest").groupBy("key", F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres)).alias("part"))
-        chosen = chosen.agg(F.min(F.struct("node", "n", "near", "component")).alias("c")).select(
-            "key", F.col("c.node").alias("centre"), F.col("c.n").alias("m"), F.col("c.near").alias("other_near"), F.col("c.component").alias("other")
-        )
-        chosen = work.save(chosen)
-        # the Jaccard distance is a metric: two documents within the threshold are about as near to a third one
-        close = F.coalesce(F.abs(F.col("near") - F.col("other_near")) <= slack, F.lit(True))
-        rows = known.join(chosen, "key").where(fit & close & (F.col("component") != F.col("other")))
-        new = _compare(rows, sets, compared, work)
-        label = _merged(label, new, percent, work)
-        compared = compared.unionAll(new)
-        done = chosen.select("key", F.col("centre").alias("node"))
-        left = work.save(known.select("key", "node", "n", "near").join(done, ["key", "node"], "left_anti"))
-        work.drop(known)
-        centres *= 4
-
-
-def _compare(rows: DataFrame, sets: DataFrame, compared: DataFrame | None, work: Workspace) -> DataFrame:
-    """(u, v, both, either) of the pairs (node, centre) of ``rows`` that haven't been compared yet."""
-    pairs = rows.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
-    if compared is not None:
-        pairs = pairs.join(compared.select("u", "v"), ["u", "v"], "left_anti")
+    pairs = stars.where(fit).select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
     first = sets.select(F.col("node").alias("u"), F.col("set").alias("set_u"))
     second = sets.select(F.col("node").alias("v"), F.col("set").alias("set_v"))
     both = pairs.join(first, "u").join(second, "v").select("u", "v", "set_u", "set_v")
-    return work.save(map_arrow(both, _similarity, "u long, v long, both long, either long"))
-
-
-def _merged(label: DataFrame, compared: DataFrame, percent: int, work: Workspace) -> DataFrame:
-    """``label`` after the links among ``compared``."""
-    linked = compared.where(F.col("both") * 100 >= F.col("either") * percent)
+    return work.save(map_arrow(both, _linked(percent), "u long, v long"))
+
+
+def _crossed(stars: DataFrame, sets: DataFrame, label: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """(u, v) for the links between components of the members of one centre.
+
+    Members outside a star's largest component meet all its members, block against block: a block holds ``OUTER_BYTES`` and ``INNER_BYTES``
+    of shingle sets, and only links leave it."""
+    known = stars.select("centre", "node", "n").join(label, "node")
+    sizes = known.groupBy("centre", "component").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    largest = F.max(F.struct("k", "component", "n"))
+    stats = sizes.groupBy("centre").agg(largest.alias("l"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda shingles, size: F.ceil(shingles * 8 / size).cast("int")
+    stats = stats.select("centre", F.col("l.component").alias("largest"), blocks(F.col("all") - F.col("l.n"), OUTER_BYTES).alias("outers"), blocks(F.col("all"), INNER_BYTES).alias("inners"))
+    rows = work.save(known.join(stats, "centre"))
+    part = lambda n: F.pmod(F.hash("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = rows.where("component <> largest").select("centre", "node", "component", part("outers").alias("o"), every("inners").alias("i"), F.lit(True).alias("outer"))
+    inner = rows.select("centre", "node", "component", every("outers").alias("o"), part("inners").alias("i"), F.lit(False).alias("outer"))
+    filled = outer.unionByName(inner).join(sets, "node")
+    return work.save(filled.groupBy("centre", "o", "i").applyInArrow(_block_links(percent), "u long, v long"))
+
+
+def _block_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        outer = table.column("outer").to_numpy()
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("set")]
+        mine, others = np.flatnonzero(outer), np.flatnonzero(~outer)
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(mine) and len(others):
+            shared = np.intersect1d(np.unique(np.concatenate([sets[i] for i in mine])), np.unique(np.concatenate([sets[i] for i in others])))
+            size = np.array([len(s) for s in sets])
+            asked = _bits(sets, mine, shared)
+            step = max(1, (32 << 20) // (len(shared) + 64))
+            for low in range(0, len(others), step):
+                at = others[low : low + step]
+                have = _bits(sets, at, shared)
+                for row, i in zip(asked, mine, strict=True):
+                    both = np.bitwise_count(have & row).sum(axis=1, dtype=np.int64)
+                    good = at[(100 * both >= percent * (size[i] + size[at] - both)) & (component[at] != component[i])]
+                    u.append(np.full(len(good), node[i]))
+                    v.append(node[good])
+        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
+
+    return run
+
+
+def _bits(sets: list[np.ndarray], rows: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """Which of a sorted vocabulary each set has, packed."""
+    out = np.zeros((len(rows), (len(vocabulary) // 64 + 1) * 64), np.uint8)
+    for k, i in enumerate(rows):
+        at = np.searchsorted(vocabulary, sets[i])
+        at = at[at < len(vocabulary)]
+        out[k, at[vocabulary[at] == sets[i][: len(at)]]] = 1
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def _merged(label: DataFrame, links: DataFrame, work: Workspace) -> DataFrame:
+    """``label`` after ``links`` (u, v)."""
     u, v = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
-    between = work.save(linked.join(u, "u").join(v, "v").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct())
+    between = work.save(links.join(u, "u").join(v, "v").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct())
     if between.isEmpty():
         return label
     moved = components(between, work).select(F.col("node").alias("component"), F.col("component").alias("to"))

@@ -52,13 +52,14 @@ class Workspace:
         out._saved_at = path
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete saved tables that nothing reads any more, and let Spark drop shuffle files out of use."""
+    def drop(self, *tables: DataFrame, shuffles: bool = False) -> None:
+        """Delete saved tables that nothing reads any more; ``shuffles``: let Spark also drop large shuffle files that are out of use."""
         jvm = self.spark.sparkContext._jvm
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(table._saved_at)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()
+        if shuffles:
+            jvm.System.gc()
 
 
 def tasks(spark: SparkSession, size: int, each: int) -> int:
