@@ -54,7 +54,7 @@ def drop_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str
     docs = df.select(df[id_col].cast("long").alias("key"), df[text_col].cast("string").alias("text")).where("key is not null")
     scheme = repeats.Scheme(words=True, length=length, gram=gram)
     found = repeats.repeated_windows(docs, scheme, True, smallest_documents(length), lambda v, key: v < key, work)
-    rows = df.withColumn("__text", df[text_col].cast("string")).join(found.withColumnRenamed("key", "__key"), df[id_col].cast("long") == F.col("__key"), "left").drop("__key")
+    rows = df.withColumn("__text", df[text_col].cast("string")).join(found.toDF("__key", "__found"), df[id_col].cast("long") == F.col("__key"), "left").drop("__key")
     schema = T.StructType([*df.schema.fields, T.StructField("__words", T.LongType()), T.StructField("__removed", T.LongType()), T.StructField("__kept", T.StringType())])
     names = df.columns
 
@@ -63,7 +63,7 @@ def drop_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str
             for low, high, data, offsets in kernels.text_slices(batch, "__text"):
                 starts, ends, text = kernels.spans(data, offsets, kernels.NON_SPACE)
                 words = np.bincount(text, minlength=high - low)
-                hit, _ = repeats.hit_symbols(batch.column("found").slice(low, high - low), words, length)
+                hit, _ = repeats.hit_symbols(batch.column("__found").slice(low, high - low), words, length)
                 removed = np.bincount(text[hit], minlength=high - low)
                 kept = join_spans(data, starts[~hit], ends[~hit], text[~hit], high - low)
                 columns = [batch.column(c).slice(low, high - low) for c in names]

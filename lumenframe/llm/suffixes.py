@@ -52,7 +52,7 @@ def drop_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs = df.select(key.alias("key"), text.alias("text"))
     scheme = repeats.Scheme(words=False, length=length, gram=gram)
     found = repeats.repeated_windows(docs, scheme, False, occurrences(length), lambda v, key: v > 0, work)
-    rows = df.withColumns({"__text": text, "__key": key}).join(found.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+    rows = df.withColumns({"__text": text, "__key": key}).join(found.toDF("__key", "__found"), "__key", "left").drop("__key")
     extra = [T.StructField("__bytes", T.LongType()), T.StructField("__removed", T.LongType()), T.StructField("__spans", T.LongType()), T.StructField("__kept", T.BinaryType())]
     schema = T.StructType([*df.schema.fields, *extra])
     names = df.columns
@@ -61,7 +61,7 @@ def drop_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for low, high, data, offsets in kernels.text_slices(batch, "__text"):
                 sizes = np.diff(offsets)
-                hit, first = repeats.hit_symbols(batch.column("found").slice(low, high - low), sizes, length)
+                hit, first = repeats.hit_symbols(batch.column("__found").slice(low, high - low), sizes, length)
                 owner = np.repeat(np.arange(high - low), sizes)
                 start = hit.copy()
                 start[1:] &= ~(hit[:-1] & (owner[1:] == owner[:-1]))
