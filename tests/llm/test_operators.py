@@ -1,0 +1,347 @@
+"""The text operators against brute force, on hand-made rows: nulls, empties, long texts, ties, repeats, clashing columns."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lumenframe.llm import ann, components, decontaminate, lines, minhash, packing, pii, quality, queries, repeats, substrings, suffixes, token_counts, tokens, work
+from oracle import SF, assert_equal
+
+SPACE = re.compile("[^\x20\x09-\x0d]+")
+DOCS = "doc_id long, text string, found string, start string, hit string"
+
+
+def docs(spark, texts):
+    """Rows with columns whose names the operators use inside."""
+    return spark.createDataFrame([(i, t, "f", "s", "h") for i, t in texts], DOCS).repartition(3, "doc_id")
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t)
+
+
+def corpus(seed=0):
+    """Small texts with exact and near copies, shared passages, nulls, empties and one long text."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdeéß"), rng.integers(1, 6)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    passage, out = say(30), []
+    for i in range(60):
+        kind = i % 6
+        if kind == 0:
+            t = say(int(rng.integers(0, 60)))
+        elif kind == 1:
+            t = f"{say(5)} {passage}\n{say(7)}"
+        elif kind == 2:
+            t = out[-2][1] or ""
+        elif kind == 3:
+            w = (out[-3][1] or "x").split(" ")
+            w[len(w) // 2] = word()
+            t = " ".join(w)
+        elif kind == 4:
+            t = " ".join([word()] * 40)
+        else:
+            t = say(3)
+        out.append((i, t))
+    return [*out, (60, None), (61, ""), (62, " \n\t "), (63, say(4000)), (64, passage), (65, passage)]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return corpus()
+
+
+def test_empty_tables(spark):
+    none = docs(spark, [(1, "x")]).where("doc_id > 1")
+    items = spark.createDataFrame([], "item_id long, text string")
+    path = queries.tokenizer_path()
+    assert packing.pack(none, path).count() == 0 and token_counts.length_table(none, path).count() == 0
+    assert decontaminate.report(none, items).count() == 0
+    assert minhash.near_duplicates(none).count() == 0 and lines.drop_repeated_lines(none).count() == 0
+    assert substrings.drop_repeated_passages(none).count() == 0 and suffixes.drop_repeated_bytes(none).count() == 0
+    assert pii.replace_entities(none, "k").count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.resample(none, labels).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert ann.nearest(vectors, vectors).count() == 0
+
+
+def test_tokens_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    slow, fast = Tokenizer.from_file(path), tokens.encoder(path)
+    for t in ["", "a", "don't 'tis 1234  x \n\n y", "é ß 漢字 <|endoftext|> z", " " * 50 + "a" * 300, "\r\n\t"]:
+        assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("budget", [64, 2048])
+def test_packing_is_a_partition_of_all_ids(spark, texts, budget):
+    path = queries.tokenizer_path()
+    encode = tokens.encoder(path)
+    got = packing.pack(docs(spark, texts), path, budget=budget, with_ids=True).collect()
+    by_doc, by_sequence = {}, {}
+    for r in got:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    for i, t in texts:
+        ids = [*encode(t or "").tolist(), 1]
+        parts = sorted(by_doc[i], key=lambda r: r.start)
+        assert sum((r.ids for r in parts), []) == ids and all(r.doc_tokens == len(ids) for r in parts)
+        for r in parts:
+            assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+    for parts in by_sequence.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= budget
+    total = sum(r.length for r in got)
+    padding = sum(0 if (n & (n - 1)) == 0 else budget - n for n in (sum(r.length for r in p) for p in by_sequence.values()))
+    assert budget > 64 or padding < 0.2 * total
+
+
+def test_cuts_are_the_cheapest():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        position = np.concatenate([[0], np.cumsum(rng.integers(1, 60, rng.integers(1, 25)))])
+        penalty = rng.integers(0, 40, len(position))
+        cost = [0] + [10**9] * (len(position) - 1)
+        for j in range(1, len(position)):
+            for i in range(j):
+                n = int(position[j] - position[i])
+                if n <= 128:
+                    free = n & (n - 1) == 0 and n >= packing.SHORTEST_POWER
+                    cost[j] = min(cost[j], cost[i] + (0 if free else 128 - n) + int(penalty[j]) + packing.SEQUENCE_PRICE)
+        cuts = packing.plan_cuts(position, penalty, 128)
+        lengths = np.diff(position[cuts])
+        mine = sum((0 if n & (n - 1) == 0 and n >= packing.SHORTEST_POWER else 128 - n) + packing.SEQUENCE_PRICE for n in lengths.tolist()) + int(penalty[cuts[1:]].sum())
+        assert mine == cost[-1]
+
+
+def test_token_histogram(spark, texts):
+    encode = tokens.encoder(queries.tokenizer_path())
+    lengths = np.array([len(encode(t or "")) for _, t in texts])
+    got = token_counts.length_table(docs(spark, texts), queries.tokenizer_path()).collect()
+    assert sorted(r.length for r in got) == sorted(set(lengths.tolist()))
+    for r in got:
+        assert r.n_docs == (lengths == r.length).sum() and r.docs_at_least == (lengths >= r.length).sum() and r.tokens_at_least == lengths[lengths >= r.length].sum()
+        assert r.truncated_total == np.minimum(lengths, r.length).sum() and r.total_tokens == lengths.sum() and r.quantile == pytest.approx((lengths <= r.length).mean())
+
+
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_decontamination(spark, texts, block):
+    items = [(1, texts[64][1]), (2, "abc"), (3, None), (4, ""), (None, " ".join(texts[63][1].split(" ")[5:30])), (6, texts[64][1])]
+    found = {r.doc_id: r for r in decontaminate.report(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block).collect()}
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    for i, t in texts:
+        w, hit, names = word.findall(lower(t or "")), set(), set()
+        for name, text in items:
+            x = word.findall(lower(text or ""))
+            n = min(10, len(x))
+            for k in {tuple(x[a : a + n]) for a in range(len(x) - n + 1)} if n else set():
+                for a in range(len(w) - n + 1):
+                    if tuple(w[a : a + n]) == k:
+                        hit.update(range(a, a + n))
+                        names.add(str(name) if name is not None else "null")
+        r = found[i]
+        assert (r.n_words, r.n_hit, r["items"], r.contaminated) == (len(w), len(hit), sorted(names), bool(hit))
+    clean = decontaminate.remove_contaminated(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert clean.columns == ["doc_id", "text", "found", "start", "hit"] and clean.count() == sum(not r.contaminated for r in found.values())
+
+
+def shingles(t, k):
+    w = SPACE.findall(lower(t or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates(spark, texts, k):
+    sets = {i: shingles(t, k) for i, t in texts}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            x, y = sets[a], sets[b]
+            if a < b and x and y and 100 * len(x & y) >= 80 * len(x | y):
+                p, q = root(a), root(b)
+                parent[max(p, q)] = min(p, q)
+    out = {r.doc_id: r for r in minhash.near_duplicates(docs(spark, [*texts, (None, "a b c")]), shingle=k).collect()}
+    assert (out[None].component_id, out[None].kept) == (None, True)
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in out.items() if i is not None} == {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
+    left = minhash.keep_one(docs(spark, texts), shingle=k)
+    assert {r.doc_id for r in left.collect()} == {i for i in sets if root(i) == i} and left.columns == ["doc_id", "text", "found", "start", "hit"]
+
+
+def test_near_duplicates_of_a_broken_up_group(spark):
+    """Copies at all distances: buckets with several components are compared until none is left open."""
+    rng = np.random.default_rng(2)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for j in rng.choice(80, rng.integers(1, 14), replace=False):
+            w[j] = f"x{i}-{j}"
+        rows.append((i, " ".join(w)))
+    sets = {i: shingles(t, 2) for i, t in rows}
+    parent = {i: i for i in sets}
+    root = lambda i: i if parent[i] == i else root(parent[i])
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                p, q = root(a), root(b)
+                parent[max(p, q)] = min(p, q)
+    out = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows), shingle=2).collect()}
+    assert out == {i: root(i) for i in sets}
+
+
+def test_components_of_a_path(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51), (51, 50), (7, 7)], "u long, v long")
+    out = {r.node: r.component for r in components.components(links, work.Workspace(spark, "test")).collect()}
+    assert out == {**dict.fromkeys(range(31), 0), 50: 50, 51: 50}
+
+
+@pytest.mark.parametrize("hot", [1, 50_000])
+def test_repeated_passages(spark, texts, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    first, gone = {}, {}
+    for i, t in texts:
+        w = SPACE.findall(t or "")
+        gone[i] = set()
+        for a in range(len(w) - 12):
+            if first.setdefault(tuple(w[a : a + 13]), i) < i:
+                gone[i].update(range(a, a + 13))
+    out = {r.doc_id: r for r in substrings.drop_repeated_passages(docs(spark, [*texts, (None, texts[64][1])])).collect()}
+    assert out[None]["__removed"] == 0
+    for i, t in texts:
+        w = SPACE.findall(t or "")
+        kept = " ".join(x for a, x in enumerate(w) if a not in gone[i])
+        assert (out[i]["__words"], out[i]["__removed"], out[i]["__kept"], out[i].hit) == (len(w), len(gone[i]), kept, "h")
+
+
+@pytest.mark.parametrize("hot", [1, 50_000])
+def test_repeated_bytes(spark, texts, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rows = [*texts, (None, texts[1][1]), (70, "ab" * 400), (71, "é" * 150)]
+    times = {}
+    for _, t in rows:
+        b = (t or "").encode()
+        for a in range(len(b) - 99):
+            times[b[a : a + 100]] = times.get(b[a : a + 100], 0) + 1
+    out = {r.doc_id: r for r in suffixes.drop_repeated_bytes(docs(spark, rows), length=100, gram=24).collect()}
+    for i, t in rows:
+        b = (t or "").encode()
+        hit = np.zeros(len(b) + 1, bool)
+        for a in range(len(b) - 99):
+            if times[b[a : a + 100]] > 1:
+                hit[a : a + 100] = True
+        r = out[i]
+        spans = int((np.diff(np.concatenate([[0], hit.astype(int)])) == 1).sum())
+        assert (r["__bytes"], r["__removed"], r["__spans"], bytes(r["__kept"])) == (len(b), hit.sum(), spans, bytes(x for a, x in enumerate(b) if not hit[a]))
+
+
+def test_repeated_lines(spark):
+    rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny"), (3, None), (4, ""), (5, "a\nb"), (6, "q\nq\nq\nq\nq"), (None, "a\nb\nc"), (7, "b\nc\nd\n")]
+    out = {r.doc_id: (r.text, r["__lines"], r["__removed"]) for r in lines.drop_repeated_lines(docs(spark, rows)).collect()}
+    assert out == {1: ("a\nb\nc\nd", 4, 0), 2: ("x\ny", 5, 3), 3: (None, 0, 0), 4: ("", 1, 0), 5: ("a\nb", 2, 0), 6: ("q", 5, 4), None: ("a\nb\nc", 3, 0), 7: ("", 4, 3)}
+
+
+def test_surrogates(spark):
+    text = "Mrs Anna Lee <anna.lee@mail.example.org>, +1 (743) 555-3824, 10.0.0.255, 4111 1111 1111 1111, token=24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [(1, text), (2, f"again {text}"), (3, None), (4, ""), (5, "plain 12 words"), (6, "ANNA.LEE@MAIL.EXAMPLE.ORG +1-743-555-3824"), (7, "10.0.0.254 10.0.0.255")]
+    out = {r.doc_id: r for r in pii.replace_entities(docs(spark, rows), "secret1").collect()}
+    assert out[2].text == f"again {out[1].text}" and out[5].text == "plain 12 words" and out[3].text is None and out[4].text == ""
+    assert len(out[1]["__entities"]) == 6 and not any(e in out[1].text for e in out[1]["__entities"])
+    assert re.fullmatch(r"Mrs [A-Z][a-z]{3} [A-Z][a-z]{2} <[a-z]{4}\.[a-z]{3}@[a-z]{4}\.[a-z]{7}\.org>, \+1 \(\d{3}\) \d{3}-\d{4}, [\d.]+, \d{4} \d{4} \d{4} \d{4}, token=[0-9a-f]{40}", out[1].text)
+    assert out[6].text.split()[0].lower() in out[1].text and re.sub(r"\D", "", out[6].text) in re.sub(r"\D", "", out[1].text)
+    assert all(int(x) < 256 for a in out[7].text.split() for x in a.split(".")) and len(set(out[7].text.split())) == 2
+    assert out[7].text.split()[1] in out[1].text
+    audit = pii.audit(docs(spark, rows), "secret1").first()
+    assert audit.collisions == 0 and audit.n_unchanged == 0 and audit.n_distinct == audit.n_surrogates
+
+
+def test_quality_keeps_clean_and_drops_bad_documents(spark):
+    rng = np.random.default_rng(0)
+    good, bad, text, labels = [f"word{i}" for i in range(300)], ["vile", "nasty", "awful"], [], []
+    for i in range(600):
+        w = list(rng.choice(good, 40))
+        if i % 4 == 0:
+            for j in rng.choice(40, 3, replace=False):
+                w[j] = rng.choice(bad) + rng.choice(["er", "ing", "s"])
+        text.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    kept = {r.doc_id for r in quality.resample(docs(spark, [*text, (600, None)]), spark.createDataFrame([x for x in labels if x[0] % 3], "doc_id long, quality int, toxic int")).collect()}
+    held = [i for i in range(600) if i % 3 == 0]
+    assert all(i in kept for i in held if i % 4) and not any(i in kept for i in held if i % 4 == 0) and 600 in kept
+
+
+def test_threshold_takes_exactly_k(spark):
+    keys = spark.createDataFrame([(float(x),) for x in np.random.default_rng(0).normal(size=5000)], "key double")
+    for k in (1, 17, 2500, 5000):
+        assert keys.where(F.col("key") >= quality._threshold(keys, k)).count() == k
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 16))
+    x[100:140] = x[100]  # ties
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (750, [0.0] * 16), (800, [float("nan")] * 16), (850, [1.0] * 3), (None, x[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.nearest(df, df.where("vec_id % 50 = 0"), pivots=64, prefix=24, shard=128, least=64)
+    got = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == set(range(0, 600, 50))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q, found in got.items():
+        s = unit @ unit[q]
+        s[q] = -9
+        best = sorted(range(600), key=lambda i: (-round(s[i], 12), i))[:5]
+        hit += len({v for v, _ in found} & set(best))
+        assert len(found) == 5 and all(a[1] > b[1] or (a[1] == b[1] and a[0] < b[0]) for a, b in zip(found, found[1:]))
+        assert [v[1] for v in found] == pytest.approx([s[v] for v, _ in found])
+    assert hit >= 0.9 * 5 * len(got) and [v for v, _ in got[100]] == [101, 102, 103, 104, 105]
+    few = df.where("vec_id < 3")
+    assert ann.nearest(few, few).count() == 6
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, name):
+    assert_equal(spark, queries.QUERIES[name], queries.ORACLES[name])
+
+
+def test_digests(spark):
+    """The registered digests of op4 and op8 against a plain computation."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    out = {r.doc_id: r for r in queries.op4_substring_dedup(spark, SF).collect()}
+    first = {}
+    for r in rows:
+        w, gone = SPACE.findall(r.text), set()
+        for a in range(len(w) - 12):
+            if first.setdefault(tuple(w[a : a + 13]), r.doc_id) < r.doc_id:
+                gone.update(range(a, a + 13))
+        kept = " ".join(x for a, x in enumerate(w) if a not in gone)
+        assert (out[r.doc_id].n_removed, out[r.doc_id].kept_sha256) == (len(gone), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs_table = spark.read.parquet(f"{SF}/documents.parquet")
+    left = docs_table
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, SF)
+        assert left.columns == docs_table.columns, name
+    kept = {r.doc_id for r in left.select("doc_id").collect()}
+    packed = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()}
+    assert packed == kept and 0 < len(kept) < docs_table.count()
