@@ -5,13 +5,13 @@ with the smallest hash; equal windows have equal key grams, and consecutive wind
 sequence of runs of windows with one key gram each. Shards are made by key gram, so all occurrences of a window meet in
 one shard, and only runs whose key gram occurs elsewhere too are sent there at all:
 
-1. every text's runs (key gram, text, place) are counted by key gram, with partial aggregation;
+1. every text's runs (key gram, text, places) are counted by key gram, with partial aggregation;
 2. runs with a repeated key gram are joined back to their texts, which give the *segments*: the symbols of a run;
 3. equal segments are merged (with how many there are, and the smallest id), so copies cost no more than one;
 4. each shard of segments is indexed - by the caller - and tells of each segment's windows which ones repeat;
 5. that is joined back to the runs, and to the texts.
 
-A key gram with over ``HOT`` runs is split into its single windows, each of which goes to a shard by its own content, so that no
+A text's equal runs and segments are one row. A key gram of over ``HOT`` texts is split into its single windows, each of which goes to a shard by its own content, so that no
 frequent passage with ever new surroundings gathers in one task.
 """
 
@@ -29,8 +29,9 @@ from pyspark.sql import types as T
 from . import kernels
 from .work import Workspace, map_arrow, tasks
 
-HOT = 2048
-#: Bytes of distinct segments in one shard.
+#: Texts whose segments of one key gram may meet in a task: so many times a segment's few hundred bytes.
+HOT = 50_000
+#: Bytes of segments in one task; an index takes some sixty times as much memory while it is built.
 SHARD_BYTES = 16 << 20
 _LONG = T.LongType()
 
@@ -82,37 +83,52 @@ def _runs(scheme: Scheme, symbols: np.ndarray, first: np.ndarray) -> tuple[np.nd
 
 
 def _places(scheme: Scheme, docs: DataFrame) -> DataFrame:
-    """(gram, key, place) of every run of rows (key, text); place packs first window and number of windows."""
-    names = ["gram", "key", "place"]
+    """(gram, key, places) of rows (key, text): a text's key grams, each with the runs that have it; a place packs a run's first
+    window and number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in kernels.text_slices(batch):
                 symbols, first = scheme.symbols(data, offsets)
                 text, start, count, gram = _runs(scheme, symbols, first)
-                keys = batch.column("key").slice(low, high - low).take(pa.array(text))
-                place = (start - first[text]) << 10 | count
-                yield pa.RecordBatch.from_arrays([pa.array(kernels.signed(gram)), keys, pa.array(place)], names)
+                order = np.lexsort((gram, text))
+                text, gram, place = text[order], gram[order], ((start - first[text]) << 10 | count)[order]
+                new, bounds = _groups(text, gram)
+                keys = batch.column("key").slice(low, high - low).take(pa.array(text[new]))
+                yield pa.RecordBatch.from_arrays([pa.array(kernels.signed(gram[new])), keys, pa.ListArray.from_arrays(bounds, pa.array(place))], ["gram", "key", "places"])
 
-    return map_arrow(docs, run, T.StructType([T.StructField(n, _LONG) for n in names]))
+    return map_arrow(docs, run, T.StructType([T.StructField("gram", _LONG), T.StructField("key", _LONG), T.StructField("places", T.ArrayType(_LONG))]))
+
+
+def _groups(*columns: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Where groups of equal rows begin in sorted columns, and that as offsets of lists."""
+    n = len(columns[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    begin = np.flatnonzero(new)
+    return begin, pa.array(np.append(begin, n), pa.int32())
 
 
 def _segments(scheme: Scheme, docs: DataFrame) -> DataFrame:
-    """(shard, segment, key, at, symbols) of the runs listed in ``runs`` of rows (key, text, runs).
+    """(shard, segment, key, at, symbols) of the runs listed in ``runs`` of rows (key, text, runs): a text's distinct segments, with all
+    places of each.
 
-    A run is listed as a struct of gram and place; the sign of the place tells a hot one, whose windows go one by one."""
+    ``runs`` has structs of gram, hot and places; the windows of a hot run go one by one."""
     names = ["shard", "segment", "key", "at", "symbols"]
-    schema = T.StructType([*(T.StructField(n, _LONG) for n in names[:-1]), T.StructField("symbols", T.BinaryType())])
+    schema = T.StructType([*(T.StructField(n, _LONG) for n in names[:3]), T.StructField("at", T.ArrayType(_LONG)), T.StructField("symbols", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in kernels.text_slices(batch):
                 symbols, first = scheme.symbols(data, offsets)
                 listed = batch.column("runs").slice(low, high - low)
-                owner = np.repeat(np.arange(high - low), np.diff(np.asarray(listed.offsets)))
+                lengths = listed.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 fields = listed.flatten()
-                gram, place = fields.field("gram").to_numpy(), fields.field("place").to_numpy()
-                hot, place = place < 0, np.abs(place)
+                many = fields.field("places").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                place = fields.field("places").flatten().to_numpy()
+                owner = np.repeat(np.repeat(np.arange(high - low), lengths), many)
+                gram, hot = np.repeat(fields.field("gram").to_numpy(), many), np.repeat(fields.field("hot").to_numpy(zero_copy_only=False), many)
                 at, count = place >> 10, place & 1023
                 # a row whose text is not the one that was counted (ids that aren't unique) has no such windows
                 fits = at + count + scheme.length - 1 <= np.diff(first)[owner]
@@ -120,18 +136,21 @@ def _segments(scheme: Scheme, docs: DataFrame) -> DataFrame:
                 each = np.where(hot, count, 1)
                 index = np.repeat(np.arange(len(each)), each)
                 at = at[index] + np.where(hot[index], kernels.ranges(each), 0)
-                count = np.where(hot, 1, count)[index]
-                owner, gram, hot = owner[index], gram[index], hot[index]
+                owner, gram, hot, count = owner[index], gram[index], hot[index], np.where(hot, 1, count)[index]
                 stored = np.ascontiguousarray(scheme.stored(symbols), scheme.dtype).view(np.uint8)
                 width = scheme.dtype.itemsize
                 start = (first[owner] + at) * width
                 stop = start + (count + scheme.length - 1) * width
                 segment = kernels.span_hash(stored, start, stop)
                 shard = np.where(hot, kernels.mix(segment + np.uint64(77)), kernels.mix(gram.view(np.uint64)))
-                keys = batch.column("key").slice(low, high - low).take(pa.array(owner))
+                order = np.lexsort((segment, shard, owner))
+                owner, shard, segment, at, start, stop = (x[order] for x in (owner, shard, segment, at, start, stop))
+                new, bounds = _groups(owner, shard, segment)
+                keys = batch.column("key").slice(low, high - low).take(pa.array(owner[new]))
                 blob = stored.tobytes()
-                blobs = pa.array([blob[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(kernels.signed(shard)), pa.array(kernels.signed(segment)), keys, pa.array(at), blobs], names)
+                blobs = pa.array([blob[a:b] for a, b in zip(start[new].tolist(), stop[new].tolist(), strict=True)], pa.binary())
+                columns = [pa.array(kernels.signed(shard[new])), pa.array(kernels.signed(segment[new])), keys, pa.ListArray.from_arrays(bounds, pa.array(at)), blobs]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return map_arrow(docs, run, schema)
 
@@ -164,28 +183,30 @@ def _indexed(scheme: Scheme, distinct: DataFrame, index: Indexer) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, scheme: Scheme, across: bool, index: Indexer, said: Callable[[str, str], F.Column], work: Workspace) -> DataFrame:
-    """(key, found) for each key of (key, text) with windows that go: ``found`` lists structs of the first window ``at`` and ``hit``, a
-    flag of each window from there.
+    """(key, found) for each key of (key, text) with windows that go: ``found`` lists structs of first windows ``at`` and ``hit``, a
+    flag of each window from any of them.
 
     across: a key gram counts as repeated only if two keys have it, otherwise if it occurs twice. said(value, key) tells from what the
     index says of a window, and the key, if it goes.
     """
     spark = docs.sparkSession
     places = work.save(_places(scheme, docs))
-    counted = places.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))
-    again = counted.where("low < high" if across else "n > 1").select("gram", (F.col("n") > HOT).alias("hot"))
-    runs = places.join(again, "gram").select("key", F.struct("gram", F.when(F.col("hot"), -F.col("place")).otherwise(F.col("place")).alias("place")).alias("run"))
+    counted = places.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("texts"), F.sum(F.size("places")).alias("n"))
+    again = counted.where("low < high" if across else "n > 1").select("gram", (F.col("texts") > HOT).alias("hot"))
+    runs = places.join(again, "gram").select("key", F.struct("gram", "hot", "places").alias("run"))
     listed = work.save(runs.groupBy("key").agg(F.collect_list("run").alias("runs")))
-    work.drop(places)
+    work.drop(places, shuffles=True)
     segments = work.save(_segments(scheme, docs.join(listed, "key")))
-    work.drop(listed)
+    work.drop(listed, shuffles=True)
     size = segments.agg(F.sum(F.octet_length("symbols"))).first()[0] or 0
-    distinct = segments.groupBy("shard", "segment").agg(F.min("key").alias("low"), F.count("*").alias("n"), F.first("symbols").alias("symbols"))
+    distinct = segments.groupBy("shard", "segment").agg(F.min("key").alias("low"), F.sum(F.size("at")).alias("n"), F.first("symbols").alias("symbols"))
     shards = distinct.repartition(tasks(spark, size, SHARD_BYTES), "shard")
     known = work.save(_indexed(scheme, shards, index))
     hits = segments.select("shard", "segment", "key", "at").join(known, ["shard", "segment"])
     hits = hits.select("key", "at", F.transform("windows", lambda v: said(v, F.col("key"))).alias("hit")).where(F.exists("hit", lambda h: h))
-    return work.save(hits.groupBy("key").agg(F.collect_list(F.struct("at", "hit")).alias("found")))
+    found = work.save(hits.groupBy("key").agg(F.collect_list(F.struct("at", "hit")).alias("found")))
+    work.drop(segments, known, shuffles=True)
+    return found
 
 
 def joined_segments(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,12 +224,17 @@ def joined_segments(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, l
 def hit_symbols(found: pa.ListArray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Which symbols lie in a window that goes, text after text, and where each text's begin. found: of each text a list or null."""
     first = np.concatenate([[0], np.cumsum(sizes)])
-    filled = found.fill_null([]) if found.null_count else found
-    owner = np.repeat(np.arange(len(filled)), filled.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-    runs = filled.flatten()
-    at, hits = runs.field("at").to_numpy(), runs.field("hit")
-    count = hits.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    window = np.repeat(first[owner] + at, count) + kernels.ranges(count)
+    count = lambda lists: lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    runs = found.flatten()
+    owner = np.repeat(np.arange(len(found)), count(found))
+    places, hits = runs.field("at"), runs.field("hit")
+    many, windows = count(places), count(hits)
     goes = hits.flatten().to_numpy(zero_copy_only=False).astype(bool)
-    inside = window + length <= np.repeat(first[owner + 1], count)  # always so where keys are unique
+    begin = np.cumsum(windows) - windows  # of each run's flags
+    run = np.repeat(np.arange(len(many)), many)
+    each = windows[run]
+    start = np.repeat(first[owner[run]] + places.flatten().to_numpy(), each)
+    step = kernels.ranges(each)
+    window, goes = start + step, goes[np.repeat(begin[run], each) + step]
+    inside = window + length <= np.repeat(first[owner[run] + 1], each)  # always so where keys are unique
     return kernels.cover(int(first[-1]), window[goes & inside], length), first
