@@ -32,7 +32,7 @@ from .work import Workspace, map_arrow, tasks
 #: Texts whose segments of one key gram may meet in a task: so many times a segment's few hundred bytes.
 HOT = 50_000
 #: Bytes of segments in one task; an index takes some sixty times as much memory while it is built.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 _LONG = T.LongType()
 
 
