@@ -202,6 +202,7 @@ def repeated_windows(docs: DataFrame, scheme: Scheme, across: bool, index: Index
     distinct = segments.groupBy("shard", "segment").agg(F.min("key").alias("low"), F.sum(F.size("at")).alias("n"), F.first("symbols").alias("symbols"))
     shards = distinct.repartition(tasks(spark, size, SHARD_BYTES), "shard")
     known = work.save(_indexed(scheme, shards, index))
+    work.release()
     hits = segments.select("shard", "segment", "key", "at").join(known, ["shard", "segment"])
     hits = hits.select("key", "at", F.transform("windows", lambda v: said(v, F.col("key"))).alias("hit")).where(F.exists("hit", lambda h: h))
     found = work.save(hits.groupBy("key").agg(F.collect_list(F.struct("at", "hit")).alias("found")))

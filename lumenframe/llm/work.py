@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -53,13 +55,22 @@ class Workspace:
         return out
 
     def drop(self, *tables: DataFrame, shuffles: bool = False) -> None:
-        """Delete saved tables that nothing reads any more; ``shuffles``: let Spark also drop large shuffle files that are out of use."""
+        """Delete saved tables that nothing reads any more; ``shuffles``: also release()."""
         jvm = self.spark.sparkContext._jvm
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(table._saved_at)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         if shuffles:
-            jvm.System.gc()
+            self.release()
+
+    def release(self) -> None:
+        """Let Spark delete large shuffle files that are out of use, instead of when the driver happens to collect its garbage.
+
+        Python's objects go first; theirs in the JVM are let go of by another thread, so a second collection finds them."""
+        gc.collect()
+        for _ in range(2):
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
 
 
 def tasks(spark: SparkSession, size: int, each: int) -> int:
