@@ -6,11 +6,20 @@ that a hash of the key, the type and the characters before it gives. So equal en
 document without a dictionary, different entities of a type get different ones (whoever has the key can read them
 back, character by character), and no shuffle is needed. ``audit`` checks both on real data.
 
-The same expressions can be written in Spark's SQL and in DuckDB's, which the tests compare.
+An entity that all amounts leave as it is has its last letter or digit moved by another keyed amount that is never 0. Such
+entities stay among themselves under that step, so no two surrogates meet.
+
+The same expressions can be written in Spark's SQL and in DuckDB's, which the tests compare; only the step for entities
+that would stay as they are is not in DuckDB's.
 """
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,13 +104,29 @@ def _classes(kind: str) -> list[str]:
     return [DIGITS, *lower, *(c.upper() for c in lower)]
 
 
-def _cipher(d: Dialect, kind: str, key: str, e: str, low: str, high: str) -> str:
-    """The entity ``e`` with the characters after ``low`` and up to ``high`` moved within their classes."""
+@functools.cache
+def _other_letters() -> list[str]:
+    """The letters of no class above, by script and case; those of scripts with one such letter together."""
+    known = {c for s in _classes("person") for c in s}
+    groups: dict[tuple[str, str], str] = defaultdict(str)
+    for c in map(chr, range(sys.maxunicode + 1)):
+        case = unicodedata.category(c)
+        if case in ("Ll", "Lu") and c not in known:
+            groups[unicodedata.name(c).split()[0], case] += c
+    single = {case: "".join(s for (_, k), s in groups.items() if k == case and len(s) == 1) for case in ("Ll", "Lu")}
+    return [s for s in [*groups.values(), *single.values()] if len(s) > 1]
+
+
+def _cipher(d: Dialect, kind: str, key: str, e: str, low: str, high: str, stay: bool = True) -> str:
+    """The entity ``e`` with the characters after ``low`` and up to ``high`` moved within their classes, by an amount that isn't 0
+    unless they may ``stay``."""
     before = f"substr({e}, 1, cast(i as int) - 1)"
     known = d.digits(before) if kind in ("phone", "number") else f"lower({before})"
-    shift = d.hash(f"concat('{key}', '{kind}:', {known})")
+    shift = d.hash(f"concat('{key}', '{kind}{'' if stay else ' again'}:', {known})")
     c = f"substr({e}, cast(i as int), 1)"
-    cases = " ".join(f"when instr('{s}', {c}) > 0 then substr('{s}', cast((instr('{s}', {c}) - 1 + {shift}) % {len(s)} as int) + 1, 1)" for s in _classes(kind))
+    classes = _classes(kind) + (_other_letters() if kind == "person" and not stay else [])
+    by = {s: shift if stay else f"1 + {shift} % {len(s) - 1}" for s in classes}
+    cases = " ".join(f"when instr('{s}', {c}) > 0 then substr('{s}', cast((instr('{s}', {c}) - 1 + {by[s]}) % {len(s)} as int) + 1, 1)" for s in classes)
     one = f"case when i <= {low} or i > {high} then {c} {cases} else {c} end"
     return d.join(d.transform(d.numbers(f"length({e})"), "i", one))
 
@@ -125,9 +150,38 @@ def surrogate(d: Dialect, key: str, e: str) -> str:
     return "case " + " ".join(f"when {test} then {new}" for test, new in kinds) + f" else {_cipher(d, 'number', key, e, '0', whole)} end"
 
 
+def _moved_on(d: Dialect, key: str, e: str) -> str:
+    """The expression for an entity that ``surrogate`` leaves as it is: its last letter or digit moved, in Spark's SQL. That before
+    an e-mail address's last label counts, and in that label if there is no other; without any the entity stays."""
+    octets = d.transform(d.numbers("4"), "i", d.part(e, "i"))
+    last = f"cast(({d.int(d.part(e, '4'))} + 1 + {d.hash(f"concat('{key}', 'ip again:', {d.join(f'slice({octets}, 1, 3)', '.')})")} % 255) % 256 as string)"
+
+    def moved(kind: str, high: str = f"length({e})") -> str:
+        letter = {"person": r"\p{L}", "email": "[0-9A-Za-z]", "secret": "[0-9A-Za-z]"}.get(kind, "[0-9]")
+        place = lambda text: f"length({d.extract(text, f'(?s)^.*{letter}')})"
+        places = f"array(coalesce(nullif({place(f'substr({e}, 1, {high})')}, 0), {place(e)}))"
+        return d.item(d.transform(places, "p", _cipher(d, kind, key, e, "p - 1", "p", stay=False)), "1")
+
+    kinds = [
+        (d.matches(e, "@"), moved("email", f"length({e}) - length({d.extract(e, '[.][A-Za-z0-9-]+$')})")),
+        (d.matches(e, f"^{_TITLE}"), moved("person", f"length({e}) - 1")),
+        (d.matches(e, f"^{PATTERNS['ip']}$"), d.join(f"concat(slice({octets}, 1, 3), array({last}))", ".")),
+        (d.matches(e, f"^(?:{PATTERNS['secret']})$"), moved("secret")),
+        (d.matches(e, f"^(?:{PATTERNS['phone']})$"), moved("phone")),
+    ]
+    return "case " + " ".join(f"when {test} then {new}" for test, new in kinds) + f" else {moved('number')} end"
+
+
+def other(d: Dialect, key: str, e: str) -> str:
+    """The expression of an entity's surrogate, in Spark's SQL never the entity itself."""
+    if d.duckdb:
+        return surrogate(d, key, e)
+    return d.item(d.transform(f"array({surrogate(d, key, e)})", "s", f"case when s = {e} then {_moved_on(d, key, e)} else s end"), "1")
+
+
 def replaced(d: Dialect, key: str, gaps: str, entities: str) -> str:
     """The text again from its gaps and the surrogates of the entities between them."""
-    changed = d.transform(entities, "e", surrogate(d, key, "e"))
+    changed = d.transform(entities, "e", other(d, key, "e"))
     if d.duckdb:
         return d.join(d.transform(d.numbers(f"len({gaps})"), "n", f"{gaps}[n] || coalesce(({changed})[n], '')"))
     return d.join(f"zip_with({gaps}, concat({changed}, array('')), (g, s) -> concat(g, s))")
@@ -145,7 +199,7 @@ def replace_entities(df: DataFrame, key: str, text_col: str = "text") -> DataFra
         raise ValueError("the key must be letters and digits")
     d = Dialect(duckdb=False)
     text = f"cast(`{text_col}` as string)"
-    could = d.matches(text, f"[0-9@]|{_TITLE}|AKIA|gh[pousr]_|sk-")
+    could = d.matches(text, f"[0-9@]|{_TITLE}|[A-Fa-f]{{32}}|AKIA|gh[pousr]_|sk-")
     found = df.withColumn("__entities", F.expr(f"coalesce(case when {could} then {d.extract_all(text, ENTITY)} end, cast(array() as array<string>))"))
     new = f"case when size(__entities) = 0 then {text} else {replaced(d, key, d.split(text, ENTITY), '__entities')} end"
     return found.withColumn(text_col, F.expr(new))
@@ -156,7 +210,7 @@ def audit(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     a surrogate of another; 0 is right). Entities are counted by (entity) with partial aggregation first."""
     d = Dialect(duckdb=False)
     rows = df.select(F.explode(F.expr(d.extract_all(f"cast(`{text_col}` as string)", ENTITY))).alias("e"))
-    rows = rows.groupBy("e").agg(F.count("*").alias("n")).withColumn("s", F.expr(surrogate(d, key, "e")))
+    rows = rows.groupBy("e").agg(F.count("*").alias("n")).withColumn("s", F.expr(other(d, key, "e")))
     by_surrogate = rows.groupBy("s").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.when(F.col("e") == F.col("s"), 1).otherwise(0)).alias("same"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return by_surrogate.agg(

@@ -269,6 +269,22 @@ def test_surrogates(spark):
     assert audit.collisions == 0 and audit.n_unchanged == 0 and audit.n_distinct == audit.n_surrogates
 
 
+def test_no_surrogate_is_its_entity(spark):
+    consonants, vowels = "bcdfghjklmnpqrstvwxz", "aeiouy"
+    names = [(c + v).capitalize() for c in consonants + vowels for v in vowels] + ["Ng", "Łę", "Ææ", "Ђђ", "Ёё", "Աբ", "Øß"]
+    found = [f"{t} {n}" for t in ("Mrs.", "Frau.", "Ms", "Herr", "Sra") for n in names] + ["deadbeef" * 4, "AbCdEf" * 6, "_@-.com"]
+    d, made = pii.Dialect(duckdb=False), [*found, "1.2.3.4", "1.2.3.5", "+1 (555) 123-4567", "1234 5678 9012 3456", "123-45-6789", "AKIA" + "A1" * 8, "a@b.org"]
+    out = {r.doc_id: r for r in pii.replace_entities(docs(spark, list(enumerate(found))), "example").collect()}
+    assert all(out[i]["__entities"] == [e] and out[i].text != e for i, e in enumerate(found))
+    assert len({r.text for r in out.values()}) == len(found)
+    assert all(out[i].text.split()[0] == e.split()[0] and out[i].text.istitle() for i, e in enumerate(found) if " " in e)
+    again = [r.s for r in spark.createDataFrame([(e,) for e in made], "e string").select(F.expr(pii._moved_on(d, "example", "e")).alias("s")).collect()]
+    assert all(s != e and len(s) == len(e) for e, s in zip(made, again, strict=True) if "." not in e) and all(s != e for e, s in zip(made, again, strict=True))
+    assert len(set(again)) == len(made)
+    audit = pii.audit(docs(spark, list(enumerate(found))), "example").first()
+    assert audit.n_unchanged == 0 and audit.collisions == 0
+
+
 def test_quality_keeps_clean_and_drops_bad_documents(spark):
     rng = np.random.default_rng(0)
     good, bad, text, labels = [f"word{i}" for i in range(300)], ["vile", "nasty", "awful"], [], []
