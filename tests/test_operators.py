@@ -121,6 +121,29 @@ def test_communities(spark, most_local):
     assert community.modularity(edges, found) > 0.4
 
 
+def _stuck(edges, labels):
+    """Whether no node gains by a move to a neighbour's community."""
+    return community._wishes(edges, labels, 1.0).where("own <> to").isEmpty()
+
+
+def test_joins_go_on_until_no_node_moves(spark):
+    rng = np.random.default_rng(2)
+    pairs = {(i, j) for i in range(150) for j in rng.choice(150, 3) if i < j} | {(i, i + 1) for i in range(149)}
+    edges = spark.createDataFrame([x for i, j in pairs for x in ((int(i), int(j), 1.0), (int(j), int(i), 1.0))], "src long, dst long, w double").cache()
+    nodes = spark.range(150).withColumnRenamed("id", "n")
+    far, near = (community.communities(edges, nodes, "n", most_local=m) for m in (0, 10_000))
+    groups = edges.join(far.toDF("src", "a"), "src").join(far.toDF("dst", "b"), "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
+    assert _stuck(groups, groups.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct())
+    assert community.modularity(edges, far) > community.modularity(edges, near) - 0.03
+
+
+def test_long_communities_stay_whole(spark):
+    path = spark.range(300).selectExpr("id as src", "id + 1 as dst", "1.0D as w")
+    edges = path.unionAll(path.selectExpr("dst as src", "src as dst", "w")).where("src <> 199 or dst <> 200").where("src <> 200 or dst <> 199")
+    parts = community._connected(edges, spark.range(301).selectExpr("id as node", "7L as community"))
+    assert {r.community: r["count"] for r in parts.groupBy("community").count().collect()} == {0: 200, 200: 101}
+
+
 def test_resolutions():
     for low, high, step in ((0.1, 0.4, 0.1), (0.5, 2.0, 0.25), (1.0, 1.0, 0.1)):
         assert community.resolutions(low, high, step) == [round(float(x), 2) for x in np.arange(low, high, step)]
