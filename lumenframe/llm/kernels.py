@@ -112,10 +112,10 @@ def low_bytes(n: int) -> np.uint64:
     return _MASKS[n]
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each span of bytes, never 0 or 1 (callers use these as separators)."""
     words, length = _loads(data), (ends - starts).astype(np.int64)
-    out = mix(length.astype(U64) * _GOLD)
+    out = mix((length.astype(U64) + U64(seed << 40)) * _GOLD)
     active, at, left = np.arange(len(starts)), starts.astype(np.int64), length
     while len(active):
         more = left > 0
@@ -171,6 +171,15 @@ def ranges(lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans one after another, each followed by a space, and where each begins there (and the end)."""
+    size = ends - starts + 1
+    bound = np.concatenate([[0], np.cumsum(size)])
+    out = np.append(data, np.uint8(0x20))[np.repeat(starts, size) + ranges(size)]
+    out[bound[1:] - 1] = 0x20
+    return out, bound
+
+
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of true."""
     edges = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))

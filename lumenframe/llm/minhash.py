@@ -181,7 +181,7 @@ def _components_of(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int
 
     first = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("m"))
     stars = work.save(members.join(first, "key").where("node <> centre").select("centre", "m", "node", "n").distinct())
-    work.drop(members, shuffles=True)
+    work.drop(members)
     label = _merged(label, _compared(stars, sets, percent, work), work)
     return _merged(label, _crossed(stars, sets, label, percent, work), work)
 

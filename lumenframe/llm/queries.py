@@ -41,7 +41,7 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.drop_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("__words").alias("n_words"), F.col("__removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +60,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.drop_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    n = [F.col(f"__{c}").alias(f"n_{c}") for c in ("bytes", "removed", "spans")]
-    return out.select("doc_id", *n, F.sha2("__kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,15 @@ sequence of runs of windows with one key gram each. Shards are made by key gram,
 one shard, and only runs whose key gram occurs elsewhere too are sent there at all:
 
 1. every text's runs (key gram, text, places) are counted by key gram, with partial aggregation;
-2. runs with a repeated key gram are joined back to their texts, which give the *segments*: the symbols of a run;
+2. runs with a repeated key gram are joined back to their texts, which give the *segments*: the bytes of a run;
 3. equal segments are merged (with how many there are, and the smallest id), so copies cost no more than one;
-4. each shard of segments is indexed - by the caller - and tells of each segment's windows which ones repeat;
+4. each shard of distinct segments is indexed - by the caller - and tells of each segment's windows what its occurrences are;
 5. that is joined back to the runs, and to the texts.
 
-A text's equal runs and segments are one row. A key gram of over ``HOT`` texts is split into its single windows, each of which goes to a shard by its own content, so that no
-frequent passage with ever new surroundings gathers in one task.
+Hashes of grams only bring together what may be equal; an index compares the segments' own bytes. Equal segments are known by 128 bits of
+hash. A shard of more than ``SPLIT`` distinct segments - a frequent passage with ever new surroundings - is not indexed: its segments'
+single windows are counted by 128 bits of hash, so no task holds such a shard. Joins on key grams and segments let no frequent key
+gather in a task either.
 """
 
 from __future__ import annotations
@@ -27,13 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from .work import Workspace, map_arrow, tasks
+from .work import Workspace, join_by_size, map_arrow, split_by_size, tasks
 
-#: Texts whose segments of one key gram may meet in a task: so many times a segment's few hundred bytes.
-HOT = 50_000
+#: Distinct segments of a few hundred bytes that an index of one shard may hold.
+SPLIT = 2_000
 #: Bytes of segments in one task; an index takes some sixty times as much memory while it is built.
 SHARD_BYTES = 4 << 20
+#: Bits of a place that hold a run's number of windows.
+COUNT_BITS = 16
 _LONG = T.LongType()
+_LONGS = T.ArrayType(_LONG)
 
 
 @dataclass(frozen=True)
@@ -44,24 +49,33 @@ class Scheme:
     length: int
     gram: int
 
-    def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The symbols of a slice and the first one of each text (and their end)."""
+    def __post_init__(self) -> None:
+        if not 0 < self.gram <= self.length or self.length - self.gram >= 1 << COUNT_BITS:
+            raise ValueError(f"a gram of {self.gram} doesn't suit windows of {self.length}")
+        if not self.words and self.gram % 8:
+            raise ValueError("a gram of bytes is a multiple of 8")
+
+    @property
+    def key(self) -> T.DataType:
+        return _LONG if self.words else T.BinaryType()
+
+    def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a slice: hashes of its symbols (or the bytes), the first one of each text (and their end), bytes to cut segments
+        from, and where each symbol begins in these (and the end)."""
         if not self.words:
-            return data, offsets
+            return data, offsets, data, np.arange(len(data) + 1)
         starts, ends, text = kernels.spans(data, offsets, kernels.NON_SPACE)
-        return kernels.span_hash(data, starts, ends), np.searchsorted(text, np.arange(len(offsets)))
+        return kernels.span_hash(data, starts, ends), np.searchsorted(text, np.arange(len(offsets))), *kernels.joined(data, starts, ends)
+
+    def begins(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where each symbol of joined segments begins (and the end)."""
+        if not self.words:
+            return np.arange(len(data) + 1)
+        return np.concatenate([[0], np.flatnonzero(data == 0x20) + 1])
 
     def grams(self, symbols: np.ndarray) -> np.ndarray:
         return kernels.gram_hash(symbols, self.gram) if self.words else kernels.byte_gram_hash(symbols, self.gram)
 
-    def stored(self, symbols: np.ndarray) -> np.ndarray:
-        """Symbols as they are kept in segments: words by 32 bits of their hashes."""
-        return symbols.astype(np.uint32) if self.words else symbols
-
-    @property
-    def dtype(self) -> np.dtype:
-        return np.dtype("<u4") if self.words else np.dtype("u1")
-
 
 def _runs(scheme: Scheme, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each run: its text, first window (a position in the slice), number of windows, and key gram."""
@@ -89,15 +103,15 @@ def _places(scheme: Scheme, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in kernels.text_slices(batch):
-                symbols, first = scheme.symbols(data, offsets)
+                symbols, first, _, _ = scheme.symbols(data, offsets)
                 text, start, count, gram = _runs(scheme, symbols, first)
                 order = np.lexsort((gram, text))
-                text, gram, place = text[order], gram[order], ((start - first[text]) << 10 | count)[order]
+                text, gram, place = text[order], gram[order], ((start - first[text]) << COUNT_BITS | count)[order]
                 new, bounds = _groups(text, gram)
                 keys = batch.column("key").slice(low, high - low).take(pa.array(text[new]))
                 yield pa.RecordBatch.from_arrays([pa.array(kernels.signed(gram[new])), keys, pa.ListArray.from_arrays(bounds, pa.array(place))], ["gram", "key", "places"])
 
-    return map_arrow(docs, run, T.StructType([T.StructField("gram", _LONG), T.StructField("key", _LONG), T.StructField("places", T.ArrayType(_LONG))]))
+    return map_arrow(docs, run, T.StructType([T.StructField("gram", _LONG), T.StructField("key", scheme.key), T.StructField("places", _LONGS)]))
 
 
 def _groups(*columns: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -111,114 +125,152 @@ def _groups(*columns: np.ndarray) -> tuple[np.ndarray, pa.Array]:
 
 
 def _segments(scheme: Scheme, docs: DataFrame) -> DataFrame:
-    """(shard, segment, key, at, symbols) of the runs listed in ``runs`` of rows (key, text, runs): a text's distinct segments, with all
-    places of each.
-
-    ``runs`` has structs of gram, hot and places; the windows of a hot run go one by one."""
-    names = ["shard", "segment", "key", "at", "symbols"]
-    schema = T.StructType([*(T.StructField(n, _LONG) for n in names[:3]), T.StructField("at", T.ArrayType(_LONG)), T.StructField("symbols", T.BinaryType())])
+    """(shard, h, g, key, at, symbols) of the runs listed in ``runs`` of rows (key, text, runs): a text's distinct segments, known by 128
+    bits h and g, with all places of each, and their bytes (words each followed by a space)."""
+    names = ["shard", "h", "g", "key", "at", "symbols"]
+    types = [_LONG, _LONG, _LONG, scheme.key, _LONGS, T.BinaryType()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in kernels.text_slices(batch):
-                symbols, first = scheme.symbols(data, offsets)
+                _, first, raw, begins = scheme.symbols(data, offsets)
                 listed = batch.column("runs").slice(low, high - low)
                 lengths = listed.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 fields = listed.flatten()
                 many = fields.field("places").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 place = fields.field("places").flatten().to_numpy()
                 owner = np.repeat(np.repeat(np.arange(high - low), lengths), many)
-                gram, hot = np.repeat(fields.field("gram").to_numpy(), many), np.repeat(fields.field("hot").to_numpy(zero_copy_only=False), many)
-                at, count = place >> 10, place & 1023
-                # a row whose text is not the one that was counted (ids that aren't unique) has no such windows
+                gram = np.repeat(fields.field("gram").to_numpy(), many)
+                at, count = place >> COUNT_BITS, place & ((1 << COUNT_BITS) - 1)
+                # a row whose text is not the one that was counted (ids that aren't unique) may have no such windows
                 fits = at + count + scheme.length - 1 <= np.diff(first)[owner]
-                owner, gram, hot, at, count = (x[fits] for x in (owner, gram, hot, at, count))
-                each = np.where(hot, count, 1)
-                index = np.repeat(np.arange(len(each)), each)
-                at = at[index] + np.where(hot[index], kernels.ranges(each), 0)
-                owner, gram, hot, count = owner[index], gram[index], hot[index], np.where(hot, 1, count)[index]
-                stored = np.ascontiguousarray(scheme.stored(symbols), scheme.dtype).view(np.uint8)
-                width = scheme.dtype.itemsize
-                start = (first[owner] + at) * width
-                stop = start + (count + scheme.length - 1) * width
-                segment = kernels.span_hash(stored, start, stop)
-                shard = np.where(hot, kernels.mix(segment + np.uint64(77)), kernels.mix(gram.view(np.uint64)))
-                order = np.lexsort((segment, shard, owner))
-                owner, shard, segment, at, start, stop = (x[order] for x in (owner, shard, segment, at, start, stop))
-                new, bounds = _groups(owner, shard, segment)
+                owner, gram, at, count = (x[fits] for x in (owner, gram, at, count))
+                start, stop = begins[first[owner] + at], begins[first[owner] + at + count + scheme.length - 1]
+                h, g = kernels.span_hash(raw, start, stop), kernels.span_hash(raw, start, stop, 1)
+                order = np.lexsort((g, h, gram, owner))
+                owner, gram, h, g, at, start, stop = (x[order] for x in (owner, gram, h, g, at, start, stop))
+                new, bounds = _groups(owner, gram, h, g)
                 keys = batch.column("key").slice(low, high - low).take(pa.array(owner[new]))
-                blob = stored.tobytes()
+                blob = raw.tobytes()
                 blobs = pa.array([blob[a:b] for a, b in zip(start[new].tolist(), stop[new].tolist(), strict=True)], pa.binary())
-                columns = [pa.array(kernels.signed(shard[new])), pa.array(kernels.signed(segment[new])), keys, pa.ListArray.from_arrays(bounds, pa.array(at)), blobs]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                longs = [pa.array(gram[new]), *(pa.array(kernels.signed(x[new])) for x in (h, g))]
+                yield pa.RecordBatch.from_arrays([*longs, keys, pa.ListArray.from_arrays(bounds, pa.array(at)), blobs], names)
 
-    return map_arrow(docs, run, schema)
+    return map_arrow(docs, run, T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)]))
 
 
-#: From the stored symbols of the shard's segments (joined), where each begins and ends, its smallest key and how many there are: a
-#: value of each window, in order.
-Indexer = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: From the joined bytes of a task's segments, where each begins (and the end), its smallest key and how many there are: a value of
+#: each window, in order.
+Indexer = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _joined(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of segments one after another, and where each begins (and the end)."""
+    blobs = pa.concat_arrays([part.column("symbols").cast(pa.large_binary()) for part in parts])
+    bounds = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset : blobs.offset + len(blobs) + 1]
+    return np.frombuffer(blobs.buffers()[2], np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
 def _indexed(scheme: Scheme, distinct: DataFrame, index: Indexer) -> DataFrame:
-    """(shard, segment, windows): what the index of a partition's shards says of each window of its segments."""
-    names = ["shard", "segment", "windows"]
-    schema = T.StructType([T.StructField("shard", _LONG), T.StructField("segment", _LONG), T.StructField("windows", T.ArrayType(_LONG))])
+    """(shard, h, g, texts, windows): what the index of a partition's shards says of each window of its segments."""
+    names = ["shard", "h", "g", "texts"]
+    schema = T.StructType([*(T.StructField(n, _LONG) for n in names), T.StructField("windows", _LONGS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [batch for batch in batches if len(batch)]
         if not parts:
             return
         table = pa.Table.from_batches(parts)
-        blobs = pa.concat_arrays([part.column("symbols").cast(pa.large_binary()) for part in parts])
-        bounds = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset : blobs.offset + len(blobs) + 1]
-        joined = np.frombuffer(blobs.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(scheme.dtype)
-        bounds = (bounds - bounds[0]) // scheme.dtype.itemsize
-        value = index(joined, bounds[:-1], bounds[1:], table.column("low").to_numpy(), table.column("n").to_numpy())
-        windows = np.diff(bounds) - scheme.length + 1
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(windows)]), pa.int32()), pa.array(value))
-        yield from pa.Table.from_arrays([table.column("shard"), table.column("segment"), lists], names).to_batches(max_chunksize=4096)
+        data, bounds = _joined(parts)
+        value = index(data, bounds, table.column("low").to_numpy(), table.column("n").to_numpy())
+        sizes = np.diff(np.searchsorted(scheme.begins(data, bounds), bounds))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes - scheme.length + 1)]), pa.int32()), pa.array(value))
+        yield from pa.Table.from_arrays([*(table.column(n) for n in names), lists], schema.names).to_batches(max_chunksize=4096)
 
     return map_arrow(distinct, run, schema)
 
 
-def repeated_windows(docs: DataFrame, scheme: Scheme, across: bool, index: Indexer, said: Callable[[str, str], F.Column], work: Workspace) -> DataFrame:
+def _single(scheme: Scheme, distinct: DataFrame) -> DataFrame:
+    """(x, y, i, shard, h, g, texts, low, n) of every window of segments: 128 bits x and y of it, and its number in the segment."""
+    names = ["x", "y", "i", "shard", "h", "g", "texts", "low", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, len(whole), 1024):
+                batch = whole.slice(low, 1024)
+                data, bounds = _joined([batch])
+                begins = scheme.begins(data, bounds)
+                first = np.searchsorted(begins, bounds)
+                each = np.diff(first) - scheme.length + 1
+                i, owner = kernels.ranges(each), np.repeat(np.arange(len(batch)), each)
+                at = first[owner] + i
+                start, stop = begins[at], begins[at + scheme.length]
+                ids = [pa.array(kernels.signed(kernels.span_hash(data, start, stop, seed))) for seed in (2, 3)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(i), *(batch.column(c).take(pa.array(owner)) for c in names[3:])], names)
+
+    return map_arrow(distinct, run, T.StructType([T.StructField(n, _LONG) for n in names]))
+
+
+def _counted(scheme: Scheme, distinct: DataFrame, value: Callable[[F.Column, F.Column], F.Column], work: Workspace) -> DataFrame:
+    """The same as _indexed for shards that no index should hold, by counting windows."""
+    single = work.save(_single(scheme, distinct))
+    both = single.groupBy("x", "y").agg(F.min("low").alias("all_low"), F.sum("n").alias("all_n"), F.count("*").alias("times")).where("times > 1")
+    shared, alone = split_by_size(single, work.save(both), ["x", "y"], "times", single.count())
+    columns = ["shard", "h", "g", "texts", "i"]
+    rows = shared.select(*columns, value(F.col("all_low"), F.col("all_n")).alias("v")).unionAll(alone.select(*columns, value(F.col("low"), F.col("n")).alias("v")))
+    windows = F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda w: w["v"])
+    out = work.save(rows.groupBy("shard", "h", "g").agg(F.first("texts").alias("texts"), windows.alias("windows")))
+    work.drop(single)
+    return out
+
+
+def repeated_windows(
+    docs: DataFrame, scheme: Scheme, index: Indexer, value: Callable[[F.Column, F.Column], F.Column], said: Callable[[F.Column, F.Column], F.Column], work: Workspace, split: int | None = None
+) -> DataFrame:
     """(key, found) for each key of (key, text) with windows that go: ``found`` lists structs of first windows ``at`` and ``hit``, a
     flag of each window from any of them.
 
-    across: a key gram counts as repeated only if two keys have it, otherwise if it occurs twice. said(value, key) tells from what the
-    index says of a window, and the key, if it goes.
+    Words: keys are longs, and a key gram counts as repeated if two keys have it; bytes: keys are binary, and it counts if it occurs
+    twice. The index, or ``value`` of the smallest key and the number of a window's occurrences, says a number of it; said(number, key)
+    tells if it goes.
     """
-    spark = docs.sparkSession
+    spark, across = docs.sparkSession, scheme.words
+    low = F.min("key") if across else F.lit(0).cast("long")
     places = work.save(_places(scheme, docs))
-    counted = places.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("texts"), F.sum(F.size("places")).alias("n"))
-    again = counted.where("low < high" if across else "n > 1").select("gram", (F.col("texts") > HOT).alias("hot"))
-    runs = places.join(again, "gram").select("key", F.struct("gram", "hot", "places").alias("run"))
+    again = F.min("key") < F.max("key") if across else F.sum(F.size("places")) > 1
+    grams = places.groupBy("gram").agg(F.count("*").alias("texts"), again.alias("again"))
+    grams = work.save(grams.where("again").select("gram", "texts"))
+    runs = join_by_size(places, grams, ["gram"], "texts", places.count()).select("key", F.struct("gram", "places").alias("run"))
     listed = work.save(runs.groupBy("key").agg(F.collect_list("run").alias("runs")))
-    work.drop(places, shuffles=True)
+    work.drop(places, grams)
     segments = work.save(_segments(scheme, docs.join(listed, "key")))
-    work.drop(listed, shuffles=True)
-    size = segments.agg(F.sum(F.octet_length("symbols"))).first()[0] or 0
-    distinct = segments.groupBy("shard", "segment").agg(F.min("key").alias("low"), F.sum(F.size("at")).alias("n"), F.first("symbols").alias("symbols"))
-    shards = distinct.repartition(tasks(spark, size, SHARD_BYTES), "shard")
-    known = work.save(_indexed(scheme, shards, index))
-    work.release()
-    hits = segments.select("shard", "segment", "key", "at").join(known, ["shard", "segment"])
+    work.drop(listed)
+    same = segments.groupBy("shard", "h", "g")
+    distinct = work.save(same.agg(low.alias("low"), F.sum(F.size("at")).alias("n"), F.count("*").alias("texts"), F.first("symbols").alias("symbols")))
+    sizes = distinct.groupBy("shard").agg(F.count("*").alias("many"), F.sum(F.octet_length("symbols")).alias("bytes"))
+    large = work.save(sizes.where((F.col("many") > (split or SPLIT)) | (F.col("bytes") > SHARD_BYTES)).select("shard", "many"))
+    size = distinct.agg(F.sum(F.octet_length("symbols"))).first()[0] or 0
+    indexed = distinct
+    if split_up := not large.isEmpty():
+        beyond, indexed = split_by_size(distinct, large, ["shard"], "many", distinct.count())
+    known = work.save(_indexed(scheme, indexed.repartition(tasks(spark, size, SHARD_BYTES), "shard"), index))
+    every = known.unionByName(_counted(scheme, beyond.drop("many"), value, work)) if split_up else known
+    hits = join_by_size(segments.select("shard", "h", "g", "key", "at"), every, ["shard", "h", "g"], "texts", segments.count())
     hits = hits.select("key", "at", F.transform("windows", lambda v: said(v, F.col("key"))).alias("hit")).where(F.exists("hit", lambda h: h))
     found = work.save(hits.groupBy("key").agg(F.collect_list(F.struct("at", "hit")).alias("found")))
-    work.drop(segments, known, shuffles=True)
+    work.drop(segments, distinct, large, known)
     return found
 
 
-def joined_segments(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def joined_segments(symbols: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segments in one string, with a 0 after each (symbols go up by one); which segment each position belongs to; and
     where the windows begin, in order."""
-    size = ends - starts
+    size = np.diff(bounds)
     owner = np.repeat(np.arange(len(size)), size)
-    out = np.zeros(len(symbols) + len(size), symbols.dtype if symbols.dtype.itemsize > 2 else np.uint16)
-    out[np.arange(len(symbols)) + owner] = symbols.astype(out.dtype) + 1
+    out = np.zeros(len(symbols) + len(size), np.uint16)
+    out[np.arange(len(symbols)) + owner] = symbols.astype(np.uint16) + 1
     windows = size - length + 1
-    first = starts + np.arange(len(size))
+    first = bounds[:-1] + np.arange(len(size))
     return out, np.repeat(np.arange(len(size)), size + 1), np.repeat(first, windows) + kernels.ranges(windows)
 
 
@@ -239,3 +291,19 @@ def hit_symbols(found: pa.ListArray, sizes: np.ndarray, length: int) -> tuple[np
     window, goes = start + step, goes[np.repeat(begin[run], each) + step]
     inside = window + length <= np.repeat(first[owner[run] + 1], each)  # always so where keys are unique
     return kernels.cover(int(first[-1]), window[goes & inside], length), first
+
+
+def spans_of(hit: np.ndarray, owner: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """Of each text the maximal runs of hit symbols, as structs of start and length."""
+    start = hit.copy()
+    start[1:] &= ~(hit[:-1] & (owner[1:] == owner[:-1]))
+    stop = hit.copy()
+    stop[:-1] &= ~(hit[1:] & (owner[1:] == owner[:-1]))
+    at, to = np.flatnonzero(start), np.flatnonzero(stop) + 1
+    text = owner[at]
+    bounds = pa.array(np.searchsorted(text, np.arange(len(first))), pa.int32())
+    return pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([pa.array(at - first[text]), pa.array(to - at)], ["start", "length"]))
+
+
+#: The type of spans_of.
+SPANS = T.ArrayType(T.StructType([T.StructField("start", _LONG), T.StructField("length", _LONG)]))

@@ -1,18 +1,19 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes, in numpy.
 
-Induction walks the buckets of the alphabet; a bucket is filled in generations (the suffixes that larger or smaller
-buckets induced, then those that these induce in the bucket itself, and so on), each with a few array operations,
-so the work is linear and the number of steps is the alphabet plus the longest runs of one symbol.
+Suffixes are classified (smaller or larger than the next one), leftmost-smaller substrings are sorted and named by comparison, the string
+of names is sorted by the same function, and two scans over the buckets induce the order of all suffixes.
+
+A scan is sequential in principle: what it places, it meets again further on. It is done in batches of buckets that place nothing
+among themselves, so a batch is a few array operations; a bucket that does place suffixes in itself (a symbol that follows itself)
+is done alone, in generations. Small alphabets have few buckets and large ones few suffixes in each, which land far away.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from . import kernels
-
-#: Alphabets up to this size are induced bucket by bucket; a larger one, of a recursion, is sorted by doubling.
-LARGEST_ALPHABET = 1024
+#: Slots looked at to find a batch: at first, and at least; afterwards twice as many as the last one had.
+WINDOW = 256
 
 
 def _types(s: np.ndarray) -> np.ndarray:
@@ -24,113 +25,136 @@ def _types(s: np.ndarray) -> np.ndarray:
     return np.repeat(smaller, lengths)
 
 
-class _Buckets:
-    """Positions pushed to buckets, in the order of pushing."""
-
-    def __init__(self, s: np.ndarray, size: int):
-        self.s, self.lists = s, [[] for _ in range(size)]
-
-    def push(self, at: np.ndarray) -> None:
-        if not len(at):
-            return
-        symbols = self.s[at]
-        order = np.argsort(symbols, kind="stable")
-        at, symbols = at[order], symbols[order]
-        edges = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
-        for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(at)], strict=True):
-            self.lists[symbols[low]].append(at[low:high])
-
-    def take(self, c: int) -> np.ndarray:
-        parts = self.lists[c]
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-
-def _fill(buckets: _Buckets, c: int, wanted: np.ndarray) -> np.ndarray:
-    """Bucket ``c`` complete with what its own members induce in it; pushes to others what they induce there."""
-    s, made, generation = buckets.s, [], buckets.take(c)
-    while len(generation):
-        made.append(generation)
-        before = generation[generation > 0] - 1
-        before = before[wanted[before]]
-        own = s[before] == c
-        buckets.push(before[~own])
-        generation = before[own]
-    return np.concatenate(made) if made else np.zeros(0, np.int64)
+class _Scan:
+    """One scan from the smallest bucket up: seeds stand at the ends of their buckets, induced suffixes fill these from their heads."""
+
+    def __init__(self, s: np.ndarray, size: int, wanted: np.ndarray, seeds: np.ndarray):
+        self.s, self.size, self.wanted = s, size, wanted
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=size))])
+        self.head = self.start[:-1].copy()
+        self.slots = np.full(len(s), -1)
+        symbols = s[seeds]
+        each = np.bincount(symbols, minlength=size)
+        self.tail = self.start[1:] - each
+        self.slots[self.tail[symbols] + np.arange(len(seeds)) - (np.cumsum(each) - each)[symbols]] = seeds
+
+    def push(self, at: np.ndarray, symbols: np.ndarray) -> None:
+        """Places suffixes at the heads of their buckets, in order."""
+        if len(at) == 1:
+            place = self.head[symbols[0]]
+            self.slots[place] = at[0]
+            self.head[symbols[0]] = place + 1
+        elif len(at):
+            order = np.argsort(symbols, kind="stable")
+            symbols = symbols[order]
+            new = np.concatenate([[True], symbols[1:] != symbols[:-1]])
+            begin = np.flatnonzero(new)
+            place = self.head[symbols] + np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+            self.slots[place] = at[order]
+            last = np.append(begin[1:], len(at)) - 1
+            self.head[symbols[last]] = place[last] + 1
+
+    def induced(self, suffixes: np.ndarray) -> np.ndarray:
+        """The wanted suffixes one place before the given ones."""
+        before = suffixes[suffixes > 0] - 1
+        return before[self.wanted[before]]
+
+    def bucket(self, c: int) -> None:
+        """A bucket with what its own members place in it, generation after generation, and then its seeds."""
+        low = self.start[c]
+        while low < self.head[c]:
+            generation = self.slots[low : self.head[c]]
+            low = self.head[c]
+            before = self.induced(generation)
+            self.push(before, self.s[before])
+        before = self.induced(self.slots[self.tail[c] : self.start[c + 1]])
+        self.push(before, self.s[before])
+
+    def run(self) -> np.ndarray:
+        s, start, size, window = self.s, self.start, self.size, WINDOW
+        c = 0
+        while c < size:
+            top = max(c + 1, int(np.searchsorted(start, start[c] + window, "right")) - 1)
+            part = self.slots[start[c] : start[top]]
+            have = part[part >= 0]
+            if not len(have):
+                c = top
+                continue
+            ok = have > 0
+            ok[ok] = self.wanted[have[ok] - 1]
+            bucket = s[have]
+            target = np.where(ok, s[have - 1], size)
+            least = np.minimum.accumulate(target)
+            clash = least <= bucket
+            first = int(clash.argmax()) if clash.any() else len(have)
+            end = min(int(least[max(first - 1, 0)]), int(bucket[first]) if first < len(have) else top)
+            if end <= bucket[0]:
+                self.bucket(int(bucket[0]))
+                c = int(bucket[0]) + 1
+                continue
+            ok &= bucket < end
+            self.push(have[ok] - 1, target[ok])
+            window = max(WINDOW, 2 * int(start[end] - start[c]))
+            c = end
+        return self.slots
 
 
 def _induce(s: np.ndarray, size: int, small: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """The suffix array that leftmost-S suffixes in the order of ``seeds`` induce."""
-    large = ~small
-    start = _Buckets(s, size)
-    start.push(seeds)
-    left = _Buckets(s, size)
-    left.push(np.array([len(s) - 1]))  # what the end of the string induces comes first
-    larges = []
-    for c in range(size):
-        larges.append(_fill(left, c, large))
-        before = start.take(c)
-        before = before[before > 0] - 1
-        left.push(before[large[before]])
-    right = _Buckets(s, size)
-    parts = [np.zeros(0, np.int64)] * size
-    for c in range(size - 1, -1, -1):
-        smalls = _fill(right, c, small)
-        before = larges[c][::-1]
-        before = before[before > 0] - 1
-        right.push(before[small[before]])
-        parts[c] = np.concatenate([larges[c], smalls[::-1]])
-    return np.concatenate(parts)
-
-
-def _double(s: np.ndarray) -> np.ndarray:
-    """A suffix array by prefix doubling."""
-    n, step = len(s), 1
-    order = np.argsort(s, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.concatenate([[1], s[order][1:] != s[order][:-1]]))
-    while rank[order[-1]] < n:
-        following = np.zeros(n, np.int64)
-        following[: n - step] = rank[step:]
-        key = rank * (n + 1) + following
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank[order] = np.cumsum(np.concatenate([[1], key[1:] != key[:-1]]))
-        step *= 2
-    return order
+    up = _Scan(s, size, ~small, seeds)
+    up.push(np.array([len(s) - 1]), s[-1:])  # what the end of the string induces comes first
+    found = up.run()
+    found = found[found >= 0]
+    large = found[~small[found]]
+    down = _Scan(size - 1 - s, size, small, large[::-1])
+    return down.run()[::-1]
+
+
+def _names(s: np.ndarray, ordered: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The rank of each leftmost-S substring, in sorted order; end: where the one at a position ends. Only equal ones share a rank."""
+    a, b = ordered[:-1], ordered[1:]
+    length = end[a] - a
+    same = length == end[b] - b
+    last = end.max()
+    same &= (end[a] < last) & (end[b] < last)  # the last one ends with the string, like no other
+    active = np.flatnonzero(same)
+    step = 0
+    while len(active):
+        differs = s[a[active] + step] != s[b[active] + step]
+        same[active[differs]] = False
+        step += 1
+        active = active[~differs & (length[active] > step)]
+    return np.cumsum(np.concatenate([[0], ~same]))
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """The suffix array of a string of small non-negative integers; a suffix that is a prefix of another is smaller."""
+    """The suffix array of a string of non-negative integers; a suffix that is a prefix of another is smaller."""
     n = len(s)
     if n < 2:
         return np.arange(n)
+    s = s.astype(np.int32, copy=False)
     size = int(s.max()) + 1
-    if size > LARGEST_ALPHABET:
-        return _double(s)
     small = _types(s)
     seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(seeds) > 1:
-        first = _induce(s, size, small, seeds)
+        first = _induce(s, size, small, seeds[np.argsort(s[seeds], kind="stable")])
         is_seed = np.zeros(n, bool)
         is_seed[seeds] = True
         ordered = first[is_seed[first]]  # leftmost-S substrings in order
-        end = np.append(seeds[1:] + 1, n)
-        length = np.zeros(n, np.int64)
-        length[seeds] = end - seeds
-        wide = np.ascontiguousarray(s, dtype="<u2").view(np.uint8)
-        digest = np.zeros(n, np.uint64)
-        digest[seeds] = kernels.span_hash(wide, 2 * seeds, 2 * end)
-        digest[seeds[-1]] = 0  # the last one ends with the string, like no other
-        same = (digest[ordered[1:]] == digest[ordered[:-1]]) & (length[ordered[1:]] == length[ordered[:-1]])
-        name = np.zeros(n, np.int64)
-        name[ordered] = np.cumsum(np.concatenate([[0], ~same]))
-        names = name[seeds]
-        seeds = ordered if same.sum() == 0 else seeds[suffix_array(names)]
+        end = np.zeros(n, np.int64)
+        end[seeds] = np.append(seeds[1:] + 1, n)
+        names = _names(s, ordered, end)
+        if names[-1] + 1 == len(seeds):
+            seeds = ordered
+        else:
+            name = np.zeros(n, np.int32)
+            name[ordered] = names
+            seeds = seeds[suffix_array(name[seeds])]
     return _induce(s, size, small, seeds)
 
 
 def permuted_lcp(s: np.ndarray, array: np.ndarray) -> np.ndarray:
-    """For each position the length of the common prefix with the suffix before it in the array (0 for the first).
+    """For each position the length of the common prefix with the suffix before it in the array (0 for the first); symbols of 16 bits.
 
     Only where the symbols before the two suffixes differ is anything compared; elsewhere the value is one less than that
     of the position to the left.

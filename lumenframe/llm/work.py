@@ -1,78 +1,59 @@
-"""Intermediate tables in the cluster's shared folder, and small helpers for plans."""
+"""What the text operators share: columns' names, ids, sizes of tasks, and joins whose keys can be very frequent."""
 
 from __future__ import annotations
 
-import functools
-import gc
-import os
-import tempfile
-import time
-import uuid
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.arrow import map_arrow
+from ..functions.storage import Workspace, free_name, shared_folder
 
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="lumenframe-")
+__all__ = ["Workspace", "free_name", "integer_id", "join_by_size", "map_arrow", "shared_folder", "split_by_size", "tasks", "wide_key", "without"]
 
+#: A key with more than 1 / MOST_HOT of all rows is hot; so there are fewer than MOST_HOT hot keys, however large the tables.
+MOST_HOT = 10_000
+#: Rows that a key may have anyway.
+FEW = 1000
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in local tests, a temporary one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = f"file://{_own_folder()}"
-    return folder.rstrip("/")
 
+def tasks(spark: SparkSession, size: int, each: int) -> int:
+    """How many partitions hold ``size`` at ``each`` in one, and no fewer than the session's shuffles have."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
-def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow, with this library on the workers' path if it isn't installed there but lies where it does here."""
-    environment, root = df.sparkSession.sparkContext.environment, str(Path(__file__).parents[2])
-    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join(p for p in [root, *paths] if p)
-    return df.mapInArrow(function, schema)
 
+def integer_id(df: DataFrame, column: str) -> F.Column:
+    """The id column as a long. Ids of documents and vectors are integers; another type is an error before anything runs."""
+    if not isinstance(df.schema[column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise ValueError(f"{column} must be an integer column, not {df.schema[column].dataType.simpleString()}")
+    return df[column].cast("long")
 
-class Workspace:
-    """Tables that one run of an operator writes and reads again.
 
-    A saved table cuts lineage at files that every executor sees, so losing one costs only the tasks it ran.
-    """
+def wide_key(*columns: F.Column) -> F.Column:
+    """128 bits of two hashes with different seeds, as binary: rows of other values have another one."""
+    part = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), *columns)), 16, "0")
+    return F.unhex(F.concat(part(11), part(4242)))
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self._made = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
-        self._made += 1
-        path = f"{self.root}/{self._made}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._saved_at = path
-        return out
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` less the columns that an operator's results replace: a caller's column of a result's name gives way to it."""
+    gone = {n.lower() for n in names}
+    return df.select(*[df[c] for c in df.columns if c.lower() not in gone])
 
-    def drop(self, *tables: DataFrame, shuffles: bool = False) -> None:
-        """Delete saved tables that nothing reads any more; ``shuffles``: also release()."""
-        jvm = self.spark.sparkContext._jvm
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._saved_at)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        if shuffles:
-            self.release()
 
-    def release(self) -> None:
-        """Let Spark delete large shuffle files that are out of use, instead of when the driver happens to collect its garbage.
+def split_by_size(left: DataFrame, right: DataFrame, on: list[str], size: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``left`` joined with ``right``, rows of ``left`` without a match). ``right`` has unique keys and, in ``size``, how many of
+    the ``total`` rows of ``left`` have each.
 
-        Python's objects go first; theirs in the JVM are let go of by another thread, so a second collection finds them."""
-        gc.collect()
-        for _ in range(2):
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.5)
+    Hot keys are joined where their rows are, by a broadcast of fewer than ``MOST_HOT`` rows; only the others are shuffled, so no task gets
+    all rows of a frequent key."""
+    limit = max(FEW, total // MOST_HOT)
+    hot, cold = right.where(F.col(size) > limit), right.where(F.col(size) <= limit)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    both = left.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
+    return both, rest.join(cold.select(*on), on, "left_anti")
 
 
-def tasks(spark: SparkSession, size: int, each: int) -> int:
-    """How many partitions hold ``size`` at ``each`` in one, and no fewer than the session's shuffles have."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+def join_by_size(left: DataFrame, right: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """The first part of ``split_by_size``."""
+    return split_by_size(left, right, on, size, total)[0]

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.llm import ann, components, decontaminate, lines, minhash, packing, pii, quality, queries, repeats, substrings, suffixes, token_counts, tokens, work
+from lumenframe.llm import ann, components, decontaminate, lines, minhash, packing, pii, quality, queries, sais, substrings, suffixes, token_counts, tokens, work
+from lumenframe.llm.fm_index import FmIndex
 from oracle import SF, assert_equal
 
 SPACE = re.compile("[^\x20\x09-\x0d]+")
@@ -210,43 +211,116 @@ def test_components_of_a_path(spark):
     assert out == {**dict.fromkeys(range(31), 0), 50: 50, 51: 50}
 
 
-@pytest.mark.parametrize("hot", [1, 50_000])
-def test_repeated_passages(spark, texts, hot, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", hot)
+def clashing(df):
+    """With columns named like results and like what the operators might use inside."""
+    for c in ("the_text", "the_key", "the_found", "__text", "__key"):
+        df = df.withColumn(c, F.lit("x"))
+    return df.withColumn("n_removed", F.lit("mine"))
+
+
+def removed_words(texts):
+    """Of each text which words go, by trying all windows."""
     first, gone = {}, {}
-    for i, t in texts:
+    for i, t in sorted(texts):
         w = SPACE.findall(t or "")
         gone[i] = set()
         for a in range(len(w) - 12):
             if first.setdefault(tuple(w[a : a + 13]), i) < i:
                 gone[i].update(range(a, a + 13))
-    out = {r.doc_id: r for r in substrings.drop_repeated_passages(docs(spark, [*texts, (None, texts[64][1])])).collect()}
-    assert out[None]["__removed"] == 0
+    return gone
+
+
+def maximal_runs(at):
+    """Sorted positions as (start, length)."""
+    out = []
+    for a in sorted(at):
+        if out and sum(out[-1]) == a:
+            out[-1] = (out[-1][0], out[-1][1] + 1)
+        else:
+            out.append((a, 1))
+    return out
+
+
+@pytest.mark.parametrize("split", [1, 2_000])
+def test_repeated_passages(spark, texts, split):
+    gone = removed_words(texts)
+    rows = clashing(docs(spark, [*texts, (None, texts[64][1])]))
+    result = substrings.drop_repeated_passages(rows, split=split)
+    assert result.columns == [c for c in rows.columns if c != "n_removed"] + substrings.RESULTS
+    out = {r.doc_id: r for r in result.collect()}
+    assert out[None].n_removed == 0
     for i, t in texts:
         w = SPACE.findall(t or "")
         kept = " ".join(x for a, x in enumerate(w) if a not in gone[i])
-        assert (out[i]["__words"], out[i]["__removed"], out[i]["__kept"], out[i].hit) == (len(w), len(gone[i]), kept, "h")
+        assert (out[i].n_words, out[i].n_removed, out[i].kept, out[i].hit, out[i].the_text) == (len(w), len(gone[i]), kept, "h", "x")
+        assert [tuple(s) for s in out[i].spans] == maximal_runs(gone[i])
 
 
-@pytest.mark.parametrize("hot", [1, 50_000])
-def test_repeated_bytes(spark, texts, hot, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", hot)
-    rows = [*texts, (None, texts[1][1]), (70, "ab" * 400), (71, "é" * 150)]
-    times = {}
+def test_words_of_equal_hash_are_told_apart(spark):
+    """Pairs of 13 words that differ in one: words are compared by their bytes, whatever their 32-bit hashes."""
+    pairs = [("v114523", "v147406"), ("v1", "v2"), ("x" * 50 + "a", "x" * 50 + "b")]
+    rows = []
+    for k, (a, b) in enumerate(pairs):
+        for j, w in enumerate((a, b)):
+            rows.append((2 * k + j, " ".join([f"p{k}n{i}" for i in range(6)] + [w] + [f"q{k}n{i}" for i in range(6)])))
+    assert all(r.n_removed == 0 for r in substrings.drop_repeated_passages(docs(spark, rows)).collect())
+
+
+def removed_bytes(rows, length):
+    times, out = {}, {}
     for _, t in rows:
         b = (t or "").encode()
-        for a in range(len(b) - 99):
-            times[b[a : a + 100]] = times.get(b[a : a + 100], 0) + 1
-    out = {r.doc_id: r for r in suffixes.drop_repeated_bytes(docs(spark, rows), length=100, gram=24).collect()}
+        for a in range(len(b) - length + 1):
+            times[b[a : a + length]] = times.get(b[a : a + length], 0) + 1
     for i, t in rows:
         b = (t or "").encode()
-        hit = np.zeros(len(b) + 1, bool)
-        for a in range(len(b) - 99):
-            if times[b[a : a + 100]] > 1:
-                hit[a : a + 100] = True
-        r = out[i]
-        spans = int((np.diff(np.concatenate([[0], hit.astype(int)])) == 1).sum())
-        assert (r["__bytes"], r["__removed"], r["__spans"], bytes(r["__kept"])) == (len(b), hit.sum(), spans, bytes(x for a, x in enumerate(b) if not hit[a]))
+        hit = np.zeros(len(b), bool)
+        for a in range(len(b) - length + 1):
+            if times[b[a : a + length]] > 1:
+                hit[a : a + length] = True
+        out[i] = (b, hit)
+    return out
+
+
+@pytest.mark.parametrize("split", [1, 2_000])
+def test_repeated_bytes(spark, texts, split):
+    rows = [*texts, (None, texts[1][1]), (70, "ab" * 400), (71, "é" * 150)]
+    out = {r.doc_id: r for r in suffixes.drop_repeated_bytes(clashing(docs(spark, rows)), length=100, gram=24, split=split).collect()}
+    for i, (b, hit) in removed_bytes(rows, 100).items():
+        runs = maximal_runs(np.flatnonzero(hit).tolist())
+        assert (out[i].n_bytes, out[i].n_removed, out[i].n_spans, bytes(out[i].kept)) == (len(b), hit.sum(), len(runs), bytes(x for a, x in enumerate(b) if not hit[a]))
+        assert [tuple(s) for s in out[i].spans] == runs
+
+
+def test_suffix_arrays():
+    rng = np.random.default_rng(1)
+    for trial in range(300):
+        s = rng.integers(0, int(rng.choice([1, 2, 3, 50])), int(rng.integers(0, 60)))
+        if trial % 3 == 0 and len(s):
+            s = np.tile(s[: max(1, len(s) // 4)], 4)
+        t = s.tolist()
+        array = sais.suffix_array(s)
+        assert array.tolist() == sorted(range(len(t)), key=lambda i: t[i:])  # noqa: B023
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(4000)]
+    s = np.frombuffer(" ".join(rng.choice(words, 20_000)).encode(), np.uint8).astype(np.uint16)
+    array, b = sais.suffix_array(s), s.astype(np.uint8).tobytes()
+    assert array.tolist() == sorted(range(len(b)), key=lambda i: b[i : i + 400])
+    prefix = sais.permuted_lcp(s, array)
+    for k in rng.integers(1, len(s), 300).tolist():
+        x, y = b[array[k - 1] :], b[array[k] :]
+        assert prefix[array[k]] == next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+
+
+def test_fm_index():
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        strings = [rng.integers(1, 5, int(rng.integers(1, 30))) for _ in range(int(rng.integers(1, 12)))]
+        fm = FmIndex(np.concatenate(strings), np.concatenate([[0], np.cumsum([len(x) for x in strings])]))
+        patterns = np.array([x[a : a + 3] for x in strings for a in range(len(x) - 2)]).reshape(-1, 3)
+        if len(patterns):
+            for p, low, high in zip(patterns, *fm.search(patterns[:, j] for j in (2, 1, 0)), strict=True):
+                want = [i for i, x in enumerate(strings) for a in range(len(x) - 2) if (x[a : a + 3] == p).all()]
+                assert sorted(fm.locate(np.arange(low, high)).tolist()) == want
 
 
 def test_repeated_lines(spark):
@@ -336,20 +410,6 @@ def test_query_equals_its_sql(spark, name):
     assert_equal(spark, queries.QUERIES[name], queries.ORACLES[name])
 
 
-def test_digests(spark):
-    """The registered digests of op4 and op8 against a plain computation."""
-    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
-    out = {r.doc_id: r for r in queries.op4_substring_dedup(spark, SF).collect()}
-    first = {}
-    for r in rows:
-        w, gone = SPACE.findall(r.text), set()
-        for a in range(len(w) - 12):
-            if first.setdefault(tuple(w[a : a + 13]), r.doc_id) < r.doc_id:
-                gone.update(range(a, a + 13))
-        kept = " ".join(x for a, x in enumerate(w) if a not in gone)
-        assert (out[r.doc_id].n_removed, out[r.doc_id].kept_sha256) == (len(gone), hashlib.sha256(kept.encode()).hexdigest())
-
-
 def test_pipeline(spark):
     import corpus_pipeline
 
