@@ -3,7 +3,8 @@
 Every vector is represented by its nearest pivots in order. The index is cut into shards of a few thousand
 vectors, each posted in inverted files: for every pivot the vectors that have it in their prefix, and at which rank. A query
 is posted the same way; walking the inverted files of its pivots gives its footrule distance to every vector of
-the shard, the nearest part of them is reranked by exact cosine, and the shards' best are merged.
+the shard, the nearest of them are reranked by exact cosine, and the shards' best are merged. How many are reranked grows
+slower than the table; the inverted files are walked for every query, so that part of the work is queries times vectors.
 
 With prefixes of m pivots, a pivot that is missing counts as rank m; the footrule distance is then a constant less
 2 * (m - max(r, s)) for each pivot that both have, at ranks r and s.
@@ -11,6 +12,7 @@ With prefixes of m pivots, a pivot that is missing counts as rank m; the footrul
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,39 +21,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .work import Workspace, map_arrow
+from .work import Workspace, integer_id, map_arrow
 
 PIVOTS = 256
 PREFIX = 48
-#: Share of each shard that is reranked, and how many of it at least.
-RERANKED = 0.25
-LEAST = 256
+#: Candidates that are reranked for a query out of n vectors: RERANKED * n ** POWER, and LEAST at least, spread over the shards.
+RERANKED = 10.0
+POWER = 0.6
+LEAST = 1024
 SHARD = 4096
 BLOCK = 1024
 _PACKED = "g long, ids binary, vectors binary, pivots binary"
 
 
+def candidates(n: int) -> int:
+    """How many of n vectors are reranked: sublinear, and all of a few."""
+    return max(LEAST, int(np.ceil(RERANKED * n**POWER)))
+
+
 def usable(vector: str) -> F.Column:
     """True for vectors that take part: finite components, not all of them zero."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     return F.coalesce(F.col(vector).isNotNull() & ~F.exists(vector, bad) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors over a power of two near their largest component: exact, and their squares neither overflow nor vanish."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
+def _norms(vectors: np.ndarray) -> np.ndarray:
+    """Lengths, summed component after component."""
+    total = np.zeros(len(vectors))
+    for column in vectors.T:
+        total += column * column
+    return np.sqrt(total)
+
+
 def _order(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The nearest ``prefix`` pivots of each vector, nearest first, of equals the first."""
-    unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    unit = _scaled(vectors)
+    unit /= _norms(unit)[:, None]
     return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :prefix].astype("<u2")
 
 
 def choose_pivots(df: DataFrame, count: int) -> np.ndarray:
-    """Unit vectors of the ``count`` usable rows with the smallest hashed ids: a bounded sample."""
-    rows = df.orderBy(F.xxhash64("id"), "id").limit(count).select("vector").collect()
-    if not rows:
-        return np.zeros((0, 0))
-    width = max(len(r["vector"]) for r in rows)
-    out = np.array([r["vector"] for r in rows if len(r["vector"]) == width], np.float64)
-    return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
+    """Unit vectors of distinct directions, at most ``count`` of them, from the 4 * ``count`` rows with the smallest hashed ids: a bounded
+    sample, in which copies of one vector are one pivot."""
+    rows = df.orderBy(F.xxhash64("id"), "id").limit(4 * count).select("vector").collect()
+    out = _scaled(np.array([r["vector"] for r in rows], np.float64))
+    out /= _norms(out)[:, None]
+    first = np.unique(np.round(out, 9), axis=0, return_index=True)[1]
+    return out[np.sort(first)[:count]]
 
 
 def _pack(rows: DataFrame, pivots: np.ndarray, prefix: int, size: int) -> DataFrame:
@@ -92,24 +113,26 @@ def _footrule_gain(queries: np.ndarray, vectors: np.ndarray, pivots: int) -> np.
     return gain
 
 
-def _search(pivots: int, width: int, k: int, reranked: float, least: int):
+def _search(pivots: int, width: int, k: int, share: float):
     def one(row: dict) -> pa.RecordBatch:
         ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
-        vectors = np.frombuffer(row["vectors"], "<f8").reshape(len(ids), width)
-        queries = np.frombuffer(row["q_vectors"], "<f8").reshape(len(q_ids), width)
+        vectors = _scaled(np.frombuffer(row["vectors"], "<f8").reshape(len(ids), width))
+        queries = _scaled(np.frombuffer(row["q_vectors"], "<f8").reshape(len(q_ids), width))
         prefix = len(row["pivots"]) // 2 // len(ids)
         gain = _footrule_gain(np.frombuffer(row["q_pivots"], "<u2").reshape(-1, prefix), np.frombuffer(row["pivots"], "<u2").reshape(-1, prefix), pivots)
-        norms, q_norms = (np.sqrt((x * x).sum(axis=1)) for x in (vectors, queries))
-        take = max(least, int(reranked * len(ids))) + 1  # the query itself may be among them
-        rank = np.arange(len(ids))
+        norms, q_norms = _norms(vectors), _norms(queries)
+        take = int(np.ceil(1.2 * share * len(ids))) + 8  # the query itself may be among them, and shards differ
         found = []
         for i, q in enumerate(q_ids):
-            at = rank
-            if take < len(ids):  # of equal distances the smaller ids
-                at = np.argpartition(rank - gain[i].astype(np.int64) * len(ids), take)[:take]
-            at = np.sort(at[ids[at] != q])
-            score = (vectors[at] * queries[i]).sum(axis=1) / (norms[at] * q_norms[i])
-            best = np.argsort(-score, kind="stable")[:k]
+            at = np.arange(len(ids))
+            if take < len(ids):  # all that are as near as the last one, so copies don't push each other out
+                at = np.flatnonzero(gain[i] >= np.partition(gain[i], len(ids) - take)[len(ids) - take])
+            at = at[ids[at] != q]
+            near, total = vectors[at].T, np.zeros(len(at))
+            for column, x in zip(near, queries[i].tolist(), strict=True):
+                total += column * x
+            score = total / (norms[at] * q_norms[i])
+            best = np.argsort(-score, kind="stable")[:k]  # ids ascend, so of equals the smaller one is first
             found.append((np.full(len(best), q), ids[at[best]], score[best]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
 
@@ -129,41 +152,42 @@ def nearest(
     k: int = 5,
     pivots: int = PIVOTS,
     prefix: int = PREFIX,
-    reranked: float = RERANKED,
-    least: int = LEAST,
+    reranked: int | None = None,
     shard: int = SHARD,
     block: int = BLOCK,
 ) -> DataFrame:
     """The ``k`` rows of ``df`` nearest by cosine to each row of ``queries`` that the index finds, never the query itself.
 
-    query_id, rank (from 1), vec_id, score: nearest first, ties to the smaller id. Vectors that are null or zero, hold null or
-    non-finite components, or differ in length from the pivots take no part on either side, and neither do rows without an id;
-    with fewer candidates than ``k`` a query has as many rows. Rows that repeat an id are candidates each, none of them for a
-    query of that id, and ask once. Empty tables give no rows; other columns aren't read.
+    query_id, rank (from 1), vec_id, score: nearest first, ties to the smaller id. ``reranked``: how many vectors are compared
+    exactly with a query, ``candidates(n)`` by default. Vectors that are null or zero or hold null or non-finite components take no part
+    on either side, and neither do rows without an id. A cosine needs vectors of one length: each length has an index of its own, so a
+    vector of another length changes nothing but itself. With fewer candidates than ``k`` a query has as many rows. Rows that repeat an id
+    are candidates each, none of them for a query of that id; of the queries that repeat an id the smallest vector is asked. Ids are
+    integers. Empty tables give no rows; other columns aren't read.
     """
     spark = df.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, asked = (
-        t.select(t[id_col].cast("long").alias("id"), t[vector_col].cast("array<double>").alias("vector")).where(usable("vector") & F.col("id").isNotNull()) for t in (df, queries)
-    )
+    rows, asked = (t.select(integer_id(t, id_col).alias("id"), t[vector_col].cast("array<double>").alias("vector")).where(usable("vector") & F.col("id").isNotNull()) for t in (df, queries))
+    asked = asked.groupBy("id", F.size("vector").alias("width")).agg(F.min("vector").alias("vector"))
+    sizes = rows.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n")).join(asked.groupBy("width").agg(F.count("*").alias("q")), "width").orderBy("width").collect()
+    found = [_of_width(rows, asked, r["width"], r["n"], r["q"], k, pivots, prefix, reranked, shard, block) for r in sizes]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    every = functools.reduce(DataFrame.unionAll, found)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _of_width(rows: DataFrame, asked: DataFrame, width: int, n: int, n_asked: int, k: int, pivots: int, prefix: int, reranked: int | None, shard: int, block: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of each shard of the vectors of one length."""
+    spark = rows.sparkSession
+    rows, asked = (t.where(F.size("vector") == width).select("id", "vector") for t in (rows, asked))
     chosen = choose_pivots(rows, pivots)
-    if not len(chosen):
-        return empty
-    asked = asked.dropDuplicates(["id"])
-    fits = F.size("vector") == chosen.shape[1]
     prefix = min(prefix, len(chosen))
     work = Workspace(spark, "ann")
-    index = work.save(_pack(rows.where(fits), chosen, prefix, shard))
-    shards, n = index.count(), asked.where(fits).count()
-    if not n:
-        return empty
-    groups = min(shards, max(1, 4 * spark.sparkContext.defaultParallelism))
-    blocks = -(-n // block)
-    by_block = asked.where(fits).repartition(blocks, F.xxhash64("id"))
-    packed = work.save(_pack(by_block, chosen, prefix, block))
+    index = work.save(_pack(rows, chosen, prefix, shard))
+    groups = min(index.count(), max(1, 4 * spark.sparkContext.defaultParallelism))
+    packed = work.save(_pack(asked.repartition(-(-n_asked // block), F.xxhash64("id")), chosen, prefix, block))
     sent = packed.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("pivots").alias("q_pivots"))
     pairs = index.withColumn("g", F.pmod(F.xxhash64("g"), F.lit(groups)).cast("int")).join(sent, "g")
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    found = map_arrow(pairs, _search(len(chosen), chosen.shape[1], k, reranked, least), schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return map_arrow(pairs, _search(len(chosen), width, k, (reranked or candidates(n)) / n), schema)

@@ -1,11 +1,14 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-A shard is a few megabytes of training documents. Its suffix array holds the word positions whose suffixes can
-match at all: a 3-word prefix filter leaves out positions that start no prefix of a test window, and the
-others are sorted by their next ten words. Every test window is then binary-searched in the array; its interval gives all
-places where it occurs, and the words inside any occurrence are hit. Documents stay where they are: the plan is a
-scan and one map for each block of test items, without a shuffle. The packed items of a block, at most
-``BLOCK_BYTES`` of text, are all that is broadcast; a larger benchmark is searched block after block.
+A shard is a few megabytes of training documents. Its suffix array orders all its words' suffixes, each up to the end of its
+document. Every test suffix is binary-searched in the array of every shard: the suffixes of training text that begin with its first ten
+words (or with all words of a shorter item) are an interval, which gives all places of such matches, and each match that can't be
+extended to the left is followed to its end, so the longest verbatim matches come out with item, document and places. Test suffixes
+whose first three words stand nowhere in a shard can't match there and are not searched in it. Words inside any match are hit.
+
+Documents stay where they are: the plan is a scan and one map for each block of test items, without a shuffle. A block of items, at most
+``BLOCK_BYTES`` of text, is all that the driver holds and that is broadcast; with more than one block the result of each is saved
+before the next is made.
 """
 
 from __future__ import annotations
@@ -19,149 +22,198 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from .work import map_arrow
+from .work import Workspace, free_name, map_arrow, without
 
 WINDOW = 10
 PREFIX = 3
 BLOCK_BYTES = 8 << 20
-_SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False)]), False)
+RESULTS = ["n_words", "spans", "items", "matches"]
+_INT = T.IntegerType()
+_SPAN = T.ArrayType(T.StructType([T.StructField("start", _INT, False), T.StructField("end", _INT, False)]), False)
 _ITEMS = T.ArrayType(T.StringType(), False)
+_MATCHES = T.ArrayType(T.StructType([T.StructField("item", T.StringType(), False), *(T.StructField(n, _INT, False) for n in ("item_start", "start", "length"))]), False)
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, separator: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes with a separator after each text, and how many words each text has."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes with a 0 after each text, and how many words each text has."""
     lower = kernels.LOWER[data]
     starts, ends, text = kernels.spans(lower, offsets, kernels.ALNUM)
     counts = np.bincount(text, minlength=len(offsets) - 1)
-    symbols = np.full(len(starts) + len(counts), separator, np.uint64)
+    symbols = np.zeros(len(starts) + len(counts), np.uint64)
     symbols[np.arange(len(starts)) + text] = kernels.span_hash(lower, starts, ends)
     return symbols, counts
 
 
-class Windows:
-    """The distinct windows of a block of test items, and the items that have each."""
+class Items:
+    """A block of test items: their words, and the suffixes that can hold a window."""
 
     def __init__(self, ids: list[str], texts: list[str | None], width: int):
         data, offsets = kernels.utf8(pa.array(texts, pa.large_string()))
-        symbols, counts = _words(data, offsets, 1)
-        first = np.cumsum(counts + 1) - counts - 1
+        self.ids, self.width = np.array(ids, dtype=object), width
+        self.words, counts = _words(data, offsets)
         each = np.where(counts >= width, counts - width + 1, (counts > 0).astype(np.int64))
-        at = np.repeat(first, each) + kernels.ranges(each)
-        size = np.repeat(np.minimum(counts, width), each)
-        padded = np.concatenate([symbols, np.zeros(width, np.uint64)])
-        rows = padded[at[:, None] + np.arange(width)]
-        rows[np.arange(width) >= size[:, None]] = 0
-        self.ids = np.array(ids, dtype=object)
-        if len(rows):
-            self.rows, window = np.unique(rows, axis=0, return_inverse=True)
-            window = window.reshape(-1)
-        else:
-            self.rows, window = rows, np.zeros(0, np.int64)
-        self.size = (self.rows != 0).sum(axis=1)
-        pairs = np.unique(np.stack([window, np.repeat(np.arange(len(ids)), each)], axis=1), axis=0)
-        self.items, self.item_from = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
+        self.owner = np.repeat(np.arange(len(counts)), each)
+        self.first = (np.cumsum(counts + 1) - counts - 1)[self.owner]
+        self.start = kernels.ranges(each)
+        self.size = np.minimum(counts, width)[self.owner]  # of the window at a suffix's beginning
+        depth = np.minimum(self.size, PREFIX)
         self.prefixes = {}
-        for depth in range(1, min(PREFIX, width) + 1):
-            have = self.rows[np.minimum(self.size, min(PREFIX, width)) == depth]
-            if len(have):
-                keys = np.unique(kernels.gram_hash(have[:, :depth].reshape(-1), depth)[::depth])
+        for d in range(1, min(PREFIX, width) + 1):
+            mine = np.flatnonzero(depth == d)
+            if len(mine):
+                grams = kernels.gram_hash(np.append(self.words, np.zeros(d, np.uint64)), d)[(self.first + self.start)[mine]]
+                keys, which = np.unique(grams, return_inverse=True)
                 table = np.zeros(1 << 20, bool)
                 table[keys >> np.uint64(44)] = True
-                self.prefixes[depth] = keys, table
+                self.prefixes[d] = keys, table, mine, which.reshape(-1)
 
-    def starts(self, symbols: np.ndarray) -> np.ndarray:
-        """Positions at which the prefix of some window begins."""
+    def standing_in(self, symbols: np.ndarray) -> np.ndarray:
+        """The suffixes whose first words stand somewhere among ``symbols``."""
         found = []
-        for depth, (keys, table) in self.prefixes.items():
-            grams = kernels.gram_hash(symbols, depth)
-            at = np.flatnonzero(table[grams >> np.uint64(44)])
-            near = np.minimum(np.searchsorted(keys, grams[at]), len(keys) - 1)
-            found.append(at[keys[near] == grams[at]])
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-
-
-def suffix_array(symbols: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The given positions in the order of the ``depth`` symbols from each, and these symbols."""
-    padded = np.concatenate([symbols, np.zeros(depth, np.uint64)])
-    keys = padded[at[:, None] + np.arange(depth)]
-    order = np.lexsort(keys.T[::-1])
-    return at[order], keys[order]
-
-
-def search(keys: np.ndarray, windows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window the interval of sorted suffixes that begin with its first ``size`` symbols."""
-    column = np.arange(windows.shape[1])
-
-    def bound(upper: bool) -> np.ndarray:
-        low, high = np.zeros(len(windows), np.int64), np.full(len(windows), len(keys))
-        while len(open_ := np.flatnonzero(low < high)):
-            middle = (low[open_] + high[open_]) // 2
-            have, want = keys[middle], windows[open_]
-            differs = (have != want) & (column < size[open_, None])
-            place = differs.argmax(axis=1)
-            row = np.arange(len(open_))
-            right = np.where(differs[row, place], have[row, place] < want[row, place], upper)
-            low[open_] = np.where(right, middle + 1, low[open_])
-            high[open_] = np.where(right, high[open_], middle)
-        return low
-
-    return bound(False), bound(True)
-
-
-def _find(windows: Windows, symbols: np.ndarray, text_of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which symbols are hit, and the (text, item) pairs that share a window."""
-    none = np.zeros(len(symbols), bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = windows.starts(symbols)
-    if not len(at):
-        return none
-    array, keys = suffix_array(symbols, at, windows.rows.shape[1])
-    low, high = search(keys, windows.rows, windows.size)
-    count = high - low
-    window = np.repeat(np.arange(len(count)), count)
-    if not len(window):
-        return none
-    place = array[np.repeat(low, count) + kernels.ranges(count)]
-    hit = kernels.cover(len(symbols), place, windows.size[window])
-    seen = np.unique(text_of[place] * len(count) + window)
-    text, window = seen // len(count), seen % len(count)
-    many = windows.item_from[window + 1] - windows.item_from[window]
-    item = windows.items[np.repeat(windows.item_from[window], many) + kernels.ranges(many)]
-    pairs = np.unique(np.repeat(text, many) * len(windows.ids) + item)
-    return hit, pairs // len(windows.ids), pairs % len(windows.ids)
-
-
-def _search_batch(windows: Windows, part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, before) -> list[pa.Array]:
-    """n_words, spans and items of the texts of a slice; before: spans and items that earlier blocks found."""
+        for d, (keys, table, mine, which) in self.prefixes.items():
+            grams = kernels.gram_hash(symbols, d)
+            grams = grams[table[grams >> np.uint64(44)]]
+            near = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+            there = np.zeros(len(keys), bool)
+            there[near[keys[near] == grams]] = True
+            found.append(mine[there[which]])
+        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+class Shard:
+    """The suffix array of some texts' words. symbols: word hashes with a 0 after each text."""
+
+    def __init__(self, symbols: np.ndarray, counts: np.ndarray):
+        self.known, ids = np.unique(np.append(symbols, np.uint64(0)), return_inverse=True)  # the 0 is the smallest
+        self.ids = ids.reshape(-1)[:-1]
+        self.left = np.repeat(np.cumsum(counts + 1) - 1, counts + 1) - np.arange(len(symbols))
+        self.array = self._sorted()
+
+    def _sorted(self) -> np.ndarray:
+        """Words' places in the order of their suffixes: by the first few words at once, then by doubling where that leaves equals."""
+        ids, left, n = self.ids, self.left, len(self.ids)
+        bits = max(1, len(self.known).bit_length())
+        depth = max(1, 62 // bits)
+        key = np.zeros(n, np.int64)
+        for k in range(depth):
+            key <<= bits
+            key[: n - k] += np.where(left[: n - k] > k, ids[k:], 0) if k else ids
+        at = np.flatnonzero(left > 0)
+        order = at[np.argsort(key[at], kind="stable")]
+        rank = np.zeros(n, np.int64)  # 1 + the first slot of a group of equals; 0 beyond a text
+        new = np.append(True, key[order[1:]] != key[order[:-1]]) if len(order) else np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        rank[order] = np.repeat(begin, np.diff(np.append(begin, len(order)))) + 1
+        longest = int(left.max()) if n else 0
+        slots = np.flatnonzero(np.repeat(np.diff(np.append(begin, len(order))) > 1, np.diff(np.append(begin, len(order)))))
+        while len(slots) and depth <= longest:
+            part = order[slots]
+            follow = np.where(left[part] > depth, rank[np.minimum(part + depth, n - 1)], 0)
+            group = rank[part]
+            sort = np.lexsort((part, follow, group))
+            part, follow, group = part[sort], follow[sort], group[sort]
+            order[slots] = part
+            new = np.append(True, (follow[1:] != follow[:-1]) | (group[1:] != group[:-1]))
+            begin = np.flatnonzero(new)
+            size = np.diff(np.append(begin, len(part)))
+            rank[part] = np.repeat(slots[begin], size) + 1
+            slots = slots[np.repeat(size > 1, size)]
+            depth *= 2
+        return order
+
+    def translated(self, words: np.ndarray) -> np.ndarray:
+        """Twice the number of each word here; odd between its neighbours for one that isn't there."""
+        at = np.searchsorted(self.known, words)
+        there = self.known[np.minimum(at, len(self.known) - 1)] == words
+        return 2 * at - ~there
+
+    def interval(self, queries: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of ``queries`` (translated words) the interval of suffixes that begin with its first ``size`` words."""
+        width = queries.shape[1]
+        column = np.arange(width)
+        padded = np.append(self.ids, np.zeros(width, self.ids.dtype))
+
+        def bound(upper: bool) -> np.ndarray:
+            low, high = np.zeros(len(queries), np.int64), np.full(len(queries), len(self.array))
+            while len(open_ := np.flatnonzero(low < high)):
+                middle = (low[open_] + high[open_]) // 2
+                have, want = 2 * padded[self.array[middle][:, None] + column], queries[open_]
+                differs = (have != want) & (column < size[open_, None])
+                place, row = differs.argmax(axis=1), np.arange(len(open_))
+                right = np.where(differs[row, place], have[row, place] < want[row, place], upper)
+                low[open_] = np.where(right, middle + 1, low[open_])
+                high[open_] = np.where(right, high[open_], middle)
+            return low
+
+        return bound(False), bound(True)
+
+
+def _find(items: Items, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which symbols are hit; and of each match that no other extends to the left: where it begins, the item's suffix, and its length."""
+    hit, none = np.zeros(len(symbols), bool), np.zeros(0, np.int64)
+    asked = items.standing_in(symbols)
+    if not len(asked):
+        return hit, none, none, none
+    shard = Shard(symbols, counts)
+    words = shard.translated(items.words)
+    padded = np.append(words, np.zeros(items.width, words.dtype))
+    begin = items.first[asked] + items.start[asked]
+    low, high = shard.interval(padded[begin[:, None] + np.arange(items.width)], items.size[asked])
+    many = high - low
+    suffix, start = np.repeat(asked, many), np.repeat(begin, many)
+    place = shard.array[np.repeat(low, many) + kernels.ranges(many)]
+    hit = kernels.cover(len(symbols), place, items.size[suffix])
+    # not extended to the left: at the beginning of either text, or after different words
+    first = (items.start[suffix] == 0) | (shard.ids[place - 1] == 0) | (place == 0) | (2 * shard.ids[place - 1] != words[start - 1])
+    suffix, start, place = suffix[first], start[first], place[first]
+    length, active = items.size[suffix].copy(), np.arange(len(suffix))
+    ends = np.append(words, 0)  # words of 0 end an item, and ids of 0 a document
+    while len(active):
+        more = ends[start[active] + length[active]]
+        active = active[(more > 0) & (more == 2 * shard.ids[place[active] + length[active]])]
+        length[active] += 1
+    return hit, place, suffix, length
+
+
+def _lists(values: pa.Array, owner: np.ndarray, n: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), values)
+
+
+def _ints(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.int32))
+
+
+def _search(items: Items, data: np.ndarray, offsets: np.ndarray, before: tuple[pa.ListArray, pa.ListArray, pa.ListArray] | None) -> list[pa.Array]:
+    """n_words, spans, items and matches of the texts of a slice; before: what earlier blocks found."""
     n = len(offsets) - 1
-    symbols, counts = _words(data, offsets, 0)
+    symbols, counts = _words(data, offsets)
     text_of = np.repeat(np.arange(n), counts + 1)
     first = np.cumsum(counts + 1) - counts - 1
-    hit, text, item = _find(windows, symbols, text_of, n)
-    names: list[set[str]] | None = None
+    hit, place, suffix, length = _find(items, symbols, counts)
+    text = text_of[place]
+    order = np.lexsort((items.start[suffix], items.owner[suffix], place))
+    text, place, suffix, length = text[order], place[order], suffix[order], length[order]
+    names = pa.array(items.ids[items.owner[suffix]].tolist(), pa.string())
+    fields = [names, _ints(items.start[suffix]), _ints(place - first[text]), _ints(length)]
+    matches = _lists(pa.StructArray.from_arrays(fields, ["item", "item_start", "start", "length"]), text, n)
+    pairs = np.unique(text * len(items.ids) + items.owner[suffix]) if len(text) else np.zeros(0, np.int64)
+    of = [set() for _ in range(n)]
+    for t, i in zip((pairs // max(len(items.ids), 1)).tolist(), (pairs % max(len(items.ids), 1)).tolist(), strict=True):
+        of[t].add(items.ids[i])
     if before is not None:
-        spans, items = before
-        bounds = np.asarray(spans.offsets)
-        owner = np.repeat(np.arange(n), np.diff(bounds))
-        fields = spans.flatten()
-        start, end = np.asarray(fields.field("start")), np.asarray(fields.field("end"))
+        spans, found, known = before
+        owner = np.repeat(np.arange(n), np.diff(np.asarray(spans.offsets)))
+        start, end = (np.asarray(spans.flatten().field(f)) for f in ("start", "end"))
         hit |= kernels.cover(len(symbols), first[owner] + start, end - start)
-        names = [set(x) for x in items.to_pylist()]
-        for t, i in zip(text.tolist(), item.tolist(), strict=True):
-            names[t].add(windows.ids[i])
+        of = [a | set(b) for a, b in zip(of, found.to_pylist(), strict=True)]
+        matches = pa.array([a + b for a, b in zip(known.to_pylist(), matches.to_pylist(), strict=True)], matches.type)
     starts, ends = kernels.runs(hit)
     owner = text_of[starts]
-    spans = pa.ListArray.from_arrays(
-        pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()),
-        pa.StructArray.from_arrays([pa.array((starts - first[owner]).astype(np.int32)), pa.array((ends - first[owner]).astype(np.int32))], ["start", "end"]),
-    )
-    if names is None:
-        bounds = np.searchsorted(text, np.arange(n + 1)).tolist()
-        found = windows.ids[item].tolist()
-        names = [set(found[a:b]) for a, b in zip(bounds, bounds[1:])]
-    return [pa.array(counts.astype(np.int64)), spans, pa.array([sorted(x) for x in names], pa.list_(pa.string()))]
-
-
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, limit: int = BLOCK_BYTES) -> Iterator[Windows]:
+    spans = _lists(pa.StructArray.from_arrays([_ints(starts - first[owner]), _ints(ends - first[owner])], ["start", "end"]), owner, n)
+    return [pa.array(counts.astype(np.int64)), spans, pa.array([sorted(x) for x in of], pa.list_(pa.string())), matches]
+
+
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, limit: int = BLOCK_BYTES) -> Iterator[Items]:
     """The benchmark in blocks of at most ``limit`` bytes of text (or one longer item); one at least."""
     rows = benchmark.select(benchmark[item_col].cast("string").alias("id"), benchmark[text_col].cast("string").alias("text"))
     ids: list[str] = []
@@ -172,10 +224,10 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, limit
         texts.append(row["text"] or "")
         size += 4 * len(texts[-1])
         if size >= limit:
-            yield Windows(ids, texts, width)
+            yield Items(ids, texts, width)
             ids, texts, size, made = [], [], 0, True
     if ids or not made:
-        yield Windows(ids, texts, width)
+        yield Items(ids, texts, width)
 
 
 def find_overlaps(
@@ -187,57 +239,58 @@ def find_overlaps(
     width: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
     keep: list[str] | None = None,
+    results: list[str] | None = None,
 ) -> DataFrame:
-    """The columns ``keep`` of ``df`` (all by default) with __words, __spans and __items: how many words a text has, which of
-    them (start, end) lie inside an occurrence of a test window, and the ids of the items with such windows.
+    """The columns ``keep`` of ``df`` (all by default) with n_words, spans, items and matches (or the names in ``results``): how many words
+    a text has, which of them (start, end) lie inside an occurrence of a test window, the ids of the items with such windows, and
+    the longest verbatim matches (item, item_start, start, length in words).
 
     Windows are ``width`` consecutive words of an item, or a shorter item as a whole; words are runs of ASCII letters
-    and digits and of non-ASCII characters, in lower case. Null and empty texts have no words, no spans and no items;
-    items without words match nothing; repeated rows are searched each; empty tables on either side give no hits;
-    an item without an id is called null. Item ids are strings.
+    and digits and of non-ASCII characters, in lower case. A match reaches as far as both texts agree. Null and empty texts have no
+    words, no spans and no items; items without words match nothing; repeated rows are searched each; empty tables on
+    either side give no hits; an item without an id is called null. Item ids are strings. Other columns are passed through; one with a
+    result's name gives way to it.
     """
-    keep = df.columns if keep is None else keep
-    context = df.sparkSession.sparkContext
-    text = df[text_col].cast("string").alias("__text")
-    out = df.select(text, *[df[c] for c in keep])
-    kept = [out.schema[c] for c in keep]
-    extra = [T.StructField("__words", T.LongType(), False), T.StructField("__spans", _SPAN, False), T.StructField("__items", _ITEMS, False)]
+    results = results or RESULTS
+    source = without(df if keep is None else df.select(*keep), results)
+    names, text_name = source.columns, free_name("the_text", df)
+    out = df.withColumn(text_name, df[text_col].cast("string")).select(*names, text_name)
+    types = [T.LongType(), _SPAN, _ITEMS, _MATCHES]
+    schema = T.StructType([*out.schema.fields, *(T.StructField(n, t, False) for n, t in zip(results, types, strict=True))])
+    work = Workspace(df.sparkSession, "decontaminate")
 
     def searching(shared, first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for low, high, data, offsets in kernels.text_slices(batch, "__text"):
+                for low, high, data, offsets in kernels.text_slices(batch, text_name):
                     part = batch.slice(low, high - low)
                     before = None
-                    if not first:
-                        spans = part.column("__spans")
-                        before = spans.take(pa.array(np.arange(len(spans)))), part.column("__items")  # offsets from 0
-                    made = _search_batch(shared.value, part, data, offsets, before)
-                    yield pa.RecordBatch.from_arrays([part.column(c) for c in ["__text", *keep]] + made, ["__text", *keep, *[f.name for f in extra]])
+                    if not first:  # taken, so that offsets begin at 0
+                        before = tuple(part.column(c).take(pa.array(np.arange(len(part)))) for c in results[1:])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*names, text_name)), *_search(shared.value, data, offsets, before)], schema.names)
 
         return run
 
-    for number, windows in enumerate(blocks(benchmark, item_col, item_text_col, width, block_bytes)):
-        out = map_arrow(out, searching(context.broadcast(windows), number == 0), T.StructType([T.StructField("__text", T.StringType()), *kept, *extra]))
-    return out.drop("__text")
+    saved = None
+    for number, items in enumerate(blocks(benchmark, item_col, item_text_col, width, block_bytes)):
+        if number:
+            last, saved = saved, work.save(out)
+            work.drop(last)
+            out = saved
+        out = map_arrow(out, searching(df.sparkSession.sparkContext.broadcast(items), number == 0), schema)
+    return out.drop(text_name)
 
 
 def remove_contaminated(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``df`` without a word inside an occurrence of a test window; columns as they were."""
-    found = find_overlaps(df, benchmark, **options)
-    return found.where(F.size("__spans") == 0).drop("__words", "__spans", "__items")
+    results = [free_name(f"the_{n}", df) for n in RESULTS]
+    found = find_overlaps(df, benchmark, results=results, **options)
+    return found.where(F.size(results[1]) == 0).select(*df.columns)
 
 
 def report(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Per row of ``df``: its id, n_words, n_hit, n_items, items, spans, contaminated."""
+    """Per row of ``df``: its id, n_words, n_hit, n_items, items, spans, contaminated, matches."""
     found = find_overlaps(df, benchmark, keep=[id_col], **options)
-    hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda total, s: total + (s["end"] - s["start"]))
-    return found.select(
-        id_col,
-        F.col("__words").alias("n_words"),
-        hit.alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
-        F.col("__items").alias("items"),
-        F.col("__spans").alias("spans"),
-        (F.size("__spans") > 0).alias("contaminated"),
-    )
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + (s["end"] - s["start"]))
+    many, dirty = F.size("items").cast("long"), F.size("spans") > 0
+    return found.select(id_col, "n_words", hit.alias("n_hit"), many.alias("n_items"), "items", "spans", dirty.alias("contaminated"), "matches")

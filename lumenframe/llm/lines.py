@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from .work import Workspace, map_arrow
+from .work import Workspace, free_name, integer_id, join_by_size, map_arrow, without
 
 WIDTH = 3
 LINE_FEED = 0x0A
@@ -56,49 +56,55 @@ def _windows(df: DataFrame, width: int) -> DataFrame:
     return map_arrow(df, run, T.StructType([T.StructField(n, long) for n in names]))
 
 
-def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """``df`` with the lines of repeated windows taken out of ``text_col``, and __lines and __removed (how many).
+RESULTS = ["n_lines", "n_removed"]
 
-    A window is ``width`` consecutive lines of a text, compared as they are. Of equal windows the first by (id, line number) stays;
-    every line that a later one covers goes, in all texts, judged on the input. Line feeds separate lines, so an
+
+def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, results: list[str] | None = None) -> DataFrame:
+    """``df`` with the lines of repeated windows taken out of ``text_col``, and n_lines and n_removed (or the names in ``results``): how many.
+
+    A window is ``width`` consecutive lines of a text, compared as they are (by 128 bits of hash). Of equal windows the first by (id, line
+    number) stays; every line that a later one covers goes, in all texts, judged on the input. Line feeds separate lines, so an
     empty text is one empty line; null stays null and has no lines. Texts of fewer lines than ``width`` and rows with
-    a null id stay as they are; rows that repeat an id are one document and lose the same lines. An empty table
-    gives no rows. Other columns are passed through.
+    a null id stay as they are; rows that repeat an id are one document and lose the same lines. Ids are integers. An empty table
+    gives no rows. Other columns are passed through; one with a result's name gives way to it.
     """
     work = Workspace(df.sparkSession, "lines")
-    keyed = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text")).where("id is not null")
-    windows = work.save(_windows(keyed, width))
-    firsts = windows.groupBy("h", "g").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    repeated = work.save(windows.join(firsts.drop("n"), ["h", "g"]))
-    place = repeated.where("id = low").groupBy("h", "g").agg(F.min("pos").alias("at"))
-    later = repeated.join(place, ["h", "g"]).where("id > low or pos > at")
-    gone = later.groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("__gone")).withColumnRenamed("id", "__id")
-    joined = df.withColumn("__text", df[text_col].cast("string")).join(gone, df[id_col] == F.col("__id"), "left").drop("__id")
-    return _rebuild(joined, df, text_col, width)
-
-
-def _rebuild(joined: DataFrame, df: DataFrame, text_col: str, width: int) -> DataFrame:
-    fields = [T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in df.schema.fields]
-    schema = T.StructType([*fields, T.StructField("__lines", T.LongType(), False), T.StructField("__removed", T.LongType(), False)])
+    ids, results = integer_id(df, id_col), results or RESULTS
+    windows = work.save(_windows(df.select(ids.alias("id"), df[text_col].cast("string").alias("text")).where("id is not null"), width))
+    firsts = work.save(windows.groupBy("h", "g").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1"))
+    repeated = work.save(join_by_size(windows, firsts, ["h", "g"], "n", windows.count()))
+    work.drop(windows, firsts)
+    place = work.save(repeated.where("id = low").groupBy("h", "g").agg(F.min("pos").alias("at"), F.first("n").alias("n")))
+    later = join_by_size(repeated.drop("n"), place, ["h", "g"], "n", repeated.count()).where("id > low or pos > at")
+    gone = later.groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    text_name, gone_name, key_name = (free_name(n, df) for n in ("the_text", "the_gone", "the_key"))
+    joined = df.withColumn(text_name, df[text_col].cast("string")).join(gone.toDF(key_name, gone_name), ids == F.col(key_name), "left").drop(key_name)
+    return _rebuild(joined, without(df, results), text_col, text_name, gone_name, width, results)
+
+
+def _rebuild(joined: DataFrame, kept: DataFrame, text_col: str, text_name: str, gone_name: str, width: int, results: list[str]) -> DataFrame:
+    fields = [T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in kept.schema.fields]
+    schema = T.StructType([*fields, *(T.StructField(n, T.LongType(), False) for n in results)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone = batch.column("__text"), batch.column("__gone").to_pylist()
-            valid = texts.is_valid().to_numpy(zero_copy_only=False)
-            data, offsets = kernels.utf8(texts)
-            feeds = np.bincount(np.searchsorted(offsets, np.flatnonzero(data == LINE_FEED), "right") - 1, minlength=len(valid))
-            lines = np.where(valid, feeds + 1, 0)
-            removed = np.zeros(len(valid), np.int64)
-            out = texts
-            if any(gone):
-                new = texts.to_pylist()
-                for i, at in enumerate(gone):
-                    if at:
-                        hit = kernels.cover(int(lines[i]), np.array(at), width)
+            for low, high, data, offsets in kernels.text_slices(batch, text_name):
+                part = batch.slice(low, high - low)
+                texts, gone = part.column(text_name), part.column(gone_name)
+                valid = texts.is_valid().to_numpy(zero_copy_only=False)
+                feeds = np.bincount(np.searchsorted(offsets, np.flatnonzero(data == LINE_FEED), "right") - 1, minlength=len(valid))
+                lines = np.where(valid, feeds + 1, 0)
+                removed = np.zeros(len(valid), np.int64)
+                some = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False) & valid)
+                if len(some):
+                    new = texts.to_pylist()
+                    for i in some.tolist():
+                        at = np.array(gone[i].as_py())
+                        hit = kernels.cover(int(lines[i]), at[at < lines[i]], width)
                         removed[i] = int(hit.sum())
                         new[i] = "\n".join(line for line, drop in zip(new[i].split("\n"), hit, strict=True) if not drop)
-                out = pa.array(new, pa.string())
-            columns = [out if f.name == text_col else batch.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines.astype(np.int64)), pa.array(removed)], schema.names)
+                    texts = pa.array(new, pa.string())
+                columns = [texts if f.name == text_col else part.column(f.name) for f in fields]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lines.astype(np.int64)), pa.array(removed)], schema.names)
 
-    return map_arrow(joined, run, schema)
+    return map_arrow(joined.select(*[c for c in kept.columns if c != text_col], text_name, gone_name), run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, lines, minhash, packing, pii, quality, substrings, suffixes, token_counts
+from . import ann, decontaminate, lines, minhash, oracles, packing, pii, quality, substrings, suffixes, token_counts
 
 #: The key of the registered query only; a real one is a secret.
 PII_KEY = "example"
@@ -46,12 +46,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = quality.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return kept.select("doc_id", F.col("__log_weight").alias("log_weight"))
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,22 +86,12 @@ QUERIES: dict[str, Query] = {
     "op10_neighbours": op10_neighbours,
 }
 
-_LINES_SQL = """
-    with rows as (select doc_id, text, string_split(text, chr(10)) as l from documents),
-    windows as (
-      select doc_id, p, sha256(concat_ws(chr(10), l[p], l[p + 1], l[p + 2])) as w
-      from (select doc_id, l, unnest(range(1, len(l) - 1)) as p from rows)),
-    later as (
-      select doc_id, p from (select doc_id, p, row_number() over (partition by w order by doc_id, p) as k from windows) where k > 1),
-    gone as (select doc_id, list(distinct p + d) as g from later, (select unnest([0, 1, 2]) as d) group by doc_id),
-    kept as (
-      select r.doc_id, r.text, r.l, list_filter(range(1, len(r.l) + 1), lambda i: g is null or not list_contains(g, i)) as k
-      from rows r left join gone using (doc_id))
-    select doc_id, coalesce(len(l), 0)::bigint as n_lines, coalesce(len(l) - len(k), 0)::bigint as n_removed,
-      case when text is not null then sha256(coalesce(array_to_string(list_transform(k, lambda i: l[i]), chr(10)), '')) end as kept_sha256
-    from kept"""
-
 ORACLES: dict[str, str] = {
-    "op5_line_dedup": _LINES_SQL,
+    "op2_decontamination": oracles.DECONTAMINATION,
+    "op3_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op4_substring_dedup": oracles.PASSAGES,
+    "op5_line_dedup": oracles.LINES,
+    "op8_suffix_dedup": oracles.BYTES,
     "op9_pii": pii.oracle(PII_KEY),
+    "op10_neighbours": oracles.NEIGHBOURS,
 }

@@ -33,8 +33,8 @@ from .work import Workspace, join_by_size, map_arrow, split_by_size, tasks
 
 #: Distinct segments of a few hundred bytes that an index of one shard may hold.
 SPLIT = 2_000
-#: Bytes of segments in one task; an index takes some sixty times as much memory while it is built.
-SHARD_BYTES = 4 << 20
+#: Bytes of segments of words, and of bytes, in one task: so many that an index takes some 300 MB while it is built.
+SHARD_BYTES = {True: 4 << 20, False: 3 << 19}
 #: Bits of a place that hold a run's number of windows.
 COUNT_BITS = 16
 _LONG = T.LongType()
@@ -234,7 +234,7 @@ def repeated_windows(
     twice. The index, or ``value`` of the smallest key and the number of a window's occurrences, says a number of it; said(number, key)
     tells if it goes.
     """
-    spark, across = docs.sparkSession, scheme.words
+    spark, across, shard = docs.sparkSession, scheme.words, SHARD_BYTES[scheme.words]
     low = F.min("key") if across else F.lit(0).cast("long")
     places = work.save(_places(scheme, docs))
     again = F.min("key") < F.max("key") if across else F.sum(F.size("places")) > 1
@@ -248,12 +248,12 @@ def repeated_windows(
     same = segments.groupBy("shard", "h", "g")
     distinct = work.save(same.agg(low.alias("low"), F.sum(F.size("at")).alias("n"), F.count("*").alias("texts"), F.first("symbols").alias("symbols")))
     sizes = distinct.groupBy("shard").agg(F.count("*").alias("many"), F.sum(F.octet_length("symbols")).alias("bytes"))
-    large = work.save(sizes.where((F.col("many") > (split or SPLIT)) | (F.col("bytes") > SHARD_BYTES)).select("shard", "many"))
+    large = work.save(sizes.where((F.col("many") > (split or SPLIT)) | (F.col("bytes") > shard)).select("shard", "many"))
     size = distinct.agg(F.sum(F.octet_length("symbols"))).first()[0] or 0
     indexed = distinct
     if split_up := not large.isEmpty():
         beyond, indexed = split_by_size(distinct, large, ["shard"], "many", distinct.count())
-    known = work.save(_indexed(scheme, indexed.repartition(tasks(spark, size, SHARD_BYTES), "shard"), index))
+    known = work.save(_indexed(scheme, indexed.repartition(tasks(spark, size, shard), "shard"), index))
     every = known.unionByName(_counted(scheme, beyond.drop("many"), value, work)) if split_up else known
     hits = join_by_size(segments.select("shard", "h", "g", "key", "at"), every, ["shard", "h", "g"], "texts", segments.count())
     hits = hits.select("key", "at", F.transform("windows", lambda v: said(v, F.col("key"))).alias("hit")).where(F.exists("hit", lambda h: h))

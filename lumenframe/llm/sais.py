@@ -104,10 +104,10 @@ def _induce(s: np.ndarray, size: int, small: np.ndarray, seeds: np.ndarray) -> n
     up = _Scan(s, size, ~small, seeds)
     up.push(np.array([len(s) - 1]), s[-1:])  # what the end of the string induces comes first
     found = up.run()
+    del up  # one scan's tables at a time
     found = found[found >= 0]
-    large = found[~small[found]]
-    down = _Scan(size - 1 - s, size, small, large[::-1])
-    return down.run()[::-1]
+    found = found[~small[found]]  # the larger suffixes
+    return _Scan(size - 1 - s, size, small, found[::-1]).run()[::-1]
 
 
 def _names(s: np.ndarray, ordered: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -149,7 +149,9 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         else:
             name = np.zeros(n, np.int32)
             name[ordered] = names
-            seeds = seeds[suffix_array(name[seeds])]
+            name = name[seeds]
+            del first, is_seed, ordered, end, names
+            seeds = seeds[suffix_array(name)]
     return _induce(s, size, small, seeds)
 
 

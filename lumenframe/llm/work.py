@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.arrow import map_arrow
 from ..functions.storage import Workspace, free_name, shared_folder
 
-__all__ = ["Workspace", "free_name", "integer_id", "join_by_size", "map_arrow", "shared_folder", "split_by_size", "tasks", "wide_key", "without"]
+__all__ = ["Workspace", "free_name", "integer_id", "join_by_size", "map_arrow", "salted_join", "shared_folder", "split_by_size", "tasks", "wide_key", "without"]
 
 #: A key with more than 1 / MOST_HOT of all rows is hot; so there are fewer than MOST_HOT hot keys, however large the tables.
 MOST_HOT = 10_000
@@ -57,3 +57,18 @@ def split_by_size(left: DataFrame, right: DataFrame, on: list[str], size: str, t
 def join_by_size(left: DataFrame, right: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
     """The first part of ``split_by_size``."""
     return split_by_size(left, right, on, size, total)[0]
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: str, spread: str, sizes: DataFrame, size: str, total: int) -> DataFrame:
+    """``left`` joined with ``right``, whose keys are unique and whose rows may be large. sizes: keys with, in ``size``, how many of the
+    ``total`` rows of ``left`` have each.
+
+    A hot key is dealt into parts by the column ``spread`` and its row of ``right`` repeated for each part; what is broadcast are the hot
+    keys alone, fewer than ``MOST_HOT``."""
+    limit = max(FEW, total // MOST_HOT)
+    parts, salt = free_name("parts", left, right), free_name("salt", left, right)
+    hot = F.broadcast(sizes.where(F.col(size) > limit).select(on, F.ceil(F.col(size) / limit).cast("int").alias(parts)))
+    many = F.coalesce(parts, F.lit(1))
+    dealt = left.join(hot, on, "left").withColumn(salt, F.pmod(F.hash(spread), many)).drop(parts)
+    copies = right.join(hot, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), many - 1))).drop(parts)
+    return dealt.join(copies, [on, salt]).drop(salt)

@@ -13,6 +13,7 @@ from lumenframe.llm.fm_index import FmIndex
 from oracle import SF, assert_equal
 
 SPACE = re.compile("[^\x20\x09-\x0d]+")
+ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 DOCS = "doc_id long, text string, found string, start string, hit string"
 
 
@@ -134,25 +135,41 @@ def test_token_histogram(spark, texts):
         assert r.truncated_total == np.minimum(lengths, r.length).sum() and r.total_tokens == lengths.sum() and r.quantile == pytest.approx((lengths <= r.length).mean())
 
 
+def overlaps_by_force(words, items, width=10):
+    """(hit places, item names, maximal matches) of a text's words."""
+    hit, names, matches = set(), set(), set()
+    for name, text in items:
+        x = ALNUM.findall(lower(text or ""))
+        n = min(width, len(x))
+        for a in range(len(x) - n + 1) if n else ():
+            for b in range(len(words) - n + 1):
+                if words[b : b + n] == x[a : a + n]:
+                    hit.update(range(b, b + n))
+                    names.add(name)
+                    if not a or not b or x[a - 1] != words[b - 1]:
+                        size = n
+                        while a + size < len(x) and b + size < len(words) and x[a + size] == words[b + size]:
+                            size += 1
+                        matches.add((name, a, b, size))
+    return hit, names, matches
+
+
 @pytest.mark.parametrize("block", [1 << 20, 40])
 def test_decontamination(spark, texts, block):
     items = [(1, texts[64][1]), (2, "abc"), (3, None), (4, ""), (None, " ".join(texts[63][1].split(" ")[5:30])), (6, texts[64][1])]
-    found = {r.doc_id: r for r in decontaminate.report(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block).collect()}
-    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = docs(spark, texts).withColumn("spans", F.lit("mine")).withColumn("the_text", F.lit("x"))
+    found = {r.doc_id: r for r in decontaminate.report(rows, benchmark, block_bytes=block).collect()}
+    named = [("null" if i is None else str(i), t) for i, t in items]
     for i, t in texts:
-        w, hit, names = word.findall(lower(t or "")), set(), set()
-        for name, text in items:
-            x = word.findall(lower(text or ""))
-            n = min(10, len(x))
-            for k in {tuple(x[a : a + n]) for a in range(len(x) - n + 1)} if n else set():
-                for a in range(len(w) - n + 1):
-                    if tuple(w[a : a + n]) == k:
-                        hit.update(range(a, a + n))
-                        names.add(str(name) if name is not None else "null")
+        w = ALNUM.findall(lower(t or ""))
+        hit, names, matches = overlaps_by_force(w, named)
         r = found[i]
         assert (r.n_words, r.n_hit, r["items"], r.contaminated) == (len(w), len(hit), sorted(names), bool(hit))
-    clean = decontaminate.remove_contaminated(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
-    assert clean.columns == ["doc_id", "text", "found", "start", "hit"] and clean.count() == sum(not r.contaminated for r in found.values())
+        assert sorted(tuple(m) for m in r.matches) == sorted(matches)
+    clean = decontaminate.remove_contaminated(rows, benchmark, block_bytes=block)
+    assert clean.columns == rows.columns and clean.count() == sum(not r.contaminated for r in found.values())
+    assert {(r.spans, r.the_text) for r in clean.collect()} == {("mine", "x")}
 
 
 def shingles(t, k):
@@ -205,6 +222,17 @@ def test_near_duplicates_of_a_broken_up_group(spark):
     assert out == {i: root(i) for i in sets}
 
 
+def test_similar_pairs_of_many_small_sets():
+    """Short texts with a shingle in common: no more memory than their candidates need, and the same pairs as by trying all."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.append(rng.integers(0, 400, int(rng.integers(1, 9))), 7)).astype(np.uint64) for _ in range(160)]
+    sets += [np.unique(np.append(s[:-1], np.uint64(900 + i))) for i, s in enumerate(sets[:60])]
+    x, y = sets[:70], sets[70:]
+    packed = lambda s: (np.concatenate(s), np.concatenate([[0], np.cumsum([len(z) for z in s])]))
+    got = set(zip(*(z.tolist() for z in minhash.similar_pairs(packed(x), packed(y), 80)), strict=True))
+    assert got == {(i, j) for i, a in enumerate(x) for j, b in enumerate(y) if 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b))}
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51), (51, 50), (7, 7)], "u long, v long")
     out = {r.node: r.component for r in components.components(links, work.Workspace(spark, "test")).collect()}
@@ -325,8 +353,15 @@ def test_fm_index():
 
 def test_repeated_lines(spark):
     rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny"), (3, None), (4, ""), (5, "a\nb"), (6, "q\nq\nq\nq\nq"), (None, "a\nb\nc"), (7, "b\nc\nd\n")]
-    out = {r.doc_id: (r.text, r["__lines"], r["__removed"]) for r in lines.drop_repeated_lines(docs(spark, rows)).collect()}
+    frame = clashing(docs(spark, rows)).withColumn("the_gone", F.lit("x"))
+    result = lines.drop_repeated_lines(frame)
+    assert result.columns == [c for c in frame.columns if c != "n_removed"] + lines.RESULTS
+    out = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in result.collect()}
     assert out == {1: ("a\nb\nc\nd", 4, 0), 2: ("x\ny", 5, 3), 3: (None, 0, 0), 4: ("", 1, 0), 5: ("a\nb", 2, 0), 6: ("q", 5, 4), None: ("a\nb\nc", 3, 0), 7: ("", 4, 3)}
+    twice = lines.drop_repeated_lines(docs(spark, [(1, "a\nb\nc"), (1, "a\nb"), (0, "a\nb\nc")]))
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in twice.collect()) == [(0, "a\nb\nc", 0), (1, "", 2), (1, "", 3)]  # rows of one id lose the same lines
+    with pytest.raises(ValueError, match="integer"):
+        lines.drop_repeated_lines(frame.withColumn("doc_id", F.lit("x")))
 
 
 def test_surrogates(spark):
@@ -359,19 +394,74 @@ def test_no_surrogate_is_its_entity(spark):
     assert audit.n_unchanged == 0 and audit.collisions == 0
 
 
-def test_quality_keeps_clean_and_drops_bad_documents(spark):
+def grams_by_force(t):
+    words = ALNUM.findall(lower(t or ""))
+    out = set()
+    for w in (w.encode() for w in words):
+        out |= {("begins", w[:n]) for n in quality.BEGINNINGS if len(w) >= n} | ({("ends", w[-3:])} if len(w) >= 3 else set())
+    return out | {("again",) for a, b in zip(words, words[1:]) if a == b}
+
+
+def weights_by_force(texts, target):
+    """log p_target / p_raw of each text by the models of the others, n-grams by themselves instead of buckets."""
+    sets = {i: grams_by_force(t) for i, t in texts}
+    out = {}
+    for i, own in sets.items():
+        others = [j for j in sets if j != i]
+        inside = [j for j in others if j in target]
+        out[i] = 0.0
+        for g in own:
+            expected = sum(g in sets[j] for j in others) * len(inside) / len(others)
+            x = np.log((sum(g in sets[j] for j in inside) + quality.PRIOR) / (expected + quality.PRIOR))
+            out[i] += x if abs(x) >= np.log(quality.MARGIN) else 0.0
+    return out
+
+
+def vile_corpus():
     rng = np.random.default_rng(0)
-    good, bad, text, labels = [f"word{i}" for i in range(300)], ["vile", "nasty", "awful"], [], []
-    for i in range(600):
-        w = list(rng.choice(good, 40))
+    good, bad, text, labels = [f"word{'abcdefgh'[i % 8]}{i}" for i in range(60)], ["vile", "nasty", "awful"], [], []
+    for i in range(240):
+        w = list(rng.choice(good, 20))
         if i % 4 == 0:
-            for j in rng.choice(40, 3, replace=False):
+            for j in rng.choice(20, 3, replace=False):
                 w[j] = rng.choice(bad) + rng.choice(["er", "ing", "s"])
         text.append((i, " ".join(w)))
-        labels.append((i, 1, int(i % 4 == 0)))
-    kept = {r.doc_id for r in quality.resample(docs(spark, [*text, (600, None)]), spark.createDataFrame([x for x in labels if x[0] % 3], "doc_id long, quality int, toxic int")).collect()}
-    held = [i for i in range(600) if i % 3 == 0]
-    assert all(i in kept for i in held if i % 4) and not any(i in kept for i in held if i % 4 == 0) and 600 in kept
+        if i % 3:
+            labels.append((i, 1, int(i % 4 == 0)))
+    return text, labels
+
+
+def test_quality_weights_and_sample_equal_brute_force(spark):
+    text, labels = vile_corpus()
+    rows, table = [*text, (600, None), (601, "")], spark.createDataFrame([*labels, (None, 1, 1), (5, None, 0)], "doc_id long, quality int, toxic int")
+    want = weights_by_force(rows, {i for i, _, t in labels if not t})
+    frame = docs(spark, rows).withColumn("log_weight", F.lit("mine")).withColumn("the_id", F.lit("x"))
+    all_of_them = {r.doc_id: r.log_weight for r in quality.resample(frame, table, k=len(rows)).collect()}
+    assert set(all_of_them) == set(want) and all(all_of_them[i] == pytest.approx(want[i], abs=1e-4) for i in want)
+    gumbel = {r.doc_id: r.g for r in frame.select("doc_id", quality.noise(F.col("doc_id"), quality.SEED).alias("g")).collect()}
+    for k in (1, 50, 200):
+        top = sorted(want, key=lambda i: -(all_of_them[i] + gumbel[i]))[:k]
+        assert {r.doc_id for r in quality.resample(frame, table, k=k).collect()} == set(top)
+    known = [(want[i], not t) for i, _, t in labels]
+    cut = quality.best_cut(np.array([w for w, _ in known]), np.array([g for _, g in known]))
+    errors = lambda c: sum((w >= c) != g for w, g in known)
+    assert errors(cut) == min(errors(c) for c, _ in known)
+    kept = quality.resample(frame, table)
+    assert kept.count() == sum(w >= cut - 1e-3 for w in want.values()) and kept.columns == [c for c in frame.columns if c != "log_weight"] + ["log_weight"]
+
+
+def test_quality_keeps_clean_and_drops_bad_documents(spark):
+    text, labels = vile_corpus()
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.resample(docs(spark, [*text, (600, None)]), table).collect()}
+    held = [i for i in range(240) if i % 3 == 0]
+    assert sum(i in kept for i in held if i % 4) >= 0.95 * sum(i % 4 > 0 for i in held) and sum(i in kept for i in held if i % 4 == 0) <= 2 and 600 in kept
+    repeated = docs(spark, [*text, text[1], text[1], (None, text[1][1]), (None, None)])
+    assert quality.resample(repeated, table).where("doc_id is null").count() == 2  # ties and repeats don't crash, null ids are rows like others
+    one_kind = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.resample(docs(spark, text), one_kind).count() == len(text)
+    with pytest.raises(ValueError, match="integer"):
+        quality.resample(spark.createDataFrame([("a", "b")], "doc_id string, text string"), table)
 
 
 def test_threshold_takes_exactly_k(spark):
@@ -380,31 +470,72 @@ def test_threshold_takes_exactly_k(spark):
         assert keys.where(F.col("key") >= quality._threshold(keys, k)).count() == k
 
 
+def nearest_by_force(vectors, asked, k=5):
+    """Of each asked id the k best (id, cosine)."""
+    ids = sorted(vectors)
+    x = np.array([vectors[i] for i in ids], float)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    out = {}
+    for q in asked:
+        s = unit @ unit[ids.index(q)]
+        out[q] = [(ids[j], s[j]) for j in sorted((j for j in range(len(ids)) if ids[j] != q), key=lambda j: (-round(s[j], 12), ids[j]))[:k]]
+    return out
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 16))
     x[100:140] = x[100]  # ties
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (750, [0.0] * 16), (800, [float("nan")] * 16), (850, [1.0] * 3), (None, x[0].tolist())]
+    x[3], x[50] = x[3] * 1e200, x[50] * 1e-200  # squares beyond doubles
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (750, [0.0] * 16), (800, [float("nan")] * 16), (None, x[0].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    out = ann.nearest(df, df.where("vec_id % 50 = 0"), pivots=64, prefix=24, shard=128, least=64)
-    got = {}
-    for r in out.orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    assert set(got) == set(range(0, 600, 50))
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = df.where("vec_id % 50 = 0")
+    odd = df.unionAll(spark.createDataFrame([(850, [1.0] * 3), (851, [1.0] * 900), (852, [2.0, 1.0, 0.0])], df.schema))
+    lists = []
+    for table, questions in ((df, asked), (odd, odd.where("vec_id % 50 = 0"))):
+        got = {}
+        for r in ann.nearest(table, questions, pivots=64, prefix=24, shard=128, reranked=300).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        lists.append(got)
+    got, with_odd = lists
+    assert with_odd.pop(850) == [(852, pytest.approx(3 / np.sqrt(15)))] and with_odd == got  # odd vectors change nothing but themselves
+    want = nearest_by_force(dict(enumerate(x)), range(0, 600, 50))
+    assert set(got) == set(want)
     hit = 0
     for q, found in got.items():
-        s = unit @ unit[q]
-        s[q] = -9
-        best = sorted(range(600), key=lambda i: (-round(s[i], 12), i))[:5]
-        hit += len({v for v, _ in found} & set(best))
+        exact = dict(want[q])
+        hit += sum(v in exact for v, _ in found)
         assert len(found) == 5 and all(a[1] > b[1] or (a[1] == b[1] and a[0] < b[0]) for a, b in zip(found, found[1:]))
-        assert [v[1] for v in found] == pytest.approx([s[v] for v, _ in found])
+        assert all(s == pytest.approx(exact[v]) for v, s in found if v in exact)
     assert hit >= 0.9 * 5 * len(got) and [v for v, _ in got[100]] == [101, 102, 103, 104, 105]
     few = df.where("vec_id < 3")
     assert ann.nearest(few, few).count() == 6
 
 
+def test_neighbours_beside_many_copies(spark):
+    """A third of all rows are one vector: the index still finds the others' neighbours."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 16))
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = nearest_by_force(dict(enumerate(x)), range(50, 900, 50))
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0 and vec_id > 0"), pivots=64, prefix=24, shard=256, reranked=250).collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    assert sum(len({v for _, v in got[q]} & {v for v, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_recall_on_a_whole_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    vectors = {r.vec_id: r.embedding for r in table.collect()}
+    want = nearest_by_force(vectors, [i for i in vectors if i % 50 == 0])
+    got = {}
+    for r in queries.op10_neighbours(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & {v for v, _ in want[q]}) for q in want) >= 0.97 * 5 * len(want)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, name):
     assert_equal(spark, queries.QUERIES[name], queries.ORACLES[name])
