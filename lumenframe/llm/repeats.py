@@ -8,7 +8,8 @@ one shard, and only runs whose key gram occurs elsewhere too are sent there at a
 1. every text's runs (key gram, text, places) are counted by key gram, with partial aggregation;
 2. runs with a repeated key gram are joined back to their texts, which give the *segments*: the bytes of a run;
 3. equal segments are merged (with how many there are, and the smallest id), so copies cost no more than one;
-4. each shard of distinct segments is indexed - by the caller - and tells of each segment's windows what its occurrences are;
+4. each shard of distinct segments is indexed - by the caller - and tells of each segment's windows what its occurrences are (a shard
+   in which that is plain from the numbers of copies needs no index);
 5. that is joined back to the runs, and to the texts.
 
 Hashes of grams only bring together what may be equal; an index compares the segments' own bytes. Equal segments are known by 128 bits of
@@ -31,8 +32,9 @@ from pyspark.sql import types as T
 from . import kernels
 from .work import Workspace, join_by_size, map_arrow, split_by_size, tasks
 
-#: Distinct segments of a few hundred bytes that an index of one shard may hold.
-SPLIT = 2_000
+#: Distinct segments that an index of one shard may hold, and their bytes.
+SPLIT = 20_000
+SPLIT_BYTES = 8 << 20
 #: Bytes of segments of words, and of bytes, in one task: so many that an index takes some 300 MB while it is built.
 SHARD_BYTES = {True: 4 << 20, False: 3 << 19}
 #: Bits of a place that hold a run's number of windows.
@@ -73,6 +75,15 @@ class Scheme:
             return np.arange(len(data) + 1)
         return np.concatenate([[0], np.flatnonzero(data == 0x20) + 1])
 
+    def undecided(self, group: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which segments an index must be asked for, by their shards and numbers of copies. Words: the smallest document of a segment is that of
+        all its windows where no other segment is in the shard; bytes: all windows of a shard repeat where all its segments do."""
+        return (np.bincount(group) > 1)[group] if self.words else (np.bincount(group, weights=n == 1) > 0)[group]
+
+    def plain(self, low: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """What the index would say of the windows of other segments."""
+        return low if self.words else (n > 1).astype(np.int64)
+
     def grams(self, symbols: np.ndarray) -> np.ndarray:
         return kernels.gram_hash(symbols, self.gram) if self.words else kernels.byte_gram_hash(symbols, self.gram)
 
@@ -181,10 +192,15 @@ def _indexed(scheme: Scheme, distinct: DataFrame, index: Indexer) -> DataFrame:
         if not parts:
             return
         table = pa.Table.from_batches(parts)
+        low, n = (table.column(c).to_numpy() for c in ("low", "n"))
         data, bounds = _joined(parts)
-        value = index(data, bounds, table.column("low").to_numpy(), table.column("n").to_numpy())
-        sizes = np.diff(np.searchsorted(scheme.begins(data, bounds), bounds))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes - scheme.length + 1)]), pa.int32()), pa.array(value))
+        windows = np.diff(np.searchsorted(scheme.begins(data, bounds), bounds)) - scheme.length + 1
+        value = np.repeat(scheme.plain(low, n), windows)
+        asked = scheme.undecided(np.unique(table.column("shard").to_numpy(), return_inverse=True)[1], n)
+        if asked.any():
+            some = np.concatenate([[0], np.cumsum(np.diff(bounds)[asked])])
+            value[np.repeat(asked, windows)] = index(data[np.repeat(asked, np.diff(bounds))], some, low[asked], n[asked])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(windows)]), pa.int32()), pa.array(value))
         yield from pa.Table.from_arrays([*(table.column(n) for n in names), lists], schema.names).to_batches(max_chunksize=4096)
 
     return map_arrow(distinct, run, schema)
@@ -248,7 +264,7 @@ def repeated_windows(
     same = segments.groupBy("shard", "h", "g")
     distinct = work.save(same.agg(low.alias("low"), F.sum(F.size("at")).alias("n"), F.count("*").alias("texts"), F.first("symbols").alias("symbols")))
     sizes = distinct.groupBy("shard").agg(F.count("*").alias("many"), F.sum(F.octet_length("symbols")).alias("bytes"))
-    large = work.save(sizes.where((F.col("many") > (split or SPLIT)) | (F.col("bytes") > shard)).select("shard", "many"))
+    large = work.save(sizes.where((F.col("many") > (split or SPLIT)) | (F.col("bytes") > SPLIT_BYTES)).select("shard", "many"))
     size = distinct.agg(F.sum(F.octet_length("symbols"))).first()[0] or 0
     indexed = distinct
     if split_up := not large.isEmpty():

@@ -269,7 +269,7 @@ def maximal_runs(at):
     return out
 
 
-@pytest.mark.parametrize("split", [1, 2_000])
+@pytest.mark.parametrize("split", [1, 20_000])
 def test_repeated_passages(spark, texts, split):
     gone = removed_words(texts)
     rows = clashing(docs(spark, [*texts, (None, texts[64][1])]))
@@ -310,7 +310,7 @@ def removed_bytes(rows, length):
     return out
 
 
-@pytest.mark.parametrize("split", [1, 2_000])
+@pytest.mark.parametrize("split", [1, 20_000])
 def test_repeated_bytes(spark, texts, split):
     rows = [*texts, (None, texts[1][1]), (70, "ab" * 400), (71, "é" * 150)]
     out = {r.doc_id: r for r in suffixes.drop_repeated_bytes(clashing(docs(spark, rows)), length=100, gram=24, split=split).collect()}
