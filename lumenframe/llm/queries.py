@@ -64,7 +64,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
-    n = F.size("__entities").cast("long")
+    n = F.size("entities").cast("long")
     return out.select("doc_id", n.alias("n_entities"), (n > 0).alias("changed"), "text")
 
 
