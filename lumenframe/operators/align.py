@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..functions.arrow import map_arrow
 
 
@@ -42,6 +43,45 @@ def info_nce(image: np.ndarray, gene: np.ndarray, tau: float) -> float:
     return soft_loss(image, gene, np.eye(len(image)), tau)
 
 
+def _similarities(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
+    """(batch, i, j, value): dot products of the unit vectors (batch, id, v) of each batch; a batch is some tens of rows."""
+    pairs = a.select("batch", F.col("id").alias("i"), F.col("v").alias("x")).join(b.select("batch", F.col("id").alias("j"), F.col("v").alias("y")), "batch")
+    return pairs.select("batch", "i", "j", S.dot(F.col("x"), F.col("y")).alias(value))
+
+
+def _units(rows: DataFrame, key: str, batch: str, vector: str) -> DataFrame:
+    return rows.select(F.col(batch).alias("batch"), F.col(key).alias("id"), S.l2_normalised(F.col(vector)).alias("v"))
+
+
+def _soft(scores: DataFrame, row: str, score: str, name: str) -> DataFrame:
+    """``scores`` with ``name``, the softmax of a row's scores in its batch."""
+    across = Window.partitionBy("batch", row)
+    shifted = scores.withColumn(name, F.exp(F.col(score) - F.max(score).over(across)))
+    return shifted.withColumn(name, F.col(name) / F.sum(name).over(across))
+
+
+def target_table(rows: DataFrame, key: str, batch: str, image: str, gene: str, alpha: float = 0.5, temperature: float = 0.1) -> DataFrame:
+    """(batch, i, j, target): ``soft_targets`` of every batch as a table. Rows with a null key, batch or vector are left out; keys are unique
+    within a batch, and a batch has as few rows as one training step."""
+    rows = rows.dropna(subset=[key, batch, image, gene])
+    g, i = (_units(rows, key, batch, c) for c in (gene, image))
+    both = _similarities(g, g, "gg").join(_similarities(i, i, "ii"), ["batch", "i", "j"])
+    return _soft(both.withColumn("score", (alpha * F.col("gg") + (1 - alpha) * F.col("ii")) / temperature), "i", "score", "target").select("batch", "i", "j", "target")
+
+
+def loss_table(rows: DataFrame, key: str, batch: str, image: str, gene: str, tau: float = 0.1, targets: DataFrame | None = None) -> DataFrame:
+    """(batch, n, loss): symmetric cross-entropy of each batch's pair similarities with ``targets`` (batch, i, j, target), by default each row
+    with itself: bidirectional InfoNCE. tau is held to 0.001 to 2; rows as in ``target_table``."""
+    tau = min(max(tau, 1e-3), 2.0)
+    rows = rows.dropna(subset=[key, batch, image, gene])
+    logits = _similarities(_units(rows, key, batch, image), _units(rows, key, batch, gene), "s").withColumn("s", F.col("s") / tau)
+    soft = _soft(_soft(logits, "i", "s", "p"), "j", "s", "q")
+    wanted = soft.join(targets, ["batch", "i", "j"]) if targets is not None else soft.withColumn("target", (F.col("i") == F.col("j")).cast("double"))
+    floor = lambda c: F.log(F.greatest(c, F.lit(1e-30)))
+    sums = wanted.groupBy("batch").agg(F.countDistinct("i").alias("n"), F.sum(-F.col("target") * (floor("p") + floor("q"))).alias("t"))
+    return sums.select("batch", "n", (F.col("t") / (2 * F.col("n"))).alias("loss"))
+
+
 @dataclass
 class Head:
     """Linear, tanh-approximated GELU, layer norm, and length 1."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.storage import free_name
 from .validate import require_matched, require_unique
 
 
@@ -50,20 +51,41 @@ def retained(df: DataFrame) -> DataFrame:
     return df.where("confirmed or passes")
 
 
+def check_retention(source: DataFrame, kept: DataFrame, gone: DataFrame) -> DataFrame:
+    """``kept``, if it and ``gone`` make up ``source`` (rows with confirmed and passes) and no confirmed row is gone; else ValueError."""
+    sure = gone.where("confirmed").count()
+    if sure:
+        raise ValueError(f"{sure} confirmed rows are dropped")
+    sizes = [df.count() for df in (source, kept, gone)]
+    if sizes[0] != sizes[1] + sizes[2]:
+        raise ValueError(f"{sizes[1]} kept and {sizes[2]} dropped rows don't make up {sizes[0]}")
+    return kept
+
+
 def dropped(df: DataFrame) -> DataFrame:
     return df.where("not (confirmed or passes)")
 
 
 def stratified_cap(df: DataFrame, sample: str, low: Column, order: list[Column], most: int) -> DataFrame:
-    """At most ``most`` rows a sample, but every low one: the rest fills what these leave, in the given order."""
-    ranked = df.withColumn("__low", low).withColumn("__rank", F.row_number().over(Window.partitionBy(sample).orderBy(F.desc("__low"), *order)))
-    return ranked.where(F.col("__low") | (F.col("__rank") <= most)).drop("__low", "__rank")
+    """At most ``most`` rows a sample, but every low one: the rest fills what these leave, in the given order.
+
+    Low rows are counted and passed on; only the others are ranked, and of these Spark keeps no more than ``most`` of a sample in any
+    task before they are shuffled. A null flag is not low; rows without a sample are a sample of their own."""
+    flag, rank, room = (free_name(n, df) for n in ("the_low", "the_rank", "the_room"))
+    marked = df.withColumn(flag, F.coalesce(low, F.lit(False)))
+    kept, rest = marked.where(flag), marked.where(~F.col(flag))
+    ranked = rest.withColumn(rank, F.row_number().over(Window.partitionBy(sample).orderBy(*order))).where(F.col(rank) <= most)
+    of = free_name("the_sample", df)
+    taken = kept.groupBy(F.col(sample).alias(of)).agg(F.count("*").alias(room))
+    filled = ranked.join(taken, F.col(sample).eqNullSafe(F.col(of)), "left").where(F.col(rank) <= most - F.coalesce(room, F.lit(0)))
+    return kept.select(*df.columns).unionByName(filled.select(*[ranked[c] for c in df.columns]))
 
 
 def sample_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, number: str | None = None) -> DataFrame:
-    """n rows of each group (all of a smaller one), without replacement; ``number`` counts them from 0."""
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__rank") <= n)
-    return (ranked.withColumn(number, F.col("__rank") - 1) if number else ranked).drop("__rank")
+    """n rows of each group (all of a smaller one), without replacement; ``number`` counts them from 0. Null keys are a group."""
+    rank = free_name("the_rank", df)
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= n)
+    return (ranked.withColumn(number, F.col(rank) - 1) if number else ranked).drop(rank)
 
 
 def split(df: DataFrame, key: Column, share: float) -> DataFrame:
@@ -120,8 +142,54 @@ def union_samples(*tables: DataFrame, dictionaries: list[DataFrame] | None = Non
 def row_index(df: DataFrame, order: list[str], name: str = "source_row_index") -> DataFrame:
     """Dense numbers from 0 in an order, without sorting everything in one task: rows are ranged over partitions, numbered within them, and
     the partitions' offsets, one small row each, are added."""
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__p", F.spark_partition_id())
-    within = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    sizes = within.groupBy("__p").agg(F.count("*").alias("__n"))
-    offsets = sizes.withColumn("__o", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return within.join(offsets.select("__p", "__o"), "__p").withColumn(name, F.col("__o") + F.col("__k") - 1).drop("__p", "__k", "__o")
+    part, place, size, offset = (free_name(n, df) for n in ("the_part", "the_place", "the_size", "the_offset"))
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn(part, F.spark_partition_id())
+    within = ranged.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    sizes = within.groupBy(part).agg(F.count("*").alias(size))
+    offsets = sizes.withColumn(offset, F.coalesce(F.sum(size).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return within.join(offsets.select(part, offset), part).withColumn(name, F.col(offset) + F.col(place) - 1).drop(part, place, offset)
+
+
+def mapped(df: DataFrame, column: str, pairs: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the value of its ``column`` in a table of unique keys; a repeated key or a value without one raises."""
+    require_unique(pairs, [key], "map")
+    of, found = free_name("the_key", df, pairs), free_name("the_value", df, pairs)
+    known = pairs.select(F.col(key).alias(of), F.col(value).alias(found))
+    if missing := df.join(known, df[column] == known[of], "left_anti").select(column).distinct().limit(5).collect():
+        raise ValueError(f"no value for {[r[0] for r in missing]}")
+    return df.join(known, df[column] == known[of]).drop(of).withColumn(name, F.col(found)).drop(found)
+
+
+def joined_if_complete(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the columns of ``right``, if every row of it has a match there; else ``left`` alone."""
+    require_unique(right, keys, "right side")
+    return left.join(right, keys) if left.join(right, keys, "left_anti").isEmpty() else left
+
+
+def present_in(df: DataFrame, keys: list[str], counted: DataFrame) -> DataFrame:
+    """Rows whose key is in another table: cells that the count matrix has."""
+    return df.join(counted.select(*keys).distinct(), keys, "left_semi")
+
+
+def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without a null (or NaN) in the columns: cells with coordinates and a cluster."""
+    return df.dropna(subset=columns)
+
+
+def with_polygon_ids(vertices: DataFrame, polygon: str = "polygon_id", vertex: str = "vertex_id") -> DataFrame:
+    """Polygon and vertex numbers as integers: 1 and 0 where they are missing, as columns or as values."""
+    out = vertices
+    for name, default in ((polygon, 1), (vertex, 0)):
+        out = out.withColumn(name, F.coalesce(F.col(name).cast("double").cast("long"), F.lit(default).cast("long")) if name in vertices.columns else F.lit(default).cast("long"))
+    return out
+
+
+def exact_split(df: DataFrame, order: list[Column], share: float) -> DataFrame:
+    """``part``: train for exactly floor(share * n) rows, one at least, the first in a fixed pseudo-random order, else validation; where that
+    leaves no row for validation, all are both: part is "both"."""
+    n = df.count()
+    cut, rank = max(1, int(share * n)), free_name("the_rank", df)
+    hashed = free_name("the_order", df)
+    numbered = row_index(df.withColumn(hashed, F.xxhash64(*order)), [hashed], rank)
+    part = F.lit("both") if cut >= n else F.when(F.col(rank) < cut, "train").otherwise("validation")
+    return numbered.withColumn("part", part).drop(rank, hashed)

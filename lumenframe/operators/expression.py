@@ -33,19 +33,27 @@ def cluster_gene(cells: DataFrame, counts: DataFrame, cluster: str = "cluster",
     """Of each cluster and gene: n_cells, mean and median of the normalised values, per cent of cells with any, and the raw sum.
 
     Means and medians are over all cells of the cluster, zeros included: the sum is divided by their number, and in the order of
-    values the zeros come first. Every pair of a cluster and a gene has a row."""
+    values the zeros come first. Every pair of a cluster and a gene has a row; an empty table gives none. Cells without a cluster are a cluster
+    of their own, null. Equal values are counted before they are ordered, and only for pairs where most cells have the gene - in the
+    others the median is 0 - so what is sorted by pair are distinct values."""
     library = libraries(cells, counts, cell)
-    values = normalised(counts, library, cell, keep=(cluster,))
+    values = normalised(counts, library, cell, keep=(cluster,)).where("n > 0")
     n_cells = cells.groupBy(cluster).agg(F.count("*").alias("n_cells"))
-    ranked = values.where("n > 0").withColumn("k", F.row_number().over(Window.partitionBy(cluster, gene).orderBy("value")))
-    ranked = ranked.withColumn("m", F.count("*").over(Window.partitionBy(cluster, gene))).join(n_cells, cluster)
-    place = F.col("n_cells") - F.col("m") + F.col("k")
+    found = values.groupBy(cluster, gene).agg(F.sum("value").alias("total"), F.count("*").alias("positive"), F.sum("n").alias("raw"))
+    same = [F.col(f"a.{cluster}").eqNullSafe(F.col(f"b.{cluster}")), F.col(f"a.{gene}") == F.col(f"b.{gene}")]
+    most = found.join(n_cells.withColumnRenamed(cluster, "of"), F.col(cluster).eqNullSafe(F.col("of"))).where(2 * F.col("positive") >= F.col("n_cells"))
+    most = most.select(cluster, gene, "n_cells", (F.col("n_cells") - F.col("positive")).alias("zeros"))
+    distinct = values.groupBy(cluster, gene, "value").agg(F.count("*").alias("m"))
+    distinct = distinct.alias("a").join(most.alias("b"), same[0] & same[1]).select(f"a.{cluster}", f"a.{gene}", "value", "m", "n_cells", "zeros")
+    upto = F.col("zeros") + F.sum("m").over(Window.partitionBy(cluster, gene).orderBy("value"))
+    placed = distinct.withColumn("upto", upto)
     low, high = F.floor((F.col("n_cells") + 1) / 2), F.ceil((F.col("n_cells") + 1) / 2)
-    part = F.when(place == low, F.col("value")).otherwise(0.0) + F.when(place == high, F.col("value")).otherwise(0.0)
-    found = ranked.groupBy(cluster, gene).agg(F.sum("value").alias("total"), F.sum(part / 2).alias("median"), F.count("*").alias("positive"), F.sum("n").alias("raw"))
+    holds = lambda place: F.when((F.col("upto") >= place) & (F.col("upto") - F.col("m") < place), F.col("value")).otherwise(0.0)
+    medians = placed.groupBy(cluster, gene).agg(F.sum((holds(low) + holds(high)) / 2).alias("median"))
+    found = found.alias("a").join(medians.alias("b"), same[0] & same[1], "left").select(f"a.{cluster}", f"a.{gene}", "total", "positive", "raw", "median")
     genes = counts.select(gene).distinct()
     grid = n_cells.withColumn("one", F.lit(1)).join(genes.withColumn("one", F.lit(1)), "one").drop("one")  # clusters by genes: dictionaries
-    out = grid.join(found, [cluster, gene], "left")
+    out = grid.alias("a").join(found.alias("b"), same[0] & same[1], "left").select(f"a.{cluster}", f"a.{gene}", "n_cells", "total", "positive", "raw", "median")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return out.select(
         cluster, gene, "n_cells",

@@ -23,7 +23,7 @@ def crop(image: np.ndarray, x0: int, y0: int, side: int, anchored: bool = False)
 
 
 def as_rgb(image: np.ndarray) -> np.ndarray:
-    """Three 8-bit channels from grey, channel-first or deeper images."""
+    """Three 8-bit channels from grey, channel-first or deeper images: values up to 1 count as shares of 255, others are held to 0 to 255."""
     if image.ndim == 2:
         image = np.repeat(image[:, :, None], 3, axis=2)
     elif image.shape[0] in (3, 4) and image.shape[-1] not in (3, 4):
@@ -31,14 +31,22 @@ def as_rgb(image: np.ndarray) -> np.ndarray:
     image = image[:, :, :3]
     if image.dtype == np.uint8:
         return image
-    top = float(image.max()) if image.size else 0.0
-    return np.zeros(image.shape, np.uint8) if top <= 0 else np.clip(image.astype(float) / top * 255, 0, 255).astype(np.uint8)
+    values = image.astype(float)
+    if values.size and values.max() <= 1.0:
+        values = values * 255.0
+    return np.clip(values, 0, 255).astype(np.uint8)
 
 
 def stretched(image: np.ndarray, low: float = 1, high: float = 99) -> np.ndarray:
-    """Intensities between two percentiles spread over 0 to 1."""
-    a, b = np.percentile(image, [low, high]) if image.size else (0.0, 0.0)
-    return np.zeros(image.shape) if b <= a else np.clip((image.astype(float) - a) / (b - a), 0, 1)
+    """Intensities between two percentiles spread over 0 to 1, each channel by its own; a flat channel is 0."""
+    out = np.zeros(image.shape)
+    for c in np.ndindex(image.shape[2:]):
+        part = image[(slice(None), slice(None), *c)]
+        if part.size:
+            a, b = np.percentile(part, [low, high])
+            if b > a:
+                out[(slice(None), slice(None), *c)] = np.clip((part.astype(float) - a) / (b - a), 0, 1)
+    return out
 
 
 def overlay(base: np.ndarray, top: np.ndarray, weight: float | None = None) -> np.ndarray:
@@ -47,10 +55,10 @@ def overlay(base: np.ndarray, top: np.ndarray, weight: float | None = None) -> n
 
 
 def pyramid(height: int, width: int, tile: int) -> list[tuple[int, int]]:
-    """Sizes of the levels: halved until one tile holds the image, one level at least."""
+    """Sizes of the levels: halved, odd sizes upwards, until one tile holds the image, one level at least."""
     out = [(height, width)]
     while max(out[-1]) > tile:
-        out.append((max(1, out[-1][0] // 2), max(1, out[-1][1] // 2)))
+        out.append((max(1, -(-out[-1][0] // 2)), max(1, -(-out[-1][1] // 2))))
     return out
 
 
@@ -60,8 +68,9 @@ def level_for(sizes: list[tuple[int, int]], most: int) -> int:
 
 
 def halved(image: np.ndarray) -> np.ndarray:
-    h, w = image.shape[0] // 2 * 2, image.shape[1] // 2 * 2
-    part = image[:h, :w].astype(float)
+    """Means of squares of four pixels; the last row or column of an odd side is repeated."""
+    pad = [(0, image.shape[0] % 2), (0, image.shape[1] % 2)] + [(0, 0)] * (image.ndim - 2)
+    part = np.pad(image, pad, mode="edge").astype(float)
     return ((part[::2, ::2] + part[1::2, ::2] + part[::2, 1::2] + part[1::2, 1::2]) / 4).astype(image.dtype)
 
 
@@ -74,22 +83,36 @@ def tiles(image: np.ndarray, tile: int) -> Iterator[tuple[int, int, np.ndarray]]
             yield ty // tile, tx // tile, np.pad(part, pad, mode="edge")
 
 
-def resized(image: np.ndarray, side: int) -> np.ndarray:
-    """A square image at another size, linearly."""
-    at = (np.arange(side) + 0.5) * image.shape[0] / side - 0.5
-    low = np.clip(np.floor(at), 0, image.shape[0] - 1).astype(int)
-    high, part = np.minimum(low + 1, image.shape[0] - 1), np.clip(at - low, 0, 1)
-    x = image.astype(float)
-    p = part.reshape(-1, 1, *[1] * (x.ndim - 2))
-    x = x[low] * (1 - p) + x[high] * p
-    q = part.reshape(1, -1, *[1] * (x.ndim - 2))
-    return x[:, low] * (1 - q) + x[:, high] * q
+def _lanczos(size: int, side: int, lobes: int) -> np.ndarray:
+    """Weights (side, size) that resample ``size`` samples: a windowed sinc, widened when the image shrinks so that all samples count."""
+    scale = max(size / side, 1.0)
+    centre = (np.arange(side) + 0.5) * size / side
+    x = (np.arange(size)[None, :] + 0.5 - centre[:, None]) / scale
+    weight = np.where(np.abs(x) < lobes, np.sinc(x) * np.sinc(x / lobes), 0.0)
+    return weight / weight.sum(axis=1, keepdims=True)
+
+
+def resized(image: np.ndarray, side: int, lobes: int = 3) -> np.ndarray:
+    """An image as a square of another size, by Lanczos's kernel along either side; 8-bit images are rounded and stay 8-bit."""
+    x = np.tensordot(_lanczos(image.shape[0], side, lobes), image.astype(float), axes=(1, 0))
+    x = np.moveaxis(np.tensordot(_lanczos(image.shape[1], side, lobes), x, axes=(1, 1)), 0, 1)
+    return np.clip(np.rint(x), 0, 255).astype(np.uint8) if image.dtype == np.uint8 else x
+
+
+def model_input(patch: np.ndarray, side: int, mean: list[float], std: list[float]) -> np.ndarray:
+    """A patch as an encoder takes it: resized, over 255, each channel less its mean and over its deviation, channels first."""
+    x = resized(as_rgb(patch), side).astype(np.float32) / 255.0
+    return np.moveaxis((x - np.asarray(mean, np.float32)) / np.asarray(std, np.float32), -1, 0)
 
 
 def tile_positions(height: int, width: int, side: int, n: int, seed: int = 42) -> list[tuple[int, int]]:
-    """Random places of tiles that lie within an image, for a visual check; the corner if it is smaller than a tile."""
+    """Random places of tiles that lie within an image, for a visual check; the corner alone if it is smaller than a tile, none for n < 1."""
+    if n < 1:
+        return []
+    if height <= side or width <= side:
+        return [(0, 0)]
     rng = np.random.default_rng(seed)
-    return [(int(rng.integers(0, max(1, height - side + 1))), int(rng.integers(0, max(1, width - side + 1)))) for _ in range(n)]
+    return [(int(rng.integers(0, height - side + 1)), int(rng.integers(0, width - side + 1))) for _ in range(n)]
 
 
 def tile_table(images: DataFrame, tile: int) -> DataFrame:

@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.arrow import map_arrow
-from .vectors import exact_neighbours
+from .vectors import exact_neighbours, sampled_effect
+
+
+#: Neighbours of a hub that meet in one task.
+PART = 1000
+#: Batches that a correction may know.
+MOST_BATCHES = 10_000
 
 
 def _mean_of(neighbours: DataFrame, df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
@@ -21,6 +27,19 @@ def _mean_of(neighbours: DataFrame, df: DataFrame, key: str, vector: str, name:
     return means.groupBy("src").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias(name)).withColumnRenamed("src", key)
 
 
+def _shared(pairs: DataFrame) -> DataFrame:
+    """(src, o, s): how many neighbours two nodes share, for pairs that share any.
+
+    A node that many have as a neighbour - a hub - is dealt into parts of ``PART`` of them, and each part meets every part of it in a task of
+    its own."""
+    sizes = pairs.groupBy("dst").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
+    dealt = pairs.join(sizes, "dst", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part, every = F.pmod(F.xxhash64("src"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    one = dealt.select("src", "dst", part.alias("p"), every.alias("q"))
+    two = dealt.select(F.col("src").alias("o"), "dst", part.alias("q"), every.alias("p"))
+    return one.join(two, ["dst", "p", "q"]).where("src <> o").groupBy("src", "o").agg(F.count("*").alias("s"))
+
+
 def _distance(a, b):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x))
 
@@ -37,7 +56,7 @@ def modality_weights(df: DataFrame, key: str, first: str, second: str, k: int, b
     for m, v in vectors.items():
         nearest = near[m].groupBy(F.col("src").alias(key)).agg(F.min("distance").alias(f"d{m}"))
         pairs = near[m].select("src", "dst")
-        shared = pairs.alias("a").join(pairs.select(F.col("src").alias("o"), "dst"), "dst").where("src <> o").groupBy("src", "o").agg(F.count("*").alias("s"))
+        shared = _shared(pairs)
         jaccard = shared.withColumn("j", F.col("s") / (2 * k - F.col("s")))
         far = jaccard.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("j", "o"))).where(F.col("r") <= bandwidth)
         here, there = df.select(F.col(key).alias("src"), F.col(v).alias("va")), df.select(F.col(key).alias("o"), F.col(v).alias("vb"))
@@ -69,17 +88,24 @@ def weighted_neighbours(df: DataFrame, key: str, first: str, second: str, k: int
     return ranked.select("src", "dst", "rank", (1 - F.col("w")).alias("distance"), "w")
 
 
-def harmonised(df: DataFrame, key: str, vector: str, batch: str, clusters: int = 8, rounds: int = 10, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, tolerance: float = 1e-4, sample: int = 2000) -> DataFrame:
+def harmonised(df: DataFrame, key: str, vector: str, batch: str, clusters: int | None = None, rounds: int = 10, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, tolerance: float = 1e-4, sample: int = 2000) -> DataFrame:
     """``vector`` with what tells its batch apart taken out, at length 1.
 
     Soft spherical k-means with a penalty on clusters that one batch rules, and a ridge regression on the batch within each cluster, until
     the objective settles. A round is one pass over the rows, which adds up clusters x batches sums in every task; centres and coefficients,
     of the same bounded size, go back. Only the coefficients of each round are kept, and every pass recomputes a row's corrections from
-    its original vector, so no intermediate table is needed."""
-    names = sorted(r[0] for r in df.select(F.col(batch).cast("string")).distinct().collect())
+    its original vector, so no intermediate table is needed. clusters: min(round(n / 30), 100) by default, one at least.
+
+    Null batches are a batch of their own. Components that are null or not finite count as 0. More than ``MOST_BATCHES`` batches are an error,
+    as the sums would outgrow the driver. Rows that repeat a key are corrected each; an empty table stays empty."""
+    label = F.coalesce(F.concat(F.lit("b:"), F.col(batch).cast("string")), F.lit("null"))
+    names = sorted(r[0] for r in df.select(label.alias("b")).distinct().limit(MOST_BATCHES + 1).collect())
+    if len(names) > MOST_BATCHES:
+        raise ValueError(f"more than {MOST_BATCHES} batches in {batch}")
     if len(names) < 2:
-        return df.withColumn(vector, S.l2_normalised(F.col(vector)))
-    rows = df.select(F.col(batch).cast("string").alias("b"), F.col(vector).cast("array<double>").alias("v"))
+        return df.withColumn(vector, S.l2_normalised(F.col(vector))).select(key, vector)
+    rows = df.select(label.alias("b"), S.finite(F.col(vector)).alias("v")).where("v is not null")
+    clusters = clusters or max(1, min(round(rows.count() / 30), 100))
     first = rows.orderBy(F.xxhash64("v"), "b").limit(sample).select("v").collect()
     x = np.array([r[0] for r in first])
     x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-8)
@@ -116,10 +142,22 @@ def harmonised(df: DataFrame, key: str, vector: str, batch: str, clusters: int =
                 yield pa.RecordBatch.from_arrays([part.column("k"), lists], ["k", "v"])
 
     key_type = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("k"), F.col(batch).cast("string").alias("b"), F.col(vector).cast("array<double>").alias("v"))
+    rows = df.select(F.col(key).alias("k"), label.alias("b"), S.finite(F.col(vector)).alias("v")).where("v is not null")
     return map_arrow(rows, run, f"k {key_type}, v array<double>").toDF(key, vector)
 
 
+def harmonised_if_needed(df: DataFrame, key: str, vector: str, batch: str, threshold: float = 0.10, most: int = 20_000, k: int = 30, **options) -> tuple[DataFrame, dict]:
+    """``harmonised`` if neighbours in a subsample come from the same batch more often than by chance by over ``threshold``, else the vectors as
+    they are; and a record: applied, before, and after where it was applied (excess shares)."""
+    excess = lambda rows: sampled_effect(rows.join(df.select(key, batch), key), key, vector, batch, most, k).first()["excess"]
+    plain = df.select(key, vector)
+    before = excess(plain)
+    if before is None or before <= threshold:
+        return plain, {"applied": False, "before": before}
+    out = harmonised(df, key, vector, batch, **options)
+    return out, {"applied": True, "before": before, "after": excess(out)}
+
+
 def _matrix(part: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     x = np.stack([np.asarray(v, np.float64) for v in part.column("v").to_pylist()])
     place = {n: i for i, n in enumerate(names)}

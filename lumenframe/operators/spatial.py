@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import map_arrow
+from ..functions.storage import Workspace
+
+#: Rows of a grid cell that are compared at once.
+CELL = 4096
+
 
 def _around(at: Column) -> Column:
     return F.explode(F.sequence(at - 1, at + 1))
@@ -17,40 +27,65 @@ def _cell(c: str, size: float) -> Column:
 def radius_counts(df: DataFrame, key: str, x: str, y: str, radius: float, within: str) -> DataFrame:
     """(key, n_near): how many rows of the same group lie within ``radius``, border and the row itself included.
 
-    A row meets the rows of its grid cell and the eight around it."""
-    points = df.select(within, F.col(x).alias("__x"), F.col(y).alias("__y"), _cell(x, radius).alias("__gx"), _cell(y, radius).alias("__gy"))
-    probes = df.select(within, F.col(key).alias("__k"), F.col(x).alias("__px"), F.col(y).alias("__py"), _around(_cell(x, radius)).alias("__gx"), _cell(y, radius).alias("__gy"))
-    probes = probes.select(within, "__k", "__px", "__py", "__gx", _around(F.col("__gy")).alias("__gy"))
-    near = (F.col("__x") - F.col("__px")) ** 2 + (F.col("__y") - F.col("__py")) ** 2 <= radius * radius
-    return probes.join(points, [within, "__gx", "__gy"]).where(near).groupBy(F.col("__k").alias(key)).agg(F.count("*").alias("n_near"))
+    Rows are gathered by grid cell as arrays, a cell's rows meet those of the eight cells around in one Arrow map, and what leaves it are
+    counts. A crowded cell is dealt into parts of ``CELL`` rows, each of which meets all parts around it. Rows with a null group or coordinate
+    have no row here; rows that repeat a key are counted each."""
+    rows = df.select(F.col(within).alias("g"), F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    rows = rows.withColumns({"gx": _cell("x", radius), "gy": _cell("y", radius)})
+    sizes = rows.groupBy("g", "gx", "gy").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    crowded = F.broadcast(sizes.where("parts > 1"))  # of n rows at most n / CELL cells
+    part = F.pmod(F.xxhash64("k", "x", "y"), F.coalesce("parts", F.lit(1))).alias("part")
+    dealt = rows.join(crowded, ["g", "gx", "gy"], "left").select("g", "gx", "gy", part, "k", "x", "y")
+    packed = dealt.groupBy("g", "gx", "gy", "part").agg(F.collect_list("k").alias("ks"), F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
+    around = packed.select("g", F.explode(F.sequence(F.col("gx") - 1, F.col("gx") + 1)).alias("gx"), "gy", F.col("xs").alias("ox"), F.col("ys").alias("oy"))
+    around = around.select("g", "gx", F.explode(F.sequence(F.col("gy") - 1, F.col("gy") + 1)).alias("gy"), "ox", "oy")
+    both = packed.join(around, ["g", "gx", "gy"]).select("ks", "xs", "ys", "ox", "oy")
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                xs, ys, ox, oy = (batch.column(c)[i].values.to_numpy() for c in ("xs", "ys", "ox", "oy"))
+                near = np.zeros(len(xs), np.int64)
+                for low in range(0, len(xs), 256):
+                    dx, dy = xs[low : low + 256, None] - ox[None, :], ys[low : low + 256, None] - oy[None, :]
+                    near[low : low + 256] = (dx * dx + dy * dy <= radius * radius).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("ks")[i].values, pa.array(near)], ["k", "n"])
+
+    counted = map_arrow(both, run, f"k {kind}, n long").groupBy("k").agg(F.sum("n").alias("n_near"))
+    return counted.withColumnRenamed("k", key)
 
 
 def nearest(df: DataFrame, targets: DataFrame, key: str, target: str, x: str, y: str, size: float, within: str) -> DataFrame:
     """(key, target, distance): of each row the nearest target of its group, of equals the smaller one.
 
     Rings of grid cells are searched outwards, twice as wide each time, for the rows that have no target closer than the ring
-    guarantees; so a row meets the targets around it only, and one far from all meets a few coarse cells."""
-    rows = df.select(within, F.col(key).alias("__k"), F.col(x).alias("__x"), F.col(y).alias("__y"))
-    goals = targets.select(within, F.col(target).alias("__t"), F.col(x).alias("__tx"), F.col(y).alias("__ty"))
-    reach = goals.agg(F.min("__tx"), F.max("__tx"), F.min("__ty"), F.max("__ty")).first()
-    span = rows.agg(F.min("__x"), F.max("__x"), F.min("__y"), F.max("__y")).first()
+    guarantees; so a row meets the targets around it only, and one far from all meets a few coarse cells. Rows and targets with a null
+    group, key or coordinate take no part, and a group without targets gives no rows; a repeated key is one row, nearest wins. Each
+    ring is saved."""
+    rows = df.select(within, F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y")).toDF("g", "k", "x", "y").dropna()
+    goals = targets.select(within, F.col(target).alias("t"), F.col(x).alias("tx"), F.col(y).alias("ty")).toDF("g", "t", "tx", "ty").dropna()
+    reach = goals.agg(F.min("tx"), F.max("tx"), F.min("ty"), F.max("ty")).first()
+    span = rows.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if reach[0] is None or span[0] is None:
         return df.limit(0).select(key, F.lit(None).cast(targets.schema[target].dataType).alias(target), F.lit(0.0).alias("distance"))
     widest = max(reach[1], span[1]) - min(reach[0], span[0]) + max(reach[3], span[3]) - min(reach[2], span[2]) + size
-    out = None
+    work, out = Workspace(df.sparkSession, "nearest"), None
+    goals = work.save(goals)
     while True:
-        probe = rows.select(within, "__k", "__x", "__y", _around(_cell("__x", size)).alias("__gx"), _cell("__y", size).alias("__gy"))
-        probe = probe.select(within, "__k", "__x", "__y", "__gx", _around(F.col("__gy")).alias("__gy"))
-        cells = goals.select(within, "__t", "__tx", "__ty", _cell("__tx", size).alias("__gx"), _cell("__ty", size).alias("__gy"))
-        d2 = (F.col("__x") - F.col("__tx")) ** 2 + (F.col("__y") - F.col("__ty")) ** 2
-        best = F.min(F.struct(F.round(d2, 9).alias("d2"), F.col("__t").alias("t"))).alias("b")
-        found = probe.join(cells, [within, "__gx", "__gy"]).groupBy("__k").agg(best).select("__k", F.col("b.t").alias("__t"), F.sqrt("b.d2").alias("__d"))
+        probe = rows.select("g", "k", "x", "y", _around(_cell("x", size)).alias("gx"), _cell("y", size).alias("gy"))
+        probe = probe.select("g", "k", "x", "y", "gx", _around(F.col("gy")).alias("gy"))
+        cells = goals.select("g", "t", "tx", "ty", _cell("tx", size).alias("gx"), _cell("ty", size).alias("gy"))
+        d2 = (F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2
+        best = F.min(F.struct(F.round(d2, 9).alias("d2"), "t")).alias("b")
+        found = probe.join(cells, ["g", "gx", "gy"]).groupBy("k").agg(best).select("k", F.col("b.t").alias("t"), F.sqrt("b.d2").alias("d"))
         last = size > widest
-        sure = found if last else found.where(F.col("__d") <= size)
-        out = sure if out is None else out.unionByName(sure)
-        if last:
+        ring = work.save(found if last else found.where(F.col("d") <= size))  # what follows reads this ring instead of redoing all before it
+        out = ring if out is None else out.unionByName(ring)
+        left = rows.join(ring.select("k"), "k", "left_anti")
+        if last or left.isEmpty():
             return out.toDF(key, target, "distance")
-        rows = rows.join(sure.select("__k"), "__k", "left_anti")
+        rows = work.save(left)
         size *= 4
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,9 +13,12 @@ from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from ..functions.arrow import map_arrow
+from ..functions.storage import Workspace, free_name
 
 #: Rows of a block; a block against a block is one matrix product.
 BLOCK = 2048
+#: Rows of a moment matrix that are sent and added at once.
+STRIP = 64
 
 
 def normalised_with_checks(df: DataFrame, vector: str) -> DataFrame:
@@ -41,23 +45,28 @@ def reordered(df: DataFrame, vector: str, dims: list[int]) -> DataFrame:
     return df.withColumn(vector, F.transform(at, lambda i: F.element_at(F.col(vector), i + 1)))
 
 
-def _blocks(df: DataFrame, key: str, vector: str, within: str | None) -> DataFrame:
-    schema = T.StructType([T.StructField("grp", T.StringType()), T.StructField("block", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("vectors", T.BinaryType())])
+def _usable(vector: str) -> F.Column:
+    """True for vectors of finite components only, at least one."""
+    return F.coalesce((F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
+
+
+def _blocks(rows: DataFrame, of: str) -> DataFrame:
+    """(g, ids, vectors) of rows (g, id, v): blocks of at most ``BLOCK`` rows of one group and one length. ``of`` names the length."""
+    schema = T.StructType([T.StructField("g", T.StringType()), T.StructField(of, T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("vectors", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             group = np.array([g or "" for g in batch.column("g").to_pylist()], object)
             ids = batch.column("id").to_numpy()
             rows = [np.asarray(v, np.float64) for v in batch.column("v").to_pylist()]
-            for name in sorted(set(group)):
-                mine = np.flatnonzero(group == name)
+            width = np.array([len(v) for v in rows])
+            for name, size in sorted(set(zip(group.tolist(), width.tolist(), strict=True))):
+                mine = np.flatnonzero((group == name) & (width == size))
                 for low in range(0, len(mine), BLOCK):
                     part = mine[low : low + BLOCK]
                     x = np.stack([rows[i] for i in part])
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([int(ids[part[0]])]), pa.array([ids[part].tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], schema.names)
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([int(size)]), pa.array([ids[part].tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], schema.names)
 
-    g = F.lit("") if within is None else F.col(within).cast("string")
-    rows = df.select(g.alias("g"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     return map_arrow(rows, run, schema)
 
 
@@ -65,9 +74,20 @@ def exact_neighbours(df: DataFrame, key: str, vector: str, k: int, metric: str =
     """(src, dst, rank, distance): the k nearest other rows of each, of equals the smaller key; ``within`` keeps to one group.
 
     All rows are asked against all rows, so the work is quadratic; it is done block against block, one matrix product and one
-    partial top-k each, and only k rows of a query and a block leave a task. metric: cosine or euclidean distance."""
-    blocks = _blocks(df, key, vector, within)
-    other = blocks.select("grp", *(F.col(c).alias(f"q_{c}") for c in ("ids", "vectors")))
+    partial top-k each, and only k rows of a query and a block leave a task. Blocks of rows are dealt to tasks by salts - every salt of
+    one side meets every salt of the other once - so a group's work spreads over all tasks. metric: cosine or euclidean distance.
+
+    Rows with a null key, or a vector that is null or empty or holds null or non-finite components, take no part; vectors of different
+    lengths are no neighbours; a zero vector is at cosine distance 1 of all. Rows that repeat a key are no neighbours of each other, and
+    share one rank. An empty table gives no rows."""
+    g = F.lit("") if within is None else F.coalesce(F.col(within).cast("string"), F.lit(""))
+    rows = df.select(g.alias("g"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(_usable("v") & F.col("id").isNotNull())
+    blocks = Workspace(df.sparkSession, "neighbours").save(_blocks(rows, "width"))
+    salts = max(1, min(64, math.isqrt(4 * df.sparkSession.sparkContext.defaultParallelism)))
+    salt = lambda name: F.pmod(F.xxhash64("ids", F.lit(name)), F.lit(salts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    mine = blocks.withColumn("s", salt("s")).withColumn("t", every)
+    other = blocks.select("g", "width", *(F.col(c).alias(f"q_{c}") for c in ("ids", "vectors")), salt("s").alias("t")).withColumn("s", every)
     schema = "src long, dst long, distance double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +112,8 @@ def exact_neighbours(df: DataFrame, key: str, vector: str, k: int, metric: str =
                 ok = np.isfinite(value)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, m).reshape(-1, m)[ok]), pa.array(ids[best][ok]), pa.array(value[ok])], ["src", "dst", "distance"])
 
-    found = map_arrow(blocks.join(other, "grp"), run, schema)
+    pairs = mine.join(other.hint("merge"), ["g", "width", "s", "t"]).select("ids", "vectors", "q_ids", "q_vectors")
+    found = map_arrow(pairs, run, schema)
     order = Window.partitionBy("src").orderBy(F.round("distance", 9), "dst")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
@@ -111,8 +132,21 @@ def sample_effect(edges: DataFrame, samples: DataFrame, key: str, sample: str) -
     return one.select(r("observed").alias("observed"), r("expected").alias("expected"), r(F.col("observed") - F.col("expected")).alias("excess"), r(F.col("observed") / F.col("expected")).alias("ratio"))
 
 
+def sampled_effect(df: DataFrame, key: str, vector: str, sample: str, most: int, k: int = 30, seed: int = 17) -> DataFrame:
+    """``sample_effect`` of at most ``most`` rows, those of the smallest hashed keys: what the diagnosis before and after a correction is
+    made on. One row, with n_subsample."""
+    rows = df.select(key, vector, sample).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(most)
+    rows = Workspace(df.sparkSession, "effect").save(rows)
+    n = rows.count()
+    effect = sample_effect(exact_neighbours(rows, key, vector, max(1, min(k, n - 1))), rows, key, sample)
+    return effect.withColumn("n_subsample", F.lit(n).cast("long"))
+
+
 def _moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, mean and second-moment matrix, summed up in each task before they reach the driver: dimensions squared, whatever the rows."""
+    """Rows, mean and second-moment matrix over usable vectors.
+
+    Each task adds up its rows and sends its matrix in strips of rows; strips are added by key in the executors, so the driver gets one
+    matrix, of dimensions squared, however many rows and tasks there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -122,15 +156,26 @@ def _moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
                 x = np.hstack([np.ones((len(x), 1)), x])
                 total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
-
-    parts = map_arrow(df.select(F.col(vector).cast("array<double>").alias("v")), run, "m binary")
-    total = None
-    for row in parts.toLocalIterator():
-        m = np.frombuffer(row["m"])
-        total = m.copy() if total is None else total + m
-    if total is None:
+            starts = range(0, len(total), STRIP)
+            yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int32()), pa.array([total[i : i + STRIP].tobytes() for i in starts], pa.binary())], ["strip", "m"])
+
+    def add(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in group:
+            for blob in batch.column("m"):
+                m = np.frombuffer(blob.as_buffer())
+                total = m.copy() if total is None else total + m
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["strip", "m"])
+
+    schema = "strip int, m binary"
+    rows = df.select(F.col(vector).cast("array<double>").alias("v")).where(_usable("v"))
+    least, most = rows.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if least != most:
+        raise ValueError(f"vectors differ in length: {least} to {most}")
+    strips = sorted((r["strip"], r["m"]) for r in map_arrow(rows, run, schema).groupBy("strip").applyInArrow(add, schema).collect())
+    if not strips:
         raise ValueError("no rows to fit")
+    total = np.concatenate([np.frombuffer(m) for _, m in strips])
     size = int(round(len(total) ** 0.5))
     total = total.reshape(size, size)
     n = int(round(total[0, 0]))
@@ -140,7 +185,8 @@ def _moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
 def principal_components(df: DataFrame, vector: str, k: int, centred: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, components by rows, share of variance): exact, from the second moments; the largest loading of each is positive.
 
-    k is held to max(2, min(k, dimensions - 1, rows - 1)). Without centring this is the truncated SVD."""
+    k is held to max(2, min(k, dimensions - 1, rows - 1)). Without centring this is the truncated SVD. Vectors that are null or empty or hold
+    null or non-finite components are left out; a table without others, or with vectors of different lengths, is an error."""
     n, mean, second = _moments(df, vector)
     if not centred:
         mean = np.zeros_like(mean)
@@ -155,10 +201,27 @@ def principal_components(df: DataFrame, vector: str, k: int, centred: bool = Tru
 
 
 def project(df: DataFrame, vector: str, mean: np.ndarray, components: np.ndarray, name: str = "scores", normalise: bool = False) -> DataFrame:
-    """``name``: the centred vectors' coordinates; JVM side, with the components as a literal of dimensions times k numbers."""
-    centre = F.array(*(F.lit(float(m)) for m in mean))
-    centred = F.zip_with(F.col(vector), centre, lambda x, m: x.cast("double") - m)
-    out = df.withColumn("__centred", centred)
-    scores = F.array(*(S.dot(F.col("__centred"), F.array(*(F.lit(float(x)) for x in row))) for row in components))
-    out = out.withColumn(name, scores).drop("__centred")
-    return out.withColumn(name, S.l2_normalised(F.col(name))) if normalise else out
+    """``df`` with ``name``: the centred vectors' coordinates, null for vectors that can't be used or have another length.
+
+    The components are broadcast, dimensions times k numbers, and a task's vectors are one matrix."""
+    shared = df.sparkSession.sparkContext.broadcast((mean, components))
+    given = free_name("the_vector", df)
+    rows = df.withColumn(given, F.when(_usable(vector) & (F.size(vector) == len(mean)), F.col(vector).cast("array<double>")))
+    names = [c for c in df.columns if c != name]
+    schema = T.StructType([*(df.schema[c] for c in names), T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, parts = shared.value
+        for batch in batches:
+            column = batch.column(given)
+            valid = column.is_valid().to_numpy(zero_copy_only=False)
+            at = np.full(len(batch), -1)
+            at[valid] = np.arange(int(valid.sum()))
+            x = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(centre))
+            y = (x - centre) @ parts.T
+            if normalise:
+                y = y / np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1e-8)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(y).reshape(-1)), len(parts)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists.take(pa.array(at, mask=~valid))], schema.names)
+
+    return map_arrow(rows, run, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import cells as C
-from ..operators import community, expression, graph, multimodal, report, spatial, transfer, vectors
+from ..operators import align, community, expression, graph, multimodal, report, spatial, transfer, vectors
 from . import tables as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,10 +62,10 @@ def shifted_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {D.CELLS_SQL}, {D.COUNTS_SQL}, used as (select cell_id, cluster, row_number() over (partition by cluster order by (cell_id * 2654435761) % 1000003, cell_id) as k from cells)
-    select cluster, gene, sum(n) as n from counts join used using (cell_id) where k <= 250 group by 1, 2""")
+    select cluster, gene, sum(n) as n from counts join used using (cell_id) where k <= 25000 group by 1, 2""")
 def label_count_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [S.hashed_order(F.col("cell_id")), F.col("cell_id")]
-    return expression.label_sums(D.cells(spark, sf_dir), D.counts(spark, sf_dir), "cluster", 250, order)
+    return expression.label_sums(D.cells(spark, sf_dir), D.counts(spark, sf_dir), "cluster", 25_000, order)
 
 
 @query("""with w as (select p_brand, sum(case when p_type = 'SMALL' then p_size end) as small, sum(case when p_type = 'ECONOMY' then p_size end) as economy from part group by 1)
@@ -333,16 +333,47 @@ def harmony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def wnn_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights, _ = multimodal.modality_weights(D.halves(spark, sf_dir), "vec_id", "rna", "image", 20)
+    weights, _ = multimodal.modality_weights(D.halves(spark, sf_dir), "vec_id", "rna", "image", 30)
     return weights.select("vec_id", F.round("w1", 6).alias("w_rna"), F.round("w2", 6).alias("w_image"))
 
 
 @query()
 def wnn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = multimodal.weighted_neighbours(D.halves(spark, sf_dir), "vec_id", "rna", "image", 15, 30)
+    edges = multimodal.weighted_neighbours(D.halves(spark, sf_dir), "vec_id", "rna", "image")
     return edges.select("src", "dst", "rank", F.round("w", 6).alias("w"))
 
 
+# Alignment: the halves as image and gene sides, batches of 64
+
+
+_BATCH_SQL = f"""{D.HALVES_SQL}, u as (select vec_id, vec_id // 64 as batch, list_transform(image, lambda x: x / greatest(sqrt(list_sum(list_transform(image, lambda y: y * y))), 1e-8)) as i,
+      list_transform(rna, lambda x: x / greatest(sqrt(list_sum(list_transform(rna, lambda y: y * y))), 1e-8)) as g from halves),
+    p as (select a.batch, a.vec_id as i, b.vec_id as j, list_dot_product(a.g, b.g) as gg, list_dot_product(a.i, b.i) as ii, list_dot_product(a.i, b.g) / 0.1 as s from u a join u b using (batch)),
+    t as (select batch, i, j, exp((gg + ii) / 2 / 0.1) / sum(exp((gg + ii) / 2 / 0.1)) over (partition by i) as target, s - ln(sum(exp(s)) over (partition by i)) as p, s - ln(sum(exp(s)) over (partition by batch, j)) as q from p)"""
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.halves(spark, sf_dir).withColumn("batch", F.expr("vec_id div 64"))
+
+
+@query(f"with {_BATCH_SQL} select batch, i, j, round(target, 6) as target from t")
+def contrastive_target_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = align.target_table(_batches(spark, sf_dir), "vec_id", "batch", "image", "rna")
+    return targets.select("batch", "i", "j", F.round("target", 6).alias("target"))
+
+
+@query(f"with {_BATCH_SQL} select batch, count(distinct i) as n, round(-sum(target * (p + q)) / (2 * count(distinct i)), 6) as loss from t group by 1")
+def contrastive_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _batches(spark, sf_dir)
+    losses = align.loss_table(rows, "vec_id", "batch", "image", "rna", 0.1, align.target_table(rows, "vec_id", "batch", "image", "rna"))
+    return losses.select("batch", "n", F.round("loss", 6).alias("loss"))
+
+
+@query(f"with {_BATCH_SQL} select batch, count(*) as n, round(-sum(p + q) / (2 * count(*)), 6) as loss from t where i = j group by 1")
+def infonce_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.loss_table(_batches(spark, sf_dir), "vec_id", "batch", "image", "rna").select("batch", "n", F.round("loss", 6).alias("loss"))
+
+
 # Space
 
 
@@ -416,7 +447,18 @@ def fallback_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.fallback_distances(edges, edges.where("src % 4 <> 0"), D.table(spark, sf_dir, "embeddings"), "vec_id", 15).select("src", "dst", F.round("w", 6).alias("w"))
 
 
-@query()
+_FUZZY_SQL = f"""with recursive {_KNN_SQL}, n as (select src, list(distance) as d, coalesce(min(case when distance > 0 then distance end), 0.0) as rho, avg(distance) as mean from knn group by 1),
+    halving as (select src, d, rho, mean, 0 as step, 0.0::double as lo, 1e300::double as hi, 1.0::double as mid from n union all
+      select src, d, rho, mean, step + 1, case when over then lo else mid end, case when over then mid else hi end,
+        case when (case when over then mid else hi end) >= 1e300 then mid * 2 else ((case when over then lo else mid end) + (case when over then mid else hi end)) / 2 end
+      from (select *, list_sum(list_transform(d, lambda x: exp(-greatest(x - rho, 0) / mid))) > log2(15) as over from halving where step < 64)),
+    s as (select src, rho, greatest(mid, 1e-3 * mean, 1e-12) as sigma from halving where step = 64),
+    f as (select src, dst, exp(-greatest(distance - rho, 0) / sigma) as w from knn join s using (src)),
+    b as (select src, dst, max(w) as w, max(v) as v from (select src, dst, w, 0.0::double as v from f union all select dst, src, 0.0, w from f) group by 1, 2)
+    select src, dst, round(w + v - w * v, 6) as w from b where w + v - w * v > 0"""
+
+
+@query(_FUZZY_SQL)
 def fuzzy_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.fuzzy(_knn(spark, sf_dir), 15).select("src", "dst", F.round("w", 6).alias("w"))
 

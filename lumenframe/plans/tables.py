@@ -53,9 +53,9 @@ MEASURED_SQL = (
 )
 VALUES_SQL = (
     f"{CELLS_SQL}, {COUNTS_SQL}"
-    + """, library as (select c.cell_id, c.cluster, c.sample_id, coalesce(sum(n), 0) as library from cells c left join counts using (cell_id) group by 1, 2, 3),
+    + """, library as materialized (select c.cell_id, c.cluster, c.sample_id, coalesce(sum(n), 0) as library from cells c left join counts using (cell_id) group by 1, 2, 3),
     med as (select median(library) as m from library where library > 0),
-    vals as (select cell_id, cluster, sample_id, gene, n, ln(1 + n * case when library > 0 then m / library else 1 end) as value from counts join library using (cell_id), med)"""
+    vals as materialized (select cell_id, cluster, sample_id, gene, n, ln(1 + n * case when library > 0 then m / library else 1 end) as value from counts join library using (cell_id), med)"""
 )
 HALVES_SQL = "halves as (select vec_id, label, embedding::double[] as embedding, (embedding::double[])[1:32] as rna, (embedding::double[])[33:64] as image from embeddings)"
 POINTS_SQL = "points as (select o_orderkey as cell_id, o_orderstatus as sample_id, round(o_totalprice % 5000.0, 2) as x, ((o_orderkey * 7919) % 5000)::double as y from orders)"

@@ -121,6 +121,15 @@ def int_list(text: str) -> list[int]:
     return sorted({int(x) for x in text.split(",") if x.strip()})
 
 
+def float_list(text: str) -> list[float]:
+    return sorted({float(x) for x in text.split(",") if x.strip()})
+
+
+def resolved(base: str, path: str) -> str:
+    """A path of a settings file: as it is if it is absolute or has a scheme, else below the folder ``base``."""
+    return path if path.startswith("/") or "://" in path else f"{base.rstrip('/')}/{path}"
+
+
 @dataclasses.dataclass(frozen=True)
 class Settings:
     """Parameters of a run, one seed for everything; a key that nothing reads is an error."""
@@ -143,3 +152,30 @@ class Settings:
         if unknown := sorted(set(values) - {f.name for f in dataclasses.fields(cls)}):
             raise ValueError(f"unknown settings {unknown}")
         return cls(**values)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Settings:
+        """From a JSON document; a nested one may group keys, its groups' names don't count."""
+        flat: dict = {}
+        for name, value in json_document(spark, path).items():
+            flat |= value if isinstance(value, dict) else {name: value}
+        return cls.of(flat)
+
+
+@dataclasses.dataclass(frozen=True)
+class StagePaths:
+    """Where a run's stages write, below one root."""
+
+    root: str
+
+    def of(self, stage: str, *parts: str) -> str:
+        return "/".join([self.root.rstrip("/"), stage, *parts])
+
+
+def dispatch(step: str, steps: dict, *arguments):
+    """Runs the step of that name, or all in order for "all"; an unknown name is an error that lists the known ones."""
+    if step == "all":
+        return {name: run(*arguments) for name, run in steps.items()}
+    if step not in steps:
+        raise ValueError(f"unknown step {step!r}; there are {', '.join(['all', *steps])}")
+    return steps[step](*arguments)

@@ -15,7 +15,8 @@ def parquet(df: DataFrame, path: str, partition: list[str] | None = None, mode:
 
 
 def report_csv(df: DataFrame, path: str, append: bool = False) -> None:
-    """One file with a header: for reports, which are small."""
+    """A folder with one file with a header: for reports, which are small. ``append`` adds another file, with its own header as each file of a
+    CSV folder has one; readers of the folder see one table."""
     df.coalesce(1).write.mode("append" if append else "errorifexists").option("header", True).csv(path)
 
 
@@ -61,3 +62,19 @@ def stage(spark: SparkSession, path: str, key: str, build) -> DataFrame:
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
         build().write.mode("overwrite").parquet(folder)
     return spark.read.parquet(folder)
+
+
+def published(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """A finished folder copied to ``target``, which must not be there, by Hadoop's file systems; returns what ``outputs`` says of it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, to = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(target)
+    if to.getFileSystem(conf).exists(to):
+        raise ValueError(f"{target} is there already")
+    jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, to.getFileSystem(conf), to, False, conf)
+    return outputs(spark, target)
+
+
+def outputs(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes) of all files below a folder, hidden ones left out; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("length").alias("bytes"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.functions import scalar as S
+from lumenframe.functions.storage import Workspace
 from lumenframe.operators import align, cells, community, embedding, expression, graph, images, layout, multimodal, report, spatial, transfer, validate, vectors
 from lumenframe.sources import arrays, readers, tiff, writers
 from lumenframe.streaming import boundaries
@@ -121,29 +122,191 @@ def test_communities(spark, most_local):
     assert community.modularity(edges, found) > 0.4
 
 
-def _stuck(edges, labels):
-    """Whether no node gains by a move to a neighbour's community."""
-    return community._wishes(edges, labels, 1.0).where("own <> to").isEmpty()
+def _some_graph(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    pairs = {(i, j) for i in range(n) for j in rng.choice(n, 3) if i < j} | {(i, i + 1) for i in range(n - 1)}
+    rows = [x for i, j in sorted(pairs) for x in ((int(i), int(j), 1.0), (int(j), int(i), 1.0))]
+    return spark.createDataFrame(rows, "src long, dst long, w double").cache(), spark.range(n).withColumnRenamed("id", "n"), pairs
 
 
-def test_joins_go_on_until_no_node_moves(spark):
-    rng = np.random.default_rng(2)
-    pairs = {(i, j) for i in range(150) for j in rng.choice(150, 3) if i < j} | {(i, i + 1) for i in range(149)}
-    edges = spark.createDataFrame([x for i, j in pairs for x in ((int(i), int(j), 1.0), (int(j), int(i), 1.0))], "src long, dst long, w double").cache()
-    nodes = spark.range(150).withColumnRenamed("id", "n")
-    far, near = (community.communities(edges, nodes, "n", most_local=m) for m in (0, 10_000))
-    groups = edges.join(far.toDF("src", "a"), "src").join(far.toDF("dst", "b"), "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
-    assert _stuck(groups, groups.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct())
-    assert community.modularity(edges, far) > community.modularity(edges, near) - 0.03
+def test_communities_are_the_same_wherever_a_level_is_done(spark):
+    edges, nodes, pairs = _some_graph(spark, 24, 2)
+    far, near, mixed = ({r.node: r.community for r in community.communities(edges, nodes, "n", most_local=m).collect()} for m in (0, 10_000, 40))
+    assert far == near == mixed
+    total = 2.0 * len(pairs)
+    degree = {i: sum(i in p for p in pairs) for i in range(24)}
+    score = lambda own: sum(2.0 for i, j in pairs if own[i] == own[j]) / total - sum(sum(d for i, d in degree.items() if own[i] == c) ** 2 for c in set(own.values())) / total**2
+    assert community.modularity(edges, spark.createDataFrame(list(near.items()), "node long, community long")) == pytest.approx(score(near))
+    groups = set(near.values())
+    assert all(score({i: a if c == b else c for i, c in near.items()}) <= score(near) + 1e-9 for a in groups for b in groups if a != b)  # no two communities gain by merging
 
 
 def test_long_communities_stay_whole(spark):
     path = spark.range(300).selectExpr("id as src", "id + 1 as dst", "1.0D as w")
     edges = path.unionAll(path.selectExpr("dst as src", "src as dst", "w")).where("src <> 199 or dst <> 200").where("src <> 200 or dst <> 199")
-    parts = community._connected(edges, spark.range(301).selectExpr("id as node", "7L as community"))
+    labels = spark.range(301).selectExpr("id as node", "7L as community")
+    parts = community._connected(edges, labels, Workspace(spark, "test"))
     assert {r.community: r["count"] for r in parts.groupBy("community").count().collect()} == {0: 200, 200: 101}
 
 
+def test_communities_of_odd_graphs(spark):
+    nodes = spark.createDataFrame([(1,), (2,), (2,), (None,)], "n long")
+    for rows in ([], [(1, 2, 0.0)], [(None, 2, 1.0), (1, None, 1.0), (1, 2, None)]):
+        edges = spark.createDataFrame(rows, "src long, dst long, w double")
+        assert values(community.communities(edges, nodes, "n"), "node", "community") == [(1, 1), (2, 2)]
+    twice = spark.createDataFrame([(1, 2, 0.5), (1, 2, 0.5), (2, 1, 1.0)], "src long, dst long, w double")
+    assert values(community.communities(twice, nodes, "n"), "node", "community") == [(1, 1), (2, 1)]
+
+
+def test_neighbours_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [float("nan"), 1.0]), (5, []), (6, [1.0, 1.0, 1.0]), (None, [1.0, 0.0]), (7, [None, 1.0])]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    assert values(vectors.exact_neighbours(df, "k", "v", 3), "src", "dst", "rank") == [(1, 2, 1), (2, 1, 1)]
+    assert vectors.exact_neighbours(df.where("k > 99"), "k", "v", 3).count() == 0
+    mean, parts, _ = vectors.principal_components(df.where("size(v) = 2"), "v", 2)
+    scores = {r.k: r.scores for r in vectors.project(df.withColumn("the_vector", F.lit("x")), "v", mean, parts).collect()}
+    assert scores[3] is None and scores[4] is None and scores[6] is None and len(scores[1]) == 2
+    with pytest.raises(ValueError, match="no rows"):
+        vectors.principal_components(df.where("k > 99"), "v", 2)
+    with pytest.raises(ValueError, match="differ in length"):
+        vectors.principal_components(df, "v", 2)
+
+
+def test_hubs_share_neighbours_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(multimodal, "PART", 4)
+    pairs = spark.createDataFrame([(i, 100) for i in range(11)] + [(i, 200 + i % 3) for i in range(11)], "src long, dst long")
+    want = sorted((i, j, 1 + (i % 3 == j % 3)) for i in range(11) for j in range(11) if i != j)
+    assert values(multimodal._shared(pairs), "src", "o", "s") == want
+
+
+def test_harmony_with_null_batches_and_odd_vectors(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, (rng.normal(size=4) + (i % 3)).tolist(), [None, "a", "b"][i % 3]) for i in range(60)] + [(60, [None, 1.0, 0.0, 0.0], "a"), (61, None, "b")]
+    df = spark.createDataFrame(rows, "k long, v array<double>, b string")
+    out = {r.k: r.v for r in multimodal.harmonised(df, "k", "v", "b").collect()}
+    assert set(out) == set(range(61)) and all(abs(sum(x * x for x in v) - 1) < 1e-6 for v in out.values())
+    assert multimodal.harmonised(df.where("k > 99"), "k", "v", "b").count() == 0
+
+
+def test_crowded_cells_and_null_points(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "CELL", 3)
+    rng = np.random.default_rng(1)
+    points = [(i, "s", float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 3, (40, 2)))] + [(90, "s", None, 1.0), (91, None, 1.0, 1.0)]
+    df = spark.createDataFrame(points, "k long, s string, x double, y double")
+    want = sorted((a[0], sum((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 <= 1 for b in points[:40])) for a in points[:40])
+    assert values(spatial.radius_counts(df, "k", "x", "y", 1.0, "s"), "k", "n_near") == want
+    targets = df.where("k % 7 = 0").withColumnRenamed("k", "t")
+    near = {r.k: r.t for r in spatial.nearest(df, targets, "k", "t", "x", "y", 0.1, "s").collect()}
+    assert near == {a[0]: min((round((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2, 9), b[0]) for b in points[:40] if b[0] % 7 == 0)[1] for a in points[:40]}
+
+
+def test_capped_label_sums(spark):
+    order = [F.col("cell_id")]
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(10)], "cell_id long, cluster string")
+    counts = spark.createDataFrame([(i, "g", float(i)) for i in range(10)], "cell_id long, gene string, n double")
+    assert values(expression.label_sums(df, counts, "cluster", 2, order), "cluster", "n") == [("a", 2.0), ("b", 4.0)]
+
+
+def test_median_of_genes_with_ties_and_zeros(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(31)], "cell_id long, cluster string")
+    table = {(i, g): float(rng.integers(0, 3)) for i in range(31) for g in ("x", "y")}
+    counts = spark.createDataFrame([(i, g, n) for (i, g), n in table.items() if n], "cell_id long, gene string, n double")
+    library = {i: sum(n for (j, _), n in table.items() if j == i) for i in range(31)}
+    middle = float(np.median([x for x in library.values() if x > 0]))
+    for r in expression.cluster_gene(df, counts).collect():
+        cells_ = [i for i in range(31) if "abc"[i % 3] == r.cluster]
+        value = [np.log1p(table[i, r.gene] * (middle / library[i] if library[i] else 1)) for i in cells_]
+        assert (r.mean_log1p, r.median_log1p) == (pytest.approx(np.mean(value), abs=1e-6), pytest.approx(np.median(value), abs=1e-6))
+
+
+def test_a_correction_is_made_only_where_batches_show(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, (rng.normal(size=6) + (4 * (i % 2) if i < 80 else 0)).tolist(), "ab"[i % 2]) for i in range(80)]
+    df = spark.createDataFrame(rows, "k long, v array<double>, b string")
+    _, record = multimodal.harmonised_if_needed(df, "k", "v", "b", k=5, most=60)
+    assert record["applied"] and record["before"] > 0.1 and record["after"] < record["before"]
+    mixed = df.withColumn("b", F.when(F.xxhash64("k") % 2 == 0, "a").otherwise("b"))
+    out, record = multimodal.harmonised_if_needed(mixed, "k", "v", "b", threshold=0.3, k=5)
+    assert not record["applied"] and values(out, "k") == [(i,) for i in range(80)]
+    with pytest.raises(ValueError, match="weight"):
+        graph.require_sane(spark.createDataFrame([(1, 2, 3.0)], "src long, dst long, w double"), 15)
+
+
+def test_vertex_numbers_go_on_between_micro_batches(spark, tmp_path):
+    for i, rows in enumerate(([("a", 0), ("b", 1), ("a", 2)], [("b", 3), ("a", 4)], [("c", 5), ("a", 6)])):
+        spark.createDataFrame(rows, "c string, o int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = boundaries.stream(spark, str(tmp_path / "in"), "c string, o int")
+    boundaries.write_numbered(stream, "c", "o", str(tmp_path / "out"), str(tmp_path / "state"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert {r.c: r.ids for r in out.groupBy("c").agg(F.sort_array(F.collect_list("vertex_id")).alias("ids")).collect()} == {"a": [0, 1, 2, 3], "b": [0, 1], "c": [0]}
+
+
+def test_settings_stages_and_publishing(spark, tmp_path):
+    (tmp_path / "settings.json").write_text(json.dumps({"graph": {"neighbours": 7}, "seed": 3}))
+    settings = readers.Settings.read(spark, str(tmp_path / "settings.json"))
+    assert (settings.neighbours, settings.seed) == (7, 3)
+    assert readers.resolved("/base", "x/y") == "/base/x/y" and readers.resolved("/base", "s3://b/y") == "s3://b/y" and readers.float_list("2, 0.5,,2") == [0.5, 2.0]
+    steps = {"one": lambda x: x + 1, "two": lambda x: x + 2}
+    assert readers.dispatch("two", steps, 1) == 3 and readers.dispatch("all", steps, 1) == {"one": 2, "two": 3}
+    with pytest.raises(ValueError, match="one, two"):
+        readers.dispatch("three", steps, 1)
+    assert readers.StagePaths("/run/").of("pca", "scores") == "/run/pca/scores"
+    writers.parquet(spark.range(3), str(tmp_path / "table"))
+    assert writers.published(spark, str(tmp_path / "table"), str(tmp_path / "copy")).where("bytes > 0").count() >= 1
+    with pytest.raises(ValueError, match="already"):
+        writers.published(spark, str(tmp_path / "table"), str(tmp_path / "copy"))
+
+
+def test_image_preparation():
+    x = np.random.default_rng(0).integers(0, 256, (6, 8, 3)).astype(np.uint8)
+    assert np.array_equal(images.resized(x[:, :6], 6), x[:, :6])
+    assert np.allclose(images.resized(np.full((7, 5), 3.0), 4), 3.0)
+    assert images.model_input(x, 4, [0.5] * 3, [0.25] * 3).shape == (3, 4, 4)
+    assert images.as_rgb(np.array([[0.0, 0.5, 1.0]]))[0, :, 0].tolist() == [0, 127, 255] and images.as_rgb(np.array([[0.0, 300.0, 7.9]]))[0, :, 0].tolist() == [0, 255, 7]
+    two = np.stack([np.arange(100.0).reshape(10, 10), np.arange(100.0).reshape(10, 10) * 50], axis=2)
+    assert np.allclose(images.stretched(two)[..., 0], images.stretched(two)[..., 1])
+    assert images.pyramid(5, 3, 2) == [(5, 3), (3, 2), (2, 1)] and images.halved(np.ones((5, 3))).shape == (3, 2)
+    assert images.tile_positions(5, 50, 10, 4) == [(0, 0)] and images.tile_positions(50, 50, 10, 0) == [] and len(images.tile_positions(50, 50, 10, 4)) == 4
+
+
+def test_losses_equal_the_training_code(spark):
+    rng = np.random.default_rng(5)
+    i, g = rng.normal(size=(6, 4)), rng.normal(size=(6, 4))
+    df = spark.createDataFrame([(k, 0, i[k].tolist(), g[k].tolist()) for k in range(6)], "k long, b int, i array<double>, g array<double>")
+    target = np.zeros((6, 6))
+    table = align.target_table(df, "k", "b", "i", "g", 0.3, 0.2)
+    for r in table.collect():
+        target[r.i, r.j] = r.target
+    assert np.allclose(target, align.soft_targets(i, g, 0.3, 0.2))
+    assert align.loss_table(df, "k", "b", "i", "g", 0.1, table).first().loss == pytest.approx(align.soft_loss(i, g, target, 0.1))
+    assert align.loss_table(df, "k", "b", "i", "g", 0.1).first().loss == pytest.approx(align.info_nce(i, g, 0.1))
+
+
+def test_cell_helpers(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (2, "b", None)], "i long, c string, x double")
+    names = spark.createDataFrame([("a", 10), ("b", 20)], "k string, v int")
+    assert values(cells.mapped(df, "c", names, "k", "v", "w"), "i", "w") == [(1, 10), (2, 20)]
+    with pytest.raises(ValueError, match="no value"):
+        cells.mapped(df, "c", names.where("v = 10"), "k", "v", "w")
+    with pytest.raises(ValueError, match="repeats"):
+        cells.mapped(df, "c", names.unionAll(names), "k", "v", "w")
+    assert "v" in cells.joined_if_complete(df, names.withColumnRenamed("k", "c"), ["c"]).columns
+    assert "v" not in cells.joined_if_complete(df, names.where("v = 10").withColumnRenamed("k", "c"), ["c"]).columns
+    assert values(cells.present_in(df, ["c"], names.where("v = 10").withColumnRenamed("k", "c")), "i") == [(1,)] and values(cells.complete_rows(df, ["x"]), "i") == [(1,)]
+    ids = cells.with_polygon_ids(spark.createDataFrame([("2.0",), (None,)], "polygon_id string"))
+    assert values(ids, "polygon_id", "vertex_id") == [(1, 0), (2, 0)]
+    marked = cells.with_retention(df, F.col("i") == 1, F.col("x"), 1.0)
+    assert cells.check_retention(marked, cells.retained(marked), cells.dropped(marked)).count() == 1
+    with pytest.raises(ValueError, match="confirmed"):
+        cells.check_retention(marked, cells.dropped(marked), cells.retained(marked))
+    parts = {r.part: r["count"] for r in cells.exact_split(spark.range(50), [F.col("id")], 0.8).groupBy("part").count().collect()}
+    assert parts == {"train": 40, "validation": 10}
+    assert [r.part for r in cells.exact_split(spark.range(1), [F.col("id")], 0.8).collect()] == ["both"]
+    capped = cells.stratified_cap(spark.createDataFrame([(i, "s", i < 3) for i in range(9)] + [(9, None, None)], "i long, s string, low boolean"), "s", F.col("low"), [F.col("i")], 5)
+    assert values(capped, "i") == [(0,), (1,), (2,), (3,), (4,), (9,)]
+
+
 def test_resolutions():
     for low, high, step in ((0.1, 0.4, 0.1), (0.5, 2.0, 0.25), (1.0, 1.0, 0.1)):
         assert community.resolutions(low, high, step) == [round(float(x), 2) for x in np.arange(low, high, step)]
