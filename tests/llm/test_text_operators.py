@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -177,8 +178,8 @@ def shingles(t, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates(spark, texts, k):
+def components_by_force(texts, k):
+    """The smallest id that each text reaches over links."""
     sets = {i: shingles(t, k) for i, t in texts}
     parent = {i: i for i in sets}
 
@@ -193,11 +194,26 @@ def test_near_duplicates(spark, texts, k):
             if a < b and x and y and 100 * len(x & y) >= 80 * len(x | y):
                 p, q = root(a), root(b)
                 parent[max(p, q)] = min(p, q)
-    out = {r.doc_id: r for r in minhash.near_duplicates(docs(spark, [*texts, (None, "a b c")]), shingle=k).collect()}
+    return {i: root(i) for i in sets}
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates(spark, texts, k):
+    root = components_by_force(texts, k)
+    frame = docs(spark, [*texts, (None, "a b c")]).withColumn("the_id", F.lit("x"))
+    out = {r.doc_id: r for r in minhash.near_duplicates(frame, shingle=k).collect()}
     assert (out[None].component_id, out[None].kept) == (None, True)
-    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in out.items() if i is not None} == {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
-    left = minhash.keep_one(docs(spark, texts), shingle=k)
-    assert {r.doc_id for r in left.collect()} == {i for i in sets if root(i) == i} and left.columns == ["doc_id", "text", "found", "start", "hit"]
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in out.items() if i is not None} == {i: (len(shingles(t, k)), root[i], root[i] == i) for i, t in texts}
+    left = minhash.keep_one(frame, shingle=k)
+    assert {r.doc_id for r in left.collect()} == {i for i in root if root[i] == i} | {None} and left.columns == frame.columns
+    with pytest.raises(ValueError, match="integer"):
+        minhash.near_duplicates(frame.withColumn("doc_id", F.lit("x")))
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z"), (3, "a b c d e f"), (4, None), (4, None)]
+    out = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(spark, rows), shingle=2).collect())
+    assert out == [(1, 5, 1), (1, 5, 1), (2, 5, 1), (3, 5, 1), (4, 0, 4), (4, 0, 4)]
 
 
 def test_near_duplicates_of_a_broken_up_group(spark):
@@ -455,15 +471,13 @@ def grams_by_force(t):
 
 def weights_by_force(texts, target):
     """log p_target / p_raw of each text by the models of the others, n-grams by themselves instead of buckets."""
-    sets = {i: grams_by_force(t) for i, t in texts}
-    out = {}
-    for i, own in sets.items():
-        others = [j for j in sets if j != i]
-        inside = [j for j in others if j in target]
+    sets = [(i in target, i, grams_by_force(t)) for i, t in texts]
+    every, inside = Counter(g for _, _, s in sets for g in s), Counter(g for good, _, s in sets if good for g in s)
+    n, n_target, out = len(sets), sum(good for good, _, _ in sets), {}
+    for good, i, own in sets:
         out[i] = 0.0
         for g in own:
-            expected = sum(g in sets[j] for j in others) * len(inside) / len(others)
-            x = np.log((sum(g in sets[j] for j in inside) + quality.PRIOR) / (expected + quality.PRIOR))
+            x = np.log((inside[g] - good + quality.PRIOR) / ((every[g] - 1) * (n_target - good) / (n - 1) + quality.PRIOR))
             out[i] += x if abs(x) >= np.log(quality.MARGIN) else 0.0
     return out
 
@@ -592,14 +606,77 @@ def test_query_equals_its_sql(spark, name):
     assert_equal(spark, queries.QUERIES[name], queries.ORACLES[name])
 
 
-def test_pipeline(spark):
+STAGE_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, log_weight string, n_removed string, spans string, the_id string"
+
+
+def stage_table(spark, rows):
+    """Documents with columns whose names stages and operators might use inside."""
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), *"abcd") for i, t in rows], STAGE_COLUMNS).repartition(3)
+
+
+def tables_of_a_corpus(spark, folder, rows, labels, items):
+    stage_table(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def lines_by_force(rows):
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        parts, gone = t.split("\n") if t is not None else [], set()
+        for p in range(len(parts) - 2):
+            if first.setdefault(tuple(parts[p : p + 3]), (i, p)) != (i, p):
+                gone.update((p, p + 1, p + 2))
+        out[i] = None if t is None else "\n".join(x for p, x in enumerate(parts) if p not in gone)
+    return sorted(out.items())
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
     import corpus_pipeline
 
-    docs_table = spark.read.parquet(f"{SF}/documents.parquet")
-    left = docs_table
+    vile, labels = vile_corpus()
+    extra = [(i + 1000, t) for i, t in corpus(3) if i < 60] + [(2000, None), (2001, ""), (2002, "p q\nr\ns t\nu"), (2003, "x\np q\nr\ns t\ny")]
+    rows = vile + extra
+    items = [(1, extra[1][1]), (2, "word nobody writes here at all so nothing matches it ever"), (3, None)]
+    folder = tables_of_a_corpus(spark, str(tmp_path), rows, labels, items)
+    kept = {}
+    left = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        left = stage(spark, left, SF)
-        assert left.columns == docs_table.columns, name
-    kept = {r.doc_id for r in left.select("doc_id").collect()}
-    packed = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()}
-    assert packed == kept and 0 < len(kept) < docs_table.count()
+        left = stage(spark, left, folder)
+        assert left.schema.names == stage_table(spark, []).schema.names, name
+        kept[name] = sorted(((r.doc_id, r.text) for r in left.collect()), key=lambda x: x[0])
+    # quality: weights, cut, noise and the sample
+    weight = weights_by_force(rows, {i for i, _, toxic in labels if not toxic})
+    cut = quality.best_cut(np.array([weight[i] for i, _, _ in labels]), np.array([not x for _, _, x in labels]))
+    frame = stage_table(spark, rows)
+    gumbel = {r.doc_id: r.g for r in frame.select("doc_id", quality.noise(F.col("doc_id"), quality.SEED).alias("g")).collect()}
+    best = sorted(rows, key=lambda x: -(weight[x[0]] + gumbel[x[0]]))[: sum(w >= cut - 1e-3 for w in weight.values())]
+    assert kept["quality classifier"] == sorted(best)
+    assert kept["line dedup"] == lines_by_force(kept["quality classifier"])
+    root = components_by_force(kept["line dedup"], 5)
+    assert kept["MinHash near-dedup"] == [(i, t) for i, t in kept["line dedup"] if root[i] == i]
+    named = [(str(i), t) for i, t in items]
+    clean = [(i, t) for i, t in kept["MinHash near-dedup"] if not overlaps_by_force(ALNUM.findall(lower(t or "")), named)[0]]
+    assert kept["benchmark decontamination"] == clean and len(clean) < len(kept["MinHash near-dedup"]) < len(kept["line dedup"]) < len(rows)
+    encode, pieces = tokens.encoder(queries.tokenizer_path()), {}
+    for r in corpus_pipeline.run(spark, folder).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    assert set(pieces) == {i for i, _ in clean}
+    for i, t in clean:
+        ids = np.append(encode(t or ""), 1).astype("<u4")
+        assert sorted(pieces[i]) == [(a, n, zlib.crc32(ids[a : a + n].tobytes())) for a, n, _ in sorted(pieces[i])] and sum(n for _, n, _ in pieces[i]) == len(ids)
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    odd = [(None, "a b"), (None, None), (1, None), (1, None), (2, ""), (3, "c d e f g h"), (3, "c d e f g h"), (4, "x " * 30_000)]
+    for number, rows in enumerate(([], odd)):
+        folder = tables_of_a_corpus(spark, str(tmp_path / str(number)), rows, [(2, 1, 0), (None, None, None), (99, 0, 1)], [(None, None)])
+        left = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, left, folder)
+            assert left.schema.names == stage_table(spark, []).schema.names
+        assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(rows, key=str)
+        assert corpus_pipeline.run(spark, folder).select("doc_id").distinct().count() == len({i for i, _ in rows})
