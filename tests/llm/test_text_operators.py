@@ -637,7 +637,9 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 
     vile, labels = vile_corpus()
     extra = [(i + 1000, t) for i, t in corpus(3) if i < 60] + [(2000, None), (2001, ""), (2002, "p q\nr\ns t\nu"), (2003, "x\np q\nr\ns t\ny")]
-    rows = vile + extra
+    copy = " ".join(f"w{i}" for i in range(60))
+    rows = [*vile, *extra, (3000, copy), (3001, f"{copy} more"), (3002, copy)]
+    labels = [*labels, *((i, 1, 0) for i, t in extra[:60] if t and i % 3)]
     items = [(1, extra[1][1]), (2, "word nobody writes here at all so nothing matches it ever"), (3, None)]
     folder = tables_of_a_corpus(spark, str(tmp_path), rows, labels, items)
     kept = {}
