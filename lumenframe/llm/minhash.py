@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from . import kernels
 from .components import components
-from .work import Workspace, free_name, integer_id, join_by_size, map_arrow, salted_join
+from .work import Workspace, free_name, integer_id, join_by_size, map_arrow, salted_join, tasks
 
 SHINGLE = 5
 PERCENT = 80
@@ -35,6 +35,8 @@ OUTER_BYTES = 1 << 20
 INNER_BYTES = 2 << 20
 #: Bytes of sets, or shingles of pairs, that are compared at once.
 CHUNK = 4 << 20
+#: Rows of tables that one task makes.
+TABLE_ROWS = 2_000_000
 SEED = 20240229
 
 
@@ -191,12 +193,15 @@ def near_duplicates(
 
 def _components_of(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, halves: int, work: Workspace) -> DataFrame:
     """(node, component) of the nodes that share a table with others."""
-    table = nodes.select("node", "n", F.posexplode("a").alias("i", "x"), "b").select("node", "n", "i", "x", F.posexplode("b").alias("j", "y"))
+    count = nodes.count()
+    dealt = nodes.select("node", "n", "a", "b").repartition(tasks(nodes.sparkSession, count * halves * halves, TABLE_ROWS))
+    table = dealt.select("node", "n", F.posexplode("a").alias("i", "x"), "b").select("node", "n", "i", "x", F.posexplode("b").alias("j", "y"))
     table = table.select(F.xxhash64("i", "j", "x", "y").alias("key"), "node", F.col("n").cast("int").alias("n"))
-    buckets = table.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.max("node").alias("high"), F.count("*").alias("size")).where("c.node < high")
-    buckets = work.save(buckets.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("m"), "size"))
-    members = join_by_size(table, buckets, ["key"], "size", nodes.count() * halves * halves)
-    stars = work.save(members.where("node <> centre").select("centre", "m", "node", "n").distinct())
+    buckets = table.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("high"), F.count("*").alias("size")).where("centre < high")
+    buckets = work.save(buckets.select("key", "centre", "size"))
+    members = join_by_size(table, buckets, ["key"], "size", count * halves * halves)
+    pairs = members.where("node <> centre").select("centre", "node", "n").distinct()
+    stars = work.save(pairs.join(nodes.select(F.col("node").alias("centre"), F.col("n").cast("int").alias("m")), "centre"))
     work.drop(buckets)
     label = work.save(stars.select("node").unionAll(stars.select("centre")).distinct().withColumn("component", F.col("node")))
     wanted = label.join(nodes.select("node", "id", "p", "q"), "node")
