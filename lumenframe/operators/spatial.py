@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import map_arrow
-from ..functions.storage import Workspace
+from ..functions.storage import Workspace, free_name
 
 #: Rows of a grid cell that are compared at once.
 CELL = 4096
@@ -111,6 +111,7 @@ def boxes(picked: DataFrame, x: str, y: str, half: float) -> DataFrame:
 
 def count_in_boxes(windows: DataFrame, df: DataFrame, x: str, y: str, within: str, name: str) -> DataFrame:
     """How many rows of its group lie in each window; there are a few windows a group."""
-    inside = df.select(within, F.col(x).alias("__x"), F.col(y).alias("__y")).join(windows, within)
-    inside = inside.where((F.col("__x") >= F.col("x0")) & (F.col("__x") < F.col("x1")) & (F.col("__y") >= F.col("y0")) & (F.col("__y") < F.col("y1")))
+    px, py = free_name("point_x", windows), free_name("point_y", windows)
+    inside = df.select(within, F.col(x).alias(px), F.col(y).alias(py)).join(windows, within)
+    inside = inside.where((F.col(px) >= F.col("x0")) & (F.col(px) < F.col("x1")) & (F.col(py) >= F.col("y0")) & (F.col(py) < F.col("y1")))
     return windows.join(inside.groupBy(within, "pick").agg(F.count("*").alias(name)), [within, "pick"], "left").withColumn(name, F.coalesce(name, F.lit(0)))

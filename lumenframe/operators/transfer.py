@@ -80,9 +80,9 @@ def overridden(predictions: DataFrame, confirmed: Column, name: str) -> DataFram
 
 def validation(final: DataFrame, parents: DataFrame, confirmed: Column, name: str) -> DataFrame:
     """One row of invariants: numbers of rows and cells, fallbacks, labels outside their parent, and override counts."""
-    known = final.join(parents.select(F.col("label").cast("string").alias("label"), F.col("parent").alias("__of")), "label", "left")
+    known = final.join(parents.select(F.col("label").cast("string").alias("label"), F.col("parent").alias("known_parent")), "label", "left")
     sure = F.coalesce(confirmed, F.lit(False))
-    stray = ~F.col("fallback") & (F.coalesce(F.col("__of"), F.lit(-1)) != F.col("parent"))
+    stray = ~F.col("fallback") & (F.coalesce(F.col("known_parent"), F.lit(-1)) != F.col("parent"))
     return known.agg(
         F.count("*").alias("n_rows"), F.countDistinct("cell_id").alias("n_cells"), F.count_if("fallback").alias("n_fallback"), F.count_if(stray).alias("n_stray"),
         F.count_if(sure).alias("n_confirmed"), F.count_if(F.col("final_label") == name).alias("n_named"), F.count_if(F.col("action") == "overridden").alias("n_overridden"),
