@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import ann, components, decontaminate, lines, minhash, packing, pii, quality, queries, sais, substrings, suffixes, token_counts, tokens, work
 from lumenframe.llm.fm_index import FmIndex
-from oracle import SF, assert_equal
+from oracle import assert_equal
 
 SPACE = re.compile("[^\x20\x09-\x0d]+")
 ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
