@@ -13,13 +13,14 @@ def connection(sf: str = SF):
     return con
 
 
-def rows(df):
-    df = df[sorted(df.columns)]
-    show = lambda v: ("nan" if v != v else repr(round(v, 9))) if isinstance(v, float) else repr(v)
-    return sorted(tuple(show(v) for v in r) for r in df.itertuples(index=False, name=None))
+def rows(table):
+    """Sorted rows of an Arrow table, doubles to nine digits."""
+    names = sorted(table.column_names)
+    show = lambda v: ("nan" if v != v else repr(round(v, 9) + 0.0)) if isinstance(v, float) else repr(v)
+    return sorted(tuple(show(r[c]) for c in names) for r in table.to_pylist())
 
 
 def assert_equal(spark, query, sql: str, sf: str = SF) -> None:
-    mine, other = query(spark, sf).toPandas(), connection(sf).sql(sql).df()
-    assert sorted(mine.columns) == sorted(other.columns)
+    mine, other = query(spark, sf).toArrow(), connection(sf).sql(sql).to_arrow_table()
+    assert sorted(mine.column_names) == sorted(other.column_names)
     assert rows(mine) == rows(other)
