@@ -76,3 +76,20 @@ NEIGHBOURS = """
     s as (select q.vec_id as query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]), lambda x, y: x + y) / (q.l * c.l) as score
       from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
     select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5"""
+
+#: crc32 byte by byte from its table; near words by patterns with one place left open, and by one word being another less a place.
+SPELLING = r"""
+    with recursive crc as (select list(list_reduce(list_prepend(b::bigint, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by b) as t from range(256) x(b)),
+    d as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) as w from documents),
+    r as materialized (select doc_id, w, count(*) as n from d group by 1, 2),
+    b as (select doc_id, w, n, flatten(list_transform(string_split(doc_id::varchar || ':' || w, ''), lambda c: case when ord(c) < 128 then [ord(c)::bigint] else [192 + (ord(c)::bigint >> 6), 128 + (ord(c)::bigint & 63)] end)) as y from r),
+    h as (select w, n, xor(list_reduce(list_prepend(4294967295::bigint, y), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as h from b, crc),
+    m as (select case when h % 199 = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word, n from h),
+    v as materialized (select word, sum(n)::bigint as n from m where length(word) >= 6 group by 1 having sum(n) >= 5),
+    p as materialized (select word, n, i, substr(word, 1, i - 1) as a, substr(word, i + 1) as z from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+    less as (select distinct p.word as x, v.word as y from p join v on v.word = p.a || p.z),
+    near as materialized (select x.word as x, y.word as y from p x join p y on x.i = y.i and x.a = y.a and x.z = y.z and x.word <> y.word union all select x, y from less union all select y, x from less),
+    best as (select x as word, count(*) as n_near, first(y order by v.n desc, y) as form, max(v.n) as form_n from near join v on v.word = y group by 1),
+    f as materialized (select v.word, v.n, coalesce(n_near, 0) as n_near, case when form_n >= 5 * v.n then form end as form, case when form_n >= 5 * v.n then form_n end as form_n from v left join best using (word)),
+    walk(word, stop, form) as (select word, word, form from f union all select w.word, f.word, f.form from walk w join f on f.word = w.form)
+    select f.word, f.form, w.stop as root, f.n, f.n_near, f.form_n from f join walk w on w.word = f.word and w.form is null"""

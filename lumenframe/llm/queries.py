@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, lines, minhash, oracles, packing, pii, quality, substrings, suffixes, token_counts
+from . import ann, decontaminate, lines, minhash, oracles, packing, pii, quality, spelling, substrings, suffixes, token_counts
 
 #: The key of the registered query only; a real one is a secret.
 PII_KEY = "example"
@@ -73,6 +73,15 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every 199th run, by a checksum of it and its document, a letter is dropped: mistakes to find."""
+    found = spelling.runs(table(spark, sf_dir, "documents"), id_col="doc_id", least=6)
+    mark, size = F.crc32(F.concat_ws(":", F.col("doc").cast("string"), "word").cast("binary")), F.length("word")
+    cut = F.concat(F.expr("left(word, cast(mark % size as int))"), F.expr("substring(word, cast(mark % size as int) + 2)"))
+    words = found.withColumns({"mark": mark, "size": size}).select(F.when(F.col("mark") % 199 == 0, cut).otherwise(F.col("word")).alias("word"))
+    return spelling.variants(spelling.counted(words, least_length=6, least_count=5), ratio=5)
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -84,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_pii": op9_pii,
     "op10_neighbours": op10_neighbours,
+    "op11_spelling": op11_spelling,
 }
 
 ORACLES: dict[str, str] = {
@@ -94,4 +104,5 @@ ORACLES: dict[str, str] = {
     "op8_suffix_dedup": oracles.BYTES,
     "op9_pii": pii.oracle(PII_KEY),
     "op10_neighbours": oracles.NEIGHBOURS,
+    "op11_spelling": oracles.SPELLING,
 }
