@@ -93,3 +93,18 @@ SPELLING = r"""
     f as materialized (select v.word, v.n, coalesce(n_near, 0) as n_near, case when form_n >= 5 * v.n then form end as form, case when form_n >= 5 * v.n then form_n end as form_n from v left join best using (word)),
     walk(word, stop, form) as (select word, word, form from f union all select w.word, f.word, f.form from walk w join f on f.word = w.form)
     select f.word, f.form, w.stop as root, f.n, f.n_near, f.form_n from f join walk w on w.word = f.word and w.form is null"""
+
+#: The sources that stop are those of the least size for their weight; a document's words are those of its streams' first target words.
+MIXING = r"""
+    with d as materialized (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+    s as (select source, sum(size)::bigint as source_size from d group by 1),
+    w as materialized (select source, source_size, 2 * source_size as most, [5.0, 2.0, 1.0][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as weight from s),
+    t as (select sum(source_size) * 1.5::double as total from s),
+    o as (select *, coalesce(sum(most) over (order by most / weight, source rows between unbounded preceding and 1 preceding), 0) as held, sum(weight) over (order by most / weight, source rows between current row and unbounded following) as rest from w),
+    stop as (select source from o, t where most < (total - held) / rest * weight),
+    r as (select (select total from t) - coalesce(sum(case when source in (from stop) then most end), 0) as left_over, sum(case when source not in (from stop) then weight end) as rest from w),
+    p as materialized (select source, source_size, case when source in (from stop) then most::double else left_over * weight / rest end as target from w, r),
+    e as (select doc_id, size, p.*, epoch, ('0x' || left(md5('0:' || epoch || ':' || doc_id), 15))::bigint as place from d join p on d.source is not distinct from p.source, (select unnest([0, 1]) as epoch)),
+    f as (select *, epoch * source_size + coalesce(sum(size) over (partition by source, epoch order by place, doc_id rows between unbounded preceding and 1 preceding), 0) as a from e),
+    k as (select doc_id, greatest(0, least(a + size, floor(target)::bigint) - a)::bigint as n, size, source, source_size, target from f)
+    select doc_id, size, source, source_size, target, sum(n)::bigint as taken from k group by doc_id, size, source, source_size, target"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, lines, minhash, oracles, packing, pii, quality, spelling, substrings, suffixes, token_counts
+from . import ann, decontaminate, lines, minhash, mixing, oracles, packing, pii, quality, spelling, substrings, suffixes, token_counts
 
 #: The key of the registered query only; a real one is a secret.
 PII_KEY = "example"
@@ -82,6 +82,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.counted(words, least_length=6, least_count=5), ratio=5)
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.per_document(*mixing.mixed(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5))
+    return out.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op9_pii": op9_pii,
     "op10_neighbours": op10_neighbours,
     "op11_spelling": op11_spelling,
+    "op12_mixing": op12_mixing,
 }
 
 ORACLES: dict[str, str] = {
@@ -105,4 +111,5 @@ ORACLES: dict[str, str] = {
     "op9_pii": pii.oracle(PII_KEY),
     "op10_neighbours": oracles.NEIGHBOURS,
     "op11_spelling": oracles.SPELLING,
+    "op12_mixing": oracles.MIXING,
 }
