@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, lines, minhash, mixing, oracles, packing, pii, quality, spelling, substrings, suffixes, token_counts
+from . import ann, decontaminate, lines, minhash, mixing, oracles, packing, pii, quality, spelling, substrings, suffixes, token_counts, whitening
 
 #: The key of the registered query only; a real one is a secret.
 PII_KEY = "example"
@@ -87,6 +87,11 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken", "source")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.by_component(whitening.whitened(table(spark, sf_dir, "embeddings"), most=16))
+    return out.select(F.col("key").alias("vec_id"), F.col("component").cast("int").alias("component"), "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -100,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op10_neighbours": op10_neighbours,
     "op11_spelling": op11_spelling,
     "op12_mixing": op12_mixing,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
