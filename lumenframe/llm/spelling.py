@@ -99,6 +99,7 @@ def near_counts(keyed: DataFrame) -> DataFrame:
     A key's rows lie together, but only those at one place are near each other, and there are as many of these as there are letters."""
     frequent = F.struct(F.col("n"), (-F.col("rank")).alias("r"))
     down = Window.partitionBy("a", "b", "place").orderBy(F.desc("n"), "rank")
+    keyed = keyed.repartition("a", "b")  # serves both windows
     rows = keyed.select("*", frequent.alias("me"), F.row_number().over(down).alias("i"), F.first(frequent).over(down).alias("first"), F.lead(frequent).over(down).alias("second"))
     at_place, at_key = Window.partitionBy("a", "b", "place"), Window.partitionBy("a", "b")
     rows = rows.withColumn("replaced", F.count("*").over(at_place) - 1)
