@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.storage import Workspace
 from ..operators import cells as C
-from ..operators import align, community, expression, graph, multimodal, report, spatial, transfer, vectors
+from ..operators import align, community, descent, expression, graph, multimodal, report, spatial, transfer, vectors
 from . import tables as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -310,6 +311,23 @@ def sample_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.sample_effect(_knn(spark, sf_dir), D.table(spark, sf_dir, "embeddings"), "vec_id", "label")
 
 
+@query()
+def knn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descent.approximate_neighbours(D.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 15)
+
+
+@query("""select count(*) as n_rows, 15 * count(*) as n_pairs, true as recall_is_enough, 0::bigint as n_wrong_distances from embeddings""")
+def knn_descent_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the approximate lists: rows, pairs, whether they hold nine tenths of the exact ones, and pairs whose distance isn't the exact one."""
+    e = D.table(spark, sf_dir, "embeddings")
+    found = Workspace(spark, "checked").save(descent.approximate_neighbours(e, "vec_id", "embedding", 15))
+    a, b = e.select(F.col("vec_id").alias("src"), F.col("embedding").alias("a")), e.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("b"))
+    wrong = F.abs(1 - S.cosine(F.col("a"), F.col("b")) - F.col("distance")) > 1e-9
+    totals = found.join(a, "src").join(b, "dst").agg(F.countDistinct("src").alias("n_rows"), F.count("*").alias("n_pairs"), F.count(F.when(wrong, 1)).alias("n_wrong_distances"))
+    share = descent.recall(found, _knn(spark, sf_dir)).scalar()
+    return totals.select("n_rows", "n_pairs", (share >= 0.9).alias("recall_is_enough"), "n_wrong_distances")
+
+
 @query()
 def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.halves(spark, sf_dir)
