@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +44,15 @@ def _distance(a, b):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x))
 
 
-def modality_weights(df: DataFrame, key: str, first: str, second: str, k: int, bandwidth: int = 15) -> tuple[DataFrame, dict[str, DataFrame]]:
+def modality_weights(df: DataFrame, key: str, first: str, second: str, k: int, bandwidth: int = 15, neighbours: Callable[..., DataFrame] = exact_neighbours) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(key, w1, w2) with w1 + w2 = 1, and the neighbour tables of both modalities.
 
     A modality's affinity for a predicted vector is exp(-max(0, d - d1) / (sigma - d1)): d the distance of a node to the mean of some
     neighbours, d1 that to its nearest one, sigma the mean distance to the ``bandwidth`` neighbours that share fewest neighbours with it
-    (but some). The ratio of the affinities for the means of its own and of the other modality's neighbours goes through a softmax."""
+    (but some). The ratio of the affinities for the means of its own and of the other modality's neighbours goes through a softmax.
+    neighbours: how neighbours are found; ``descent.approximate_neighbours`` for tables that all pairs of rows are too many for."""
     vectors = {1: first, 2: second}
-    near = {m: exact_neighbours(df, key, v, k, "euclidean") for m, v in vectors.items()}
+    near = {m: neighbours(df, key, v, k, "euclidean") for m, v in vectors.items()}
     out = df.select(key, first, second)
     for m, v in vectors.items():
         nearest = near[m].groupBy(F.col("src").alias(key)).agg(F.min("distance").alias(f"d{m}"))
@@ -73,10 +74,10 @@ def modality_weights(df: DataFrame, key: str, first: str, second: str, k: int, b
     return out.select(key, (e1 / (e1 + e2)).alias("w1"), (e2 / (e1 + e2)).alias("w2")), {first: near[1], second: near[2]}
 
 
-def weighted_neighbours(df: DataFrame, key: str, first: str, second: str, k: int = 30, multi: int = 60, bandwidth: int = 15) -> DataFrame:
+def weighted_neighbours(df: DataFrame, key: str, first: str, second: str, k: int = 30, multi: int = 60, bandwidth: int = 15, neighbours: Callable[..., DataFrame] = exact_neighbours) -> DataFrame:
     """(src, dst, rank, distance, w): the ``k`` best of both modalities' ``multi`` nearest by the weighted affinity w, distance 1 - w."""
-    weights, _ = modality_weights(df, key, first, second, k, bandwidth)
-    wide = [exact_neighbours(df, key, v, multi, "euclidean").select("src", "dst") for v in (first, second)]
+    weights, _ = modality_weights(df, key, first, second, k, bandwidth, neighbours)
+    wide = [neighbours(df, key, v, multi, "euclidean").select("src", "dst") for v in (first, second)]
     pairs = wide[0].unionAll(wide[1]).distinct()
     a = df.select(F.col(key).alias("src"), F.col(first).alias("a1"), F.col(second).alias("a2"))
     b = df.select(F.col(key).alias("dst"), F.col(first).alias("b1"), F.col(second).alias("b2"))

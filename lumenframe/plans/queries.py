@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions.storage import Workspace
 from ..operators import cells as C
-from ..operators import align, community, descent, expression, graph, multimodal, report, spatial, transfer, vectors
+from ..operators import align, community, descent, expression, graph, layout, multimodal, report, spatial, transfer, vectors
 from . import tables as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -487,6 +487,26 @@ def leiden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.numbered(community.communities(graph.symmetrised(_edges(spark, sf_dir)), nodes, "vec_id"))
 
 
+@query("""select count(*) as n_nodes, count(*) as n_placed, true as edges_are_short from embeddings""")
+def layout_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a layout: nodes, those with finite places, and whether edges are shorter, by a tenth at least, than what lies between a
+    node and the next by number."""
+    edges, nodes = graph.symmetrised(_edges(spark, sf_dir)), D.table(spark, sf_dir, "embeddings").select("vec_id")
+    at = Workspace(spark, "checked").save(layout.graph_layout(edges, nodes, "vec_id", rounds=8, steps=20, chunk=1 << 12))
+    a, b = at.toDF("src", "x1", "y1"), at.toDF("dst", "x2", "y2")
+    gap = F.sqrt((F.col("x1") - F.col("x2")) ** 2 + (F.col("y1") - F.col("y2")) ** 2)
+    mean = lambda pairs: pairs.join(a, "src").join(b, "dst").agg(F.avg(gap)).scalar()
+    others = nodes.select(F.col("vec_id").alias("src"), (F.col("vec_id") + 1).alias("dst"))
+    placed = F.count(F.when(~F.isnan("umap1") & ~F.isnan("umap2"), 1)).alias("n_placed")
+    return at.agg(F.count("*").alias("n_nodes"), placed).select("n_nodes", "n_placed", (mean(edges.select("src", "dst")) < 0.9 * mean(others)).alias("edges_are_short"))
+
+
+@query()
+def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = D.table(spark, sf_dir, "embeddings").select("vec_id")
+    return layout.graph_layout(graph.symmetrised(_edges(spark, sf_dir)), nodes, "vec_id", rounds=8, steps=20, chunk=1 << 12)
+
+
 @query(f"""with {_EDGES_SQL} select 7::bigint as k, count(*) as n_edges, count(distinct src) as n_nodes, round(avg(w), 6) as mean_weight from second_edges
     union all select 15::bigint, count(*), count(distinct src), round(avg(w), 6) from edges""")
 def graph_summary_by_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -429,7 +429,7 @@ def test_tiff_header(spark, tmp_path, end):
 
 def test_layout_separates_cliques(spark):
     edges, nodes = _two_cliques(spark)
-    out = {r.n: np.array([r.umap1, r.umap2]) for r in layout.graph_layout(edges, nodes, "n", epochs=100).collect()}
+    out = {r.n: np.array([r.umap1, r.umap2]) for r in layout.graph_layout(edges, nodes, "n", rounds=5, steps=20).collect()}
     inner = np.mean([np.linalg.norm(out[a] - out[b]) for a in range(6) for b in range(a)])
     outer = np.mean([np.linalg.norm(out[a] - out[b]) for a in range(6) for b in range(6, 12)])
     assert len(out) == 13 and outer > 2 * inner
