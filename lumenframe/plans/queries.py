@@ -487,6 +487,29 @@ def leiden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.numbered(community.communities(graph.symmetrised(_edges(spark, sf_dir)), nodes, "vec_id"))
 
 
+@query()
+def resolution_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = D.table(spark, sf_dir, "embeddings").select("vec_id")
+    return community.scan(graph.symmetrised(_edges(spark, sf_dir)), nodes, "vec_id", community.resolutions(0.4, 3.0, 0.2), 40)[0]
+
+
+@query("""select unnest([0.4, 0.8, 1.2, 1.6, 2.0])::double as resolution, count(*) as n_nodes, 0::bigint as n_misnamed, true as as_good_as_one from embeddings""")
+def resolution_scan_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each resolution's partition: nodes, communities that aren't named by their smallest node, and whether its modularity is no less than
+    that of one community and of 0."""
+    grid = community.resolutions(0.4, 2.1, 0.4)
+    nodes, edges = D.table(spark, sf_dir, "embeddings").select("vec_id"), Workspace(spark, "checked").save(graph.symmetrised(_edges(spark, sf_dir)))
+    found = Workspace(spark, "checked").save(community.partitions(edges, nodes, "vec_id", grid))
+    names = found.groupBy("r", "community").agg(F.count("*").alias("n"), F.min("node").alias("least"))
+    names = names.groupBy("r").agg(F.sum("n").alias("n_nodes"), F.count(F.when(F.col("least") != F.col("community"), 1)).alias("n_misnamed"))
+    a, b = found.toDF("r", "src", "ca"), found.toDF("r", "dst", "cb")
+    tagged = edges.join(a, "src").join(b, ["r", "dst"]).groupBy("r", "ca").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)).alias("inside"))
+    sums = tagged.groupBy("r").agg(F.sum("k").alias("k"), F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("k")).alias("k2"))
+    resolution = F.element_at(F.array(*(F.lit(g) for g in grid)), F.col("r") + 1)
+    score = F.col("inside") / F.col("k") - resolution * F.col("k2") / F.col("k") ** 2
+    return names.join(sums, "r").select(resolution.alias("resolution"), "n_nodes", "n_misnamed", (score > F.greatest(1 - resolution, F.lit(0.0)) - 1e-9).alias("as_good_as_one"))
+
+
 @query("""select count(*) as n_nodes, count(*) as n_placed, true as edges_are_short from embeddings""")
 def layout_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a layout: nodes, those with finite places, and whether edges are shorter, by a tenth at least, than what lies between a

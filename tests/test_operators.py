@@ -141,10 +141,33 @@ def test_communities_are_the_same_wherever_a_level_is_done(spark):
     assert all(score({i: a if c == b else c for i, c in near.items()}) <= score(near) + 1e-9 for a in groups for b in groups if a != b)  # no two communities gain by merging
 
 
+@pytest.mark.parametrize("most_local", [60, 10_000])
+def test_a_scan_gives_the_partitions_of_single_runs(spark, most_local):
+    edges, nodes, _ = _some_graph(spark, 16, 5)
+    grid = [0.3, 1.0, 2.5]
+    rows, found = community.scan(edges, nodes, "n", grid, 5, most_local)
+    single = [{r.node: r.community for r in community.communities(edges, nodes, "n", g).collect()} for g in grid]
+    together = [{}, {}, {}]
+    for r in found.collect():
+        together[r.r][r.node] = r.community
+    assert together == single
+    n = [len(set(p.values())) for p in single]
+    assert n[0] < n[2]
+    best = min(zip([abs(x - 5) for x in n], grid, strict=True))[1]
+    assert values(rows, "resolution", "n_clusters", "difference", "chosen") == sorted((g, x, abs(x - 5), g == best) for g, x in zip(grid, n, strict=True))
+
+
+def test_scans_of_nothing(spark):
+    none, nodes = spark.createDataFrame([], "src long, dst long, w double"), spark.range(3)
+    assert community.scan(none, nodes, "id", [], 5)[0].count() == 0
+    assert values(community.scan(none, nodes, "id", [1.0, 2.0], 5)[0], "n_clusters", "chosen") == [(3, False), (3, True)]
+    assert values(community.scan(none, nodes.where("false"), "id", [1.0], 5)[0], "n_clusters", "chosen") == [(0, True)]
+
+
 def test_long_communities_stay_whole(spark):
     path = spark.range(300).selectExpr("id as src", "id + 1 as dst", "1.0D as w")
     edges = path.unionAll(path.selectExpr("dst as src", "src as dst", "w")).where("src <> 199 or dst <> 200").where("src <> 200 or dst <> 199")
-    labels = spark.range(301).selectExpr("id as node", "7L as community")
+    labels = spark.range(301).selectExpr("0 as r", "id as node", "7L as community")
     parts = community._connected(edges, labels, Workspace(spark, "test"))
     assert {r.community: r["count"] for r in parts.groupBy("community").count().collect()} == {0: 200, 200: 101}
 
