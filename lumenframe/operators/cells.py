@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.storage import free_name
+from .quantiles import quantiles
 from .validate import require_matched, require_unique
 
 
 def quality_control(df: DataFrame, least: float, most_control: float, q_low: float, q_high: float, sample: str = "sample_id", area: str = "area", count: str = "transcripts", control: str = "control", total: str = "total") -> DataFrame:
     """Cells with enough transcripts, few controls, and an area within its sample's quantiles; nulls don't pass.
 
-    The quantiles are one small row per sample, aggregated once and joined back."""
+    The quantiles are one small row per sample, found by rank and joined back. Cells of a null sample don't pass; an empty table gives no rows."""
     with_fraction = df.withColumn("control_fraction", S.safe_ratio(F.col(control), F.col(total)))
-    limits = df.groupBy(sample).agg(F.percentile(area, F.array(F.lit(q_low), F.lit(q_high))).alias("limits"))
+    limits = quantiles(df, [sample], area, [q_low, q_high], "limits")
     passed = with_fraction.join(limits, sample).where((F.col(count) >= least) & (F.col("control_fraction") <= most_control) & F.col(area).between(F.col("limits")[0], F.col("limits")[1]))
     return passed.drop("limits")
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.storage import Workspace
+from .quantiles import median as exact_median
 
 
 def libraries(cells: DataFrame, counts: DataFrame, cell: str = "cell_id", n: str = "n") -> DataFrame:
@@ -14,18 +16,11 @@ def libraries(cells: DataFrame, counts: DataFrame, cell: str = "cell_id", n: str
     return cells.join(total, cell, "left").withColumn("library", F.coalesce("library", F.lit(0.0)))
 
 
-def median_library(library: DataFrame) -> float:
-    """The exact median of the positive libraries; without any there is nothing to normalise."""
-    median = library.where("library > 0").agg(F.median("library")).first()[0]
-    if median is None:
-        raise ValueError("no cell has a positive library")
-    return median
-
-
 def normalised(counts: DataFrame, library: DataFrame, cell: str = "cell_id", n: str = "n", keep: tuple[str, ...] = ()) -> DataFrame:
-    """counts with ``value`` = log1p(n * median / library): size factors by the global median, all genes."""
+    """counts with ``value`` = log1p(n * median / library): size factors by the exact median of the positive libraries, all genes. Counts of
+    cells that aren't in ``library`` are left out; a cell with an empty library keeps its counts as they are."""
     factor = library.select(cell, "library", *keep)
-    median = library.where("library > 0").agg(F.median("library")).scalar()  # a subquery of one value
+    median = exact_median(library.where("library > 0"), "library")
     return counts.join(factor, cell).withColumn("value", F.log1p(F.col(n) * S.size_factor(median, F.col("library"))))
 
 
@@ -36,8 +31,10 @@ def cluster_gene(cells: DataFrame, counts: DataFrame, cluster: str = "cluster",
     values the zeros come first. Every pair of a cluster and a gene has a row; an empty table gives none. Cells without a cluster are a cluster
     of their own, null. Equal values are counted before they are ordered, and only for pairs where most cells have the gene - in the
     others the median is 0 - so what is sorted by pair are distinct values."""
-    library = libraries(cells, counts, cell)
-    values = normalised(counts, library, cell, keep=(cluster,)).where("n > 0")
+    work = Workspace(cells.sparkSession, "dotplot")
+    counts = work.save(counts.select(cell, gene, "n"))
+    library = work.save(libraries(cells.select(cell, cluster), counts, cell))
+    values = work.save(normalised(counts, library, cell, keep=(cluster,)).where("n > 0"))  # read three times
     n_cells = cells.groupBy(cluster).agg(F.count("*").alias("n_cells"))
     found = values.groupBy(cluster, gene).agg(F.sum("value").alias("total"), F.count("*").alias("positive"), F.sum("n").alias("raw"))
     same = [F.col(f"a.{cluster}").eqNullSafe(F.col(f"b.{cluster}")), F.col(f"a.{gene}") == F.col(f"b.{gene}")]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .quantiles import beside, quantiles
 
 
 def sizes(df: DataFrame, *keys: str) -> DataFrame:
@@ -26,20 +27,25 @@ def row_percent(table: DataFrame, columns: Sequence[str], digits: int = 6) -> Da
 
 
 def statistics(df: DataFrame, keys: list[str], value: str, digits: int = 6) -> DataFrame:
-    """mean, median, sample standard deviation and count by key; only keys that occur."""
+    """mean, median, sample standard deviation and count by key; only keys that occur. Null values don't count, null keys are a key, and an
+    empty table gives no rows."""
     r = lambda c: F.round(c, digits)
-    return df.groupBy(*keys).agg(r(F.avg(value)).alias("mean"), r(F.median(value)).alias("median"), r(F.stddev_samp(value)).alias("std"), F.count(value).alias("n"))
+    sums = df.groupBy(*keys).agg(r(F.avg(value)).alias("mean"), r(F.stddev_samp(value)).alias("std"), F.count(value).alias("n"))
+    both = beside(sums, quantiles(df, keys, value, [0.5]), keys)
+    return both.select(*keys, "mean", r(F.col("q")[0]).alias("median"), "std", "n")
 
 
 def distribution(df: DataFrame, keys: list[str], value: str, low: float = 20, digits: int = 6) -> DataFrame:
-    q = F.percentile(value, F.array(*(F.lit(x) for x in (0.01, 0.05, 0.25))))
+    """n, least, quantiles at 1, 5 and 25 %, median, mean, most, and how many and what share are below ``low``, by key. Null values don't count,
+    null keys are a key, and an empty table gives no rows."""
     out = df.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.min(value).alias("least"), q.alias("q"), F.median(value).alias("median"), F.avg(value).alias("mean"),
-        F.max(value).alias("most"), F.count_if(F.col(value) < low).alias("n_low"), F.avg((F.col(value) < low).cast("double")).alias("fraction_low"),
+        F.count(value).alias("n"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.max(value).alias("most"),
+        F.count_if(F.col(value) < low).alias("n_low"), F.avg((F.col(value) < low).cast("double")).alias("fraction_low"),
     )
+    out = beside(out, quantiles(df, keys, value, [0.01, 0.05, 0.25, 0.5]), keys)
     r = lambda c: F.round(c, digits)
-    quantiles = [r(F.col("q")[i]).alias(n) for i, n in enumerate(("q01", "q05", "q25"))]
-    return out.select(*keys, "n", r("least").alias("least"), *quantiles, r("median").alias("median"), r("mean").alias("mean"), r("most").alias("most"), "n_low", r("fraction_low").alias("fraction_low"))
+    shown = [r(F.col("q")[i]).alias(n) for i, n in enumerate(("q01", "q05", "q25", "median"))]
+    return out.select(*keys, "n", r("least").alias("least"), *shown, r("mean").alias("mean"), r("most").alias("most"), "n_low", r("fraction_low").alias("fraction_low"))
 
 
 def rank_descending(df: DataFrame, value: str, name: str, keys: list[str] | None = None) -> DataFrame:
@@ -62,7 +68,10 @@ def majority(df: DataFrame, group: str, label: str) -> DataFrame:
 
 def numbered_labels(df: DataFrame, label: str, x: str, y: str) -> DataFrame:
     """Labels numbered from 1 by size, with their sizes and median positions."""
-    n = df.groupBy(label).agg(F.count("*").alias("n"), F.round(F.median(x), 6).alias("x"), F.round(F.median(y), 6).alias("y"))
+    n = df.groupBy(label).agg(F.count("*").alias("n"))
+    for name, c in (("x", x), ("y", y)):
+        middle = quantiles(df, [label], c, [0.5]).select(label, F.round(F.col("q")[0], 6).alias(name))
+        n = beside(n, middle, [label])
     return n.withColumn("number", F.row_number().over(Window.orderBy(F.desc("n"), label)).cast("long"))
 
 
