@@ -171,6 +171,12 @@ def ranges(lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
+def runs_of(x: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where the runs of equal numbers in ``x`` begin and end."""
+    begin = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return begin.tolist(), np.append(begin[1:], len(x)).tolist() if len(x) else []
+
+
 def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The spans one after another, each followed by a space, and where each begins there (and the end)."""
     size = ends - starts + 1

@@ -58,6 +58,37 @@ def texts():
     return corpus()
 
 
+def test_repeated_words_take_little_memory():
+    """20,000 equal words against 5,000: 10^8 pairs of a suffix and a place, of which none is held."""
+    import tracemalloc
+
+    from lumenframe.llm import kernels
+
+    items = decontaminate.Items(["x", "y"], ["a " * 5000, "b a b"], 10)
+    data, offsets = kernels.utf8(__import__("pyarrow").array(["a " * 20_000, "c " + "a " * 30], "large_string"))
+    for longest in (False, True):
+        tracemalloc.start()
+        n, spans, of, *matches = decontaminate._search(items, data, offsets, None, longest)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 300e6 and n.to_pylist() == [20_000, 31] and of.to_pylist() == [["x"], ["x"]]
+        assert spans.to_pylist() == [[{"start": 0, "end": 20_000}], [{"start": 1, "end": 31}]]
+    found = {(m["item_start"], m["start"]): m["length"] for m in matches[0].to_pylist()[0]}
+    assert found == {(0, p): min(5000, 20_000 - p) for p in range(19_991)} | {(i, 0): 5000 - i for i in range(4991)}
+
+
+def test_a_passage_of_many_items_and_texts():
+    from lumenframe.llm import kernels
+
+    words = [f"w{i}" for i in range(300)]
+    items = decontaminate.Items([str(i) for i in range(60)], [" ".join([f"i{i}", *words, f"z{i}"]) for i in range(60)], 10)
+    texts = [" ".join([f"t{i}", *(words if i % 3 else words[:50]), f"u{i}"]) for i in range(90)]
+    data, offsets = kernels.utf8(__import__("pyarrow").array(texts, "large_string"))
+    n, spans, of = decontaminate._search(items, data, offsets, None, False)
+    assert all(x == sorted(str(i) for i in range(60)) for x in of.to_pylist())
+    assert [s[0] for s in spans.to_pylist()] == [{"start": 1, "end": 301 if i % 3 else 51} for i in range(90)]
+
+
 def test_empty_tables(spark):
     none = docs(spark, [(1, "x")]).where("doc_id > 1")
     items = spark.createDataFrame([], "item_id long, text string")
