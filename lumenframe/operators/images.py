@@ -23,7 +23,7 @@ def crop(image: np.ndarray, x0: int, y0: int, side: int, anchored: bool = False)
 
 
 def as_rgb(image: np.ndarray) -> np.ndarray:
-    """Three 8-bit channels from grey, channel-first or deeper images: values up to 1 count as shares of 255, others are held to 0 to 255."""
+    """Three 8-bit channels from grey, channel-first or deeper images: fractions up to 1 count as shares of 255, other numbers are held to 0 to 255."""
     if image.ndim == 2:
         image = np.repeat(image[:, :, None], 3, axis=2)
     elif image.shape[0] in (3, 4) and image.shape[-1] not in (3, 4):
@@ -32,7 +32,7 @@ def as_rgb(image: np.ndarray) -> np.ndarray:
     if image.dtype == np.uint8:
         return image
     values = image.astype(float)
-    if values.size and values.max() <= 1.0:
+    if np.issubdtype(image.dtype, np.floating) and values.size and values.max() <= 1.0:
         values = values * 255.0
     return np.clip(values, 0, 255).astype(np.uint8)
 

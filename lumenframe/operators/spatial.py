@@ -33,7 +33,7 @@ def radius_counts(df: DataFrame, key: str, x: str, y: str, radius: float, within
     rows = df.select(F.col(within).alias("g"), F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
     rows = rows.withColumns({"gx": _cell("x", radius), "gy": _cell("y", radius)})
     sizes = rows.groupBy("g", "gx", "gy").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
-    crowded = F.broadcast(sizes.where("parts > 1"))  # of n rows at most n / CELL cells
+    crowded = sizes.where("parts > 1")
     part = F.pmod(F.xxhash64("k", "x", "y"), F.coalesce("parts", F.lit(1))).alias("part")
     dealt = rows.join(crowded, ["g", "gx", "gy"], "left").select("g", "gx", "gy", part, "k", "x", "y")
     packed = dealt.groupBy("g", "gx", "gy", "part").agg(F.collect_list("k").alias("ks"), F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))

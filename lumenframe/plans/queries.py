@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions.storage import Workspace
 from ..operators import cells as C
-from ..operators import align, community, descent, expression, graph, layout, multimodal, report, spatial, transfer, vectors
+from ..operators import align, community, descent, expression, graph, images, layout, multimodal, patches, report, spatial, transfer, vectors
 from . import tables as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -603,3 +603,21 @@ def override_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     final, parents = _final(spark, sf_dir)
     return transfer.validation(final, parents, F.col("sure"), "neutrophil")
+
+
+# Images: a vector as a picture of 64 x 64, whose pixel is what its row's and its column's components come to
+
+
+@query("""with v as (select vec_id, embedding::double[] as e, (vec_id * 37) % 64 - 10 as x0, (vec_id * 53) % 64 - 10 as y0 from embeddings),
+    p as (select vec_id, y, x, case when y0 + y between 0 and 63 and x0 + x between 0 and 63 then least(floor(abs(e[y0 + y + 1] + e[x0 + x + 1]) * 40), 255)::int else 0 end as v
+      from v, (select unnest(range(0, 20)) as y), (select unnest(range(0, 20)) as x))
+    select vec_id, md5(string_agg(lpad(printf('%x', v), 2, '0'), '' order by y, x)) as patch from p group by 1""")
+def cell_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = D.halves(spark, sf_dir).select("vec_id", F.col("embedding").alias("e"))
+    shade = lambda a, b: F.lpad(F.hex(F.least(F.floor(F.abs(a + b) * 40), F.lit(255))), 2, "0")
+    rows = F.transform("e", lambda a: F.array_join(F.transform("e", lambda b: shade(a, b)), ""))
+    pictures = v.select(F.col("vec_id").cast("string").alias("image"), F.lit(64).alias("height"), F.lit(64).alias("width"), F.unhex(F.array_join(rows, "")).alias("pixels"))
+    at = lambda step: ((F.col("vec_id") * step) % 64).cast("double")
+    cells = v.select("vec_id", F.col("vec_id").cast("string").alias("image"), at(37).alias("x_px"), at(53).alias("y_px"))
+    cut = patches.cut_patches(cells, images.tile_table(pictures, 24), pictures.select("image", "height", "width"), 24, 20)
+    return cut.select("vec_id", F.md5(F.lower(F.hex("patch")).cast("binary")).alias("patch"))
