@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.storage import Workspace
 from ..operators import cells as C
-from ..operators import align, community, descent, expression, graph, images, layout, multimodal, patches, report, spatial, transfer, vectors
+from ..operators import align, community, components, descent, expression, graph, images, layout, multimodal, patches, report, spatial, transfer, vectors
 from . import tables as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -311,6 +312,23 @@ def sample_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.sample_effect(_knn(spark, sf_dir), D.table(spark, sf_dir, "embeddings"), "vec_id", "label")
 
 
+@query("""select unnest(['incremental', 'randomised']) as method, count(*) as n_rows, true as shares_are_near, true as basis_is_unit, true as mean_is_zero from embeddings""")
+def components_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two ways to 10 components: rows, whether their shares of the variance add up to nearly those of the exact ones, whether they are a basis of unit
+    length, and whether scores have mean 0."""
+    rows = D.halves(spark, sf_dir)
+    _, _, shares = vectors.principal_components(rows, "embedding", 10)
+    out = None
+    for method, (mean, parts, share) in {"incremental": components.incremental_fit(rows, "embedding", 10).components(10), "randomised": components.randomised_components(rows, "embedding", 10)}.items():
+        basis = bool(abs(parts @ parts.T - np.eye(len(parts))).max() < 1e-9)
+        scores = vectors.project(rows, "embedding", mean, parts).select(F.posexplode("scores").alias("d", "x"), "vec_id")
+        sums = scores.groupBy("d").agg(F.avg("x").alias("m"), F.countDistinct("vec_id").alias("n"))
+        row = sums.agg(F.max("n").alias("n_rows"), (F.max(F.abs("m")) < 1e-9).alias("mean_is_zero"))
+        row = row.select(F.lit(method).alias("method"), "n_rows", F.lit(bool(share.sum() > 0.98 * shares.sum())).alias("shares_are_near"), F.lit(basis).alias("basis_is_unit"), "mean_is_zero")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query()
 def knn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descent.approximate_neighbours(D.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 15)
