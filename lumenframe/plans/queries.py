@@ -623,6 +623,17 @@ def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transfer.validation(final, parents, F.col("sure"), "neutrophil")
 
 
+@query("""select count(*) as n_rows, true as loss_falls, true as unit_length from embeddings""")
+def alignment_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of heads trained over the table and applied to it: rows, whether the loss fell, and whether fused vectors have length 1."""
+    rows = D.halves(spark, sf_dir)
+    fit = align.fit_heads(rows, "vec_id", "image", "rna", latent=16, epochs=3, steps=4, rate=3e-3)
+    one, two = align.apply_head(rows, "vec_id", "image", fit.image, "a"), align.apply_head(rows, "vec_id", "rna", fit.gene, "b")
+    fused = one.join(two, "vec_id").select(S.norm(S.mean_vector(F.col("a"), F.col("b"))).alias("length"))
+    falls = fit.history[-1]["train_loss"] < fit.history[0]["train_loss"]
+    return fused.agg(F.count("*").alias("n_rows"), F.max(F.abs(F.col("length") - 1)).alias("off")).select("n_rows", F.lit(bool(falls)).alias("loss_falls"), (F.col("off") < 1e-6).alias("unit_length"))
+
+
 # Images: a vector as a picture of 64 x 64, whose pixel is what its row's and its column's components come to
 
 
