@@ -223,15 +223,20 @@ def _found(df: DataFrame, text_col: str, entities: str) -> DataFrame:
     return df.withColumn(entities, F.expr(f"coalesce(case when {could} then {d.extract_all(text, ENTITY)} end, cast(array() as array<string>))"))
 
 
-def units(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(unit, n): the distinct units of a corpus, marked n: for words of names and u: for others, and how often they occur."""
-    d, entities = Dialect(duckdb=False), free_name("the_entities", df)
-    each = _found(df, text_col, entities).select(F.explode(entities).alias("e")).groupBy("e").agg(F.count("*").alias("n"))
+def _units_of(found: DataFrame, entities: str) -> DataFrame:
+    d = Dialect(duckdb=False)
+    each = found.select(F.explode(entities).alias("e")).groupBy("e").agg(F.count("*").alias("n"))
     _, rest = _words_of(d, "e")
     parts = F.expr(f"case when {d.matches('e', _PERSON)} then transform({d.extract_all(rest, _WORD)}, w -> concat('n:', w)) else array(concat('u:', e)) end")
     return each.select(F.explode(parts).alias("unit"), "n").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
+def units(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(unit, n): the distinct units of a corpus, marked n: for words of names and u: for others, and how often they occur."""
+    entities = free_name("the_entities", df)
+    return _units_of(_found(df, text_col, entities), entities)
+
+
 def _of_unit(key: str) -> F.Column:
     """The surrogate of a marked unit, marked too."""
     d, e = Dialect(duckdb=False), "substr(unit, 3)"
@@ -240,8 +245,12 @@ def _of_unit(key: str) -> F.Column:
 
 def exceptions(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(unit, new): units whose first surrogate is another unit of the corpus, and the ones that are used instead."""
-    work = Workspace(df.sparkSession, "surrogates")
-    known = work.save(units(df, text_col).select("unit", _of_unit(key).alias("new")))
+    return _exceptions(units(df, text_col), key)
+
+
+def _exceptions(corpus: DataFrame, key: str) -> DataFrame:
+    work = Workspace(corpus.sparkSession, "surrogates")
+    known = work.save(corpus.select("unit", _of_unit(key).alias("new")))
     taken = known.select("unit").unionAll(known.select(F.col("new").alias("unit")))
     pending = work.save(known.join(known.select(F.col("unit").alias("new")), "new", "left_semi").select("unit"))
     done = None
@@ -273,9 +282,10 @@ def replace_entities(df: DataFrame, key: str, text_col: str = "text") -> DataFra
         raise ValueError("the key must be letters and digits")
     d = Dialect(duckdb=False)
     text = f"cast(`{text_col}` as string)"
-    found = _found(df.drop(RESULT) if text_col != RESULT else df, text_col, RESULT)
+    # the patterns are what is dear: they go over the texts once
+    found = Workspace(df.sparkSession, "entities").save(_found(df.drop(RESULT) if text_col != RESULT else df, text_col, RESULT))
     replaced = lambda known: F.expr(f"case when size({RESULT}) = 0 then {text} else {d.zipped(d.split(text, ENTITY), d.transform(RESULT, 'e', entity_surrogate(d, key, 'e', known)))} end")
-    odd = exceptions(df, key, text_col)
+    odd = _exceptions(_units_of(found, RESULT), key)
     if odd.isEmpty():
         return found.withColumn(text_col, replaced(None))
     # texts with such units get a map of them, found by the text itself; only texts with entities are joined
