@@ -203,7 +203,7 @@ def _triangle(rows: DataFrame, mean: np.ndarray, basis: np.ndarray) -> np.ndarra
     return np.frombuffer(triangles.first()[0]).reshape(-1, width)
 
 
-def randomised_components(df: DataFrame, vector: str, k: int, over: int = 10, power: int = 3, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def randomised_components(df: DataFrame, vector: str, k: int, over: int = 10, power: int = 7, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, components by rows, share of variance): k directions that hold nearly the most variance, the largest loading of each positive.
 
     A random basis of k + ``over`` directions goes ``power`` + 1 times through X' X, and the rows in its coordinates are decomposed by blocks. The driver
