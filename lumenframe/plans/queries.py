@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -379,6 +379,35 @@ def wnn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("src", "dst", "rank", F.round("w", 6).alias("w"))
 
 
+@query("""select count(*) as n_rows, 0::bigint as n_unbalanced, 30 * count(*) as n_edges, 0::bigint as n_loops, 0::bigint as n_out_of_order from embeddings""")
+def wnn_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of weighted neighbours: rows, those whose weights don't add up to 1 or leave 0 to 1, edges, loops, and edges that are stronger than one of lower
+    rank."""
+    rows = D.halves(spark, sf_dir)
+    weights, _ = multimodal.modality_weights(rows, "vec_id", "rna", "image", 30)
+    fine = (F.abs(F.col("w1") + F.col("w2") - 1) < 1e-9) & F.col("w1").between(0, 1) & F.col("w2").between(0, 1)
+    edges = multimodal.weighted_neighbours(rows, "vec_id", "rna", "image")
+    before = F.lag("w").over(Window.partitionBy("src").orderBy("rank"))
+    found = edges.withColumn("before", before).agg(F.count("*").alias("n_edges"), F.count(F.when(F.col("src") == F.col("dst"), 1)).alias("n_loops"), F.count(F.when(F.col("w") > F.col("before") + 1e-8, 1)).alias("n_out_of_order"))
+    one = weights.agg(F.count("*").alias("n_rows"), F.count(F.when(~fine, 1)).alias("n_unbalanced"))
+    both = one.unionByName(found, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in ("n_rows", "n_unbalanced", "n_edges", "n_loops", "n_out_of_order")))
+
+
+@query("""select count(*) as n_rows, 0::bigint as n_not_unit, true as batches_are_no_further from embeddings""")
+def harmony_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of corrected vectors: rows, those whose length isn't 1, and whether the batches' mean vectors lie no further apart than before."""
+    e = D.table(spark, sf_dir, "embeddings").select("vec_id", "label", S.l2_normalised(F.col("embedding")).alias("embedding"))
+    after = Workspace(spark, "checked").save(multimodal.harmonised(e, "vec_id", "embedding", "label").select("vec_id", "embedding").join(e.select("vec_id", "label"), "vec_id"))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        means = rows.select("label", F.posexplode("embedding").alias("d", "x")).groupBy("label", "d").agg(F.avg("x").alias("m"))
+        return means.groupBy("d").agg(F.var_pop("m").alias("v")).agg(F.sum("v").alias("v"))
+
+    off = F.count(F.when(F.abs(S.norm(F.col("embedding")) - 1) > 1e-6, 1)).alias("n_not_unit")
+    return after.agg(F.count("*").alias("n_rows"), off).select("n_rows", "n_not_unit", (spread(after).scalar() <= spread(e).scalar()).alias("batches_are_no_further"))
+
+
 # Alignment: the halves as image and gene sides, batches of 64
 
 
