@@ -55,9 +55,9 @@ def overlay(base: np.ndarray, top: np.ndarray, weight: float | None = None) -> n
 
 
 def pyramid(height: int, width: int, tile: int) -> list[tuple[int, int]]:
-    """Sizes of the levels: halved, odd sizes upwards, until one tile holds the image, one level at least."""
+    """Sizes of the levels: the image's own, then halved, odd sizes upwards, until one tile holds the image; at least one is halved."""
     out = [(height, width)]
-    while max(out[-1]) > tile:
+    while len(out) == 1 or max(out[-1]) > tile:
         out.append((max(1, -(-out[-1][0] // 2)), max(1, -(-out[-1][1] // 2))))
     return out
 
