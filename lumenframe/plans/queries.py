@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.arrow import map_arrow
 from ..functions.storage import Workspace
 from ..operators import cells as C
 from ..operators import align, community, components, descent, expression, graph, images, layout, multimodal, patches, report, spatial, transfer, vectors
+from ..sources import array_files, arrays, pyramids
 from . import tables as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -679,3 +682,56 @@ def cell_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = v.select("vec_id", F.col("vec_id").cast("string").alias("image"), at(37).alias("x_px"), at(53).alias("y_px"))
     cut = patches.cut_patches(cells, images.tile_table(pictures, 24), pictures.select("image", "height", "width"), 24, 20)
     return cut.select("vec_id", F.md5(F.lower(F.hex("patch")).cast("binary")).alias("patch"))
+
+
+# Files that all tasks write: arrays, a matrix and pyramids, read back
+
+
+@query("""select row_number() over (order by vec_id) - 1 as row_index, len(embedding) as width, round(list_sum(embedding::double[]), 5) as total from embeddings""")
+def npy_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = C.row_index(D.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), ["vec_id"], "row_index")
+    path = f"{Workspace(spark, 'npy').root}.npy"
+    array_files.write_dense(e, path, vector="embedding")
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
+    return arrays.dense(spark, path).select("row_index", F.size("e").cast("long").alias("width"), F.round(total, 5).alias("total"))
+
+
+@query(f"""with {D.COUNTS_SQL}, g as (select gene, row_number() over (order by gene) - 1 as i from (select distinct gene from counts))
+    select cell_id as row_index, count(*) as n_genes, round(sum(n), 6) as total, round(sum(n * (i + 1)), 6) as weighted from counts join g using (gene) where n <> 0 group by 1""")
+def npz_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = Workspace(spark, "counts").save(D.counts(spark, sf_dir))
+    genes = C.row_index(counts.select("gene").distinct(), ["gene"], "gene_idx")
+    entries = counts.join(genes, "gene").select(F.col("cell_id").alias("row_index"), "gene_idx", "n")
+    path = f"{Workspace(spark, 'npz').root}.npz"
+    array_files.write_sparse(entries, path, ((counts.agg(F.max("cell_id")).first()[0] or -1) + 1, genes.count()))
+    back = arrays.sparse(spark, path)
+    return back.groupBy("row_index").agg(F.count("*").alias("n_genes"), F.round(F.sum("n"), 6).alias("total"), F.round(F.sum(F.col("n") * (F.col("gene_idx") + 1)), 6).alias("weighted"))
+
+
+@query("""with size as (select max(vec_id) // 8 + 1 as r from embeddings), v as (select label, vec_id % 8 as tx, vec_id // 8 as ty, embedding::double[] as e from embeddings),
+    p as (select label, ty * 64 + y as y, tx * 64 + x as x, least(floor(abs(e[y + 1] + e[x + 1]) * 40), 255) as s from v, (select unnest(range(0, 64)) as y), (select unnest(range(0, 64)) as x)),
+    half as (select label, y // 2 as y, x // 2 as x, floor(sum(s) / 4) as s from p group by 1, 2, 3),
+    sums as (select label, 0 as level, sum(s)::bigint as total from p group by 1 union all select label, 1, sum(s)::bigint from half group by 1),
+    l as (select label, r, unnest(range(0, 1 + ceil(log2(greatest(r, 8)))::int)) as level from (select distinct label from embeddings), size)
+    select l.label::varchar as image, l.level::int as level, (ceil(r / pow(2, l.level)) * ceil(8 / pow(2, l.level)))::bigint as n_places, total from l left join sums using (label, level)""")
+def pyramid_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image for each label, its vectors' pictures being the tiles: places of tiles on all levels, and sums of pixels of the first two."""
+    e = D.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("image"), F.col("embedding").cast("array<double>").alias("e"))
+    shade = lambda a, b: F.lpad(F.hex(F.least(F.floor(F.abs(a + b) * 40), F.lit(255))), 2, "0")
+    rows = F.transform("e", lambda a: F.array_join(F.transform("e", lambda b: shade(a, b)), ""))
+    tiles = e.select("image", F.floor(F.col("vec_id") / 8).alias("ty"), (F.col("vec_id") % 8).alias("tx"), F.unhex(F.array_join(rows, "")).alias("pixels"))
+    high = e.agg((F.floor(F.max("vec_id") / 8) + 1).alias("r")).first()["r"] or 1
+    sizes = e.select("image").distinct().select("image", F.lit(64 * high).alias("height"), F.lit(512).alias("width"))
+    path = f"{Workspace(spark, 'pyramids').root}-files"
+    pyramids.write_pyramids(tiles, sizes, path, 64)
+
+    def brightness(batches):
+        for batch in batches:
+            inside = zip(*(batch.column(c).to_pylist() for c in ("pixels", "high", "wide")), strict=True)
+            sums = [int(np.frombuffer(p, np.uint8).reshape(64, 64)[:h, :w].sum()) if p else 0 for p, h, w in inside]
+            yield pa.RecordBatch.from_arrays([batch.column("image"), batch.column("level"), pa.array(sums, pa.int64())], ["image", "level", "s"])
+
+    name = F.regexp_extract("path", r"([^/]*)\.tif$", 1).alias("image")
+    back = pyramids.read_tiles(spark, path).select(name, "level", "pixels", (F.col("height") - F.col("ty") * 64).alias("high"), (F.col("width") - F.col("tx") * 64).alias("wide"))
+    sums = map_arrow(back, brightness, "image string, level int, s long")
+    return sums.groupBy("image", "level").agg(F.count("*").alias("n_places"), F.when(F.col("level") < 2, F.sum("s")).alias("total"))
