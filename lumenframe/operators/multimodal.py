@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalar as S
-from ..functions.arrow import map_arrow
+from .harmony import harmonised
 from .vectors import exact_neighbours, sampled_effect
 
 
 #: Neighbours of a hub that meet in one task.
 PART = 1000
-#: Batches that a correction may know.
-MOST_BATCHES = 10_000
 
 
 def _mean_of(neighbours: DataFrame, df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
@@ -89,64 +84,6 @@ def weighted_neighbours(df: DataFrame, key: str, first: str, second: str, k: int
     return ranked.select("src", "dst", "rank", (1 - F.col("w")).alias("distance"), "w")
 
 
-def harmonised(df: DataFrame, key: str, vector: str, batch: str, clusters: int | None = None, rounds: int = 10, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, tolerance: float = 1e-4, sample: int = 2000) -> DataFrame:
-    """``vector`` with what tells its batch apart taken out, at length 1.
-
-    Soft spherical k-means with a penalty on clusters that one batch rules, and a ridge regression on the batch within each cluster, until
-    the objective settles. A round is one pass over the rows, which adds up clusters x batches sums in every task; centres and coefficients,
-    of the same bounded size, go back. Only the coefficients of each round are kept, and every pass recomputes a row's corrections from
-    its original vector, so no intermediate table is needed. clusters: min(round(n / 30), 100) by default, one at least.
-
-    Null batches are a batch of their own. Components that are null or not finite count as 0. More than ``MOST_BATCHES`` batches are an error,
-    as the sums would outgrow the driver. Rows that repeat a key are corrected each; an empty table stays empty."""
-    label = F.coalesce(F.concat(F.lit("b:"), F.col(batch).cast("string")), F.lit("null"))
-    names = sorted(r[0] for r in df.select(label.alias("b")).distinct().limit(MOST_BATCHES + 1).collect())
-    if len(names) > MOST_BATCHES:
-        raise ValueError(f"more than {MOST_BATCHES} batches in {batch}")
-    if len(names) < 2:
-        return df.withColumn(vector, S.l2_normalised(F.col(vector))).select(key, vector)
-    rows = df.select(label.alias("b"), S.finite(F.col(vector)).alias("v")).where("v is not null")
-    clusters = clusters or max(1, min(round(rows.count() / 30), 100))
-    first = rows.orderBy(F.xxhash64("v"), "b").limit(sample).select("v").collect()
-    x = np.array([r[0] for r in first])
-    x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-8)
-    clusters = min(clusters, len(x))
-    centres = x[np.linspace(0, len(x) - 1, clusters).astype(int)].copy()
-    penalty = np.ones((clusters, len(names)))
-    corrections: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    before = None
-    for _ in range(rounds):
-        total = _round_sums(rows, names, corrections, centres, penalty, sigma)
-        mass, sums, objective = total
-        share = mass.sum(0) / mass.sum()
-        expected = mass.sum(1, keepdims=True) * share
-        penalty = ((expected + 1) / (mass + 1)) ** theta
-        middle = sums.sum(1)
-        centres = middle / np.maximum(np.sqrt((middle * middle).sum(1, keepdims=True)), 1e-8)
-        # ridge on batch offsets within each cluster, the intercept free: offsets from the cluster's mean
-        mean = middle / np.maximum(mass.sum(1)[:, None], 1e-12)
-        offsets = (sums - mass[:, :, None] * mean[:, None, :]) / (mass[:, :, None] + ridge)
-        corrections.append((centres.copy(), penalty.copy(), offsets))
-        if before is not None and abs(before - objective) <= tolerance * abs(before):
-            break
-        before = objective
-    shared = df.sparkSession.sparkContext.broadcast((names, corrections, sigma))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, steps, width = shared.value
-        for part in batches:
-            if len(part):
-                x, b = _matrix(part, known)
-                for step in steps:
-                    x = _corrected(x, b, *step, width)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([part.column("k"), lists], ["k", "v"])
-
-    key_type = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("k"), label.alias("b"), S.finite(F.col(vector)).alias("v")).where("v is not null")
-    return map_arrow(rows, run, f"k {key_type}, v array<double>").toDF(key, vector)
-
-
 def harmonised_if_needed(df: DataFrame, key: str, vector: str, batch: str, threshold: float = 0.10, most: int = 20_000, k: int = 30, **options) -> tuple[DataFrame, dict]:
     """``harmonised`` if neighbours in a subsample come from the same batch more often than by chance by over ``threshold``, else the vectors as
     they are; and a record: applied, before, and after where it was applied (excess shares)."""
@@ -157,45 +94,3 @@ def harmonised_if_needed(df: DataFrame, key: str, vector: str, batch: str, thres
         return plain, {"applied": False, "before": before}
     out = harmonised(df, key, vector, batch, **options)
     return out, {"applied": True, "before": before, "after": excess(out)}
-
-
-def _matrix(part: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    x = np.stack([np.asarray(v, np.float64) for v in part.column("v").to_pylist()])
-    place = {n: i for i, n in enumerate(names)}
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-8), np.array([place[b] for b in part.column("b").to_pylist()])
-
-
-def _soft(x: np.ndarray, b: np.ndarray, centres: np.ndarray, penalty: np.ndarray, sigma: float) -> np.ndarray:
-    distance = 2 * (1 - x @ centres.T)
-    r = np.exp(-(distance - distance.min(1, keepdims=True)) / sigma) * penalty[:, b].T
-    return r / r.sum(1, keepdims=True)
-
-
-def _corrected(x: np.ndarray, b: np.ndarray, centres: np.ndarray, penalty: np.ndarray, offsets: np.ndarray, sigma: float) -> np.ndarray:
-    r = _soft(x, b, centres, penalty, sigma)
-    x = x - np.einsum("nk,nkd->nd", r, offsets[:, b].transpose(1, 0, 2))
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-8)
-
-
-def _round_sums(rows: DataFrame, names: list[str], corrections: list, centres: np.ndarray, penalty: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray, float]:
-    shared = rows.sparkSession.sparkContext.broadcast((names, corrections, centres, penalty, sigma))
-    k, nb, d = len(centres), len(names), centres.shape[1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, steps, c, pen, width = shared.value
-        total = np.zeros(k * nb * (d + 1) + 1)
-        for part in batches:
-            if not len(part):
-                continue
-            x, b = _matrix(part, known)
-            for step in steps:
-                x = _corrected(x, b, *step, width)
-            r = _soft(x, b, c, pen, width)
-            one = np.eye(nb)[b]
-            mass = r.T @ one
-            sums = np.einsum("nk,nb,nd->kbd", r, one, x, optimize=True)
-            total += np.concatenate([mass.reshape(-1), sums.reshape(-1), [(r * 2 * (1 - x @ c.T)).sum()]])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["t"])
-
-    total = sum((np.frombuffer(row["t"]) for row in map_arrow(rows, run, "t binary").toLocalIterator()), np.zeros(k * nb * (d + 1) + 1))
-    return total[: k * nb].reshape(k, nb), total[k * nb : -1].reshape(k, nb, d), float(total[-1])
