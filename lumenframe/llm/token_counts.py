@@ -80,3 +80,46 @@ def suffix_table(histogram: DataFrame) -> DataFrame:
         cut.alias("lost"),
         ((F.col("total_docs") - longer) / F.col("total_docs")).alias("quantile"),
     )
+
+
+def for_limits(table: DataFrame, limits: DataFrame, name: str = "limit") -> DataFrame:
+    """What ``length_table`` answers for any context limits, somebody's length or not: one row per row of ``limits``.
+
+    limit; n_docs of exactly that length; docs_longer that the limit cuts; total_docs, total_tokens; truncated_total: ids left if every
+    document is cut there; lost; quantile: the share of documents of at most so many ids.
+
+    Beside its own length a limit L needs the suffix sums of the least length above it: documents and ids longer than L. Both are looked up in the limit's
+    block of lengths; only the row of each block, for the next one that isn't empty, is ordered in one task. A null or negative limit has null answers, repeated limits a row each; with no documents the
+    totals are 0 and quantile is null. Other columns of ``limits`` are not kept."""
+    at = F.when(F.col(name) >= 0, F.col(name).cast("long"))
+    asked = limits.select(at.alias("limit"), F.col(name).alias("given"))
+    block = F.floor(F.col("length") / BLOCK)
+    rows = table.select(block.alias("block"), "length", "docs_at_least", "tokens_at_least", F.col("n_docs").alias("exact"))
+    firsts = rows.groupBy("block").agg(F.min(F.struct("length", "docs_at_least", "tokens_at_least")).alias("f"))
+    blocks = firsts.select("block", F.col("f.docs_at_least").alias("docs"), F.col("f.tokens_at_least").alias("ids"))
+    wanted = asked.where("limit is not null").select("limit").distinct().withColumn("block", F.floor(F.col("limit") / BLOCK))
+    # within the limit's own block
+    inside = wanted.join(rows, "block").groupBy("limit").agg(
+        F.min(F.when(F.col("length") > F.col("limit"), F.struct("length", "docs_at_least", "tokens_at_least"))).alias("next"),
+        F.max(F.when(F.col("length") == F.col("limit"), F.col("exact"))).alias("exact"),
+    )
+    # else the first length of the next block that has one: a row for each block of lengths or limits, in one order
+    both = blocks.join(wanted.select("block").distinct(), "block", "full")
+    after = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    later = both.select("block", F.first(F.when(F.col("docs").isNotNull(), F.struct("docs", "ids")), ignorenulls=True).over(after).alias("far"))
+    totals = table.agg(F.coalesce(F.max("total_docs"), F.lit(0)).alias("total_docs"), F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total_tokens"))
+    found = wanted.join(later, "block").join(inside, "limit", "left").join(F.broadcast(totals))  # one row
+    longer = F.coalesce(F.col("next.docs_at_least"), F.col("far.docs"), F.lit(0))
+    lost = F.coalesce(F.col("next.tokens_at_least"), F.col("far.ids"), F.lit(0)) - F.col("limit") * longer
+    answers = found.select(
+        "limit",
+        F.coalesce("exact", F.lit(0)).alias("n_docs"),
+        longer.alias("docs_longer"),
+        "total_docs",
+        "total_tokens",
+        (F.col("total_tokens") - lost).alias("truncated_total"),
+        lost.alias("lost"),
+        F.when(F.col("total_docs") > 0, (F.col("total_docs") - longer) / F.col("total_docs")).alias("quantile"),
+    )
+    out = asked.join(answers, "limit", "left")
+    return out.select(F.col("given").cast("long").alias("limit"), *[c for c in answers.columns if c != "limit"])
