@@ -163,6 +163,36 @@ def train_validation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.sizes(C.split(D.cells(spark, sf_dir), F.col("cell_id"), 0.8), "sample_id", "part")
 
 
+@query("""select part, count(*) as n from (select case when row_number() over (order by o_orderkey) <= greatest(1, floor(0.8::double * count(*) over ())) then 'train' else 'validation' end as part from orders) group by 1""")
+def exact_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.exact_split(D.cells(spark, sf_dir), [F.col("cell_id")], 0.8).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {D.CELLS_SQL} select cell_id, row_number() over (order by area, cell_id) - 1 as source_row_index from cells""")
+def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.row_index(D.cells(spark, sf_dir), ["area", "cell_id"]).select("cell_id", "source_row_index")
+
+
+@query(f"""with {D.CELLS_SQL} select cell_id, left(cluster, 1) as parent from cells""")
+def mapped_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = D.cells(spark, sf_dir)
+    pairs = cells.select("cluster", F.left("cluster", F.lit(1)).alias("coarse")).distinct()
+    return C.mapped(cells, "cluster", pairs, "cluster", "coarse", "parent").select("cell_id", "parent")
+
+
+@query("""select c_custkey, c_nationkey, n_name from customer join nation on c_nationkey = n_nationkey""")
+def joined_when_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = D.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    right = D.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return C.joined_if_complete(left, right, ["c_nationkey"])
+
+
+@query("""select c_custkey from customer where c_custkey in (select o_custkey from orders)""")
+def present_in_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = D.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return C.present_in(D.table(spark, sf_dir, "customer"), ["c_custkey"], ordered).select("c_custkey")
+
+
 # Reports
 
 
