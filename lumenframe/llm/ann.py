@@ -65,10 +65,16 @@ def _order(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :prefix].astype("<u2")
 
 
-def choose_pivots(df: DataFrame, count: int) -> np.ndarray:
-    """Unit vectors of distinct directions, at most ``count`` of them, from the 4 * ``count`` rows with the smallest hashed ids: a bounded
-    sample, in which copies of one vector are one pivot."""
-    rows = df.orderBy(F.xxhash64("id"), "id").limit(4 * count).select("vector").collect()
+def choose_pivots(df: DataFrame, count: int, n: int) -> np.ndarray:
+    """Unit vectors of distinct directions, at most ``count`` of them, from the 4 * ``count`` of ``n`` rows with the smallest hashed ids: a bounded
+    sample, in which copies of one vector are one pivot. Only rows below a hash that about twice as many have are sorted, since every task
+    sends the driver as many rows as are taken."""
+    wanted, h = min(n, 4 * count), F.xxhash64("id")
+    few = df.where(h <= min(2**63 - 1, -(2**63) + 2**64 * 2 * wanted // max(1, n)))
+    first = lambda t: t.orderBy(h, "id").limit(wanted).select("vector").collect()
+    rows = first(few)
+    if len(rows) < wanted:  # ids that repeat, so their hashes are spread unevenly
+        rows = first(df)
     out = _scaled(np.array([r["vector"] for r in rows], np.float64))
     out /= _norms(out)[:, None]
     first = np.unique(np.round(out, 9), axis=0, return_index=True)[1]
@@ -181,13 +187,14 @@ def _of_width(rows: DataFrame, asked: DataFrame, width: int, n: int, n_asked: in
     """(query_id, vec_id, score): the best of each shard of the vectors of one length."""
     spark = rows.sparkSession
     rows, asked = (t.where(F.size("vector") == width).select("id", "vector") for t in (rows, asked))
-    chosen = choose_pivots(rows, pivots)
+    chosen = choose_pivots(rows, pivots, n)
     prefix = min(prefix, len(chosen))
     work = Workspace(spark, "ann")
     index = work.save(_pack(rows, chosen, prefix, shard))
     groups = min(index.count(), max(1, 4 * spark.sparkContext.defaultParallelism))
     packed = work.save(_pack(asked.repartition(-(-n_asked // block), F.xxhash64("id")), chosen, prefix, block))
     sent = packed.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("pivots").alias("q_pivots"))
-    pairs = index.withColumn("g", F.pmod(F.xxhash64("g"), F.lit(groups)).cast("int")).join(sent, "g")
+    # shuffled in any case: the size of the files says nothing of ``sent``, which is ``groups`` times that, and a broadcast would take all of it through the driver
+    pairs = index.withColumn("g", F.pmod(F.xxhash64("g"), F.lit(groups)).cast("int")).join(sent.hint("merge"), "g")
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
     return map_arrow(pairs, _search(len(chosen), width, k, (reranked or candidates(n)) / n), schema)

@@ -713,3 +713,22 @@ def test_stages_of_odd_tables(spark, tmp_path):
             assert left.schema.names == stage_table(spark, []).schema.names
         assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(rows, key=str)
         assert corpus_pipeline.run(spark, folder).select("doc_id").distinct().count() == len({i for i, _ in rows})
+
+
+def test_queries_of_neighbours_are_not_broadcast(spark):
+    """What every shard is sent is the queries once a group of shards, which must not pass through the driver."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    found = ann.nearest(df, df.where("vec_id % 50 = 0"), shard=32)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 30
+
+
+def test_pivots_are_those_of_the_smallest_hashes(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, rng.standard_normal(4).tolist()) for i in range(3000)], "id long, vector array<double>")
+    same = spark.createDataFrame([(7, [1.0, float(i), 0.0, 0.0]) for i in range(100)], "id long, vector array<double>")
+    first = rows.orderBy(F.xxhash64("id"), "id").limit(32).select("vector").collect()
+    unit = np.array([r.vector / np.sqrt((np.array(r.vector) ** 2).sum()) for r in first])
+    assert np.allclose(ann.choose_pivots(rows, 8, 3000), unit[np.sort(np.unique(np.round(unit, 9), axis=0, return_index=True)[1])[:8]])
+    assert len(ann.choose_pivots(same, 8, 100)) == 8
