@@ -329,8 +329,8 @@ _KNN_SQL = """e as (select vec_id, label, embedding::double[] as v, sqrt(list_su
     knn as (select src, dst, distance, row_number() over (partition by src order by round(distance, 9), dst) as rank from d qualify rank <= 15)"""
 
 
-def _knn(spark: SparkSession, sf_dir: str, k: int = 15) -> DataFrame:
-    return vectors.exact_neighbours(D.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k)
+def _knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.exact_neighbours(D.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 15)
 
 
 @query(f"with {_KNN_SQL} select src, dst, rank, round(distance, 6) as distance from knn")
@@ -507,8 +507,18 @@ def dense_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGES_SQL = f"{_KNN_SQL}, edges as (select src, dst, round(1 - distance, 9) as w from knn), second_edges as (select src, dst, round(1 - distance, 9) as w from knn where rank <= 7)"
 
 
-def _edges(spark: SparkSession, sf_dir: str, k: int = 15) -> DataFrame:
-    return _knn(spark, sf_dir, k).select("src", "dst", F.round(1 - F.col("distance"), 9).alias("w"))
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _weighted(_knn(spark, sf_dir))
+
+
+def _weighted(knn: DataFrame) -> DataFrame:
+    return knn.select("src", "dst", F.round(1 - F.col("distance"), 9).alias("w"))
+
+
+def _both_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges to 15 neighbours and to the nearest 7 of them, of one search."""
+    knn = _knn(spark, sf_dir)
+    return _weighted(knn), _weighted(knn.where("rank <= 7"))
 
 
 @query(f"with {_EDGES_SQL} select src, dst, round(sum(w) / 2, 6) as w from (select src, dst, w from edges union all select dst, src, w from edges) group by 1, 2 having sum(w) <> 0")
@@ -518,7 +528,7 @@ def graph_symmetrize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_EDGES_SQL} select src, dst, round(sum(w) / 2, 6) as w from (select src, dst, w from edges union all select src, dst, w from second_edges) group by 1, 2 having sum(w) <> 0")
 def graph_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.fused(_edges(spark, sf_dir), _edges(spark, sf_dir, 7)).select("src", "dst", F.round("w", 6).alias("w"))
+    return graph.fused(*_both_edges(spark, sf_dir)).select("src", "dst", F.round("w", 6).alias("w"))
 
 
 @query(f"""with {_EDGES_SQL}, s as (select src, dst, sum(w) / 2 as w from (select src, dst, w from edges union all select dst, src, w from edges) group by 1, 2),
@@ -534,8 +544,9 @@ def graph_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     i as (select src, dst, greatest(least(w, 1), 0) as w from bad semi join p using (src, dst) where w > 0), m as (select src, dst, max(w) as w from (select * from i union all select dst, src, w from i) group by 1, 2)
     select src, dst, round(w, 6) as w from m, flag where broken union all select src, dst, round(w, 6) from bad, flag where not broken""")
 def graph_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = _edges(spark, sf_dir).withColumn("w", F.when(F.col("dst") % 5 == 0, F.col("w") * 3).otherwise(F.col("w")))
-    return graph.repaired(bad, _edges(spark, sf_dir, 7), 15).select("src", "dst", F.round("w", 6).alias("w"))
+    edges, second = _both_edges(spark, sf_dir)
+    bad = edges.withColumn("w", F.when(F.col("dst") % 5 == 0, F.col("w") * 3).otherwise(F.col("w")))
+    return graph.repaired(bad, second, 15).select("src", "dst", F.round("w", 6).alias("w"))
 
 
 @query(f"""with {_EDGES_SQL}, t as (select * from edges where src % 4 <> 0), x as (select *, row_number() over (partition by src order by w desc, dst desc) as k from edges where src <> dst and src not in (select src from t))
@@ -613,7 +624,8 @@ def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_EDGES_SQL} select 7::bigint as k, count(*) as n_edges, count(distinct src) as n_nodes, round(avg(w), 6) as mean_weight from second_edges
     union all select 15::bigint, count(*), count(distinct src), round(avg(w), 6) from edges""")
 def graph_summary_by_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.summary_by_k({7: _edges(spark, sf_dir, 7), 15: _edges(spark, sf_dir)})
+    edges, second = _both_edges(spark, sf_dir)
+    return graph.summary_by_k({7: second, 15: edges})
 
 
 # Label transfer: positive parts of embeddings as counts, half of the rows as reference
