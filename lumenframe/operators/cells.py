@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.storage import free_name
+from ..functions.storage import Workspace, free_name
 from .quantiles import quantiles
 from .validate import require_matched, require_unique
 
@@ -142,9 +142,11 @@ def union_samples(*tables: DataFrame, dictionaries: list[DataFrame] | None = Non
 
 def row_index(df: DataFrame, order: list[str], name: str = "source_row_index") -> DataFrame:
     """Dense numbers from 0 in an order, without sorting everything in one task: rows are ranged over partitions, numbered within them, and
-    the partitions' offsets, one small row each, are added."""
+    the partitions' offsets, one small row each, are added. The ranged rows are saved, as the numbering and the sizes must see the same partitions:
+    Spark joins small partitions by the bytes that a plan reads, so in two plans over the ranges a row may lie in different ones."""
     part, place, size, offset = (free_name(n, df) for n in ("the_part", "the_place", "the_size", "the_offset"))
     ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn(part, F.spark_partition_id())
+    ranged = Workspace(df.sparkSession, "ranges").save(ranged)
     within = ranged.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
     sizes = within.groupBy(part).agg(F.count("*").alias(size))
     offsets = sizes.withColumn(offset, F.coalesce(F.sum(size).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

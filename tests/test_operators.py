@@ -476,3 +476,34 @@ def test_row_index_is_dense_and_failures_are_recorded(spark):
     with pytest.raises(KeyError), validate.recorded(seen.append, step="x"):
         raise KeyError("y")
     assert seen[0]["error"] == "KeyError" and seen[0]["step"] == "x"
+
+
+def test_row_index_of_wide_rows(spark, tmp_path):
+    """Numbering and sizes see the same ranges, although Spark joins small partitions by the bytes that each of them reads."""
+    wide = F.concat(*(F.sha2(F.concat("id", F.lit(i)), 256) for i in range(6))).alias("wide")
+    spark.range(20_000, numPartitions=3).select((F.col("id") * 7).alias("id"), wide).write.parquet(f"{tmp_path}/wide")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = cells.row_index(spark.read.parquet(f"{tmp_path}/wide"), ["id"], "n").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((r.id, r.n) for r in got) == [(7 * i, i) for i in range(20_000)]
+
+
+def test_nearest_of_dense_targets_and_copies(spark):
+    """Many targets in the width asked for, some at one place, against all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    at = np.round(rng.uniform(0, 50, (600, 2)), 1)
+    at[::5] = at[0]
+    at[-1] = (9000.0, -400.0)
+    df = spark.createDataFrame([(i, "ab"[i % 2], float(x), float(y)) for i, (x, y) in enumerate(at)], "k long, g string, x double, y double")
+    goals = df.where("k % 3 = 0").withColumnRenamed("k", "t")
+    got = {r.k: (r.t, round(r.distance, 6)) for r in spatial.nearest(df, goals, "k", "t", "x", "y", 100.0, "g").collect()}
+    for i, (x, y) in enumerate(at):
+        d = {j: round((x - at[j][0]) ** 2 + (y - at[j][1]) ** 2, 9) for j in range(0, 600, 3) if j % 2 == i % 2}
+        t = min(d, key=lambda j: (d[j], j))
+        assert got[i] == (t, round(float(np.sqrt(d[t])), 6))
+    assert len(got) == 600
