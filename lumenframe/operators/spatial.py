@@ -8,12 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrow import map_arrow
 from ..functions.storage import Workspace, free_name
 
 #: Rows of a grid cell that are compared at once.
 CELL = 4096
+#: Targets of a grid cell, about, in the first ring of a search.
+FEW = 4
 
 
 def _around(at: Column) -> Column:
@@ -59,28 +62,30 @@ def radius_counts(df: DataFrame, key: str, x: str, y: str, radius: float, within
 def nearest(df: DataFrame, targets: DataFrame, key: str, target: str, x: str, y: str, size: float, within: str) -> DataFrame:
     """(key, target, distance): of each row the nearest target of its group, of equals the smaller one.
 
-    Rings of grid cells are searched outwards, twice as wide each time, for the rows that have no target closer than the ring
-    guarantees; so a row meets the targets around it only, and one far from all meets a few coarse cells. Rows and targets with a null
-    group, key or coordinate take no part, and a group without targets gives no rows; a repeated key is one row, nearest wins. Each
-    ring is saved."""
+    Rings of grid cells are searched outwards, four times as wide each time, for the rows that have no target closer than the ring
+    guarantees; so a row meets the targets around it only, and one far from all meets a few coarse cells. The first ring is ``size`` wide, or
+    less where targets lie denser than a few in that. Targets at one place are one, the smallest. A cell's rows meet the targets around it as arrays, of which
+    only the nearest leave the task. Rows and targets with a null group, key or coordinate take no part, and a group without targets gives no
+    rows; a repeated key is one row, nearest wins. Each ring is saved."""
     rows = df.select(within, F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y")).toDF("g", "k", "x", "y").dropna()
     goals = targets.select(within, F.col(target).alias("t"), F.col(x).alias("tx"), F.col(y).alias("ty")).toDF("g", "t", "tx", "ty").dropna()
+    work, out = Workspace(df.sparkSession, "nearest"), None
+    goals = work.save(goals.groupBy("g", "tx", "ty").agg(F.min("t").alias("t")))
     reach = goals.agg(F.min("tx"), F.max("tx"), F.min("ty"), F.max("ty")).first()
     span = rows.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if reach[0] is None or span[0] is None:
         return df.limit(0).select(key, F.lit(None).cast(targets.schema[target].dataType).alias(target), F.lit(0.0).alias("distance"))
     widest = max(reach[1], span[1]) - min(reach[0], span[0]) + max(reach[3], span[3]) - min(reach[2], span[2]) + size
-    work, out = Workspace(df.sparkSession, "nearest"), None
-    goals = work.save(goals)
+    most = goals.groupBy("g").count().agg(F.max("count")).first()[0]
+    dense = ((reach[1] - reach[0]) * (reach[3] - reach[2]) * FEW / most) ** 0.5
+    size = min(size, dense) if dense > size / 1024 else size
     while True:
-        probe = rows.select("g", "k", "x", "y", _around(_cell("x", size)).alias("gx"), _cell("y", size).alias("gy"))
-        probe = probe.select("g", "k", "x", "y", "gx", _around(F.col("gy")).alias("gy"))
-        cells = goals.select("g", "t", "tx", "ty", _cell("tx", size).alias("gx"), _cell("ty", size).alias("gy"))
+        met = _met(rows, goals, size, (rows.schema["k"].dataType, goals.schema["t"].dataType))
         d2 = (F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2
         best = F.min(F.struct(F.round(d2, 9).alias("d2"), "t")).alias("b")
-        found = probe.join(cells, ["g", "gx", "gy"]).groupBy("k").agg(best).select("k", F.col("b.t").alias("t"), F.sqrt("b.d2").alias("d"))
+        found = met.groupBy("k").agg(best).select("k", F.col("b.t").alias("t"), F.sqrt("b.d2").alias("d"))
         last = size > widest
-        ring = work.save(found if last else found.where(F.col("d") <= size))  # what follows reads this ring instead of redoing all before it
+        ring = work.save(found if last else found.where(F.col("d") <= size * (1 - 1e-9)))  # what follows reads this ring instead of redoing all before it
         out = ring if out is None else out.unionByName(ring)
         left = rows.join(ring.select("k"), "k", "left_anti")
         if last or left.isEmpty():
@@ -89,6 +94,38 @@ def nearest(df: DataFrame, targets: DataFrame, key: str, target: str, x: str, y:
         size *= 4
 
 
+def _met(rows: DataFrame, goals: DataFrame, size: float, kinds: tuple[T.DataType, T.DataType]) -> DataFrame:
+    """(k, x, y, t, tx, ty) of rows (g, k, x, y) and the targets in the nine cells around each: the nearest, and what is about as near."""
+    cells = ["g", "gx", "gy"]
+
+    def packed(at: DataFrame, columns: list[str]) -> DataFrame:
+        parts = at.groupBy(*cells).agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")).where("parts > 1")
+        part = F.pmod(F.xxhash64(*columns), F.coalesce("parts", F.lit(1))).alias("part")
+        dealt = at.join(parts, cells, "left").select(*cells, part, F.struct(*columns).alias("s"))
+        return dealt.groupBy(*cells, "part").agg(F.collect_list("s").alias(f"of_{columns[0]}")).drop("part")
+
+    around = goals.select("g", "t", "tx", "ty", _around(_cell("tx", size)).alias("gx"), _cell("ty", size).alias("gy"))
+    around = around.select("g", "t", "tx", "ty", "gx", _around(F.col("gy")).alias("gy"))
+    placed = rows.select("g", "k", "x", "y", _cell("x", size).alias("gx"), _cell("y", size).alias("gy"))
+    both = packed(placed, ["k", "x", "y"]).join(packed(around, ["t", "tx", "ty"]).hint("merge"), cells).select("of_k", "of_t")
+    double = T.DoubleType()
+    names = {"k": kinds[0], "x": double, "y": double, "t": kinds[1], "tx": double, "ty": double}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                mine, them = batch.column("of_k")[i].values, batch.column("of_t")[i].values
+                x, y, tx, ty = (part.field(c).to_numpy(zero_copy_only=False).astype(float) for part, c in ((mine, "x"), (mine, "y"), (them, "tx"), (them, "ty")))
+                for low in range(0, len(x), 256):
+                    d2 = (x[low : low + 256, None] - tx[None, :]) ** 2 + (y[low : low + 256, None] - ty[None, :]) ** 2
+                    p, q = np.nonzero(d2 <= d2.min(axis=1, keepdims=True) * (1 + 1e-12) + 2e-9)
+                    one, two = mine.take(pa.array(p + low)), them.take(pa.array(q))
+                    columns = [one.field("k"), pa.array(x[p + low]), pa.array(y[p + low]), two.field("t"), pa.array(tx[q]), pa.array(ty[q])]
+                    yield pa.RecordBatch.from_arrays(columns, list(names))
+
+    return map_arrow(both, run, T.StructType([T.StructField(n, t) for n, t in names.items()]))
+
+
 def spread_out(df: DataFrame, key: str, x: str, y: str, value: str, apart: float, most: int, within: str) -> DataFrame:
     """Greedy non-maximum suppression: per group up to ``most`` rows of the largest values, any two over ``apart`` from each other.
 
