@@ -23,6 +23,8 @@ from .vectors import _usable
 
 #: Fits that one task merges.
 FAN = 16
+#: Singular vectors that a fit keeps at least: each merge loses what it doesn't keep, which in a flat spectrum is much of the leading directions.
+KEPT = 128
 #: Rows of a matrix that are sent and added at once.
 STRIP = 256
 
@@ -112,11 +114,11 @@ def _rows(df: DataFrame, vector: str) -> DataFrame:
 
 
 def incremental_fit(df: DataFrame, vector: str, k: int, batch: int = 4096, before: Fit | None = None) -> Fit:
-    """A ``Fit`` that keeps 2 k singular vectors, of ``df``'s vectors and, if given, of what was fitted ``before``.
+    """A ``Fit`` that keeps 2 k singular vectors, ``KEPT`` at least, of ``df``'s vectors and, if given, of what was fitted ``before``.
 
-    Batches have ``batch`` rows, 2 k at least; a task's last batch of fewer than k joins the one before it. Vectors that are null or empty or hold
+    Batches have ``batch`` rows, as many as are kept at least; a task's last batch of fewer than k joins the one before it. Vectors that are null or empty or hold
     null or non-finite components are left out; a table without others, or with vectors of different lengths, is an error."""
-    kept = 2 * k
+    kept = max(2 * k, KEPT)
     size = max(batch, kept)
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +208,9 @@ def _triangle(rows: DataFrame, mean: np.ndarray, basis: np.ndarray) -> np.ndarra
 def randomised_components(df: DataFrame, vector: str, k: int, over: int = 10, power: int = 7, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, components by rows, share of variance): k directions that hold nearly the most variance, the largest loading of each positive.
 
-    A random basis of k + ``over`` directions goes ``power`` + 1 times through X' X, and the rows in its coordinates are decomposed by blocks. The driver
-    holds dimensions times k + ``over`` numbers. Odd vectors and k are treated as in ``principal_components``."""
+    A random basis of k + ``over`` directions goes ``power`` + 1 times through X' X; what it was on the way spans a block Krylov space, which holds the leading
+    directions of a flat spectrum too, and the rows in its coordinates are decomposed by blocks. The driver holds dimensions times (k + ``over``) *
+    (``power`` + 2) numbers at most. Odd vectors and k are treated as in ``principal_components``."""
     rows = _rows(df, vector)
     sums = rows.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m"), F.var_pop("x").alias("s"), F.count("*").alias("n")).collect()
     n, d = sums[0]["n"], len(sums)
@@ -217,8 +220,10 @@ def randomised_components(df: DataFrame, vector: str, k: int, over: int = 10, po
         variance += r["s"]
     k = max(2, min(k, d - 1, n - 1))
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, min(d, k + over))))[0]
+    passed = [basis]
     for _ in range(power + 1):
-        basis = np.linalg.qr(_product(rows, mean, basis))[0]
+        passed.append(np.linalg.qr(_product(rows, mean, passed[-1]))[0])
+    basis = np.linalg.qr(np.hstack(passed[::-1]))[0]
     _, s, w = np.linalg.svd(_triangle(rows, mean, basis), full_matrices=False)
     parts = (w @ basis.T)[:k]
     signs = np.sign(parts[np.arange(len(parts)), np.abs(parts).argmax(axis=1)])

@@ -66,3 +66,13 @@ def test_nothing_to_fit(spark):
             fit(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "v array<double>"))
     same = P.incremental_fit(spark.createDataFrame([([1.0, 2.0, 3.0],)] * 3, "v array<double>"), "v", 2)
     assert same.n == 3 and len(same.components(2)[1]) == 0
+
+
+def test_a_flat_spectrum(spark):
+    """Leading directions that hardly stand out are found by both ways: nearly all of what the exact ones hold, from many batches."""
+    x = np.random.default_rng(9).standard_normal((4000, 64))
+    exact = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>").repartition(8)
+    for _, parts, share in (P.incremental_fit(df, "v", 10, batch=256).components(10), P.randomised_components(df, "v", 10)):
+        assert share.sum() > 0.98 * exact[:10].sum() / exact.sum()
+        assert abs(parts @ parts.T - np.eye(10)).max() < 1e-9
