@@ -30,33 +30,36 @@ def _cell(c: str, size: float) -> Column:
 def radius_counts(df: DataFrame, key: str, x: str, y: str, radius: float, within: str) -> DataFrame:
     """(key, n_near): how many rows of the same group lie within ``radius``, border and the row itself included.
 
-    Rows are gathered by grid cell as arrays, a cell's rows meet those of the eight cells around in one Arrow map, and what leaves it are
-    counts. A crowded cell is dealt into parts of ``CELL`` rows, each of which meets all parts around it. Rows with a null group or coordinate
-    have no row here; rows that repeat a key are counted each."""
+    Rows at one place are one place with their number; places are gathered by grid cell as arrays, a cell's places meet those of the eight cells
+    around in one Arrow map, and what leaves it are counts, which are joined back to the rows. A crowded cell is dealt into parts of ``CELL`` places,
+    each of which meets all parts around it. Rows with a null group or coordinate have no row here; rows that repeat a key are counted each."""
     rows = df.select(F.col(within).alias("g"), F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    rows = rows.withColumns({"gx": _cell("x", radius), "gy": _cell("y", radius)})
-    sizes = rows.groupBy("g", "gx", "gy").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    spots = rows.groupBy("g", "x", "y").agg(F.count("*").alias("m")).withColumns({"gx": _cell("x", radius), "gy": _cell("y", radius)})
+    spots = Workspace(df.sparkSession, "spots").save(spots)
+    sizes = spots.groupBy("g", "gx", "gy").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
     crowded = sizes.where("parts > 1")
-    part = F.pmod(F.xxhash64("k", "x", "y"), F.coalesce("parts", F.lit(1))).alias("part")
-    dealt = rows.join(crowded, ["g", "gx", "gy"], "left").select("g", "gx", "gy", part, "k", "x", "y")
-    packed = dealt.groupBy("g", "gx", "gy", "part").agg(F.collect_list("k").alias("ks"), F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
-    around = packed.select("g", F.explode(F.sequence(F.col("gx") - 1, F.col("gx") + 1)).alias("gx"), "gy", F.col("xs").alias("ox"), F.col("ys").alias("oy"))
-    around = around.select("g", "gx", F.explode(F.sequence(F.col("gy") - 1, F.col("gy") + 1)).alias("gy"), "ox", "oy")
-    both = packed.join(around, ["g", "gx", "gy"]).select("ks", "xs", "ys", "ox", "oy")
-    kind = rows.schema["k"].dataType.simpleString()
+    part = F.pmod(F.xxhash64("x", "y"), F.coalesce("parts", F.lit(1))).alias("part")
+    dealt = spots.join(crowded, ["g", "gx", "gy"], "left").select("g", "gx", "gy", part, F.struct("x", "y", "m").alias("s"))
+    packed = dealt.groupBy("g", "gx", "gy", "part").agg(F.collect_list("s").alias("here"))
+    around = packed.select("g", F.explode(F.sequence(F.col("gx") - 1, F.col("gx") + 1)).alias("gx"), "gy", F.col("here").alias("there"))
+    around = around.select("g", "gx", F.explode(F.sequence(F.col("gy") - 1, F.col("gy") + 1)).alias("gy"), "there")
+    both = packed.join(around.hint("merge"), ["g", "gx", "gy"]).select("g", "here", "there")
+    kind = rows.schema["g"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                xs, ys, ox, oy = (batch.column(c)[i].values.to_numpy() for c in ("xs", "ys", "ox", "oy"))
-                near = np.zeros(len(xs), np.int64)
+                here, there = batch.column("here")[i].values, batch.column("there")[i].values
+                xs, ys, ox, oy, m = (s.field(c).to_numpy() for s, c in ((here, "x"), (here, "y"), (there, "x"), (there, "y"), (there, "m")))
+                near = np.zeros(len(xs))
                 for low in range(0, len(xs), 256):
                     dx, dy = xs[low : low + 256, None] - ox[None, :], ys[low : low + 256, None] - oy[None, :]
-                    near[low : low + 256] = (dx * dx + dy * dy <= radius * radius).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("ks")[i].values, pa.array(near)], ["k", "n"])
+                    near[low : low + 256] = (dx * dx + dy * dy <= radius * radius) @ m.astype(float)  # whole numbers, so exact
+                group = batch.column("g").take(pa.array(np.full(len(xs), i)))
+                yield pa.RecordBatch.from_arrays([group, pa.array(xs), pa.array(ys), pa.array(near.astype(np.int64))], ["g", "x", "y", "n"])
 
-    counted = map_arrow(both, run, f"k {kind}, n long").groupBy("k").agg(F.sum("n").alias("n_near"))
-    return counted.withColumnRenamed("k", key)
+    counted = map_arrow(both, run, f"g {kind}, x double, y double, n long").groupBy("g", "x", "y").agg(F.sum("n").alias("n"))
+    return rows.join(counted, ["g", "x", "y"]).groupBy("k").agg(F.sum("n").alias("n_near")).withColumnRenamed("k", key)
 
 
 def nearest(df: DataFrame, targets: DataFrame, key: str, target: str, x: str, y: str, size: float, within: str) -> DataFrame:

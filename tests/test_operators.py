@@ -507,3 +507,16 @@ def test_nearest_of_dense_targets_and_copies(spark):
         t = min(d, key=lambda j: (d[j], j))
         assert got[i] == (t, round(float(np.sqrt(d[t])), 6))
     assert len(got) == 600
+
+
+def test_radius_counts_work_on_places(spark, monkeypatch):
+    """Many rows at few places: places are compared, not rows, and counts are those of all pairs."""
+    compared, run = [], spatial.map_arrow
+    monkeypatch.setattr(spatial, "map_arrow", lambda df, *a: compared.append(df) or run(df, *a))
+    monkeypatch.setattr(spatial, "CELL", 8)
+    at = [(float(i % 7), float(i % 3)) for i in range(630)]
+    df = spark.createDataFrame([(i, "g", x, y) for i, (x, y) in enumerate(at)], "k long, g string, x double, y double")
+    got = {r.k: r.n_near for r in spatial.radius_counts(df, "k", "x", "y", 2.0, "g").collect()}
+    assert got == {i: sum((a - c) ** 2 + (b - d) ** 2 <= 4 for c, d in at) for i, (a, b) in enumerate(at)}
+    a, b = (F.col(c) for c in compared[0].columns[-2:])
+    assert compared[0].agg(F.sum(F.size(a) * F.size(b))).first()[0] <= 21 * 21
