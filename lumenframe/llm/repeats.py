@@ -9,7 +9,7 @@ one shard, and only runs whose key gram occurs elsewhere too are sent there at a
 2. runs with a repeated key gram are joined back to their texts, which give the *segments*: the bytes of a run;
 3. equal segments are merged (with how many there are, and the smallest id), so copies cost no more than one;
 4. each shard of distinct segments is indexed - by the caller - and tells of each segment's windows what its occurrences are (a shard
-   in which that is plain from the numbers of copies needs no index);
+   in which that is plain from the numbers of copies needs no index, nor a segment of bytes that is like no other around its key gram);
 5. that is joined back to the runs, and to the texts.
 
 Hashes of grams only bring together what may be equal; an index compares the segments' own bytes. Equal segments are known by 128 bits of
@@ -37,6 +37,8 @@ SPLIT = 20_000
 SPLIT_BYTES = 8 << 20
 #: Bytes of segments of words, and of bytes, in one task: so many that an index takes some 300 MB while it is built.
 SHARD_BYTES = {True: 4 << 20, False: 3 << 19}
+#: Ranges of a key gram's place in a window, in which segments of bytes are compared before they are indexed.
+PIECES = 8
 #: Bits of a place that hold a run's number of windows.
 COUNT_BITS = 16
 _LONG = T.LongType()
@@ -75,10 +77,38 @@ class Scheme:
             return np.arange(len(data) + 1)
         return np.concatenate([[0], np.flatnonzero(data == 0x20) + 1])
 
-    def undecided(self, group: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Which segments an index must be asked for, by their shards and numbers of copies. Words: the smallest document of a segment is that of
-        all its windows where no other segment is in the shard; bytes: all windows of a shard repeat where all its segments do."""
-        return (np.bincount(group) > 1)[group] if self.words else (np.bincount(group, weights=n == 1) > 0)[group]
+    def undecided(self, shard: np.ndarray, n: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Which segments an index must be asked for, by their shards, numbers of copies and bytes. Words: the smallest document of a segment is that of
+        all its windows where no other segment is in the shard; bytes: all windows of a shard repeat where all its segments do, and
+        the windows of a segment that is like no other one of its shard are its own."""
+        group = np.unique(shard, return_inverse=True)[1]
+        if self.words:
+            return (np.bincount(group) > 1)[group]
+        asked = (np.bincount(group, weights=n == 1) > 0)[group]
+        if asked.any():
+            some = np.concatenate([[0], np.cumsum(np.diff(bounds)[asked])])
+            asked[asked] = self._alike(shard[asked], n[asked], data[np.repeat(asked, np.diff(bounds))], some)
+        return asked
+
+    def _alike(self, shard: np.ndarray, n: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Which segments may share a window with another one, if one of the two has no copies. All windows of a segment hold its key gram at one
+        place, the last one with that hash, and equal windows hold it equally far from their beginning. That distance lies in one of ``PIECES``
+        ranges; in a range from a to b, equal windows have the a bytes before the gram and the length - gram - b bytes after it in common."""
+        spare = self.length - self.gram
+        grams = kernels.signed(self.grams(data))
+        owner = np.repeat(np.arange(len(n)), np.diff(bounds))[: len(grams)]
+        here = np.flatnonzero(grams == shard[owner])
+        here = here[here + self.gram <= bounds[owner[here] + 1]]
+        at = np.full(len(n), -1)
+        np.maximum.at(at, owner[here], here)
+        alike = at < 0  # can't be; such a segment is not left out
+        step = -(-spare // PIECES) or 1
+        for a in range(0, spare + 1, step):
+            start, stop = at - a, at + self.length - min(spare, a + step)
+            held = np.flatnonzero((at >= 0) & (start >= bounds[:-1]) & (stop <= bounds[1:]))
+            same = np.unique(kernels.span_hash(data, start[held], stop[held]), return_inverse=True)[1]
+            alike[held] |= ((np.bincount(same) > 1) & (np.bincount(same, weights=n[held] == 1) > 0))[same] if len(held) else False
+        return alike
 
     def plain(self, low: np.ndarray, n: np.ndarray) -> np.ndarray:
         """What the index would say of the windows of other segments."""
@@ -196,7 +226,7 @@ def _indexed(scheme: Scheme, distinct: DataFrame, index: Indexer) -> DataFrame:
         data, bounds = _joined(parts)
         windows = np.diff(np.searchsorted(scheme.begins(data, bounds), bounds)) - scheme.length + 1
         value = np.repeat(scheme.plain(low, n), windows)
-        asked = scheme.undecided(np.unique(table.column("shard").to_numpy(), return_inverse=True)[1], n)
+        asked = scheme.undecided(table.column("shard").to_numpy(), n, data, bounds)
         if asked.any():
             some = np.concatenate([[0], np.cumsum(np.diff(bounds)[asked])])
             value[np.repeat(asked, windows)] = index(data[np.repeat(asked, np.diff(bounds))], some, low[asked], n[asked])

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.llm import ann, components, decontaminate, lines, minhash, packing, pii, quality, queries, sais, substrings, suffixes, token_counts, tokens, work
+from lumenframe.llm import ann, components, decontaminate, kernels, lines, minhash, packing, pii, quality, queries, repeats, sais, substrings, suffixes, token_counts, tokens, work
 from lumenframe.llm.fm_index import FmIndex
 from oracle import assert_equal
 
@@ -367,6 +367,30 @@ def test_repeated_bytes(spark, texts, split):
         assert [tuple(s) for s in out[i].spans] == runs
 
 
+def test_segments_that_only_share_their_key_gram_are_not_indexed():
+    rng = np.random.default_rng(5)
+    scheme = repeats.Scheme(words=False, length=60, gram=16)
+    text = lambda n: rng.integers(97, 123, n).astype(np.uint8)
+    for _ in range(200):
+        base = text(120)  # the gram stands at 50 to 66 in all of them
+        blobs, n = [], []
+        for _ in range(int(rng.integers(2, 6))):
+            left, right = (int(x) for x in rng.integers(0, 44, 2))
+            own = text(120)
+            own[50 - left : 66 + right] = base[50 - left : 66 + right]
+            blobs.append(own[int(rng.integers(0, 20)) : 120 - int(rng.integers(0, 20))])
+            n.append(int(rng.integers(1, 3)))
+        data, bounds = np.concatenate(blobs), np.concatenate([[0], np.cumsum([len(b) for b in blobs])])
+        shard = np.full(len(n), kernels.signed(scheme.grams(base[50:66]))[0])
+        asked = scheme.undecided(shard, np.array(n), data, bounds)
+        windows = [{bytes(b[i : i + 60]) for i in range(len(b) - 59)} for b in blobs]
+        meets = lambda i, j: i != j and min(n[i], n[j]) == 1 and windows[i] & windows[j]  # noqa: B023, E731
+        assert all(asked[i] for i in range(len(n)) for j in range(len(n)) if meets(i, j))
+    apart = [np.concatenate([text(44), base[50:66], text(44)]) for _ in range(3)]
+    shard = np.full(3, shard[0])
+    assert not scheme.undecided(shard, np.ones(3, int), np.concatenate(apart), np.arange(4) * 104).any()
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(1)
     for trial in range(300):
