@@ -164,6 +164,24 @@ def test_scans_of_nothing(spark):
     assert values(community.scan(none, nodes.where("false"), "id", [1.0], 5)[0], "n_clusters", "chosen") == [(0, True)]
 
 
+def test_a_turn_tells_modularity_and_what_nodes_gain(spark):
+    """One table of wishes has both, of joins as of arrays, so no turn reads the edges again for its score."""
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 30, 150), rng.integers(0, 30, 150)
+    w = rng.integers(1, 9, 150) / 4.0
+    rows = [(int(x), int(y), float(z)) for x, y, z in [*zip(a, b, w, strict=True), *zip(b, a, w, strict=True)]]
+    work = Workspace(spark, "test")
+    edges = work.save(spark.createDataFrame(rows, "src long, dst long, w double").groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    level = community._arrays(*(np.array(c) for c in zip(*sorted(tuple(r) for r in edges.collect()), strict=True)))
+    degrees = community._degrees(edges, [])
+    own = level.nodes % 7
+    labels = spark.createDataFrame([(int(i), int(c)) for i, c in zip(level.nodes, own, strict=True)], "node long, community long")
+    tables = community.Tables(edges, degrees, level.total, [0.7], work)
+    wishes, gaining, score = tables.wishes(labels.select(F.lit(0).alias("r"), "node", "community"))
+    assert score[0] == pytest.approx(community.modularity(edges, labels, 0.7)) == pytest.approx(level.score(own, 0.7)) and gaining == {0}
+    assert {r.node: r.to for r in wishes.collect()} == dict(zip(level.nodes.tolist(), level.wishes(own, 0.7)[1].tolist(), strict=True))
+
+
 def test_long_communities_stay_whole(spark):
     path = spark.range(300).selectExpr("id as src", "id + 1 as dst", "1.0D as w")
     edges = path.unionAll(path.selectExpr("dst as src", "src as dst", "w")).where("src <> 199 or dst <> 200").where("src <> 200 or dst <> 199")
