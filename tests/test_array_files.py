@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenframe.sources import array_files, arrays, shared_files
 
@@ -73,3 +74,24 @@ def test_sparse_odd_entries(spark, tmp_path):
     assert os.listdir(tmp_path) == []
     assert array_files.write_sparse(make([]), f"{tmp_path}/zero.npz", (4, 4)) == 0
     assert arrays.sparse(spark, f"{tmp_path}/zero.npz").count() == 0
+
+
+@pytest.mark.parametrize("save", [np.savez, np.savez_compressed])
+def test_one_file_is_read_by_many_tasks(spark, tmp_path, monkeypatch, save):
+    monkeypatch.setattr(arrays, "RANGE", 50)
+    monkeypatch.setattr(arrays, "CHUNK", 20)
+    rng = np.random.default_rng(3)
+    want = np.where(rng.random((60, 30)) < 0.3, rng.integers(0, 9, (60, 30)), 0)
+    want[0], want[20:40], want[-1] = 0, 0, 0
+    held = want + 0.5 * (rng.random(want.shape) < 0.1)  # as many entries, some of them zeros below
+    row, column = np.nonzero(held)
+    start = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=60))]).astype(np.int32)
+    save(f"{tmp_path}/m.npz", data=want[row, column], indices=column.astype(np.int32), indptr=start, shape=np.array(want.shape), format=np.array(b"csr"))
+    back = arrays.sparse(spark, f"{tmp_path}/m.npz")
+    assert sorted((r.row_index, r.gene_idx, r.n) for r in back.collect()) == [(int(r), int(c), want[r, c]) for r, c in zip(*np.nonzero(want), strict=True)]
+    x = np.asfortranarray(rng.normal(size=(310, 3)))
+    np.save(f"{tmp_path}/x.npy", x)
+    dense = arrays.dense(spark, f"{tmp_path}/x.npy")
+    assert np.array_equal(np.array([r.e for r in dense.orderBy("row_index").collect()], np.float32), x.astype(np.float32))
+    parts = [df.select(F.spark_partition_id()).distinct().count() for df in (back, dense)]
+    assert parts[1] > 1 and (parts[0] > 1) == (save is np.savez)
