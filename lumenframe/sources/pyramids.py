@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import zlib
@@ -24,6 +25,8 @@ TAGS = {
 }
 LETTERS = {1: "B", 3: "H", 4: "I", 13: "I", 16: "Q", 18: "Q"}
 SHORT, LONG, RATIONAL, LONG8 = 3, 4, 5, 16
+#: Bytes of pixels in one batch on the way to the JVM, about.
+HELD = 4_000_000
 PLAIN, DEFLATE, OLD_DEFLATE, GREY, RGB, CENTIMETRE = 1, 8, 32946, 1, 2, 3
 
 
@@ -88,6 +91,30 @@ def _edges(pixels: np.ndarray, high: int, wide: int) -> np.ndarray:
     return out
 
 
+def _placed(rows: list[dict], tile: int, channels: int, um_per_px: float | None, plans: dict) -> Iterator[tuple[str, Iterator[tuple[int, bytes]]]]:
+    """Of encoded tiles by image: for each image all that is written of them, tiles and list entries, what is adjacent in one piece. ``plans``
+    keeps the last image's layout."""
+    for image, mine in itertools.groupby(rows, lambda r: r["image"]):
+        pieces = []
+        for row in mine:
+            if image not in plans:
+                plans.clear()
+                plans[image] = layout(row["h0"], row["b0"], tile, channels, um_per_px)[1:], pyramid(row["h0"], row["b0"], tile)
+            (lists, first), shapes = plans[image]
+            n = row["ty"] * -(-shapes[row["level"]][1] // tile) + row["tx"]
+            offsets, lengths = lists[row["level"]]
+            at = first + row["start"]
+            pieces += [(at, row["data"]), (offsets + 8 * n, struct.pack("<Q", at)), (lengths + 8 * n, struct.pack("<Q", len(row["data"])))]
+        yield image, shared_files.runs(sorted(pieces))
+
+
+def _together(rows: Iterator[dict], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of rows of about ``size`` bytes each."""
+    rows, step = iter(rows), max(1, HELD // size)
+    while held := list(itertools.islice(rows, step)):
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
 def write_pyramids(tiles: DataFrame, sizes: DataFrame, path: str, tile: int, channels: int = 1, um_per_px: float | None = None) -> DataFrame:
     """A folder with a tiled pyramid ``<image>.tif`` (64-bit TIFF, deflated 8-bit tiles, reduced levels as sub-directories) for each row of sizes
     (image, height, width); tiles: (image, ty, tx, pixels), squares of ``tile`` pixels. Returns sizes with ``levels`` and ``bytes``.
@@ -122,7 +149,7 @@ def write_pyramids(tiles: DataFrame, sizes: DataFrame, path: str, tile: int, cha
     level = level.select(*known, F.lit(0).alias("level"), "ty", "tx", F.col("h0").alias("h"), F.col("b0").alias("b"), "pixels")
     schema = level.schema
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for row in batch.to_pylist():
                 whole = np.zeros((2 * tile, 2 * tile, channels), np.uint8)
@@ -131,16 +158,21 @@ def write_pyramids(tiles: DataFrame, sizes: DataFrame, path: str, tile: int, cha
                     whole[down * tile : (down + 1) * tile, right * tile : (right + 1) * tile] = part
                 high, wide = (min(2 * tile, row[s] - 2 * tile * row[t]) for s, t in (("h", "ty"), ("b", "tx")))
                 small = halved(_edges(whole, high, wide))
-                out = {**{c: row[c] for c in (*known, "ty", "tx")}, "level": row["level"] + 1, "h": -(-row["h"] // 2), "b": -(-row["b"] // 2), "pixels": small.tobytes()}
-                yield pa.RecordBatch.from_pylist([out], schema=arrow)
+                yield {**{c: row[c] for c in (*known, "ty", "tx")}, "level": row["level"] + 1, "h": -(-row["h"] // 2), "b": -(-row["b"] // 2), "pixels": small.tobytes()}
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for row in batch.to_pylist():
                 pixels = np.frombuffer(row["pixels"], np.uint8).reshape(tile, tile, channels)
                 pixels = _edges(pixels, min(tile, row["h"] - tile * row["ty"]), min(tile, row["b"] - tile * row["tx"]))
                 data = zlib.compress(pixels.tobytes(), 6)
-                yield pa.RecordBatch.from_pylist([{**{c: row[c] for c in ("image", "h0", "b0", "level", "ty", "tx")}, "data": data, "size": len(data)}], schema=coded_arrow)
+                yield {**{c: row[c] for c in ("image", "h0", "b0", "level", "ty", "tx")}, "data": data, "size": len(data)}
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _together(reduced(batches), arrow, tile * tile * channels)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _together(encoded(batches), coded_arrow, tile * tile * channels)
 
     types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     arrow = pa.schema([(f.name, types[f.dataType.simpleString()]) for f in schema])
@@ -179,17 +211,10 @@ def write_pyramids(tiles: DataFrame, sizes: DataFrame, path: str, tile: int, cha
                 yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], ["n"])
 
         def place_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            plans: dict = {}
             for batch in batches:
-                plans: dict = {}
-                for row in batch.to_pylist():
-                    if row["image"] not in plans:
-                        plans = {row["image"]: (layout(row["h0"], row["b0"], tile, channels, um_per_px), pyramid(row["h0"], row["b0"], tile))}
-                    (_, lists, first), shapes = plans[row["image"]]
-                    n = row["ty"] * -(-shapes[row["level"]][1] // tile) + row["tx"]
-                    offsets, lengths = lists[row["level"]]
-                    at = first + row["start"]
-                    pieces = [(at, row["data"]), (offsets + 8 * n, struct.pack("<Q", at)), (lengths + 8 * n, struct.pack("<Q", len(row["data"])))]
-                    shared_files.write_at(f"{folder}/{row['image']}.tif", pieces)
+                for image, pieces in _placed(batch.to_pylist(), tile, channels, um_per_px, plans):
+                    shared_files.write_at(f"{folder}/{image}.tif", pieces)
                 yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], ["n"])
 
         os.makedirs(folder)
@@ -253,6 +278,7 @@ def read_tiles(spark: SparkSession, path: str, parts: int | None = None) -> Data
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            low, held, size = 0, [], 0
             for i, row in enumerate(batch.select(["path", "start", "size", "codec"]).to_pylist()):
                 data = None
                 if row["size"]:
@@ -260,7 +286,11 @@ def read_tiles(spark: SparkSession, path: str, parts: int | None = None) -> Data
                         file.seek(row["start"])
                         data = file.read(row["size"])
                     data = data if row["codec"] == PLAIN else zlib.decompress(data)
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:9], pa.array([data], pa.binary())], [*names[:9], "pixels"])
+                held.append(data)
+                size += len(data or b"")
+                if size >= HELD or i == len(batch) - 1:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(low, len(held)).columns[:9], pa.array(held, pa.binary())], [*names[:9], "pixels"])
+                    low, held, size = i + 1, [], 0
 
     files = spark.read.format("binaryFile").load(path).select("path")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))

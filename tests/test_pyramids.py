@@ -1,6 +1,7 @@
 """Pyramid files written by many tasks against pyramids made in memory."""
 
 import os
+import struct
 
 import numpy as np
 import pytest
@@ -58,3 +59,17 @@ def test_missing_tiles_and_bad_images(spark, tmp_path):
     with pytest.raises(ValueError, match="already"):
         pyramids.write_pyramids(tiles, sizes, f"{tmp_path}/p", 16)
     assert pyramids.write_pyramids(tiles, sizes.where("false"), f"{tmp_path}/none", 16).count() == 0 and os.listdir(tmp_path) == ["p", "none"] or sorted(os.listdir(tmp_path)) == ["none", "p"]
+
+
+def test_the_tiles_of_an_image_are_written_at_once():
+    rows = [{"image": i, "h0": 64, "b0": 48, "level": 0, "ty": ty, "tx": tx, "start": 5 * (3 * ty + tx), "data": b"%d-%d-" % (ty, tx) + i} for i in (b"a", b"b") for ty in range(4) for tx in range(3)]
+    found = [(image, list(pieces)) for image, pieces in pyramids._placed(rows, 16, 1, None, {})]
+    _, lists, first = pyramids.layout(64, 48, 16, 1, None)
+    offsets, lengths = lists[0]
+    assert [image for image, _ in found] == [b"a", b"b"]
+    for image, pieces in found:
+        whole = {at + i: x for at, piece in pieces for i, x in enumerate(piece)}
+        held = lambda at, n: bytes(whole[at + i] for i in range(n))  # noqa: B023, E731
+        assert len(pieces) == 2  # both lists, and tiles
+        assert held(first, 60) == b"".join(b"%d-%d-" % (ty, tx) + image for ty in range(4) for tx in range(3))
+        assert struct.unpack("<12Q", held(offsets, 96)) == tuple(first + 5 * n for n in range(12)) and struct.unpack("<12Q", held(lengths, 96)) == (5,) * 12
