@@ -1,11 +1,15 @@
 """Approximate nearest neighbours of all rows by neighbour descent: neighbours of neighbours are likely neighbours.
 
-Lists start from a forest of random projections: rows on the same side of a few random planes are compared with each other. Then, in rounds, every
-row brings its neighbours together, forward and reverse ones, of which it samples a bounded number, and each two of them that weren't compared by
-it before are. A list keeps its nearest; rounds end when hardly any list changes.
+Lists start from blocks: in each of some trees a row is dealt to the blocks of the few pivots, drawn rows, that are nearest to it, and rows of a block
+are compared with each other. Then, in rounds, every row brings its neighbours together, forward and reverse ones, of which it samples a bounded
+number, and each two of them that weren't compared by it before are. A list keeps its nearest; rounds end when hardly any list changes.
 
-A round's work is linear in the number of rows: what a row brings together is at most ``4 * sample`` rows. Everything is keyed joins; a row that is
-a neighbour of very many - a hub - is sampled before it is shuffled, and its vector is joined to its mentions, which Spark can split.
+A vector that is sent to a block meets all rows there, one that is sent to a row of a round at most ``4 * sample``: so blocks are large and find
+most neighbours, and rounds find what lies across blocks. What leaves a block or a round are pairs that would enter a list as far as it was known.
+
+The work of blocks and of rounds is linear in the number of rows: a row meets at most about ``trees * SPILL**2 * LEAF`` rows in blocks, and brings at most
+``4 * sample`` rows together. Everything is keyed joins; a row that is a neighbour of very many - a hub - is sampled before it is shuffled, and its
+vector is joined to its mentions, which Spark can split.
 """
 
 from __future__ import annotations
@@ -23,12 +27,20 @@ from ..functions.arrow import map_arrow
 from ..functions.storage import Workspace
 from .vectors import _usable
 
-#: Rows that are compared with each other for the first lists, about: fewer planes cut off more of them.
-LEAF = 256
-#: No more than this many rows of one side of all planes are one block; copies of one vector fall into several.
-MOST = 4 * LEAF
-#: Numbers of a block of distances that are held at once.
-HELD = 1 << 22
+#: Rows a pivot has, about, if each row went to one block of a tree: fewer pivots cut off less of a row's neighbours.
+LEAF = 1024
+#: Blocks of a tree that a row is dealt to, where there are at least ``APART`` times as many.
+SPILL, APART = 4, 16
+#: No more than so many rows and numbers of one block are compared; copies of one vector fall into several parts of it.
+MOST, MOST_NUMBERS = 4 * SPILL * LEAF, 1 << 23
+#: Numbers of the pivots of one level: with more blocks, they are pairs (or more) of pivots of several levels.
+PIVOT_NUMBERS = 1 << 16
+#: Numbers of distances that are held at once: in a round, in a block.
+HELD, NEAR = 1 << 22, 1 << 18
+#: More than a distance that is rounded to nine digits may differ from itself.
+SLACK = 2e-9
+#: Bytes that one task sorts.
+TASK_BYTES = 1 << 26
 
 PAIRS = "src long, dst long, distance double"
 
@@ -68,89 +80,147 @@ def _prepared(x: np.ndarray, metric: str) -> np.ndarray:
     return x
 
 
-def _distances(x: np.ndarray, metric: str) -> np.ndarray:
-    """Between all rows of each matrix of a stack."""
-    near = x @ np.swapaxes(x, -1, -2)
+def _between(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of all rows of x to all of y, also of stacks of matrices."""
+    near = x @ np.swapaxes(y, -1, -2)
     if metric == "cosine":
-        return 1 - near
-    square = np.einsum("...id,...id->...i", x, x)
-    return np.sqrt(np.maximum(square[..., :, None] + square[..., None, :] - 2 * near, 0))
+        return np.subtract(1, near, out=near)
+    square = lambda z: np.einsum("...id,...id->...i", z, z)
+    return np.sqrt(np.maximum(square(x)[..., :, None] + square(y)[..., None, :] - 2 * near, 0))
+
+
+def _tasks(rows: DataFrame, n: int, each: int) -> int:
+    """Tasks for ``n`` rows of ``each`` bytes."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-n * each // TASK_BYTES))
+
 
+def _pivots(rows: DataFrame, wide: np.dtype, size: int, n: int, count: int, metric: str, seed: int) -> np.ndarray:
+    """``count`` vectors, fewer if there are no more, that the hash of their keys draws."""
+    span = 1 << 31
+    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(span))
+    drawn = rows.select(draw.alias("draw"), "id", "v").where(F.col("draw") < min(span, span * (2 * count + 64) // max(1, n))).collect()
+    drawn = sorted(drawn, key=lambda r: (r["draw"], r["id"]))[:count]
+    return _prepared(np.frombuffer(b"".join(r["v"] for r in drawn), wide).reshape(len(drawn), size), metric)
 
-def _forest(rows: DataFrame, wide: np.dtype, size: int, n: int, k: int, metric: str, trees: int, seed: int) -> DataFrame:
-    """The first lists: (src, dst, distance), the nearest ``k`` of each row in its block of each tree."""
-    depth = max(0, math.ceil(math.log2(max(1, n / LEAF))))
-    rng = np.random.default_rng(seed)
-    shared = rows.sparkSession.sparkContext.broadcast(rng.standard_normal((trees, depth, size)))
+
+def _forest(known: DataFrame, wide: np.dtype, size: int, n: int, k: int, metric: str, trees: int, seed: int) -> DataFrame:
+    """(src, dst, distance) of rows (id, v, worst): the nearest ``k`` of each row in its blocks of each tree, as far as they are no farther than ``worst``."""
+    need, most = max(1, math.ceil(n / LEAF)), max(2, PIVOT_NUMBERS // max(1, size))
+    levels = max(1, math.ceil(math.log(need, most) - 1e-9))
+    each = math.ceil(need ** (1 / levels) - 1e-9)
+    spill = max(1, min(SPILL, need // APART))
+    spills = [spill] if levels == 1 else [math.isqrt(spill)] * 2 + [1] * (levels - 2)
+    drawn = _pivots(known, wide, size, n, trees * levels * each, metric, seed)
+    groups = [drawn[i :: trees * levels] for i in range(trees * levels)]
+    shared = known.sparkSession.sparkContext.broadcast(groups)
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = shared.value
         for batch in batches:
-            x, ids = _stacked(batch.column("v"), wide, size).astype(np.float64), batch.column("id")
+            x = _prepared(_stacked(batch.column("v"), wide, size), metric)
             for tree in range(trees):
-                up = x @ planes[tree].T > 0
-                side = up @ (1 << np.arange(depth)) if depth else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(side.astype(np.int64)), ids, batch.column("v")], ["tree", "side", "id", "v"])
-
-    placed = map_arrow(rows, sides, "tree int, side long, id long, v binary")
-    sizes = placed.groupBy("tree", "side").agg(F.ceil(F.count("*") / MOST).cast("int").alias("parts"))
-    dealt = placed.join(sizes, ["tree", "side"]).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.col("parts")))
-
-    def block(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(group)  # at most about MOST rows
-        ids = np.concatenate([b.column("id").to_numpy() for b in got])
+                blocks = [np.zeros(len(x), np.int64)]
+                for level, wanted in enumerate(spills):
+                    p = shared.value[tree * levels + level]
+                    if not len(p):
+                        continue
+                    # rounded, so that copies go the same way in any batch
+                    near = np.round(x @ p.T - (0 if metric == "cosine" else (p * p).sum(1) / 2), 9)
+                    at = []
+                    for _ in range(min(wanted, len(p))):
+                        at.append(near.argmax(1))
+                        near[np.arange(len(x)), at[-1]] = -np.inf
+                    blocks = [b * each + a for b in blocks for a in at]
+                for block in blocks:
+                    columns = [pa.array(np.full(len(x), tree, np.int32)), pa.array(block), batch.column("id"), batch.column("worst"), batch.column("v")]
+                    yield pa.RecordBatch.from_arrays(columns, ["tree", "block", "id", "worst", "v"])
+
+    placed = map_arrow(known.select("id", "worst", "v"), sides, "tree int, block long, id long, worst double, v binary")
+    limit = max(2 * LEAF, min(MOST, MOST_NUMBERS // max(1, size)))
+    sizes = placed.groupBy("tree", "block").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"))
+    # one short row for each block; broadcast, so that vectors are shuffled once
+    dealt = placed.join(F.broadcast(sizes), ["tree", "block"]).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.col("parts"))).drop("parts")
+    keys = ["tree", "block", "part"]
+
+    def compare(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(group)  # at most about ``limit`` rows
+        ids, worst = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("id", "worst"))
         x = _prepared(np.concatenate([_stacked(b.column("v"), wide, size) for b in got]), metric)
         order = np.argsort(ids)
-        ids, x = ids[order], x[order]
-        d = _distances(x, metric)
-        np.fill_diagonal(d, np.inf)
-        m = min(k, len(ids) - 1)
-        best = np.argsort(d, axis=1, kind="stable")[:, :m]
-        columns = [np.repeat(ids, m), ids[best].reshape(-1), np.take_along_axis(d, best, 1).reshape(-1)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["src", "dst", "distance"])
-
-    return dealt.groupBy("tree", "side", "part").applyInArrow(block, PAIRS)
-
-
-def _nearest(pairs: DataFrame, k: int) -> DataFrame:
+        ids, worst, x = ids[order], worst[order], x[order]
+        step = max(1, NEAR // len(ids))
+        for low in range(0, len(ids), step):
+            d, bound = _between(x[low : low + step], x, metric), worst[low : low + step, None].copy()
+            d[np.arange(len(d)), low + np.arange(len(d))] = np.inf
+            ok = d <= bound + SLACK
+            many = np.flatnonzero(np.count_nonzero(ok, axis=1) > k)
+            if len(many):
+                bound[many] = np.minimum(bound[many], np.partition(d[many], k - 1, axis=1)[:, k - 1 : k])
+                ok[many] = d[many] <= bound[many] + SLACK
+            i, j = np.divmod(np.flatnonzero(ok), len(ids))
+            distance = d[i, j]
+            order = np.lexsort((j, np.round(distance, 9), i))
+            i, j, distance = i[order], j[order], distance[order]
+            ok = (np.arange(len(i)) - np.searchsorted(i, i) < k) & np.isfinite(distance)
+            columns = [ids[low + i[ok]], ids[j[ok]], distance[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["src", "dst", "distance"])
+
+    tasks = _tasks(known, n * trees * math.prod(spills), size * wide.itemsize + 64)
+    return dealt.repartition(tasks, *keys).groupBy(*keys).applyInArrow(compare, PAIRS)
+
+
+def _nearest(pairs: DataFrame, k: int, tasks: int) -> DataFrame:
     """(src, dst, distance, since, used): of pairs, which may repeat, the k nearest of each src, of equals the smaller dst."""
-    apart = pairs.groupBy("src", "dst").agg(F.min("distance").alias("distance"), F.min("since").alias("since"), F.max("used").alias("used"))
+    apart = pairs.repartition(tasks, "src").groupBy("src", "dst").agg(F.min("distance").alias("distance"), F.min("since").alias("since"), F.max("used").alias("used"))
     order = Window.partitionBy("src").orderBy(F.round("distance", 9), "dst")
     return apart.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
-def _sampled(lists: DataFrame, sample: int, seed: int) -> DataFrame:
-    """(at, of, fresh): the rows that each row ``at`` brings together. ``fresh`` ones weren't brought together before."""
+def _sampled(lists: DataFrame, sample: int, seed: int, tasks: int) -> DataFrame:
+    """(at, of, fresh, met): the rows that each row ``at`` brings together, if one of them is ``fresh``: it wasn't brought together by it before. ``met``
+    ones are fresh ones of its own list."""
     draw = lambda a, b: F.xxhash64(a, b, F.lit(seed))
     both = lists.select(F.col("src").alias("at"), F.col("dst").alias("of"), (~F.col("used")).alias("fresh"), F.lit(True).alias("own"))
     both = both.unionAll(lists.select(F.col("dst").alias("at"), F.col("src").alias("of"), (~F.col("used")).alias("fresh"), F.lit(False).alias("own")))
     order = Window.partitionBy("at", "fresh", "own").orderBy(draw("at", "of"), "of")
-    return both.withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample).drop("i")
+    chosen = both.repartition(tasks, "at").withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample)
+    members = chosen.groupBy("at", "of").agg(F.max("fresh").alias("fresh"), F.max(F.col("fresh") & F.col("own")).alias("met"))
+    return members.withColumn("any", F.max("fresh").over(Window.partitionBy("at"))).where("any").drop("any")
 
 
 def _local_joins(brought: DataFrame, wide: np.dtype, size: int, metric: str) -> DataFrame:
-    """(src, dst, distance) of rows (at, them): the pairs that a row brought together, one of them fresh, that would enter a list as far as it
-    was known."""
+    """(src, dst, distance) of rows (at, of, fresh, worst, v), those of one ``at`` one after the other in one task: the pairs that a row brought together,
+    one of them fresh, that would enter a list as far as it was known."""
+
+    def pairs(at: np.ndarray, ids: np.ndarray, fresh: np.ndarray, worst: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        count = np.diff(np.append(start, len(at)))
+        for width in np.unique(count):
+            rows = np.flatnonzero(count == width)
+            step = max(1, HELD // int(width * max(width, size)))
+            for i in range(0, len(rows), step):
+                here = start[rows[i : i + step], None] + np.arange(width)
+                v = _prepared(x[here], metric)
+                d, a, f, w = _between(v, v, metric), ids[here], fresh[here], worst[here]
+                ok = (d <= w[:, :, None] + SLACK) & (f[:, :, None] | f[:, None, :]) & (a[:, :, None] != a[:, None, :])
+                g, p, q = np.nonzero(ok)
+                ok = np.round(d[g, p, q], 9) <= np.round(w[g, p], 9)
+                g, p, q = g[ok], p[ok], q[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(a[g, p]), pa.array(a[g, q]), pa.array(d[g, p, q])], ["src", "dst", "distance"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            lists = batch.column("them")
-            count = lists.value_lengths().to_numpy()
-            flat = lists.flatten()
-            ids, fresh, worst = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("of", "fresh", "worst"))
-            x, start = _stacked(flat.field("v"), wide, size), np.cumsum(count) - count
-            for width in np.unique(count):
-                rows = np.flatnonzero(count == width)
-                step = max(1, HELD // int(width * max(width, size)))
-                for i in range(0, len(rows), step):
-                    at = start[rows[i : i + step], None] + np.arange(width)
-                    d = _distances(_prepared(x[at], metric), metric)
-                    a, f, w = ids[at], fresh[at], worst[at]
-                    ok = (f[:, :, None] | f[:, None, :]) & (a[:, :, None] != a[:, None, :]) & (np.round(d, 9) <= np.round(w[:, :, None], 9))
-                    g, p, q = np.nonzero(ok)
-                    yield pa.RecordBatch.from_arrays([pa.array(a[g, p]), pa.array(a[g, q]), pa.array(d[g, p, q])], ["src", "dst", "distance"])
-
-    return map_arrow(brought.select("them"), run, PAIRS)
+            if len(batch):
+                new = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("at", "of", "fresh", "worst")), _stacked(batch.column("v"), wide, size)]
+                held = new if held is None else [np.concatenate(c) for c in zip(held, new, strict=True)]
+                cut = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1 if held[0][0] != held[0][-1] else 0
+                if cut:
+                    yield from pairs(*(c[:cut] for c in held))
+                    held = [c[cut:].copy() for c in held]
+        if held is not None:
+            yield from pairs(*held)
+
+    return map_arrow(brought.select("at", "of", "fresh", "worst", "v"), run, PAIRS)
 
 
 def approximate_neighbours(df: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", search: int | None = None, sample: int = 25, trees: int = 6, rounds: int = 12, least_changes: float = 0.002, seed: int = 0) -> DataFrame:
@@ -167,20 +237,29 @@ def approximate_neighbours(df: DataFrame, key: str, vector: str, k: int, metric:
     search = search or k + 35
     rows, wide, size = _vectors(df, key, vector, work)
     n = rows.count()
-    first = _forest(rows, wide, size, n, search, metric, trees, seed).select("*", F.lit(0).alias("since"), F.lit(False).alias("used"))
-    lists = work.save(_nearest(first, search))
-    for turn in range(1, rounds + 1):
-        chosen = work.save(_sampled(lists, sample, seed + turn))
+    few, many = _tasks(rows, n * search, 64), _tasks(rows, n * 4 * sample, size * wide.itemsize + 64)
+
+    def known(lists: DataFrame | None) -> DataFrame:
+        if lists is None:
+            return rows.withColumn("worst", F.lit(float("inf")))
         worst = lists.groupBy(F.col("src").alias("id")).agg(F.when(F.count("*") >= search, F.max("distance")).otherwise(float("inf")).alias("worst"))
-        known = rows.join(worst, "id", "left").select(F.col("id").alias("of"), "v", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
-        members = chosen.groupBy("at", "of").agg(F.max("fresh").alias("fresh"))
-        brought = members.join(known.hint("merge"), "of").groupBy("at").agg(F.collect_list(F.struct("of", "fresh", "worst", "v")).alias("them"), F.max("fresh").alias("any")).where("any")
+        return rows.join(worst, "id", "left").select("id", "v", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
+
+    lists, done = None, 0
+    while lists is None or done < trees:  # the first tree tells how near neighbours are, so that later ones send less
+        now = max(1, min(trees - done, done + 1))
+        found = _forest(known(lists), wide, size, n, search, metric, now, seed + 1000 * done).select("*", F.lit(0).alias("since"), F.lit(False).alias("used"))
+        new = work.save(_nearest(found if lists is None else lists.unionByName(found), search, few))
+        work.drop(lists)
+        lists, done = new, done + now
+    for turn in range(1, rounds + 1):
+        members = work.save(_sampled(lists, sample, seed + turn, 2 * few))
+        brought = members.join(known(lists).withColumnRenamed("id", "of").hint("merge"), "of").repartition(many, "at").sortWithinPartitions("at", "of")
         found = _local_joins(brought, wide, size, metric).select("*", F.lit(turn).alias("since"), F.lit(False).alias("used"))
-        met = chosen.where("fresh and own").select(F.col("at").alias("src"), F.col("of").alias("dst"), F.lit(True).alias("now"))
-        old = lists.join(met, ["src", "dst"], "left").withColumn("used", F.col("used") | F.coalesce("now", F.lit(False))).drop("now")
-        new = work.save(_nearest(old.unionByName(found), search))
+        met = members.where("met").select(F.col("at").alias("src"), F.col("of").alias("dst"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("int").alias("since"), F.lit(True).alias("used"))
+        new = work.save(_nearest(lists.unionByName(met).unionByName(found), search, few))
         changed = new.where(F.col("since") == turn).count()
-        work.drop(lists, chosen)
+        work.drop(lists, members)
         lists = new
         if changed <= least_changes * n * search:
             break

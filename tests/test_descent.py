@@ -77,3 +77,48 @@ def test_it_agrees_with_the_exact_join_on_its_rule_for_ties(spark):
     df = table(spark, rows, "double")
     near = lambda out: {(r.src, r.rank): r.dst for r in out.collect()}
     assert near(descent.approximate_neighbours(df, "id", "v", 3)) == near(vectors.exact_neighbours(df, "id", "v", 3))
+
+
+def test_blocks_and_one_round_find_most_neighbours_of_vectors_without_structure(spark):
+    rows = [(i, r.tolist()) for i, r in enumerate(np.random.default_rng(4).standard_normal((4000, 48)))]
+    out = descent.approximate_neighbours(table(spark, rows, "double"), "id", "v", 10, trees=2, rounds=1).collect()
+    want = exact(rows, 10, "cosine")
+    assert sum(r.dst in {d for d, _ in want[r.src]} for r in out) / len(out) > 0.75
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_blocks_by_pivots_of_two_levels(spark, monkeypatch, metric):
+    monkeypatch.setattr(descent, "LEAF", 16)
+    monkeypatch.setattr(descent, "PIVOT_NUMBERS", 60)
+    rng = np.random.default_rng(6)
+    rows = [(i, r.tolist()) for i, r in enumerate(5 + rng.standard_normal((1500, 6)))]
+    out = descent.approximate_neighbours(table(spark, rows, "double"), "id", "v", 5, metric, search=15, sample=8, trees=3, rounds=2).collect()
+    want = exact(rows, 5, metric)
+    assert len(out) == 7500 and sum(r.dst in {d for d, _ in want[r.src]} for r in out) / 7500 > 0.9
+
+
+def test_lists_are_merged_by_one_shuffle(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.5, 1, False), (1, 2, None, None, True), (1, 3, 0.25, 2, False), (1, 4, 0.75, 0, True)], "src long, dst long, distance double, since int, used boolean")
+    out = descent._nearest(pairs, 2, 3)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 2, 0.5, 1, True), (1, 3, 0.25, 2, False)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("Exchange") == 1
+
+
+def test_vectors_are_sent_only_to_rows_that_have_something_new(spark):
+    lists = spark.createDataFrame([(1, 2, 0.1, 0, True), (2, 1, 0.1, 0, True), (3, 4, 0.1, 1, False)], "src long, dst long, distance double, since int, used boolean")
+    out = sorted(tuple(r) for r in descent._sampled(lists, 5, 1, 2).collect())
+    assert out == [(3, 4, True, True), (4, 3, True, False)]
+
+
+def test_rows_that_batches_cut_are_brought_together_whole(spark):
+    x = np.random.default_rng(7).standard_normal((9, 3))
+    members = [(at, i, True, float("inf"), x[i].tobytes()) for at in range(4) for i in range(9)]
+    brought = spark.createDataFrame(members, "at long, of long, fresh boolean, worst double, v binary").coalesce(1).sortWithinPartitions("at", "of")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        out = [(r.src, r.dst) for r in descent._local_joins(brought, np.dtype(np.float64), 3, "euclidean").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(out) == sorted([(i, j) for i in range(9) for j in range(9) if i != j] * 4)
