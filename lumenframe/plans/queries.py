@@ -417,9 +417,8 @@ def wnn_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of weighted neighbours: rows, those whose weights don't add up to 1 or leave 0 to 1, edges, loops, and edges that are stronger than one of lower
     rank."""
     rows = D.halves(spark, sf_dir)
-    weights, _ = multimodal.modality_weights(rows, "vec_id", "rna", "image", 30)
+    weights, edges = multimodal.weights_and_neighbours(rows, "vec_id", "rna", "image")
     fine = (F.abs(F.col("w1") + F.col("w2") - 1) < 1e-9) & F.col("w1").between(0, 1) & F.col("w2").between(0, 1)
-    edges = multimodal.weighted_neighbours(rows, "vec_id", "rna", "image")
     before = F.lag("w").over(Window.partitionBy("src").orderBy("rank"))
     found = edges.withColumn("before", before).agg(F.count("*").alias("n_edges"), F.count(F.when(F.col("src") == F.col("dst"), 1)).alias("n_loops"), F.count(F.when(F.col("w") > F.col("before") + 1e-8, 1)).alias("n_out_of_order"))
     one = weights.agg(F.count("*").alias("n_rows"), F.count(F.when(~fine, 1)).alias("n_unbalanced"))
