@@ -99,20 +99,41 @@ def _of_pairs(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, metric
     return out
 
 
-def _rough(q: np.ndarray, x: np.ndarray, metric: str) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray], np.ndarray]] | None:
+def _rough(q: np.ndarray, x: np.ndarray, metric: str, far: float) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray], np.ndarray]] | None:
     """One matrix product that orders each row of q's distances to x, how a value of it bounds a distance from above, and which values a pair
-    of at most a distance may have; None where numbers are too large or small for that."""
+    of at most a distance may have; None where numbers are too large or small for that.
+
+    It is made in single precision where the rounding, which the bounds allow for, is little beside a usual distance ``far`` of what is asked for."""
     a, b = _lengths(q), _lengths(x)
     known = np.concatenate([a[a > 0], b[b > 0]])
     if len(known) and not (known.min() > 1e-140 and known.max() < 1e140):
         return None
+    kind, rounding = np.float64, lambda kind: 8 * (q.shape[1] + 4) * np.finfo(kind).eps
+    scale = 1.0 if metric == "cosine" else (a * a).max(initial=0.0) + (b * b).max(initial=0.0)
+    least = far if metric == "cosine" else far * far
+    if len(known) and known.min() > 1e-12 and known.max() < 1e12 and np.isfinite(far) and rounding(np.float32) * scale <= 0.01 * least:
+        kind = np.float32
+    up = lambda s: s if kind is np.float64 else np.nextafter(s.astype(kind), np.float32(np.inf))
     if metric == "cosine":
-        unit = lambda v, length: np.divide(v, length[:, None], out=np.zeros_like(v), where=length[:, None] > 0)
-        return unit(-q, a) @ unit(x, b).T, lambda s: 1 + s, lambda d: d - 1 + SLACK
-    error = (8 * (q.shape[1] + 4) * np.finfo(float).eps) * (a * a + (b * b).max())
-    product = (-2 * q) @ x.T
-    product += b * b
-    return product, lambda s: np.sqrt(np.maximum(s + a * a + error, 0)), lambda d: (d + SLACK) ** 2 - a * a + error
+        unit = lambda v, length: np.divide(v, length[:, None], out=np.zeros_like(v), where=length[:, None] > 0).astype(kind)
+        error = 0.0 if kind is np.float64 else rounding(kind)
+        return unit(-q, a) @ unit(x, b).T, lambda s: 1 + s.astype(float) + error, lambda d: up(d - 1 + SLACK + error)
+    error = rounding(kind) * (a * a + (b * b).max())
+    product = (-2 * q).astype(kind) @ x.astype(kind).T
+    product += (b * b).astype(kind)
+    return product, lambda s: np.sqrt(np.maximum(s + a * a + error, 0)), lambda d: up((d + SLACK) ** 2 - a * a + error)
+
+
+def _in_order(i: np.ndarray, distance: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """np.lexsort((ids, distance, i)) for few distinct i and distances that are mostly distinct."""
+    order = np.argsort(distance)
+    same = distance[order[1:]] == distance[order[:-1]]
+    if same.any():
+        tied = np.flatnonzero(np.append(False, same) | np.append(same, False))
+        at = order[tied]
+        order[tied] = at[np.lexsort((ids[at], distance[at]))]
+    small = i.astype(np.int16) if i.max(initial=0) < 1 << 15 else i
+    return order[np.argsort(small[order], kind="stable")]
 
 
 class _Best:
@@ -131,7 +152,7 @@ class _Best:
 
     def kept(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         i, ids, distance = (np.concatenate(c) for c in zip(*self.found, strict=True)) if self.found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        order = np.lexsort((ids, np.round(distance, 9), i))
+        order = _in_order(i, np.round(distance, 9), ids)
         first = np.searchsorted(i[order], np.arange(self.n + 1))
         rank = np.arange(len(order)) - first[i[order]]
         order, rank = order[rank < self.k], rank[rank < self.k]
@@ -145,7 +166,7 @@ def _met(best: _Best, asked: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.n
     """A block of queries meets a block of rows: the pairs that may enter a list are picked by one matrix product, and only their distances
     are computed one by one."""
     same = np.isin(asked, ids)
-    rough = _rough(q, x, metric)
+    rough = _rough(q, x, metric, float(np.median(best.worst)) if len(q) else np.inf)
     if rough is None:
         i, j = (c.reshape(-1) for c in np.indices((len(q), len(x))))
     else:
@@ -157,7 +178,7 @@ def _met(best: _Best, asked: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.n
         if not best.found and best.k < len(ids):
             # rows in which the k-th is no other row keep an infinite bound
             worst = above(np.partition(score, best.k - 1, axis=1)[:, best.k - 1])
-        i, j = np.nonzero(score <= bound(worst)[:, None])
+        i, j = np.divmod(np.flatnonzero(score <= bound(worst)[:, None]), len(ids))
     apart = asked[i] != ids[j]
     i, j = i[apart], j[apart]
     best.add(i, ids[j], _of_pairs(q, x, i, j, metric))

@@ -46,3 +46,30 @@ def test_the_search_is_saved_once(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id long, v array<double>")
     plan = vectors.exact_neighbours(df, "id", "v", 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "InArrow" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_blocks_meet_in_single_precision(metric, offset, monkeypatch):
+    """The product of a later block is made in single precision, unless its rounding is much beside the distances; lists are those of all pairs."""
+    kinds, rough = [], vectors._rough
+    monkeypatch.setattr(vectors, "_rough", lambda *a: (out := rough(*a)) and kinds.append(out[0].dtype) or out)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 16)) + offset
+    x[300] = x[7]
+    ids, best = np.arange(600), vectors._Best(200, 5)
+    for low in range(0, 600, 200):
+        vectors._met(best, ids[:200], x[:200], ids[low : low + 200], x[low : low + 200], metric)
+    i, dst, _ = best.kept()
+    far = vectors._of_pairs(x, x, *(c.reshape(-1) for c in np.indices((200, 600))), metric).reshape(200, 600)
+    far[np.arange(200), np.arange(200)] = np.inf
+    want = [np.lexsort((ids, np.round(row, 9)))[:5].tolist() for row in far]
+    assert dst.reshape(200, 5).tolist() == want and i.tolist() == np.repeat(np.arange(200), 5).tolist()
+    assert [str(k) for k in kinds] == (["float64", "float32", "float32"] if offset == 0 else ["float64"] * 3)
+
+
+def test_order_of_candidates_is_that_of_all_their_keys():
+    rng = np.random.default_rng(9)
+    for most in (3, 10**6):
+        i, ids, distance = rng.integers(0, 40, 5000), rng.integers(0, 50, 5000), rng.integers(0, most, 5000) / 7
+        assert (np.stack([i, distance, ids])[:, vectors._in_order(i, distance, ids)] == np.stack([i, distance, ids])[:, np.lexsort((ids, distance, i))]).all()
