@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ from ..functions.storage import Workspace, free_name
 CELL = 4096
 #: Targets of a grid cell, about, in the first ring of a search.
 FEW = 4
+#: Places of a cell, and of a cell and what lies around it, that meet at once, about; up to how many of the latter are all compared; and pairs that are held.
+SPOTS, AROUND, PLAIN, HELD = 1 << 16, 1 << 18, 1024, 1 << 21
 
 
 def _around(at: Column) -> Column:
@@ -30,36 +33,123 @@ def _cell(c: str, size: float) -> Column:
 def radius_counts(df: DataFrame, key: str, x: str, y: str, radius: float, within: str) -> DataFrame:
     """(key, n_near): how many rows of the same group lie within ``radius``, border and the row itself included.
 
-    Rows at one place are one place with their number; places are gathered by grid cell as arrays, a cell's places meet those of the eight cells
-    around in one Arrow map, and what leaves it are counts, which are joined back to the rows. A crowded cell is dealt into parts of ``CELL`` places,
-    each of which meets all parts around it. Rows with a null group or coordinate have no row here; rows that repeat a key are counted each."""
-    rows = df.select(F.col(within).alias("g"), F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    spots = rows.groupBy("g", "x", "y").agg(F.count("*").alias("m")).withColumns({"gx": _cell("x", radius), "gy": _cell("y", radius)})
-    spots = Workspace(df.sparkSession, "spots").save(spots)
-    sizes = spots.groupBy("g", "gx", "gy").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
-    crowded = sizes.where("parts > 1")
-    part = F.pmod(F.xxhash64("x", "y"), F.coalesce("parts", F.lit(1))).alias("part")
-    dealt = spots.join(crowded, ["g", "gx", "gy"], "left").select("g", "gx", "gy", part, F.struct("x", "y", "m").alias("s"))
-    packed = dealt.groupBy("g", "gx", "gy", "part").agg(F.collect_list("s").alias("here"))
-    around = packed.select("g", F.explode(F.sequence(F.col("gx") - 1, F.col("gx") + 1)).alias("gx"), "gy", F.col("here").alias("there"))
-    around = around.select("g", "gx", F.explode(F.sequence(F.col("gy") - 1, F.col("gy") + 1)).alias("gy"), "there")
-    both = packed.join(around.hint("merge"), ["g", "gx", "gy"]).select("g", "here", "there")
-    kind = rows.schema["g"].dataType.simpleString()
+    Rows at one place are one place with their number; ``_counted`` counts places, and its counts are joined back to the rows. Rows with a null group
+    or coordinate have no row here; rows that repeat a key are counted each."""
+    rows = _points(df, key, x, y, within)
+    spots = Workspace(df.sparkSession, "spots").save(rows.groupBy("g", "x", "y").agg(F.count("*").alias("m")))
+    return rows.join(_counted(spots, radius), ["g", "x", "y"]).groupBy("k").agg(F.sum("n").alias("n_near")).withColumnRenamed("k", key)
+
+
+def densest(df: DataFrame, key: str, x: str, y: str, radius: float, within: str) -> DataFrame:
+    """(within, key, x, y, n_near): of each place of a group the row with the largest count, of equals the larger key; a key that a place repeats counts as often.
+
+    What ``spread_out`` picks of these it would pick of all rows, as rows at one place are equally far from all others. Rows with a null group, key
+    or coordinate take no part. The table is saved."""
+    work = Workspace(df.sparkSession, "densest")
+    times = _points(df, key, x, y, within).groupBy("g", "x", "y", "k").agg(F.count("*").alias("c"))
+    best = times.groupBy("g", "x", "y").agg(F.sum("c").alias("m"), F.max(F.struct("c", "k")).alias("b"))
+    spots = work.save(best.select("g", "x", "y", "m", "b.c", "b.k"))
+    found = _counted(spots, radius).select("g", "k", "x", "y", (F.col("c") * F.col("n")).alias("n_near"))
+    out = work.save(found.toDF(within, key, x, y, "n_near"))
+    work.drop(spots)
+    return out
+
+
+def _points(df: DataFrame, key: str, x: str, y: str, within: str) -> DataFrame:
+    return df.select(F.col(within).alias("g"), F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+
+
+def _counted(spots: DataFrame, radius: float) -> DataFrame:
+    """Places (g, x, y, m, ...) of m rows each, each once, with n: how many rows lie within ``radius``.
+
+    Places are gathered by grid cells of twice the radius as arrays, and every cell also gets the places up to a radius around it. They meet in one Arrow map,
+    at most ``SPOTS`` of a cell and ``AROUND`` of those around at once; what leaves it are counts."""
+    cells, size = ["g", "gx", "gy"], 2 * radius
+    more = [c for c in spots.columns if c not in ("g", "x", "y", "m")]
+
+    def packed(at: DataFrame, columns: list[str], most: int, name: str) -> DataFrame:
+        parts = at.groupBy(*cells).agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
+        part = F.pmod(F.xxhash64("x", "y"), F.coalesce("parts", F.lit(1))).alias("part")
+        dealt = at.join(F.broadcast(parts), cells, "left").select(*cells, part, F.struct(*columns).alias("s"))  # one short row for each crowded cell
+        return dealt.groupBy(*cells, "part").agg(F.collect_list("s").alias(name)).drop("part")
+
+    def every(c: str) -> Column:
+        reach = F.abs(c) * 1e-15 + radius * (1 + 1e-9)
+        return F.explode(F.sequence(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size)))
+
+    own = packed(spots.withColumns({"gx": _cell("x", size), "gy": _cell("y", size)}), ["x", "y", *more], SPOTS, "here")
+    around = packed(spots.select("g", "x", "y", "m", every("x").alias("gx")).withColumn("gy", every("y")), ["x", "y", "m"], AROUND, "there")
+    both = own.join(around.hint("merge"), cells).select("g", "here", "there")
+    schema = T.StructType([spots.schema[c] for c in ("g", "x", "y", *more)] + [T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 here, there = batch.column("here")[i].values, batch.column("there")[i].values
-                xs, ys, ox, oy, m = (s.field(c).to_numpy() for s, c in ((here, "x"), (here, "y"), (there, "x"), (there, "y"), (there, "m")))
-                near = np.zeros(len(xs))
-                for low in range(0, len(xs), 256):
-                    dx, dy = xs[low : low + 256, None] - ox[None, :], ys[low : low + 256, None] - oy[None, :]
-                    near[low : low + 256] = (dx * dx + dy * dy <= radius * radius) @ m.astype(float)  # whole numbers, so exact
-                group = batch.column("g").take(pa.array(np.full(len(xs), i)))
-                yield pa.RecordBatch.from_arrays([group, pa.array(xs), pa.array(ys), pa.array(near.astype(np.int64))], ["g", "x", "y", "n"])
-
-    counted = map_arrow(both, run, f"g {kind}, x double, y double, n long").groupBy("g", "x", "y").agg(F.sum("n").alias("n"))
-    return rows.join(counted, ["g", "x", "y"]).groupBy("k").agg(F.sum("n").alias("n_near")).withColumnRenamed("k", key)
+                near = _within(*(s.field(c).to_numpy() for s, c in ((here, "x"), (here, "y"), (there, "x"), (there, "y"), (there, "m"))), radius)
+                group = batch.column("g").take(pa.array(np.full(len(here), i)))
+                yield pa.RecordBatch.from_arrays([group, *(here.field(c) for c in ("x", "y", *more)), pa.array(near)], schema.names)
+
+    sums = map_arrow(both, run, schema).groupBy("g", "x", "y").agg(F.sum("n").alias("n"), *(F.max(c).alias(c) for c in more))
+    return sums.select("g", "x", "y", *more, "n")
+
+
+def _within(x: np.ndarray, y: np.ndarray, ox: np.ndarray, oy: np.ndarray, m: np.ndarray, radius: float) -> np.ndarray:
+    """The sum of m over the places (ox, oy) within ``radius`` of each (x, y).
+
+    Others lie in strips by y, in each by x, and what is surely within is a range of a strip, whose sum is a difference of running sums. Only
+    places whose distance depends on where they lie in their strip are compared one by one: about the square root of all that are within."""
+    n, square = np.zeros(len(x), np.int64), radius * radius
+    if len(ox) <= PLAIN:
+        for low in range(0, len(x), 256):
+            dx, dy = x[low : low + 256, None] - ox[None, :], y[low : low + 256, None] - oy[None, :]
+            n[low : low + 256] = (dx * dx + dy * dy <= square) @ m.astype(float)  # whole numbers, so exact
+        return n
+    by_y = np.argsort(y)
+    x, y = x[by_y], y[by_y]
+    order = np.argsort(oy)
+    ox, oy, m = ox[order], oy[order], m[order]
+    start = np.maximum.accumulate(np.where(np.append(True, oy[1:] != oy[:-1]), np.arange(len(oy)), 0))  # where places of this y begin
+    strip = start // max(1, math.isqrt(len(oy) // 2))
+    order = np.lexsort((ox, strip))
+    ox, m, begin = ox[order], m[order], np.flatnonzero(np.append(True, strip[1:] != strip[:-1]))
+    inner_y, slack = oy[order], 4 * np.finfo(float).eps * (max(np.abs(ox).max(), np.abs(x).max()) + radius)
+    reach = radius * (1 + 1e-9) + np.abs(oy).max() * 1e-15
+    for low, high in zip(begin.tolist(), [*begin[1:].tolist(), len(ox)], strict=True):
+        sx, sy, total, least, most = ox[low:high], inner_y[low:high], np.append(0, np.cumsum(m[low:high])), oy[low], oy[high - 1]
+        first, last = np.searchsorted(y, least - reach), np.searchsorted(y, most + reach, "right")
+        if first == last:
+            continue
+        px, py = x[first:last], y[first:last]
+        outer = np.sqrt(np.maximum(square * (1 + 1e-12) - np.maximum(np.maximum(least - py, py - most), 0.0) ** 2, 0.0)) + slack
+        inner = np.sqrt(np.maximum(square * (1 - 1e-12) - np.maximum(np.abs(py - least), np.abs(py - most)) ** 2, 0.0)) - slack
+        a, d = np.searchsorted(sx, px - outer), np.searchsorted(sx, px + outer, "right")
+        b, c = a.copy(), d.copy()
+        left, right = px - inner, px + inner
+        at = np.flatnonzero((a < d) & (sx[np.minimum(a, len(sx) - 1)] < left) & (inner > 0))
+        b[at] = np.searchsorted(sx, left[at])
+        at = np.flatnonzero((a < d) & (sx[np.maximum(d, 1) - 1] > right) & (inner > 0))
+        c[at] = np.searchsorted(sx, right[at], "right")
+        c = np.where(inner > 0, c, a)
+        n[first:last] += total[c] - total[b]
+        starts, sizes = np.concatenate([a, c]), np.concatenate([b - a, d - c])
+        some = np.flatnonzero(sizes)
+        starts, sizes, who = starts[some], sizes[some], some % len(px)
+        ends = np.cumsum(sizes)
+        low_at = 0
+        while low_at < len(some):
+            done = ends[low_at - 1] if low_at else 0
+            high_at = max(low_at + 1, int(np.searchsorted(ends, done + HELD, "right")))
+            sized = sizes[low_at:high_at]
+            which = np.repeat(who[low_at:high_at], sized)
+            at = np.arange(len(which)) + np.repeat(starts[low_at:high_at] - (ends[low_at:high_at] - sized - done), sized)
+            dx, dy = px[which] - sx[at], py[which] - sy[at]
+            ok = dx * dx + dy * dy <= square
+            n[first:last] += np.bincount(which[ok], weights=m[low:high][at[ok]], minlength=len(px)).astype(np.int64)
+            low_at = high_at
+    out = np.empty_like(n)
+    out[by_y] = n
+    return out
 
 
 def nearest(df: DataFrame, targets: DataFrame, key: str, target: str, x: str, y: str, size: float, within: str) -> DataFrame:

@@ -495,8 +495,7 @@ def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     s as (select n.*, row_number() over (partition by n.sample_id order by n.n_near desc, n.cell_id desc) as k2 from n join f using (sample_id) where (n.x - f.x) * (n.x - f.x) + (n.y - f.y) * (n.y - f.y) > 160000)
     select sample_id, 1::bigint as pick, cell_id, n_near from f union all select sample_id, 2::bigint, cell_id, n_near from s where k2 = 1""")
 def dense_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = D.points(spark, sf_dir)
-    density = points.join(spatial.radius_counts(points, "cell_id", "x", "y", 200.0, "sample_id"), "cell_id")
+    density = spatial.densest(D.points(spark, sf_dir), "cell_id", "x", "y", 200.0, "sample_id")
     return spatial.spread_out(density, "cell_id", "x", "y", "n_near", 400.0, 2, "sample_id").select("sample_id", "pick", "cell_id", "n_near")
 
 
